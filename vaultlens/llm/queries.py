@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, mixing, packing, sharding
+from . import fingerprint, hmm, mixing, packing, reputation, sharding
 from .common import table
 
 
+#: Fixed values of the contract.
+RULES = [reputation.Rule(*r) for r in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
+
+
 def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"), 7, 2)
 
@@ -17,6 +21,17 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad")
+    labelled = pages.join(labels.select(F.col("doc_id").alias("page_id"), bad), "page_id").select("url", "bad")
+    return reputation.judge(pages, labelled, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(table(spark, sf_dir, "documents"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.copies(table(spark, sf_dir, "documents"))
     taken = (F.col("__size") * F.col("__copies")).alias("taken")
@@ -32,4 +47,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix": mixing.SQL}
+    return {"op4_url_reputation": reputation.SQL, "op6_mix": mixing.SQL}
