@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, hmm, mixing, packing, reputation, sharding
+from . import fingerprint, hmm, language, mixing, packing, quality, reputation, sharding
 from .common import table
 
 
@@ -32,6 +32,15 @@ def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return judged.select("doc_id", *(F.col(f"__{c}").alias(c) for c in (*quality.COUNTS, "base_failed", "kept")))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.copies(table(spark, sf_dir, "documents"))
     taken = (F.col("__size") * F.col("__copies")).alias("taken")
