@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, hmm, language, mixing, packing, quality, reputation, sharding
+from . import fingerprint, hmm, language, mixing, packing, quality, quotes, reputation, sharding
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken)
 
 
+def op9_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))[0]
 
@@ -56,4 +60,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_reputation": reputation.SQL, "op6_mix": mixing.SQL}
+    return {"op4_url_reputation": reputation.SQL, "op6_mix": mixing.SQL, "op9_quote_links": quotes.SQL}
