@@ -47,12 +47,22 @@ def as_strings(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """A-Z in lower case; ``texts`` are large strings without nulls. (Arrow's own kernel misreads arrays that are slices.)"""
+    if not len(texts):
+        return texts
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2] or pa.py_buffer(b"")
+    low = memoryview(raw)[offsets[0] : offsets[-1]].tobytes().lower()
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(low))
+
+
 def words_of(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
     """All words of ``texts`` in order, and the number of words of each text.
 
     A word is a maximal run without 0x20 and 0x09-0x0D; only A-Z change case.
     """
-    texts = pc.ascii_lower(texts) if lower else texts
+    texts = lowered(texts) if lower else texts
     lists = pc.ascii_split_whitespace(texts)
     flat, offsets = lists.flatten(), lists.offsets.to_numpy(zero_copy_only=False)
     full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
