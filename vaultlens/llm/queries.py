@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, hmm, language, mixing, packing, quality, quotes, reputation, sharding
+from . import fingerprint, hmm, language, mixing, neardup, packing, quality, quotes, reputation, sharding
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "documents"), neardup.Settings(words=2))
+
+
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad")
