@@ -151,8 +151,8 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
     return learn({k: sorted(v) for k, v in samples.items()}, s)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score after its own columns."""
+def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with columns ``lang`` and ``score`` after its own."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
@@ -172,9 +172,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 for i, t in enumerate(texts):
                     if names[i] is None or not has_letter(t.as_py()):
                         names[i], scores[i] = "und", 0.0
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], [*part.schema.names, lang, score])
 
-    return docs.mapInArrow(task, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(task, f"{schema}, {lang} string, {score} double")
 
 
 def identify(docs: DataFrame, modulus: int = 5, remainder: int = 0, s: Settings = Settings()) -> DataFrame:
