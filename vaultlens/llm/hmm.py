@@ -157,7 +157,7 @@ def _training(docs: DataFrame, modulus: int, remainder: int) -> DataFrame:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 16_000_000):
+        for part in slices(batch, "text", 8_000_000):
             flat, _ = words_of(as_strings(part.column("text")), True)
             found = pc.value_counts(flat)
             yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1).cast(pa.int64())], ["word", "c"])
@@ -209,7 +209,10 @@ def fit(docs: DataFrame, modulus: int, remainder: int, s: Settings = Settings())
     np.fill_diagonal(move, 0.8 if s.states > 1 else 1.0)
     model = Model(words, s.classes, np.full(s.states, 1 / s.states), move / move.sum(1, keepdims=True), unigram[:, None] * rng.uniform(0.5, 1.5, (m, s.states)), count, int(totals["n"]) + ends, int(totals["v"]) + (ends > 0), np.log10(rare.sum(1) + 1))
     model.emit /= model.emit.sum(0)
-    warm = rows.filter(F.octet_length("text") <= s.warm_bytes).orderBy(F.crc32(F.encode(F.concat_ws("-", F.lit(s.seed), "doc_id"), "UTF-8")), "doc_id").select("text").limit(s.warm_docs).collect()
+    # the rows of least hash; most others go before they are sorted, so that tasks don't each send a whole sample
+    draw = F.crc32(F.encode(F.concat_ws("-", F.lit(s.seed), F.col("doc_id").cast("string")), "UTF-8"))
+    some = rows.filter((F.octet_length("text") <= s.warm_bytes) & (draw <= F.lit(2.0**32) * min(1.0, 4 * s.warm_docs / max(ends, 1))))
+    warm = some.orderBy(draw, "doc_id").select("text").limit(s.warm_docs).collect()
     if warm:
         flat, n = words_of(as_strings(pa.array([r[0] for r in warm], pa.string())), True)
         parts = sequences(symbols(flat, words, s.classes), n, m - 1)
@@ -269,7 +272,7 @@ def score(docs: DataFrame, modulus: int, remainder: int, s: Settings = Settings(
         own = sent.value
         log_c, seen = np.log10(own.count + 1), own.count > 0
         for batch in batches:
-            for part in slices(batch, "text", 16_000_000):
+            for part in slices(batch, "text", 4_000_000):
                 flat, n = words_of(as_strings(part.column("text")), True)
                 ids = symbols(flat, own.words, own.classes)
                 doc = np.repeat(np.arange(len(n)), n)
