@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut
 
 #: Second-level labels under which a country's suffix has two labels.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -86,7 +86,7 @@ def posteriors(labelled: DataFrame, floor: float = 1e-3) -> DataFrame:
     """
     host, _ = host_path(F.col("url"))
     counted = labelled.groupBy(host.alias("host")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
-    hosts = counted.withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host")), "every": F.lit(1)})
+    hosts = cut(counted.withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host")), "every": F.lit(1)}))
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums).withColumn("every", F.lit(1))
@@ -109,7 +109,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[Rule], limit: float
     """
     host, path = host_path(F.col("url"))
     parsed = pages.select("*", host.alias("host"), path.alias("path"))
-    known = posteriors(labelled)
+    known = cut(posteriors(labelled))
     of = lambda level: known.filter(F.col("level") == level).select(F.col("key").alias(level), F.struct("a", "b").alias(level + "_p"))
     names = parsed.select("host").distinct().withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
     every = known.filter(F.col("level") == "every").agg(F.first(F.struct("a", "b")).alias("every_p"))  # one row
