@@ -29,6 +29,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of a few MB from now on: the default of 64 MB is held several times over by each task."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == 64 * 2**20:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 * 2**20)
+    return df
+
+
+#: Rows up to which a table of one row a group is broadcast; they are a few hundred bytes each.
+FEW = 50_000
+
+
+def broadcast_few(df: DataFrame) -> DataFrame:
+    """Broadcast a materialised table of groups if it has few rows; else Spark joins it by sorting and splits hot groups."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

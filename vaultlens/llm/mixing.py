@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut
+from .common import WORD, broadcast_few, cut
 
 
 def uniform(seed: int, *of: Column) -> Column:
@@ -44,14 +44,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """docs with __size, __source_size, __target and __copies. The source table is broadcast only below Spark's size threshold; else Spark splits a hot source's join."""
+    """docs with __size, __source_size, __target and __copies. The table of sources is broadcast if it has few rows; else Spark splits a hot source's join."""
     text = F.coalesce("text", F.lit(""))
     sized = docs.withColumns({"__size": F.regexp_count(text, F.lit(WORD)).cast("long"), "__draw": uniform(seed, F.col("doc_id"), F.md5(F.encode(text, "UTF-8")))})
     sums = cut(targets(sized.groupBy("source").agg(F.sum("__size").alias("source_size")), weights, share, most))
     named = sums.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(1.0))
     taken = F.floor(rate) + F.when(F.col("__draw") < rate - F.floor(rate), 1).otherwise(0)
-    return sized.join(named, F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("__copies", taken.cast("int")).drop("__draw", "__source")
+    return sized.join(broadcast_few(named), F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("__copies", taken.cast("int")).drop("__draw", "__source")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:

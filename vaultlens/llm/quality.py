@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_strings, cut, slices, words_of
+from .common import as_strings, broadcast_few, cut, slices, small_batches, words_of
 
 SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\v\f\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 NAMES = ("word_length", "symbols", "dup_lines", "repeats")
 P = len(NAMES)
+MODEL = "struct<mean:array<double>,low:array<double>,diag:array<double>,middle:double>"
+FEW_TASKS = 16  #: that write a table of one row a group
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -79,7 +81,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, counts(as_strings(part.column("text"))))], [*part.schema.names, *(f"__{c}" for c in COUNTS)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(task, schema + "".join(f", __{c} long" for c in COUNTS))
+    return small_batches(docs).mapInArrow(task, schema + "".join(f", __{c} long" for c in COUNTS))
 
 
 def base_failed() -> Column:
@@ -95,71 +97,76 @@ def vector() -> list[Column]:
 
 
 def distance(model: str) -> Column:
-    """Squared Mahalanobis distance of x0.. under ``model``'s mean and precision."""
-    at = [F.col(f"x{i}") - F.col(f"{model}.mean")[i] for i in range(P)]
-    return sum((at[i] * at[j] * F.col(f"{model}.precision")[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
-
-
-def invert(n: float, sums: list[float], products: list[float], ridge: np.ndarray) -> tuple[list[float], list[float]]:
-    mean = np.array(sums) / n
-    cov = np.array(products).reshape(P, P) / n - np.outer(mean, mean)
-    return mean.tolist(), np.linalg.inv(cov + np.diag(ridge)).ravel().tolist()
+    """Squared Mahalanobis distance of x0.. under ``model``: with covariance L D L', the squares of y = L^-1 (x - mean) by D."""
+    m, y = F.col(model), []
+    for i in range(P):
+        y.append(F.col(f"x{i}") - m["mean"][i] - sum((m["low"][i * P + k] * y[k] for k in range(i)), F.lit(0.0)))
+    return sum((v * v / m["diag"][i] for i, v in enumerate(y)), F.lit(0.0))
 
 
 #: Least variance of each statistic: below it, differences are rounding or a lone symbol, not quality.
-FLOOR = np.array([0.05, 0.06, 0.1, 0.1]) ** 2
+FLOOR = [0.05**2, 0.06**2, 0.12**2, 0.16**2]
 BINS = 16  #: of the distance histogram, for each doubling
-
-
-def estimates(rows: DataFrame, keys: list[str], part: float, steps: int, least: int) -> DataFrame:
-    """(keys.., model): robust mean and precision of each group of at least ``least`` rows, and its median distance."""
-    model = "struct<mean:array<double>,precision:array<double>,middle:double>"
-    groups = [F.coalesce(F.col(k), F.lit("\0")).alias(k) for k in keys] or [F.lit("").alias("all")]
-    names = keys or ["all"]
-    x = rows.select(*groups, *(f"x{i}" for i in range(P)))
-
-    def solve(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tables:
-            own = t.to_pylist()
-            fits = [invert(r["n"], [r[f"s{i}"] for i in range(P)], [r[f"p{min(i, j)}_{max(i, j)}"] for i in range(P) for j in range(P)], FLOOR) for r in own]
-            yield pa.RecordBatch.from_arrays([*(t.column(n) for n in names), pa.array([m for m, _ in fits], pa.list_(pa.float64())), pa.array([p for _, p in fits], pa.list_(pa.float64()))], [*names, "mean", "precision"])
-
-    sums = [F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(P) for j in range(i, P))]
-    solved = lambda some: some.mapInArrow(solve, ", ".join(f"{n} string" for n in names) + ", mean array<double>, precision array<double>")
-
-    def inside(fits: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows with the bin of their distance, and for each group the bin that holds ``part`` of them."""
-        far = x.join(fits.withColumn("m", F.struct("mean", "precision")).drop("mean", "precision"), names).withColumn("d", distance("m"))
-        far = far.withColumn("bin", F.floor(F.log2(F.greatest(F.col("d"), F.lit(1e-9))) * BINS).cast("int"))
-        whole = F.sum("c")
-        bins = far.groupBy(*names, "bin").agg(F.count(F.lit(1)).alias("c"))
-        w = Window.partitionBy(*names).orderBy("bin")
-        held = bins.withColumn("up", F.sum("c").over(w)).withColumn("all_", whole.over(Window.partitionBy(*names)))
-        return far, held.filter(F.col("up") >= part * F.col("all_")).groupBy(*names).agg(F.min("bin").alias("edge"))
-
-    first = x.groupBy(*names).agg(*sums).filter(F.col("n") >= least)
-    fits = cut(solved(first))
-    for _ in range(steps):
-        far, edge = inside(fits)
-        near = far.join(edge, names).filter(F.col("bin") <= F.col("edge"))
-        fits = cut(solved(near.groupBy(*names).agg(*sums)))
-    _, edge = inside(fits)
-    out = fits.join(edge, names).select(*names, F.struct("mean", "precision", F.pow(F.lit(2.0), (F.col("edge") + 1) / BINS).alias("middle")).cast(model).alias("model"))
-    return out if keys else out.drop("all")
+KEYS = ["level", "lang", "source"]
+
+
+def sums() -> list[Column]:
+    products = (F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(P) for j in range(i, P))
+    return [F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *products]
+
+
+def solved(some: DataFrame) -> DataFrame:
+    """(KEYS, m): mean and LDL' factors of the covariance from n, sums and products."""
+    for i in range(P):
+        some = some.withColumn(f"m{i}", F.col(f"s{i}") / F.col("n"))
+    for j in range(P):
+        for i in range(j, P):
+            cov = F.col(f"p{j}_{i}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + (FLOOR[i] if i == j else 0.0)
+            rest = cov - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") * F.col(f"d{k}") for k in range(j)), F.lit(0.0))
+            some = some.withColumn(f"d{j}", F.greatest(rest, F.lit(FLOOR[j] / 2))) if i == j else some.withColumn(f"l{i}_{j}", rest / F.col(f"d{j}"))
+    low = F.array(*(F.col(f"l{i}_{k}") if k < i else F.lit(0.0) for i in range(P) for k in range(P)))
+    return some.select(*KEYS, F.struct(F.array(*(f"m{i}" for i in range(P))).alias("mean"), low.alias("low"), F.array(*(f"d{i}" for i in range(P))).alias("diag")).alias("m"))
+
+
+def estimates(rows: DataFrame, part: float, steps: int, least: int) -> DataFrame:
+    """(KEYS, model, middle): robust estimates of each group of at least ``least`` rows, and the distance that holds ``part`` of it.
+
+    ``rows``: lang, source, x0... Level 2 is a language and source, 1 a language, 0 all rows; empty names stand for all.
+    A step is one aggregate by group and bin of distance, in which the quantile and the sums below it are found.
+    """
+    key = lambda n, a, b: F.struct(F.lit(n).alias("level"), a.alias("lang"), b.alias("source"))
+    none = F.lit("")
+    levels = F.array(key(2, F.col("lang"), F.col("source")), key(1, F.col("lang"), none), key(0, none, none))
+    x = rows.select(F.explode(levels).alias("g"), *(f"x{i}" for i in range(P))).select("g.*", *(f"x{i}" for i in range(P)))
+    by_bin, whole = Window.partitionBy(*KEYS).orderBy("bin"), Window.partitionBy(*KEYS)
+    fits = cut(solved(x.groupBy(*KEYS).agg(*sums()).filter(F.col("n") >= least)).coalesce(FEW_TASKS))
+    for step in range(steps + 1):
+        far = x.join(broadcast_few(fits), KEYS).withColumn("bin", F.floor(F.log2(F.greatest(distance("m"), F.lit(1e-9))) * BINS).cast("int"))
+        last = step == steps
+        bins = far.groupBy(*KEYS, "bin").agg(*(sums()[:1] if last else sums()))
+        ranked = bins.withColumns({"upto": F.sum("n").over(by_bin), "every": F.sum("n").over(whole)})
+        near = ranked.filter(F.col("upto") - F.col("n") < part * F.col("every"))  # up to the bin that holds the quantile
+        if last:
+            edge = near.groupBy(*KEYS).agg(F.max("bin").alias("edge")).select(*(F.col(k).alias(f"e_{k}") for k in KEYS), F.pow(F.lit(2.0), (F.col("edge") + 1) / BINS).alias("middle"))
+            same = (F.col("level") == F.col("e_level")) & (F.col("lang") == F.col("e_lang")) & (F.col("source") == F.col("e_source"))
+            return cut(edge.join(broadcast_few(fits), same).select(*KEYS, F.struct(F.col("m.mean").alias("mean"), F.col("m.low").alias("low"), F.col("m.diag").alias("diag"), "middle").alias("model")).coalesce(FEW_TASKS))
+        fits = cut(solved(near.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in bins.columns if c not in (*KEYS, "bin")))).coalesce(FEW_TASKS))
 
 
 def judge(docs: DataFrame, cutoff: float = 60.0, part: float = 0.5, steps: int = 3, least: int = 200) -> DataFrame:
     """``docs``, __ and each of COUNTS, __base_failed and __kept. ``cutoff`` is a ratio of squared distances."""
     counted = with_counts(docs)
-    lang, source = (F.col(c) if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source"))
-    rows = cut(counted.filter(~base_failed()).select(lang.alias("lang"), source.alias("source"), *(v.alias(f"x{i}") for i, v in enumerate(vector()))))
-    key = lambda c: F.coalesce(c, F.lit("\0"))
-    own = estimates(rows, ["lang", "source"], part, steps, least).select(F.col("lang").alias("__l2"), F.col("source").alias("__s2"), F.col("model").alias("__m2"))
-    by_lang = estimates(rows, ["lang"], part, steps, least).select(F.col("lang").alias("__l1"), F.col("model").alias("__m1"))
-    every = estimates(rows, [], part, steps, least).agg(F.first("model").alias("__m0"))  # one row
+    key = lambda c: F.coalesce(F.col(c) if c in docs.columns else F.lit(None).cast("string"), F.lit("\0"))
+    rows = cut(counted.select(key("lang").alias("lang"), key("source").alias("source"), base_failed().alias("failed"), *(v.alias(f"x{i}") for i, v in enumerate(vector()))))
+    found = estimates(rows.filter("not failed"), part, steps, least)
+    of = lambda n: found.filter(F.col("level") == n).select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("model").alias(f"m{n}"))
+    whole = found.filter("level = 0").select("model").first()  # one model
+    every = F.lit(None) if whole is None else F.struct(*(F.array(*map(F.lit, whole[0][c])).alias(c) for c in ("mean", "low", "diag")), F.lit(whole[0]["middle"]).alias("middle"))
+    pairs = rows.select("lang", "source").distinct()
+    models = pairs.join(broadcast_few(of(2)), (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s")), "left").drop("l", "s").join(broadcast_few(of(1)), F.col("lang") == F.col("l"), "left")
+    models = cut(models.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.coalesce("m2", "m1", every.cast(MODEL)).alias("__m")).coalesce(FEW_TASKS))
     judged = counted.select("*", *(v.alias(f"x{i}") for i, v in enumerate(vector())))
-    judged = judged.join(own, (key(lang) == F.col("__l2")) & (key(source) == F.col("__s2")), "left").join(by_lang, key(lang) == F.col("__l1"), "left").join(F.broadcast(every))
-    judged = judged.withColumn("__m", F.coalesce("__m2", "__m1", "__m0"))
+    judged = judged.join(broadcast_few(models), (key("lang") == F.col("__l")) & (key("source") == F.col("__s")), "left")
     far = F.coalesce(distance("__m") > cutoff * F.greatest(F.col("__m.middle"), F.lit(0.5)), F.lit(False))
     failed = base_failed()
     return judged.select(*docs.columns, *(f"__{c}" for c in COUNTS), failed.alias("__base_failed"), (~failed & ~far).alias("__kept"))
