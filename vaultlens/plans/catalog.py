@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import facts, search, streams
+
+_ALL = facts.QUERIES | search.QUERIES | streams.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
