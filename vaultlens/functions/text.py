@@ -34,7 +34,7 @@ def _decomposed(names: pd.Series) -> pd.Series:
 def comparison_name(name: Column, ascii_only: bool = False) -> Column:
     """Lower case, punctuation out, legal forms out wherever they stand. Accents come apart first, and so split words."""
     plain = name if ascii_only else F.when(name.rlike(r"^\p{ASCII}*$"), name).otherwise(_decomposed(name))
-    words = F.split(F.regexp_replace(F.lower(plain), r"(?U)[^\w\s]", " "), r"(?U)\s+")
+    words = F.split(F.regexp_replace(F.lower(plain), r"(?U)[^\p{L}\p{N}_\s]", " "), r"(?U)\s+")
     return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*LEGAL_FORMS)), " ")
 
 
