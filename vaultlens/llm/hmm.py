@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_strings, crc_text, cut, slices, words_of
+from .common import as_strings, crc_text, cut, slices, small_batches, words_of
 
 BLOCK, SEGMENT = 1024, 256
 
@@ -165,7 +165,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, c) of all rows; each task counts before the shuffle."""
-    return rows.select("text").mapInArrow(_counted, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return small_batches(rows.select("text")).mapInArrow(_counted, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def most_frequent(counts: DataFrame, s: Settings) -> list:
@@ -248,7 +248,7 @@ def _summed(rows: DataFrame, model: Model, k: int, m: int) -> tuple[np.ndarray,
 
     schema = "id long, " + ", ".join(f"s{i} float" for i in range(k))
     start, move, emit = _zeros(k, m)
-    found = rows.mapInArrow(task, schema).groupBy("id").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(k)))
+    found = small_batches(rows).mapInArrow(task, schema).groupBy("id").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(k)))
     got = found.toPandas().to_numpy(np.float64)
     ids, values = got[:, 0].astype(np.int64), got[:, 1:]
     emit[ids[ids >= 0]] = values[ids >= 0]
@@ -291,7 +291,7 @@ def score(docs: DataFrame, modulus: int, remainder: int, s: Settings = Settings(
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    first = cut(rows.mapInArrow(task, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, rare string"))
+    first = cut(small_batches(rows).mapInArrow(task, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, rare string"))
     rare = first.filter(F.col("rare") != "").select("rid", F.explode(F.split("rare", " ")).alias("word"))
     found = rare.join(counts, "word").groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("log_c"), F.count(F.lit(1)).alias("more"))
     extra, more = F.coalesce("log_c", F.lit(0.0)), F.coalesce("more", F.lit(0))

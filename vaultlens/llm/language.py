@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_strings, crc_text, slices
+from .common import as_strings, crc_text, slices, small_batches
 
 #: Digits count as one byte and A-Z as a-z: numbers and capitals tell no language.
 FOLD = np.arange(256)
@@ -117,19 +117,20 @@ def code_lengths(m: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((len(offsets) - 1, len(m.languages)))
     if not len(raw):
         return out
-    text = m.symbol[raw]
-    key = np.zeros(len(text), np.int64)
+    text = m.symbol.astype(np.int32)[raw]
+    key = np.zeros(len(text), np.int32)
     for d in range(1, m.order + 1):
-        key[d:] += text[:-d] * m.size ** (d - 1)
+        key[d:] += text[:-d] * np.int32(m.size ** (d - 1))
     for d in range(1, m.order + 1):  # at the start of a text, what is before it is unknown
         at = offsets[:-1] + d - 1
         at = at[at < offsets[1:]]
-        key[at] %= m.size ** (d - 1)
-    sizes = np.diff(offsets)
-    full = np.flatnonzero(sizes)
+        key[at] %= np.int32(m.size ** (d - 1))
+    full = np.flatnonzero(np.diff(offsets))
     for j in range(len(m.languages)):
-        bits = m.bits[j].ravel()[m.state[j][key] * np.int64(m.size) + text]
-        out[full, j] = np.add.reduceat(bits.astype(np.float64), offsets[:-1][full])
+        place = m.state[j][key]
+        place *= m.size
+        place += text
+        out[full, j] = np.add.reduceat(m.bits[j].ravel()[place], offsets[:-1][full], dtype=np.float64)
     return out
 
 
@@ -159,7 +160,7 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 250_000):
                 texts = as_strings(part.column("text"))
                 flat = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
                 offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -174,7 +175,7 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
                         names[i], scores[i] = "und", 0.0
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], [*part.schema.names, lang, score])
 
-    return docs.mapInArrow(task, f"{schema}, {lang} string, {score} double")
+    return small_batches(docs).mapInArrow(task, f"{schema}, {lang} string, {score} double")
 
 
 def identify(docs: DataFrame, modulus: int = 5, remainder: int = 0, s: Settings = Settings()) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 
 class Encoder:
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, length: int, end_id: int, vocabulary: tuple) -> Data
                         at.append(i), start.append(lo), size.append(len(own)), crc.append(zlib.crc32(own.tobytes())), total.append(len(ids)), salts.append(salt + row)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total, salts))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(task, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long")
 
 
 def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, vocabulary: tuple | None = None, group_docs: int = 2048, seed: int = 11) -> DataFrame:
