@@ -62,7 +62,7 @@ def ruled(host: Column, path: Column, rules: list[Rule]) -> Column:
         for r in rules
         for h, p in [r.parts]
     ]
-    return F.greatest(*fits, fits[0]) if fits else F.lit(None)
+    return F.greatest(*fits, fits[0]) if fits else F.lit(None).cast("struct<n:int,h:int,verdict:string,rule:string>")
 
 
 def _shrunk(own: DataFrame, key: str, parent: DataFrame, link: str, floor: float) -> DataFrame:
