@@ -67,7 +67,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(rid, n_chars, next rid and, of the row before, its rid and n_chars) in the order of descending doc_id, in a circle.
+    """(rid, and the rid and n_chars of the row after and before it) in the order of descending doc_id, in a circle.
 
     Ids alone are dealt into ranges and sorted within; the rows at the ends of ranges, two for each, close the gaps.
     """
@@ -84,22 +84,44 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return joined.select("rid", F.coalesce("after", "first_after").alias("after"), F.coalesce("before", "last_before").alias("before"))
 
 
-def compare(docs: DataFrame, k: int = 5, window: int = 8, unit: int = 16) -> DataFrame:
+CELLS = 256
+
+
+def block(ids: DataFrame, rows: int) -> Column:
+    """A number that grows with doc_id and has about ``rows`` rows of its own each: cells of equal depth, cut evenly by value."""
+    found = ids.agg(F.percentile_approx("doc_id", [i / CELLS for i in range(CELLS + 1)], 10_000).alias("q"), F.count("doc_id").alias("n")).first()
+    cuts, n = sorted(set(found["q"] or [0])), found["n"]
+    bounds, parts = F.expr(f"array({', '.join(map(str, cuts))})").cast("array<long>"), max(1, n // (rows * max(1, len(cuts) - 1)))
+    cell = F.greatest(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(1))
+    low = F.element_at(bounds, cell)
+    width = F.greatest(F.element_at(bounds, F.least(cell + 1, F.lit(len(cuts)))) - low, F.lit(1))
+    inside = F.greatest(F.least(F.floor((F.col("doc_id") - low) / width * parts), F.lit(parts - 1)), F.lit(0))
+    return F.coalesce(cell.cast("long") * parts + inside, F.lit(-1).cast("long"))
+
+
+def compare(docs: DataFrame, k: int = 5, window: int = 8, unit: int = 16, rows: int = 64) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last third is the start of the next document.
 
-    The texts are dealt once, to meet their neighbours' lengths. Each then sends the piece and the marks that the
-    document before it needs.
+    The texts are dealt once, in blocks of neighbouring ids, where nearly all meet the next document. The first document
+    of each block, one in ``rows``, is sent to the block before it.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text"))
-    links = cut(neighbours(rows.select("rid", "doc_id", F.length("text").cast("long").alias("n_chars"))))
-    marked = rows.join(links, "rid").withColumn("marks", winnowed(F.col("text"), k, window, unit))
-    need = lambda n: F.floor(n / 3).cast("int")
+    source = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text"))
+    dealt = source.withColumn("block", block(docs.select("doc_id"), rows)).repartition("block")
+    order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.col("rid").asc())
     hashes = lambda c: F.array_distinct(F.transform(c, lambda m: m["hash"]))
-    sent = marked.select(F.col("before.rid").alias("rid"), F.substring("text", F.lit(1), need(F.col("before.n_chars"))).alias("head"), hashes(F.col("marks")).alias("next_hashes"))
-    full = marked.join(sent, "rid").withColumn("n_chars", F.length("text").cast("long"))
-    full = full.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - need(F.col("n_chars"))).cast("int")), "head"))
-    full = full.withColumn("edited_marks", winnowed(F.col("edited"), k, window, unit)).withColumn("own_hashes", hashes(F.col("marks")))
+
+    blocks = cut(source.withColumn("block", block(docs.select("doc_id"), rows)).select(F.col("block").alias("doc_id")).distinct().select(F.col("doc_id").alias("rid"), "doc_id", F.lit(0).alias("n_chars")))
+    links = neighbours(blocks).select(F.col("rid").alias("block_first"), F.col("before.rid").alias("block"))
+    first = dealt.withColumn("at", F.row_number().over(order)).filter("at = 1").select(F.col("block").alias("block_first"), F.col("text").alias("first_text"))
+    first = first.join(links, "block_first").select("block", "first_text", hashes(winnowed(F.col("first_text"), k, window, unit)).alias("first_hashes"))
+
+    marked = dealt.withColumn("marks", winnowed(F.col("text"), k, window, unit)).withColumn("own_hashes", hashes(F.col("marks")))
+    marked = marked.withColumns({"next_text": F.lead("text").over(order), "next_hashes": F.lead("own_hashes").over(order)})
+    full = marked.join(first, "block").withColumns({"next_hashes": F.when(F.col("next_text").isNull(), F.col("first_hashes")).otherwise(F.col("next_hashes")), "next_text": F.coalesce("next_text", "first_text"), "n_chars": F.length("text").cast("long")})
+    cut_off = F.floor(F.col("n_chars") / 3).cast("int")
+    full = full.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut_off).cast("int")), F.substring("next_text", F.lit(1), cut_off)))
+    full = full.withColumn("edited_marks", winnowed(F.col("edited"), k, window, unit))
     return full.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), written(F.col("marks")).alias("fingerprint"), written(F.col("edited_marks")).alias("edited_fingerprint"),
         likeness(F.col("own_hashes"), hashes(F.col("edited_marks"))).alias("near_edited"), likeness(F.col("own_hashes"), F.col("next_hashes")).alias("near_next"),
