@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numbers, periods
-from ..operators import derive, listing, tables
+from ..operators import derive, listing, prose, tables
 from .adapters import CONTRACTS, CREDITS, YEARLY, contracts, credits, deals, read, yearly
 
 S = SparkSession
@@ -284,3 +284,22 @@ def eval_recall(s: S, d: str) -> DataFrame:
     facts = yearly(s, d)
     some = facts.filter("subject <= 5").select(F.row_number().over(Window.orderBy("seq")).alias("fact_no"), "metric", (F.col("value") * F.lit(1.01).cast("decimal(3,2)")).cast("decimal(24,6)").alias("value"), "period_start", "period_end", F.lit(2.0).alias("tolerance_pct"))
     return derive.recall(some, facts)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS chunk_id, o_orderkey % 90 + 10 AS a, o_custkey % 400 + 1 AS h, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders)
+SELECT chunk_id, 'arr' AS metric, 'currency' AS unit, CAST(a * 100000 AS DECIMAL(24,6)) AS value, make_date(y, 1, 1) AS period_start, make_date(y, 12, 31) AS period_end FROM o
+UNION ALL SELECT chunk_id, 'headcount', 'count', CAST(h AS DECIMAL(24,6)), make_date(2000, 1, 1), make_date(2000, 12, 31) FROM o
+UNION ALL SELECT chunk_id, 'gross_margin', 'percent', CAST(a + 0.5 AS DECIMAL(24,6)), make_date(2000, 1, 1), make_date(2000, 12, 31) FROM o""")
+def prose_rule_facts(s: S, d: str) -> DataFrame:
+    o = read(s, d, "orders").withColumns({"a": F.col("o_orderkey") % 90 + 10, "h": F.col("o_custkey") % 400 + 1})
+    said = F.concat(F.lit("Our ARR reached $"), (F.col("a") / 10).cast("decimal(10,1)").cast("string"), F.lit("M in FY"), F.year("o_orderdate").cast("string"), F.lit(". Headcount is "), F.col("h").cast("string"), F.lit(".\nGross margin of "), F.col("a").cast("string"), F.lit(".5 % was steady."))
+    chunks = o.select(F.lit(1).alias("document_id"), F.col("o_orderkey").alias("chunk_id"), said.alias("text"), F.lit(None).cast("date").alias("doc_date"), F.lit(2000).alias("reference_year"), F.lit(12).alias("fye"))
+    return prose.facts(chunks).select("chunk_id", "metric", "unit", "value", "period_start", "period_end")
+
+
+@query("SELECT o_orderkey AS text_id, o_custkey AS entity_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 5 = 0")
+def prose_subjects(s: S, d: str) -> DataFrame:
+    customers = read(s, d, "customer").select(F.lit(1).alias("deal_id"), F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("seq"))
+    orders = read(s, d, "orders").filter("o_orderkey % 5 = 0").join(customers.select(F.col("entity_id").alias("o_custkey"), "name"), "o_custkey")
+    texts = orders.select(F.lit(1).alias("deal_id"), F.col("o_orderkey").alias("text_id"), F.concat(F.lit("A note on "), F.upper("name"), F.lit(", Inc. and its order")).alias("text"))
+    return prose.subjects(texts, customers)
