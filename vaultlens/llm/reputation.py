@@ -65,40 +65,41 @@ def ruled(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.greatest(*fits, fits[0]) if fits else F.lit(None).cast("struct<n:int,h:int,verdict:string,rule:string>")
 
 
-def _shrunk(own: DataFrame, key: str, parent: DataFrame, link: str, floor: float) -> DataFrame:
-    """(key, link.., n, bad, a, b): posterior beta of each key under its parent's mean; the strength is one number for the level."""
+def _shrunk(own: DataFrame, parent: DataFrame, link: str, floor: float) -> DataFrame:
+    """(.., n, bad, a, b): posterior beta of each row under the mean of its parent, which ``link`` names; the strength is one number for the level."""
     rows = own.join(parent.select(link, (F.col("a") / (F.col("a") + F.col("b"))).alias("prior")), link)
+    return _posterior(rows, floor)
+
+
+def _posterior(rows: DataFrame, floor: float) -> DataFrame:
+    rows = cut(rows)
     var = F.col("prior") * (1 - F.col("prior"))
     level = rows.agg(
         F.sum(F.pow(F.col("bad") - F.col("n") * F.col("prior"), 2) / F.col("n") / var).alias("s"), F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("n1"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n2"),
-    )
-    spread = (F.col("s") - F.col("k") + 1) / F.greatest(F.col("n1") - F.col("n2") - F.col("k") + 1, F.lit(1.0))
-    rho = F.least(F.greatest(F.coalesce(spread, F.lit(floor)), F.lit(floor)), F.lit(1 - floor))
-    strength = level.select((1 / rho - 1).alias("m"))  # one row
-    return rows.join(F.broadcast(strength)).withColumn("a", F.col("bad") + F.col("m") * F.col("prior")).withColumn("b", F.col("n") - F.col("bad") + F.col("m") * (1 - F.col("prior"))).drop("m", "prior")
+    ).first()
+    spread = floor if not level["k"] else (level["s"] - level["k"] + 1) / max(level["n1"] - level["n2"] - level["k"] + 1, 1.0)
+    m = 1 / min(max(spread, floor), 1 - floor) - 1
+    return rows.withColumn("a", F.col("bad") + m * F.col("prior")).withColumn("b", F.col("n") - F.col("bad") + m * (1 - F.col("prior"))).drop("prior")
 
 
-def posteriors(labelled: DataFrame, floor: float = 1e-3) -> DataFrame:
-    """(host, a, b) for each labelled host and, with null host, (domain, a, b), (suffix, a, b) and one row for all.
+def posteriors(labelled: DataFrame, floor: float = 1e-3) -> tuple[dict[str, DataFrame], tuple[float, float]]:
+    """(key, p) of each labelled host, domain and suffix, p being struct(a, b) of its posterior; and a and b of all pages.
 
     ``labelled`` has url and bad (0 or 1). Counts are added up by host first; domains and suffixes are sums of hosts.
     """
     host, _ = host_path(F.col("url"))
     counted = labelled.groupBy(host.alias("host")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
-    hosts = cut(counted.withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host")), "every": F.lit(1)}))
+    hosts = cut(counted.withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))}))
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    suffixes = domains.groupBy("suffix").agg(*sums).withColumn("every", F.lit(1))
-    top = suffixes.groupBy("every").agg(*sums).withColumns({"a": F.col("bad") + 0.5, "b": F.col("n") - F.col("bad") + 0.5})
-    s = _shrunk(suffixes, "suffix", top, "every", floor)
-    d = _shrunk(domains, "domain", s, "suffix", floor)
-    h = _shrunk(hosts.drop("suffix"), "host", d, "domain", floor)
-    none, pick = F.lit(None).cast("string"), lambda level, key, df: df.select(F.lit(level).alias("level"), key, "a", "b")
-    return (
-        pick("host", F.col("host").alias("key"), h).unionByName(pick("domain", F.col("domain").alias("key"), d))
-        .unionByName(pick("suffix", F.col("suffix").alias("key"), s)).unionByName(pick("every", none.alias("key"), top))
-    )
+    suffixes = hosts.groupBy("suffix").agg(*sums)
+    top = hosts.agg(*sums).first()
+    a, b = (top["bad"] or 0.0) + 0.5, (top["n"] or 0.0) - (top["bad"] or 0.0) + 0.5
+    s = _posterior(suffixes.withColumn("prior", F.lit(a / (a + b))), floor)
+    d = _shrunk(domains, s, "suffix", floor)
+    h = _shrunk(hosts.drop("suffix"), d, "domain", floor)
+    return {c: df.select(c, F.struct("a", "b").alias(f"{c}_p")) for c, df in (("host", h), ("domain", d), ("suffix", s))}, (a, b)
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: list[Rule], limit: float = 0.5, z: float = 1.645) -> DataFrame:
@@ -109,12 +110,11 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[Rule], limit: float
     """
     host, path = host_path(F.col("url"))
     parsed = pages.select("*", host.alias("host"), path.alias("path"))
-    known = cut(posteriors(labelled))
-    of = lambda level: known.filter(F.col("level") == level).select(F.col("key").alias(level), F.struct("a", "b").alias(level + "_p"))
-    names = parsed.select("host").distinct().withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
-    every = known.filter(F.col("level") == "every").agg(F.first(F.struct("a", "b")).alias("every_p"))  # one row
-    hosts = names.join(of("host"), "host", "left").join(of("domain"), "domain", "left").join(of("suffix"), "suffix", "left").join(F.broadcast(every))
-    p = F.coalesce("host_p", "domain_p", "suffix_p", "every_p", F.struct(F.lit(0.5).alias("a"), F.lit(0.5).alias("b")))
+    known, (a, b) = posteriors(labelled)
+    hosts = parsed.select("host").distinct().withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
+    for c, df in known.items():
+        hosts = hosts.join(df, c, "left")
+    p = F.coalesce("host_p", "domain_p", "suffix_p", F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))
     hosts = hosts.withColumn("p", p).select("host", (F.col("p.a") / (F.col("p.a") + F.col("p.b"))).alias("bad_rate"), (F.col("p.a") + F.col("p.b")).alias("weight"))
     bound = F.col("bad_rate") - z * F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.col("weight") + 1))
     hosts = hosts.select("host", "bad_rate", bound.alias("bad_bound"))
