@@ -132,14 +132,19 @@ def estimates(rows: DataFrame, part: float, steps: int, least: int) -> DataFrame
     """(KEYS, model, middle): robust estimates of each group of at least ``least`` rows, and the distance that holds ``part`` of it.
 
     ``rows``: lang, source, x0... Level 2 is a language and source, 1 a language, 0 all rows; empty names stand for all.
-    A step is one aggregate by group and bin of distance, in which the quantile and the sums below it are found.
+    The start is each statistic's median and interquartile range, which a bad half can't bend. A step is one aggregate
+    by group and bin of distance, in which the quantile and the sums below it are found.
     """
     key = lambda n, a, b: F.struct(F.lit(n).alias("level"), a.alias("lang"), b.alias("source"))
     none = F.lit("")
     levels = F.array(key(2, F.col("lang"), F.col("source")), key(1, F.col("lang"), none), key(0, none, none))
     x = rows.select(F.explode(levels).alias("g"), *(f"x{i}" for i in range(P))).select("g.*", *(f"x{i}" for i in range(P)))
     by_bin, whole = Window.partitionBy(*KEYS).orderBy("bin"), Window.partitionBy(*KEYS)
-    fits = cut(solved(x.groupBy(*KEYS).agg(*sums()).filter(F.col("n") >= least)).coalesce(FEW_TASKS))
+    quartiles = [F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(P)]
+    first = x.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *quartiles).filter(F.col("n") >= least)
+    spread = F.array(*(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOOR[i] for i in range(P)))
+    start = F.struct(F.array(*(F.col(f"q{i}")[1] for i in range(P))).alias("mean"), F.array(*[F.lit(0.0)] * (P * P)).alias("low"), spread.alias("diag"))
+    fits = cut(first.select(*KEYS, start.alias("m")).coalesce(FEW_TASKS))
     for step in range(steps + 1):
         far = x.join(broadcast_few(fits), KEYS).withColumn("bin", F.floor(F.log2(F.greatest(distance("m"), F.lit(1e-9))) * BINS).cast("int"))
         last = step == steps
