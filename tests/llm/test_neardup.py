@@ -43,8 +43,7 @@ def edited(seed=2, copies=40):
     return out
 
 
-@pytest.mark.parametrize("k", [2, 5])
-@pytest.mark.parametrize("block", [150_000, 300])
+@pytest.mark.parametrize(("k", "block"), [(2, 300), (5, 150_000)])
 def test_components_equal_brute_force(spark, k, block):
     extra = rows()[0][2:]
     data = [*rows(), *((i, t, *extra) for i, t in edited())]
