@@ -109,3 +109,15 @@ def accepted_uploads(files: DataFrame, existing: DataFrame, quota: int, cap: int
 
 def length_of(c: Column) -> Column:
     return F.octet_length(F.coalesce(c, F.lit("")))
+
+
+def patched(facts: DataFrame, key: str, value: object, changes: dict) -> DataFrame:
+    """Facts with notes or the authoritative flag of one of them changed; any other field is an error."""
+    if wrong := set(changes) - {"notes", "is_authoritative"}:
+        raise ValueError(f"can't be changed: {', '.join(sorted(wrong))}")
+    return facts.withColumns({c: F.when(F.col(key) == F.lit(value), F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()})
+
+
+def recall_report(found: DataFrame) -> DataFrame:
+    """Expected facts by metric with how many were found, from (metric, found)."""
+    return found.groupBy("metric").agg(F.count_if("found").alias("hits"), F.count(F.lit(1)).alias("expected")).withColumn("recall", F.round(F.col("hits") / F.col("expected"), 4))

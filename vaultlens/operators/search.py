@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 from pyspark.sql.window import Window
 
 from ..functions.text import tokenize
@@ -143,3 +143,14 @@ def index_status(documents: DataFrame, by: list[str]) -> DataFrame:
     """indexing > empty > stale > ready, from one pass over (.., status, chunks, changed_at, indexed_at)."""
     sums = documents.groupBy(*by).agg(F.count_if(F.col("status").isin("queued", "parsing")).alias("open"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.max(F.col("changed_at") > F.coalesce("indexed_at", F.to_timestamp(F.lit("1970-01-01")))), F.lit(False)).alias("late"))
     return sums.select(*by, F.when(F.col("open") > 0, "indexing").when(F.col("chunks") == 0, "empty").when(F.col("late"), "stale").otherwise("ready").alias("status"), "chunks")
+
+
+@F.pandas_udf(BinaryType())
+def packed(vectors: pd.Series) -> pd.Series:
+    """Vectors as little-endian 32-bit floats, for export."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def unpacked(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f4").astype(float))

@@ -344,3 +344,8 @@ def mime(ext: Column) -> Column:
 def replace_documents(rows: DataFrame, path: str) -> None:
     """Write rows partitioned by document_id in place of what these documents had; others stay."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+
+
+def scanned(chars: Column, image_area: Column, page_area: Column) -> Column:
+    """Whether a page is a picture of text: hardly any characters, and images over half of it."""
+    return (chars < 50) & (page_area > 0) & (image_area / page_area > 0.5)
