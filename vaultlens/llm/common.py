@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,20 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for data all executors can read; a temporary one only where none is named."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vaultlens-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffle files and checkpoints of steps that are done: Spark removes them when their objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that lost executors recompute nothing before it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vaultlens-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, with Arrow batches of a few MB from now on: the default of 64 MB is held several times over by each task."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == 64 * 2**20:
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 * 2**20)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key).rstrip("b") == str(64 * 2**20):
+        conf.set(key, str(4 * 2**20))
     return df
 
 
