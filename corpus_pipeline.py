@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlens.llm import language, mixing, neardup, packing, quality
-from vaultlens.llm.common import cut, table
+from vaultlens.llm.common import stored, table
 
 #: Least posterior of the predicted language.
 SURE = 0.5
@@ -50,5 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = cut(docs)
+            docs = stored(docs)
     return docs
