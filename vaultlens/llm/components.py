@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
+        tidy(edges.sparkSession)
         now = cut(_star(_star(now, True), False))
     tied = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return tied.union(tied.select("component", "component").distinct())

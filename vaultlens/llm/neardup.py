@@ -28,10 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_strings, cut, slices, words_of
+from .common import as_strings, cut, slices, small_batches, tidy, words_of
 from .components import components
 
 
+SALTS = 32
+
+
 @dataclass(frozen=True)
 class Settings:
     words: int = 5
@@ -41,7 +44,7 @@ class Settings:
     bits: int = 512
     near: float = 0.3  #: estimate from which classes are of one neighbourhood
     likely: float = 0.6  #: estimate from which a member is held against its leader first
-    block: int = 150_000  #: shingles in a block
+    block: int = 150_000  #: shingles in a block, at most
     seed: int = 3
 
 
@@ -114,7 +117,7 @@ def features(docs: DataFrame, s: Settings) -> DataFrame:
                 arrays = lambda own: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(whole[:, 0]), pa.array(whole[:, 1]), arrays([k for k, _ in made]), arrays([x for _, x in made])], ["doc_id", "n_shingles", "k1", "k2", "keys", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, n_shingles long, k1 long, k2 long, keys array<long>, sketch array<long>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(task, f"doc_id {kind}, n_shingles long, k1 long, k2 long, keys array<long>, sketch array<long>")
 
 
 def estimate(a: Column, b: Column, s: Settings) -> Column:
@@ -144,7 +147,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return texts.mapInArrow(task, f"rep {kind}, set array<long>").dropDuplicates(["rep"])
+    return small_batches(texts).mapInArrow(task, f"rep {kind}, set array<long>").dropDuplicates(["rep"])
 
 
 def linked(a: Column, b: Column, s: Settings) -> Column:
@@ -189,13 +192,16 @@ def spanning(sets: list[np.ndarray], rows: np.ndarray, percent: int) -> list[tup
 def block_links(members: DataFrame, s: Settings) -> DataFrame:
     """(a, b): links that span each neighbourhood, between what is not ``central`` and all members.
 
-    ``members``: rep, hood, central, set. A neighbourhood is cut at random into blocks of about s.block shingles; a
+    ``members``: rep, hood, central, set. A neighbourhood is cut at random into blocks of up to about s.block shingles; a
     task holds two blocks, or one with itself.
     """
     weight = F.sum(F.size("set"))
     sums = members.groupBy("hood").agg(F.coalesce(weight, F.lit(0)).alias("w"), F.coalesce(F.sum(F.when(F.col("central"), F.size("set"))), F.lit(0)).alias("c"), F.count_if(~F.col("central")).alias("apart")).filter("apart > 0")
     sums = sums.select("hood", F.ceil((F.col("w") - F.col("c")) / s.block).alias("nu"), F.ceil(F.col("c") / s.block).alias("nc"))
-    rows = members.join(sums, "hood").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(s.seed)), F.when(F.col("central"), F.col("nc")).otherwise(F.col("nu"))))
+    # a large neighbourhood's rows meet its sums in several tasks
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt")
+    salted = sums.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    rows = members.select("*", salt).join(salted, ["hood", "salt"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(s.seed)), F.when(F.col("central"), F.col("nc")).otherwise(F.col("nu"))))
     # blocks of what is apart are 0..nu-1, those of what is central nu..nu+nc-1; a task is (x, y) with x < nu and x <= y
     outer = F.sequence(F.lit(0).cast("long"), F.col("nu") - 1)
     tasks = F.when(F.col("central"), F.transform(outer, lambda x: F.struct(x.alias("x"), (F.col("nu") + F.col("own")).alias("y")))).otherwise(
@@ -216,13 +222,16 @@ def block_links(members: DataFrame, s: Settings) -> DataFrame:
 
 def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+    spark = docs.sparkSession
     made = cut(features(docs, s))
     classes = made.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = cut(classes)
     near = cut(stars(classes, s).filter(F.col("likeness") >= s.near))
+    tidy(spark)
     hoods = cut(components(near).select(F.col("node").alias("rep"), F.col("component").alias("hood")))
     sets = cut(full_sets(docs, hoods, s).join(hoods, "rep"))
 
+    tidy(spark)
     best = near.filter(F.col("likeness") >= s.likely).groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a"))
     own = lambda c, *more: sets.select(F.col("rep").alias(c), F.col("set").alias(f"s{c}"), *more)
     sure = cut(best.join(own("b", "hood"), "b").join(own("a"), "a").filter(linked(F.col("sa"), F.col("sb"), s)).select("a", "b", "hood"))
@@ -236,7 +245,7 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     roots = components(links).select(F.col("node").alias("rep"), F.col("component").alias("root"))
     named = classes.select("k1", "k2", "rep").join(roots, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     rows = made.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("k1")).alias("k1"), "k2")
-    component = F.coalesce("root", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return rows.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
