@@ -55,6 +55,19 @@ def test_components_equal_brute_force(spark, k, block):
         assert r["kept"] == (r["component_id"] == r["doc_id"])
 
 
+@pytest.mark.parametrize("sketches", [4096, 50])
+def test_pairs_are_found_in_buckets_of_strangers(spark, sketches):
+    """Texts of 100 of 300 words are 0.2 alike and fill each bucket; most buckets that a planted pair shares are led by neither."""
+    rng, extra = random.Random(4), rows()[0][2:]
+    texts = [rng.sample([f"w{i}" for i in range(300)], 100) for _ in range(600)]
+    texts += [[*t[:97], *(f"new{n}x{j}" for j in range(3))] for n, t in enumerate(texts[:40])]
+    data = [(i, " ".join(t), *extra) for i, t in enumerate(texts)]
+    out = neardup.link(frame(spark, data), neardup.Settings(words=1, bands=32, rows=1, near=0.5, sketches=sketches)).collect()
+    expected = brute(data, 1)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == expected
+    assert sum(i != c for i, (_, c) in expected.items()) == 40
+
+
 def test_one_row_of_each_group_stays(spark):
     data = rows()
     kept = neardup.keep_one(frame(spark, data)).collect()

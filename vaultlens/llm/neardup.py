@@ -5,8 +5,10 @@ MinHash samples; bands give its buckets, and all samples together are folded int
 each sample flips one bit. The number of ones in the exclusive or of two sketches estimates how many samples differ,
 and so the similarity, most precisely when it is high.
 
-Buckets are stars, not cliques: each member is paired with one leader of the bucket, drawn anew in each band. Pairs
-whose sketches are not far apart join classes to neighbourhoods, which hold every link. Links are then confirmed on the
+Buckets are stars, not cliques: each member is paired with one leader of the bucket, drawn anew in each band. A member
+that is unlike the leader is held against all members of the bucket, by their sketches, in blocks that return links that
+span them. Pairs whose sketches are not far apart join classes to neighbourhoods, which hold every link. So two members
+of one bucket have both joined its leader or have met. Links are then confirmed on the
 full sets: first each member with its nearest leader; then what is not tied to its neighbourhood's centre is compared
 with everything in the neighbourhood, block by block, in matrix products of the sets' incidence. A block returns
 links that span it, never all its pairs.
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_strings, cut, slices, small_batches, tidy, words_of
+from .common import as_strings, broadcast_few, cut, slices, small_batches, tidy, words_of
 from .components import components
 
 
@@ -43,8 +45,9 @@ class Settings:
     rows: int = 5
     bits: int = 512
     near: float = 0.3  #: estimate from which classes are of one neighbourhood
-    likely: float = 0.6  #: estimate from which a member is held against its leader first
+    likely: float = 0.6  #: estimate from which a member is held against its leader first, and from which members unlike their leader are of one neighbourhood
     block: int = 150_000  #: shingles in a block, at most
+    sketches: int = 4096  #: sketches in a block, at most
     seed: int = 3
 
 
@@ -135,6 +138,48 @@ def stars(classes: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", estimate(F.col("sa"), F.col("sb"), s).alias("likeness"))
 
 
+def near_rows(sketches: np.ndarray, rows: np.ndarray, s: Settings) -> list[tuple[int, int, float]]:
+    """(i, j, estimate) of pairs that span what is ``likely``, of pairs with at least one in ``rows``."""
+    label, out, scale = np.arange(len(sketches)), [], s.bits / (4.0 * s.bands * s.rows)
+    for lo in range(0, len(rows), 64):
+        some = rows[lo : lo + 64]
+        ones = np.bitwise_count(sketches[some][:, None] ^ sketches[None]).sum(2, dtype=np.int64)
+        like = 1 + np.log(np.maximum(1 - 2.0 * ones / s.bits, 1e-6)) * scale
+        for i, own in zip(some, like, strict=True):
+            met = np.flatnonzero(own >= s.likely)
+            others, first = np.unique(label[met], return_index=True)
+            for other, j in zip(others, met[first], strict=True):
+                if other != label[i]:
+                    out.append((int(i), int(j), float(own[j])))
+                    label[label == other] = label[i]
+    return out
+
+
+def leftovers(classes: DataFrame, met: DataFrame, s: Settings) -> DataFrame:
+    """(a, b, likeness) of members of one bucket of which one at least is unlike the bucket's leader.
+
+    ``met``: all pairs of ``stars``. A key shared by a pair that is far apart counts as its bucket, whichever led it.
+    """
+    kind = classes.schema["rep"].dataType.simpleString()
+    far = met.filter(F.col("likeness") < s.near).select("a", "b")
+    nodes = cut(far.select(F.col("a").alias("rep")).union(far.select("b")).distinct())
+    some = cut(classes.select("rep", "keys").join(broadcast_few(nodes), "rep", "left_semi"))
+    own = lambda c: some.select(F.col("rep").alias(c), F.col("keys").alias(f"k{c}"))
+    apart = cut(far.join(own("a"), "a").join(own("b"), "b").select(F.col("b").alias("rep"), F.explode(F.array_intersect("ka", "kb")).alias("hood")).distinct())
+    opened = cut(apart.select("hood").distinct())
+    members = classes.select("rep", "sketch", F.explode("keys").alias("hood")).join(broadcast_few(opened), "hood")
+    members = cut(members.join(apart.withColumn("central", F.lit(False)), ["hood", "rep"], "left").withColumn("central", F.coalesce("central", F.lit(True))))
+
+    def task(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, sketches = group.column("rep"), np.array([np.asarray(x.values) for x in group.column("sketch")]).view(np.uint64)
+        found = near_rows(sketches, np.flatnonzero(~group.column("central").to_numpy()), s)
+        take = lambda n: ids.take(pa.array([x[n] for x in found], pa.int64()))
+        return pa.table({"a": take(1), "b": take(0), "likeness": pa.array([x[2] for x in found], pa.float64())})
+
+    return in_blocks(members, "sketch", F.lit(1), s.sketches, s.seed).groupBy("hood", "x", "y").applyInArrow(task, f"a {kind}, b {kind}, likeness double")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     """(rep, set) of the classes in ``wanted``, from the text of the one document that stands for each."""
 
@@ -189,25 +234,31 @@ def spanning(sets: list[np.ndarray], rows: np.ndarray, percent: int) -> list[tup
     return out
 
 
-def block_links(members: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): links that span each neighbourhood, between what is not ``central`` and all members.
+def in_blocks(members: DataFrame, value: str, size: Column, block: int, seed: int) -> DataFrame:
+    """rep, central, ``value``, hood, x, y: ``members`` dealt so that what is not ``central`` meets all members of its hood.
 
-    ``members``: rep, hood, central, set. A neighbourhood is cut at random into blocks of up to about s.block shingles; a
-    task holds two blocks, or one with itself.
+    A hood is cut at random into blocks of up to about ``block`` in ``size``; a task (hood, x, y) holds two blocks, or one with itself.
     """
-    weight = F.sum(F.size("set"))
-    sums = members.groupBy("hood").agg(F.coalesce(weight, F.lit(0)).alias("w"), F.coalesce(F.sum(F.when(F.col("central"), F.size("set"))), F.lit(0)).alias("c"), F.count_if(~F.col("central")).alias("apart")).filter("apart > 0")
-    sums = sums.select("hood", F.ceil((F.col("w") - F.col("c")) / s.block).alias("nu"), F.ceil(F.col("c") / s.block).alias("nc"))
+    sums = members.groupBy("hood").agg(F.coalesce(F.sum(size), F.lit(0)).alias("w"), F.coalesce(F.sum(F.when(F.col("central"), size)), F.lit(0)).alias("c"), F.count_if(~F.col("central")).alias("apart")).filter("apart > 0")
+    sums = sums.select("hood", F.ceil((F.col("w") - F.col("c")) / block).alias("nu"), F.ceil(F.col("c") / block).alias("nc"))
     # a large neighbourhood's rows meet its sums in several tasks
     salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt")
     salted = sums.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    rows = members.select("*", salt).join(salted, ["hood", "salt"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(s.seed)), F.when(F.col("central"), F.col("nc")).otherwise(F.col("nu"))))
+    rows = members.select("*", salt).join(salted, ["hood", "salt"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(seed)), F.when(F.col("central"), F.col("nc")).otherwise(F.col("nu"))))
     # blocks of what is apart are 0..nu-1, those of what is central nu..nu+nc-1; a task is (x, y) with x < nu and x <= y
     outer = F.sequence(F.lit(0).cast("long"), F.col("nu") - 1)
     tasks = F.when(F.col("central"), F.transform(outer, lambda x: F.struct(x.alias("x"), (F.col("nu") + F.col("own")).alias("y")))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("nu") + F.col("nc") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
     )
-    dealt = rows.select("rep", "hood", "central", "set", F.explode(tasks).alias("t")).select("rep", "central", "set", "hood", "t.x", "t.y")
+    return rows.select("rep", "hood", "central", value, F.explode(tasks).alias("t")).select("rep", "central", value, "hood", "t.x", "t.y")
+
+
+def block_links(members: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): links that span each neighbourhood, between what is not ``central`` and all members.
+
+    ``members``: rep, hood, central, set; blocks of up to about s.block shingles.
+    """
+    dealt = in_blocks(members, "set", F.size("set"), s.block, s.seed)
     kind = members.schema["rep"].dataType.simpleString()
 
     def task(group: pa.Table) -> pa.Table:
@@ -226,7 +277,9 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     made = cut(features(docs, s))
     classes = made.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = cut(classes)
-    near = cut(stars(classes, s).filter(F.col("likeness") >= s.near))
+    met = cut(stars(classes, s))
+    tidy(spark)
+    near = cut(met.filter(F.col("likeness") >= s.near).union(leftovers(classes, met, s)))
     tidy(spark)
     hoods = cut(components(near).select(F.col("node").alias("rep"), F.col("component").alias("hood")))
     sets = cut(full_sets(docs, hoods, s).join(hoods, "rep"))
