@@ -32,6 +32,16 @@ def test_the_fast_twin_gives_the_tokenizers_ids(text):
     assert e(text).tolist() == e.slow.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|> x", "a b<|endoftext|>", "<|endoftext|><|endoftext|>", "a <|endoftext|>\n b", "<|endoftext", "<|ENDOFTEXT|>", "a b"])
+def test_ids_are_those_of_the_tokenizer_as_it_is(text):
+    import tokenizers
+
+    plain = tokenizers.Tokenizer.from_file(packing.public()[0])
+    ids = packing.encoder(*packing.public())(text).tolist()
+    assert ids == plain.encode(text, add_special_tokens=False).ids
+    assert ids.count(plain.token_to_id("<|endoftext|>")) == text.count("<|endoftext|>")
+
+
 def test_round_trip(spark):
     data = rows()
     out = packing.pack(frame(spark), length=256, group_docs=16).collect()

@@ -26,8 +26,8 @@ from .common import slices, small_batches
 class Encoder:
     """Ids of the tokenizer file ``path``, by its faster twin ``twin`` (the same vocabulary as ranks) where that is given.
 
-    The twin's regular expressions have a step limit that extreme runs of white space can reach; such a text goes to
-    the tokenizer itself.
+    A text that holds an added token (``<|endoftext|>``) goes to the tokenizer itself, which makes it one id. So does one
+    that trips the twin: its regular expressions have a step limit that extreme runs of white space can reach.
     """
 
     def __init__(self, path: str, twin: str | None, pattern: str | None):
@@ -36,7 +36,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = None
         if twin:
             import tiktoken
@@ -46,7 +46,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("twin", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast:
+        if self.fast and not any(t in text for t in self.added):
             try:
                 return self.fast.encode_to_numpy(text, disallowed_special=())
             except (KeyboardInterrupt, SystemExit, MemoryError):
