@@ -270,3 +270,14 @@ def test_uploads(spark):
     files = spark.createDataFrame([(1, "a", "h1", 50, 1), (1, "b", "h1", 50, 2), (1, "c", "h2", 60, 3), (1, "d", "h3", 500, 4), (1, "e", "h4", 10, 5)], "deal_id int, path string, sha256 string, size int, seq int")
     got = {r["path"]: r["status"] for r in listing.accepted_uploads(files, files.filter("path = 'e'"), 100, 200).collect()}
     assert got == {"a": "new", "b": "shared", "c": "over quota", "d": "too large", "e": "duplicate"}
+
+
+def test_quotes_of_one_or_two_words_are_located(spark):
+    texts = {1: "The fee is 4,200 USD\nin all", 2: "é𝒳é of Acme  Corp.", 3: "", 4: "x"}
+    quotes = ["4,200", "200 US", "Acme Corp", "x", "𝒳é", "is", "é𝒳é of", "not here", "e", "fee is 4,200", "USD in", "  "]
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string")
+    t = spark.createDataFrame(list(texts.items()), "document_id int, text string")
+    pairs = q.crossJoin(t).filter((F.trim("quote") != "") & derive.contains_quote(F.col("text"), F.col("quote")))
+    expected = {(r["quote_id"], r["document_id"]) for r in pairs.collect()}
+    assert {(0, 1), (1, 1), (2, 2), (3, 4), (4, 2), (10, 1)} <= expected
+    assert {(r["quote_id"], r["document_id"]) for r in derive.located_quotes(q, t).collect()} == expected

@@ -115,25 +115,29 @@ def checked_quotes(evidence: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _runs(words: Column, n: int) -> Column:
-    """Hashes of all runs of n words, without repeats."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(words, i, F.lit(n)), " "))))
+    """Hashes of all runs of n words, or of -n characters, without repeats."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - abs(n) + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(words, i, F.lit(abs(n))), " "))))
 
 
 def located_quotes(quotes: DataFrame, texts: DataFrame, words: int = 4) -> DataFrame:
     """(quote_id, document_id) of the documents that hold each quote, without comparing each with each.
 
     A quote can only stand where its first words stand. Runs of ``words`` words meet by hash, and what meets is checked
-    on the text. Shorter quotes meet by their own number of words.
+    on the text. Shorter quotes meet by their own number of words; those of one or two words, which may begin and end
+    within words, by their first three characters or as many as they have.
     """
     q = quotes.select("quote_id", squeeze(F.col("quote")).alias("quote")).filter("quote <> ''").withColumn("w", F.split("quote", " "))
-    q = q.withColumn("n", F.least(F.size("w") - 2, F.lit(words))).filter("n >= 1")  # the outer words may be cut
-    sizes = [r["n"] for r in q.select("n").distinct().collect()]  # at most ``words`` numbers
-    keyed = q.select("quote_id", "quote", F.xxhash64("n", F.array_join(F.slice(F.col("w"), F.lit(2), F.col("n")), " ")).alias("key"))
+    q = q.withColumn("n", F.least(F.size("w") - 2, F.lit(words)))  # the outer words may be cut
+    short = q.filter("n < 1").withColumn("n", -F.least(F.length("quote"), F.lit(3)))  # below 0: characters
+    by_words = q.filter("n >= 1").select("quote_id", "quote", "n", F.array_join(F.slice(F.col("w"), F.lit(2), F.col("n")), " ").alias("run"))
+    q = by_words.unionByName(short.select("quote_id", "quote", "n", F.array_join(F.slice(F.split("quote", ""), F.lit(1), -F.col("n")), " ").alias("run")))
+    sizes = [r["n"] for r in q.select("n").distinct().collect()]  # at most ``words`` numbers and three
+    keyed = q.select("quote_id", "quote", F.xxhash64("n", "run").alias("key"))
     t = texts.select("document_id", squeeze(F.col("text")).alias("text"))
     runs = None
     for n in sizes:
-        some = t.select("document_id", F.explode(once(F.split("text", " "), lambda w: _runs(w, n))).alias("key"))
+        some = t.select("document_id", F.explode(once(F.split("text", " " if n > 0 else ""), lambda w: _runs(w, n))).alias("key"))
         runs = some if runs is None else runs.unionByName(some)
     if runs is None:
         return quotes.select("quote_id").join(texts.select("document_id").limit(0), F.lit(False), "inner")
