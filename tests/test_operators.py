@@ -281,3 +281,10 @@ def test_quotes_of_one_or_two_words_are_located(spark):
     expected = {(r["quote_id"], r["document_id"]) for r in pairs.collect()}
     assert {(0, 1), (1, 1), (2, 2), (3, 4), (4, 2), (10, 1)} <= expected
     assert {(r["quote_id"], r["document_id"]) for r in derive.located_quotes(q, t).collect()} == expected
+
+
+def test_lineage_goes_on_until_nothing_is_new(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(34)] + [(101, 100), (100, 101)], "fact_id long, parent_id long").coalesce(1)
+    got = {(r["fact_id"], r["ancestor_id"]): r["depth"] for r in derive.lineage(links).collect()}
+    chain = {(i, j): i - j for i in range(35) for j in range(i)}
+    assert got == chain | {(101, 100): 1, (100, 101): 1, (100, 100): 2, (101, 101): 2}

@@ -71,14 +71,15 @@ def net_retention(facts: DataFrame, gap_days: int = 45) -> DataFrame:
     return out.select("deal_id", "subject", "period_start", "period_end", "seq", "earlier_seq", F.col("nrr").alias("net_revenue_retention"))
 
 
-def lineage(links: DataFrame, depth: int = 32) -> DataFrame:
+def lineage(links: DataFrame) -> DataFrame:
     """(fact_id, ancestor_id, depth): the closure of (fact_id, parent_id), shortest way, by joins along the links until nothing is new."""
     from .graph import keep
 
     reached = keep(links.select("fact_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")).distinct())
     edge = links.select(F.col("fact_id").alias("ancestor_id"), F.col("parent_id").alias("next")).distinct()
-    fresh = reached
-    for d in range(2, depth + 1):
+    fresh, d = reached, 1
+    while True:
+        d += 1
         step = fresh.join(edge, "ancestor_id").select("fact_id", F.col("next").alias("ancestor_id"), F.lit(d).alias("depth")).distinct()
         fresh = keep(step.join(reached, ["fact_id", "ancestor_id"], "left_anti"))
         if fresh.isEmpty():

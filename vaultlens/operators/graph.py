@@ -109,11 +109,11 @@ def resolution_pairs(entities: DataFrame, threshold: float = ALIKE, aliases: Dat
     return out.select("deal_id", "type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def groups(pairs: DataFrame, most: int = 64) -> DataFrame:
+def groups(pairs: DataFrame) -> DataFrame:
     """(node, root) of the connected components of (a, b): labels fall to the least neighbour's, and then to their label's label."""
     edges = keep(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
     labels = keep(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    for _ in range(most):
+    while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("seen"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "seen").alias("root"), (F.col("seen") < F.col("root")).alias("moved"))
         jump = lower.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
