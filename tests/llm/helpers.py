@@ -1,5 +1,6 @@
 """Small tables with everything that may go wrong."""
 
+import functools
 import random
 import re
 import zlib
@@ -19,6 +20,11 @@ def crc(i):
 
 
 def rows(n=60, seed=5):
+    return list(_rows(n, seed))
+
+
+@functools.cache
+def _rows(n, seed):
     """Texts of four vocabularies, with nulls, blanks, repeats, odd spaces and one long text; the other columns' names clash on purpose."""
     rng = random.Random(seed)
     stems = {"en": ["the", "of", "thing", "Other", "wood"], "de": ["der", "und", "Straße", "über", "Haus"], "fr": ["le", "été", "dans", "çà", "eau"], "es": ["el", "niño", "por", "ción", "agua"]}

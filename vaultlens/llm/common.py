@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: White space as the contracts define it: 0x20 and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for data all executors can read; a temporary one only where none is named."""
+    """The folder that the cluster names for data all executors can read. Only a local master may do without: it gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vaultlens-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vaultlens-"))
     return context.getCheckpointDir()
 
 
@@ -50,13 +54,43 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with Arrow batches of a few MB from now on: the default of 64 MB is held several times over by each task."""
+    """``df``, with Arrow batches of a few MB from now on: the default of 64 MB is held several times over by each task. A value that the cluster sets stays."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key).rstrip("b") == str(64 * 2**20):
+    if conf.get(key).rstrip("b") == str(64 * 2**20) and not df.sparkSession.sparkContext.getConf().contains(key):
         conf.set(key, str(4 * 2**20))
     return df
 
 
+def boxed(df: DataFrame) -> DataFrame:
+    """One column ``row``, a struct of all columns of ``df``: columns added beside it can clash with none of them."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def unboxed(df: DataFrame, **added: str) -> DataFrame:
+    """The columns of ``row``, and after them ``added``: name of a new column, and of the column of ``df`` it takes. A new column replaces one of the same name in ``row``."""
+    own = [c for c in df.schema["row"].dataType.names if c.lower() not in {n.lower() for n in added}]
+    return df.select(*(F.col("row").getField(c).alias(c) for c in own), *(F.col(v).alias(k) for k, v in added.items()))
+
+
+def running(df: DataFrame, order: list[Column], **of: Column) -> DataFrame:
+    """``df`` with columns ``of``: sums over all rows before each one in a total order.
+
+    Rows are dealt into ranges of the order and summed within; the sums of the ranges, one row each, are summed in their turn.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumns({"__part": F.spark_partition_id(), **{f"__{k}": v for k, v in of.items()}}))
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("__part").agg(*(F.sum(f"__{k}").alias(k) for k in of)).select(F.col("__part").alias("__p"), *(F.coalesce(F.sum(k).over(ranges), F.lit(0)).alias(f"__base_{k}") for k in of))
+    out = dealt.withColumns({f"__in_{k}": F.coalesce(F.sum(f"__{k}").over(within), F.lit(0)) for k in of}).join(broadcast_few(cut(base)), F.col("__part") == F.col("__p"))
+    return out.select(*df.columns, *((F.col(f"__in_{k}") + F.col(f"__base_{k}")).alias(k) for k in of))
+
+
+def row_slices(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(rows, texts) of runs of ``row`` of about ``limit`` bytes of text each; ``texts`` have "" for null."""
+    for part in slices(pa.RecordBatch.from_arrays([batch.column("row"), pc.struct_field(batch.column("row"), "text")], ["row", "text"]), "text", limit):
+        yield part.column("row"), as_strings(part.column("text"))
+
+
 #: Rows up to which a table of one row a group is broadcast; they are a few hundred bytes each.
 FEW = 50_000
 
