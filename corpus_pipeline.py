@@ -3,25 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vaultlens.llm import language, mixing, neardup, packing, quality
 from vaultlens.llm.common import stored, table
 
 #: Least posterior of the predicted language.
 SURE = 0.5
+#: Most bits a byte, by what is usual for the language.
+STRANGE = 2.0
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and are no outliers of their language and source."""
-    return quality.judge(docs).filter("__kept").select(*docs.columns)
+    return quality.keep(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which one language is likelier than all others together."""
-    model = language.fit(docs)
-    named = language.predict(docs, model, "__lang_pred", "__score")
-    return named.filter((F.col("__lang_pred") != "und") & (F.col("__score") >= SURE)).select(*docs.columns)
+    """Rows in which one language is likelier than all others together, and that aren't strange for it."""
+    return language.keep(docs, language.fit(docs), SURE, STRANGE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

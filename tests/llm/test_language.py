@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vaultlens.llm import language
 
@@ -81,6 +82,36 @@ def test_held_out_languages_are_told(spark):
     assert again == {i: (r["lang_pred"], r["score"]) for i, r in out.items()}
 
 
+def test_every_byte_and_language_counts(spark):
+    """40 languages of 30 syllables each, over many leading and trailing bytes: all are learned and told, and no byte is folded away."""
+    data = [(i, " ".join(chr(0xAC00 + 250 * (i % 40) + (i // 40 * 5 + j * 7) % 30) for j in range(60)), f"l{i % 40:03}", "s", 0, *rows()[0][5:]) for i in range(240)]
+    told = {r["doc_id"]: r["lang_pred"] for r in language.identify(frame(spark, data)).collect()}
+    assert all(told[i] == f"l{i % 40:03}" for i in range(240))
+    assert len(language.fit(frame(spark, data), language.Settings(total_bytes=3_000)).languages) == 40
+    used = sorted({b for r in data for b in r[1].encode()})
+    symbols = language.fit(frame(spark, data)).symbol[used].tolist()
+    assert 0 not in symbols and len(set(symbols)) == len(used)
+
+
+def test_strange_texts_go_and_usual_ones_stay(spark):
+    rng = random.Random(1)
+    data = [r for r in rows(160) if r[0] is not None]
+    strange = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(900)), "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))]
+    more = [(1000 + i, t, None, "s0", 0, *rows()[0][5:]) for i, t in enumerate(strange)]
+    df = frame(spark, data + more)
+    kept = {r["doc_id"] for r in language.keep(df, language.fit(df)).collect()}
+    assert not kept & {1000, 1001}
+    assert {r[0] for r in data[20:160]} <= kept
+    assert language.keep(df, language.fit(df)).columns == df.columns
+
+
+def test_columns_of_any_name_pass_through(spark):
+    df = frame(spark).select("doc_id", "text", "lang", F.lit(1).alias("row"), F.lit(2).alias("ratio"), F.lit(3).alias("lang_pred"))
+    assert language.keep(df, language.fit(df)).columns == df.columns
+    assert dict(language.predict(df, language.fit(df)).dtypes)["lang_pred"] == "string"
+    assert language.predict(df, language.fit(df)).count() == df.count()
+
+
 def test_nothing_to_learn_from(spark):
     no_language = [(*r[:2], None, *r[3:]) for r in rows()]
     assert {r["lang_pred"] for r in language.identify(frame(spark, no_language)).collect()} == {"und"}

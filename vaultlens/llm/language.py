@@ -3,14 +3,21 @@
 Each language has a tree of byte contexts of up to ``order`` bytes, with counts of what followed. A byte's probability
 comes from the longest known context; a context gives an escape the weight of the number of different bytes it has
 seen (method C), and on escape the next shorter one is asked without the bytes already refused. After training the
-counts are frozen, so the code length of every byte in every context is a table, and a text's code length is an exact
-sum. The language with the shortest code is predicted; the score is its posterior under equal priors.
+counts are frozen, and a text's code length is an exact sum. The language with the shortest code is predicted; the score is its
+posterior under equal priors.
 
-Training takes at most ``train_docs`` labelled rows of a language, whole, of at most ``train_bytes`` each, those of
-least hash: the bound of the classifier's sample. Prediction covers every byte of every text.
+The trees are sorted arrays of the contexts and of the (context, byte) pairs that occur, so that they grow with the training
+sample and not with the number of possible bytes; every byte value has a symbol of its own. A context's bytes are among those of the
+next shorter one, so the sum over bytes not yet refused is one number for each context.
 
-Defined results: ``und`` with score 0 for a null text, one without a letter, or if no language could be learned.
-Equal code lengths: the first language by name. Repeated rows are predicted one by one.
+Training takes labelled rows, whole, of at most ``train_bytes`` each, those of least hash: at most ``train_docs`` of a
+language and ``total_bytes`` over all of them, shared alike, though each language has a row at least. That is the bound of the classifier's sample. Prediction
+covers every byte of every text and every language that has a labelled row.
+
+Defined results: ``und`` with score 0 for a null or empty text, one without a letter, or if no language could be learned.
+Equal code lengths: the first language by name. Repeated rows are predicted one by one. Very long texts are coded whole. An empty table gives no
+rows. Columns besides doc_id, text and lang pass through ``predict`` and ``keep`` whatever their names; those named
+like a column that ``predict`` adds are replaced. A null doc_id counts as the empty text for the split.
 """
 
 from __future__ import annotations
@@ -22,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import as_strings, crc_text, slices, small_batches
+from .common import boxed, broadcast_few, crc_text, row_slices, small_batches, unboxed
 
 #: Digits count as one byte and A-Z as a-z: numbers and capitals tell no language.
 FOLD = np.arange(256)
@@ -38,8 +46,23 @@ class Settings:
     order: int = 3
     train_docs: int = 150
     train_bytes: int = 20_000
-    languages: int = 256  #: at most so many, those with most training rows
-    alphabet: int = 96  #: bytes with symbols of their own, by frequency; bounds the tables
+    total_bytes: int = 32_000_000  #: of all training rows together
+
+
+@dataclass
+class Tree:
+    """Contexts by length, and the pairs of a context and a symbol after it; contexts of one tree are numbered from 0, the root."""
+
+    keys: list[np.ndarray]  #: by length from 1, the sorted contexts
+    first: list[int]  #: by length from 1, the number of the first of them
+    up: np.ndarray  #: of each context the next shorter one
+    pairs: np.ndarray  #: sorted context * size + symbol
+    own: np.ndarray  #: of each pair, bits of its count
+    whole: np.ndarray  #: of each context, bits of all its counts and escapes, if it is the first asked
+    escape: np.ndarray  #: and of an escape from it
+    rest: np.ndarray  #: of each context, the same of the next shorter one without what this one has
+    rest_escape: np.ndarray
+    last: float  #: bits of a symbol that even the root refuses
 
 
 @dataclass
@@ -48,89 +71,117 @@ class Model:
     symbol: np.ndarray  #: of each byte
     size: int  #: symbols
     order: int
-    state: list[np.ndarray]  #: by language, the tree's node for each run of ``order`` symbols
-    bits: list[np.ndarray]  #: by language, (node, symbol)
-
+    trees: list[Tree]
+    usual: np.ndarray  #: of each language, bits a byte of its training texts under a tree without them
 
-def context_tree(text: np.ndarray, breaks: np.ndarray, size: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Node of each context of ``order`` symbols, and bits of each symbol at each node.
 
-    ``text`` has symbols, ``breaks`` the places where a training text begins: contexts don't reach over them.
-    """
-    begin = np.maximum.accumulate(np.where(np.isin(np.arange(len(text)), breaks), np.arange(len(text)), 0))
-    back = np.arange(len(text)) - begin
-    node = np.zeros(size**order, np.int32)
-    counts = [np.bincount(text, minlength=size)[None]]  # the root
-    parent = [np.zeros(1, np.int64)]
-    total, key, above, above_keys = 1, np.zeros(len(text), np.int64), None, None
+def histories(text: np.ndarray, begins: np.ndarray, size: int, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """By length from 1 the context of each symbol, as a number, and how many symbols are before it in its own text."""
+    back = np.arange(len(text)) - begins
+    key, out = np.zeros(len(text), np.int64), []
+    for d in range(1, order + 1):
+        before = np.zeros(len(text), np.int64)
+        before[d:] = text[:-d]
+        key = key + np.where(back >= d, before, 0) * size ** (d - 1)
+        out.append(key)
+    return out, back
+
+
+def context_tree(text: np.ndarray, begins: np.ndarray, size: int, order: int) -> Tree:
+    """``text`` has the symbols of all training texts, ``begins`` where each one's text begins: contexts don't reach over that."""
+    context, back = histories(text, begins, size, order)
+    keys, first, up, pairs, counts, total = [], [], [np.zeros(1, np.int64)], [], [], 1
+    found, n = np.unique(text, return_counts=True)
+    pairs.append(found), counts.append(n)
     for d in range(1, order + 1):
-        key = key + np.where(back >= d, text[np.maximum(np.arange(len(text)) - d, 0)], 0).astype(np.int64) * size ** (d - 1)
-        keys, inverse = np.unique(key[back >= d], return_inverse=True)
-        own = np.zeros((len(keys), size), np.int64)
-        np.add.at(own, (inverse, text[back >= d]), 1)
-        parent.append(np.zeros(len(keys), np.int64) if d == 1 else above + np.searchsorted(above_keys, keys % size ** (d - 1)))
-        # every longer context that ends in this one starts from here; a later round overwrites it with a longer one
-        node.reshape(-1, size**d)[:, keys] = total + np.arange(len(keys))
-        counts.append(own)
-        above, above_keys, total = total, keys, total + len(keys)
-    every, up = np.concatenate(counts), np.concatenate(parent)
-    bits = np.zeros((len(every), size), np.float32)
-    depth = np.repeat(np.arange(order + 1), [len(c) for c in counts])
-    for lo in range(0, len(every), 4096):
-        at = np.arange(lo, min(lo + 4096, len(every)))
-        p, escape, refused, level = np.zeros((len(at), size)), np.ones(len(at)), np.zeros((len(at), size), bool), depth[at].copy()
-        for _ in range(order + 1):
-            live = level >= 0
-            c = np.where(refused, 0, every[at]) * live[:, None]
-            n, q = c.sum(1), (c > 0).sum(1)
-            some = n > 0
-            weight = np.where(some, escape / np.maximum(n + q, 1), 0)
-            p += weight[:, None] * c
-            escape = np.where(some, escape * q / np.maximum(n + q, 1), escape)
-            refused |= c > 0
-            level -= 1
-            at = up[at]
-        left = (~refused).sum(1)  # the last resort: all that is not refused yet alike, and whatever has no symbol
-        p += np.where(refused, 0, (escape / (left + 1))[:, None])
-        bits[lo : lo + len(at)] = -np.log2(np.maximum(p, 1e-12))
-    return node, bits
+        here = back >= d
+        known, inverse = np.unique(context[d - 1][here], return_inverse=True)
+        up.append(np.zeros(len(known), np.int64) if d == 1 else first[-1] + np.searchsorted(keys[-1], known % size ** (d - 1)))
+        found, n = np.unique((total + inverse) * size + text[here], return_counts=True)
+        pairs.append(found), counts.append(n)
+        keys.append(known), first.append(total)
+        total += len(known)
+    up, pairs, counts = np.concatenate(up), np.concatenate(pairs), np.concatenate(counts)
+    node = pairs // size
+    n, q = np.bincount(node, counts, total), np.bincount(node, minlength=total)
+    # what the next shorter context has of the symbols that this one has
+    at = np.searchsorted(pairs, up[node] * size + pairs % size)
+    left, kinds = n[up] - np.bincount(node, counts[at], total), q[up] - q
+    bits = lambda x: -np.log2(np.maximum(x, 1e-300))
+    whole, escape = bits(1 / np.maximum(n + q, 1)), bits(q / np.maximum(n + q, 1))
+    none = left <= 0  # nothing is left there: the next shorter one is asked at no cost
+    rest = np.where(none, 0, bits(1 / np.maximum(left + kinds, 1)))
+    return Tree(keys, first, up, pairs, bits(counts), whole, escape, rest, np.where(none, 0, bits(kinds / np.maximum(left + kinds, 1))), float(bits(1 / (size - q[0] + 1.0))))
+
+
+def pair_bits(tree: Tree, context: list[np.ndarray], reach: np.ndarray, symbol: np.ndarray, size: int) -> np.ndarray:
+    """Bits of each symbol after its context of ``reach`` symbols, given by length in ``context``."""
+    node = np.zeros(len(symbol), np.int64)
+    for d, (keys, first) in enumerate(zip(tree.keys, tree.first, strict=True), 1):
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, context[d - 1]), len(keys) - 1)
+            hit = (keys[at] == context[d - 1]) & (reach >= d)
+            node[hit] = first + at[hit]
+    out = np.zeros(len(symbol))
+    open_, scale, leave = np.arange(len(symbol)), tree.whole[node], tree.escape[node]
+    while len(open_):
+        want = node * size + symbol[open_]
+        at = np.minimum(np.searchsorted(tree.pairs, want), len(tree.pairs) - 1)
+        hit = tree.pairs[at] == want
+        out[open_[hit]] += tree.own[at[hit]] + scale[hit]
+        open_, node, leave = open_[~hit], node[~hit], leave[~hit]
+        out[open_] += leave
+        done = node == 0
+        out[open_[done]] += tree.last
+        open_, node = open_[~done], node[~done]
+        scale, leave, node = tree.rest[node], tree.rest_escape[node], tree.up[node]
+    return out
 
 
 def learn(samples: dict[str, list[bytes]], s: Settings) -> Model:
     every = FOLD[np.frombuffer(b"".join(t for own in samples.values() for t in own), np.uint8)]
-    often = np.bincount(every, minlength=256)
-    kept = sorted(np.argsort(-often, kind="stable")[: s.alphabet][often[np.argsort(-often, kind="stable")[: s.alphabet]] > 0])
+    kept = np.unique(every)
     symbol = np.zeros(256, np.int64)
     symbol[kept] = np.arange(1, len(kept) + 1)
     symbol, size = symbol[FOLD], len(kept) + 1
-    out = Model(sorted(samples), symbol, size, s.order, [], [])
-    for name in out.languages:
+    names = sorted(n for n, own in samples.items() if any(own))
+
+    def tree(texts: list[bytes]) -> Tree:
+        sizes = [len(t) for t in texts]
+        return context_tree(symbol[np.frombuffer(b"".join(texts), np.uint8)], np.repeat(np.cumsum([0, *sizes])[:-1], sizes), size, s.order)
+
+    trees, usual = [], []
+    for name in names:
         texts = [t for t in samples[name] if t]
-        joined = symbol[np.frombuffer(b"".join(texts), np.uint8)]
-        node, bits = context_tree(joined, np.cumsum([0, *map(len, texts)])[:-1], size, s.order)
-        out.state.append(node), out.bits.append(bits)
-    return out
+        trees.append(tree(texts))
+        halves = [texts[0::2], texts[1::2]]
+        coded = []
+        if len(texts) >= 4:
+            for fitted, held in (halves, halves[::-1]):
+                one = Model([name], symbol, size, s.order, [tree(fitted)], np.zeros(1))
+                coded += [code_lengths(one, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0, 0] / len(t) for t in held]
+        usual.append(float(np.median(coded)) if coded else np.inf)
+    return Model(names, symbol, size, s.order, trees, np.array(usual))
 
 
 def code_lengths(m: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(text, language): bits of each text. ``raw`` has the bytes of all texts, ``offsets`` where each begins and ends."""
+    """(text, language): bits of each text. ``raw`` has the bytes of all texts, ``offsets`` where each begins and ends.
+
+    Equal runs of ``order`` bytes and the next one are looked up once.
+    """
     out = np.zeros((len(offsets) - 1, len(m.languages)))
     if not len(raw):
         return out
-    text = m.symbol.astype(np.int32)[raw]
-    key = np.zeros(len(text), np.int32)
-    for d in range(1, m.order + 1):
-        key[d:] += text[:-d] * np.int32(m.size ** (d - 1))
-    for d in range(1, m.order + 1):  # at the start of a text, what is before it is unknown
-        at = offsets[:-1] + d - 1
-        at = at[at < offsets[1:]]
-        key[at] %= np.int32(m.size ** (d - 1))
+    text = m.symbol[raw]
+    begins = np.repeat(offsets[:-1], np.diff(offsets))
+    context, back = histories(text, begins, m.size, m.order)
+    reach = np.minimum(back, m.order)
+    runs, first, inverse = np.unique(((reach * m.size**m.order) + context[-1]) * m.size + text, return_index=True, return_inverse=True)
+    some = [c[first] for c in context]
     full = np.flatnonzero(np.diff(offsets))
-    for j in range(len(m.languages)):
-        place = m.state[j][key]
-        place *= m.size
-        place += text
-        out[full, j] = np.add.reduceat(m.bits[j].ravel()[place], offsets[:-1][full], dtype=np.float64)
+    for j, tree in enumerate(m.trees):
+        bits = pair_bits(tree, some, reach[first], text[first], m.size)
+        out[full, j] = np.add.reduceat(bits[inverse], offsets[:-1][full])
     return out
 
 
@@ -139,43 +190,58 @@ def has_letter(text: str) -> bool:
 
 
 def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
-    """``docs`` has doc_id, text and lang; rows without a language don't count."""
+    """``docs`` has doc_id, text and lang; rows without a language don't count. Samples of at most ``total_bytes``, or one row a language, reach the driver."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (F.octet_length("text") <= s.train_bytes) & F.col("text").rlike(r"\p{L}"))
-    n = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages)
+    n = rows.groupBy("lang").count()
+    share = s.total_bytes // max(1, n.count())
     draw = F.crc32(F.encode(F.concat_ws("/", F.lit("ppm"), F.col("doc_id").cast("string")), "UTF-8"))
     # all but a few times what is wanted of a frequent language goes before anything is sorted
-    few = rows.join(F.broadcast(n), "lang").filter(draw <= F.lit(2.0**32) * 4 * s.train_docs / F.col("count"))
-    best = few.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", "text"))).filter(F.col("at") <= s.train_docs)
+    few = rows.join(broadcast_few(n), "lang").filter(draw <= F.lit(2.0**32) * 4 * s.train_docs / F.col("count"))
+    order = Window.partitionBy("lang").orderBy(draw, "doc_id", "text")
+    best = few.withColumns({"at": F.row_number().over(order), "upto": F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
     samples: dict[str, list[bytes]] = {}
-    for r in best.select("lang", "text").collect():
+    for r in best.filter((F.col("at") <= s.train_docs) & ((F.col("upto") <= share) | (F.col("at") == 1))).select("lang", "text").collect():
         samples.setdefault(r["lang"], []).append(r["text"].encode())
     return learn({k: sorted(v) for k, v in samples.items()}, s)
 
 
-def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with columns ``lang`` and ``score`` after its own."""
+def predicted(docs: DataFrame, model: Model) -> DataFrame:
+    """row, a struct of each row of ``docs``; lang, score, and ratio: bits a byte by what is usual for the language."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    own = boxed(docs)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for part in slices(batch, "text", 250_000):
-                texts = as_strings(part.column("text"))
+            for rows, texts in row_slices(batch, 500_000):
                 flat = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
                 offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
                 bits = code_lengths(m, flat[offsets[0] : offsets[-1]], offsets - offsets[0])
-                names, scores = [None] * len(texts), np.zeros(len(texts))
+                names, scores, ratios = [None] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
                 if m.languages:
                     best = bits.argmin(1)
                     scores = 1 / np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000)).sum(1)
+                    ratios = bits.min(1) / np.maximum(np.diff(offsets), 1) / m.usual[best]
                     names = [m.languages[b] for b in best]
                 for i, t in enumerate(texts):
                     if names[i] is None or not has_letter(t.as_py()):
                         names[i], scores[i] = "und", 0.0
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], [*part.schema.names, lang, score])
+                yield pa.RecordBatch.from_arrays([rows, pa.array(names, pa.string()), pa.array(scores), pa.array(ratios)], ["row", "lang", "score", "ratio"])
+
+    return small_batches(own).mapInArrow(task, StructType([own.schema["row"], StructField("lang", StringType()), StructField("score", DoubleType()), StructField("ratio", DoubleType())]))
+
 
-    return small_batches(docs).mapInArrow(task, f"{schema}, {lang} string, {score} double")
+def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with columns ``lang`` and ``score`` after its own."""
+    return unboxed(predicted(docs, model), **{lang: "lang", score: "score"})
+
+
+def keep(docs: DataFrame, model: Model, sure: float = 0.5, strange: float = 2.0) -> DataFrame:
+    """The rows of ``docs`` whose language has a posterior of at least ``sure``, and whose bits a byte are at most ``strange`` times what is usual for it.
+
+    The second bound sends away what is no text of any language learned, which the posterior can't: one of them is always the nearest.
+    """
+    return unboxed(predicted(docs, model).filter((F.col("lang") != "und") & (F.col("score") >= sure) & (F.col("ratio") <= strange)))
 
 
 def identify(docs: DataFrame, modulus: int = 5, remainder: int = 0, s: Settings = Settings()) -> DataFrame:
