@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vaultlens.llm import fingerprint, mixing, quotes, reputation, sharding
 
-from .helpers import WORD, frame, rows
+from .helpers import WORD, documents, frame, rows
 
 RULES = [reputation.Rule(*r) for r in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
 
@@ -40,6 +40,17 @@ def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     assert reputation.judge(pages, spark.createDataFrame([], "url string, bad int"), []).count() == 5
 
 
+def test_pages_with_columns_of_any_name_and_empty_tables(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "h", "p", 0.1, "r", 5), (None, None, None, None, None, None, None)], "page_id long, url string, host string, PATH string, bad_rate double, rule string, row long")
+    labelled = spark.createDataFrame([("http://z.net/1", 0)], "url string, bad int")
+    out = reputation.judge(pages, labelled, RULES)
+    got = {r["page_id"]: r.asDict() for r in out.collect()}
+    assert sorted(out.columns) == ["bad_bound", "bad_rate", "host", "page_id", "path", "row", "rule", "url", "verdict"]
+    assert (got[1]["host"], got[1]["path"], got[1]["row"], got[1]["rule"]) == ("a.net", "/x", 5, None)
+    assert got[None]["host"] == "" and got[None]["verdict"] == "allow"
+    assert reputation.judge(pages.limit(0), labelled, RULES).collect() == []
+
+
 def test_registered_domains(spark):
     hosts = {"a.b.example.co.uk": ("example.co.uk", "co.uk"), "example.org": ("example.org", "org"), "x.example.org:80": ("example.org", "org"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "": ("", ""), "localhost": ("localhost", "localhost")}
     df = spark.createDataFrame([(h,) for h in hosts], "h string")
@@ -82,6 +93,21 @@ def test_mixing_targets_copies_and_reruns(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
 
 
+def test_targets_of_many_sources_equal_the_plain_reading(spark):
+    sizes = {f"s{i:04}": (i * 7919) % 1000 for i in range(2500)} | {None: 77}
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (3, 1, 2), 1.5, 2.0).collect()}
+    expected = water(sizes, (3, 1, 2), 1.5, 2)
+    assert set(got) == set(expected)
+    assert all(got[s] == pytest.approx(expected[s]) for s in got)
+
+
+def test_mixed_columns_of_any_name(spark):
+    df = frame(spark).select("doc_id", "text", "source", F.lit(1).alias("row"), F.lit(2).alias("__size"), F.lit(3).alias("rank"), F.lit(4).alias("copies"))
+    assert mixing.mix(df).columns == df.columns
+    assert {tuple(r)[3:] for r in mixing.mix(df).collect()} == {(1, 2, 3, 4)}
+    assert dict(mixing.copies(df).dtypes)["__size"] == "bigint"
+
+
 def test_mixing_comes_near_its_targets(spark):
     data = [(i, " ".join("w" * (1 + i % 7)), None, f"s{i % 4}", 0, *rows()[0][5:]) for i in range(8000)]
     sums = defaultdict(float)
@@ -121,7 +147,7 @@ def test_fingerprints_equal_brute_force(spark):
     import re
 
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    units = [re.findall(r"[^\x20\x09-\x0D]{1,16}", t.lower()) for t in texts]
+    units = [[u for w in re.findall(r"[^\x20\x09-\x0D]+", t.lower()) for u in ([w] if len(w) <= 16 else w)] for t in texts]
     flat = sorted({u for x in units for u in x})
     hashed = {r["u"]: r["h"] for r in spark.createDataFrame([(u,) for u in flat], "u string").select("u", F.pmod(F.xxhash64("u"), F.lit(PRIME)).alias("h")).collect()}
     got = {r["i"]: [(m["hash"], m["position"]) for m in r["m"]] for r in df.select("i", fingerprint.winnowed(F.col("text"), 3, 4, 16).alias("m")).collect()}
@@ -155,6 +181,34 @@ def test_edited_texts_follow_the_order_of_ids(spark, per_block):
             assert r["near_next"] == 1
 
 
+def test_shifted_passages_without_spaces_share_a_mark(spark):
+    passage = "".join(chr(0x4E00 + i * 7) for i in range(40))
+    df = spark.createDataFrame([(i, "字" * i + passage + "x" * (3 * i)) for i in range(6)], "i int, text string")
+    marks = [{m["hash"] for m in r["m"]} for r in df.select(fingerprint.winnowed(F.col("text"), 5, 8, 16).alias("m")).collect()]
+    assert all(a & b for a in marks for b in marks)
+
+
+def test_repeated_null_and_clustered_ids_are_dealt_over_blocks(spark):
+    ids = [None] * 700 + [5] * 1200 + [10**15 + i for i in range(600)] + list(range(-300, 300))
+    df = spark.createDataFrame([(x,) for x in ids], "doc_id long").withColumns({"rid": F.monotonically_increasing_id(), "salt": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(fingerprint.SALTS))})
+    got = df.withColumn("block", fingerprint.block(df, 16)).collect()
+    key = lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["salt"], r["rid"])
+    blocks = [r["block"] for r in sorted(got, key=key)]
+    assert blocks == sorted(blocks, reverse=True)
+    assert max(Counter(blocks).values()) < 120
+    assert len({r["block"] for r in got if r["doc_id"] == 5}) > 20 and len({r["block"] for r in got if r["doc_id"] is None}) > 20
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark, tmp_path):
+    data = [(7 if i % 2 else None, f"text {i} " * (1 + i % 5), *rows()[0][2:]) for i in range(60)]
+    docs = spark.read.parquet(f"{documents(spark, tmp_path, data)}/documents.parquet")
+    got = fingerprint.compare(docs, rows=4).collect()
+    assert len(got) == 60
+    assert sorted(r["n_chars"] for r in got) == sorted(len(r[1]) for r in data)
+    possible = {hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for _, t, *_ in data for _, n, *_ in data}
+    assert {r["edited_sha256"] for r in got} <= possible
+
+
 def test_fingerprints_of_odd_tables(spark):
     assert fingerprint.compare(frame(spark, [])).collect() == []
     one = fingerprint.compare(frame(spark, rows()[:1])).collect()
@@ -182,6 +236,41 @@ def test_quotes_are_linked_and_removed(spark):
     assert quotes.link(df.limit(0)).collect() == []
 
 
+def test_query_and_sql_agree_on_a_table_of_quotes(spark, tmp_path):
+    """Nested quotes, introductions, unknown quotes, quotes of lines, paragraphs and whole messages, repeated sayings, ties, nulls and long messages."""
+    import random
+
+    import duckdb
+
+    from vaultlens.llm import queries
+
+    rng, data = random.Random(9), []
+    for c in [None, *range(25)]:
+        said = []
+        for turn in range(rng.randint(1, 12)):
+            lines = []
+            for _ in range(rng.randint(0, 3)):
+                level = rng.randint(1, 3)
+                old = rng.choice(said) if said and rng.random() < 0.8 else "nobody said this"
+                part = rng.choice([old, *old.split("\n\n"), *old.split("\n")])
+                if rng.random() < 0.5:
+                    lines.append(rng.choice(["Ann wrote:", "On Monday, Bob wrote: ", "he never wrote: this"]))
+                lines += [rng.choice([">" * level, "> " * level, " > " * level]) + rng.choice([x, x.upper(), x.replace(" ", "  ")]) for x in part.split("\n")]
+            mine = rng.choice(["", "one two\nthree", f"word {rng.randint(0, 5)}\n\nmore {rng.randint(0, 9)}\n", "5 > 3 wrote:\n", "x " * rng.choice([1, 3000])])
+            said.append(mine)
+            data.append((c, turn, rng.choice(["user", None]), None if rng.random() < 0.05 else "\n".join([*lines, mine] if rng.random() < 0.7 else [mine, *lines])))
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    out = queries.queries()["op9_quote_links"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    columns = ", ".join(out.columns)
+    expected = db.execute(f"SELECT {columns} FROM ({quotes.SQL}) q").fetchall()
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
+    assert sum(r["n_linked"] > 1 for r in out.collect()) > 5 and sum(r["n_quotes"] > r["n_linked"] for r in out.collect()) > 5
+
+
 def test_long_conversations_are_ranked_over_tasks(spark):
     df = spark.range(3000).select(F.when(F.col("id") < 2500, 1).otherwise(2).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("t").alias("text")).repartition(7)
     got = {(r["conv_id"], r["turn"]): (r["position"], r["parent_turn"]) for r in quotes.link(df).collect()}
@@ -217,3 +306,18 @@ def test_slot_maps_are_edited_stored_and_read(spark, tmp_path):
     assert max(load(three)) < 1.02 * sum(weight) / 9 + 2
     three.save(spark, str(tmp_path / "map"))
     assert sharding.SlotMap.load(spark, str(tmp_path / "map")) == three
+    empty = sharding.SlotMap([0, 1, 1], 5)
+    empty.save(spark, str(tmp_path / "empty"))
+    assert sharding.SlotMap.load(spark, str(tmp_path / "empty")) == empty
+
+
+def test_shards_of_many_rows_are_even_by_bytes_and_whole(spark):
+    """A third of the rows are copies of one text; each shard's bytes are counted from the rows that come out."""
+    data = [(i, "copy of it" if i % 3 == 0 else "w" * (i * 37 % 400), *rows()[0][2:]) for i in range(6000)]
+    got = sharding.shard(frame(spark, data))[0].collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(6000))
+    load = Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert set(load) == set(range(8))
+    assert max(load.values()) - min(load.values()) < 0.005 * sum(load.values()) / 8 + 400

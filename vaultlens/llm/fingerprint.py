@@ -1,16 +1,22 @@
 """Document fingerprints by winnowing, by DataFrame functions alone.
 
-Units are words (runs without white space, letters in lower case; a longer word is several units of ``unit`` code
-points). The hash of k units in a row is a polynomial of their hashes modulo a prime, so that a row of units one
-further on differs in two terms. Of each window of ``window`` neighbouring hashes the least is chosen, the rightmost
-of equal ones, and kept with its position. Two texts that share k + window - 1 units in a row share a fingerprint.
-
-Defined results: a null text counts as empty. An empty text has the empty fingerprint; two of those have likeness 1, and
-one of them 0. With fewer than k units, all units make one hash; with fewer hashes than the window, one window has all.
+Units are words (runs without white space, letters in lower case); in runs of more than ``unit`` code points, as in scripts
+without spaces, each code point is a unit, so that units don't depend on where a run begins. The hash of k units in a row is
+a polynomial of their hashes modulo a prime, so that a row of units one further on differs in two terms. Of each window
+of ``window`` neighbouring hashes the least is chosen, the rightmost of equal ones, and kept with its position. Two texts
+that share k + window - 1 units in a row share a fingerprint.
+
+Defined results: a null text counts as empty. An empty text, or one of white space, has the empty fingerprint; two of those have likeness 1, and
+one of them 0. With fewer than k units, all units make one hash; with fewer hashes than the window, one window has all. Rows of one
+doc_id, and those without one, which come last, follow each other in an order of their own that is the same in each run over the same files;
+however many there are, they are dealt over tasks. (The table's rows must come in one order whenever it is read, as files do.) Repeated rows are fingerprinted one by one, very long texts whole. An empty table gives no rows. Columns besides
+doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,14 +32,19 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unit_pattern(unit: int) -> str:
+    """A run of up to ``unit`` characters that are no white space, whole; else one of them."""
+    some = r"[^\x20\x09-\x0D]"
+    return rf"(?<!{some}){some}{{1,{unit}}}(?!{some})|{some}"
+
+
 def winnowed(text: Column, k: int, window: int, unit: int) -> Column:
     """array<struct<hash, position>> in order of position; positions count units from 0.
 
     Hash and position share one long, the position reversed, so that the least of a slice is the least hash and of
     equal hashes the rightmost. 31 bits of hash and 32 of position.
     """
-    # a word's mean length is far below ``unit``; [^\s] here is not the engine's class but the six characters
-    units = F.transform(F.regexp_extract_all(F.lower(text), F.lit(rf"[^\x20\x09-\x0D]{{1,{unit}}}"), 0), lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
+    units = F.transform(F.regexp_extract_all(F.lower(text), F.lit(unit_pattern(unit)), 0), lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
 
     def grams(u: Column) -> Column:
         n = F.size(u)
@@ -84,19 +95,38 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return joined.select("rid", F.coalesce("after", "first_after").alias("after"), F.coalesce("before", "last_before").alias("before"))
 
 
-CELLS = 256
+CELLS, SALTS = 1024, 2**20
+
 
+def cells(quantiles: list[int], step: float) -> list[tuple[int, int, int, bool]]:
+    """(first id, blocks before, blocks, salted) of ranges of ids, from sorted quantiles at steps of ``step`` blocks.
 
-def block(ids: DataFrame, rows: int) -> Column:
-    """A number that grows with doc_id and has about ``rows`` rows of its own each: cells of equal depth, cut evenly by value."""
-    found = ids.agg(F.percentile_approx("doc_id", [i / CELLS for i in range(CELLS + 1)], 10_000).alias("q"), F.count("doc_id").alias("n")).first()
-    cuts, n = sorted(set(found["q"] or [0])), found["n"]
-    bounds, parts = F.expr(f"array({', '.join(map(str, cuts))})").cast("array<long>"), max(1, n // (rows * max(1, len(cuts) - 1)))
-    cell = F.greatest(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(1))
-    low = F.element_at(bounds, cell)
-    width = F.greatest(F.element_at(bounds, F.least(cell + 1, F.lit(len(cuts)))) - low, F.lit(1))
-    inside = F.greatest(F.least(F.floor((F.col("doc_id") - low) / width * parts), F.lit(parts - 1)), F.lit(0))
-    return F.coalesce(cell.cast("long") * parts + inside, F.lit(-1).cast("long"))
+    An id that is several quantiles in a row has about that many steps to itself; if those are several blocks, only a salt can part them.
+    """
+    out, before, per = [], 0, max(1, int(step))
+    for v, n in sorted(Counter(quantiles).items()):
+        many = int((n - 1) * step)
+        if many > 1:
+            out.append((v, before, many, True))
+            before += many
+        out.append((v + (many > 1), before, per, False))
+        before += per
+    return out
+
+
+def block(docs: DataFrame, rows: int) -> Column:
+    """A number that grows with doc_id and falls with the salt of equal ones, and has about ``rows`` rows of its own each: cells of equal depth, cut evenly by value."""
+    found = docs.agg(F.percentile_approx("doc_id", [i / CELLS for i in range(CELLS + 1)], 100 * CELLS).alias("q"), F.count("doc_id").alias("n"), F.count(F.lit(1)).alias("all")).first()
+    made = cells(list(found["q"] or [0]), found["n"] / (rows * CELLS))
+    column = lambda i, kind: F.expr(f"array({', '.join(str(c[i]).lower() for c in made)})").cast(f"array<{kind}>")
+    first = column(0, "long")
+    cell = F.greatest(F.size(F.filter(first, lambda b: b <= F.col("doc_id"))), F.lit(1))
+    low, before, parts, salted = F.element_at(first, cell), F.element_at(column(1, "long"), cell), F.element_at(column(2, "long"), cell), F.element_at(column(3, "boolean"), cell)
+    width = F.greatest(F.element_at(first, F.least(cell + 1, F.lit(len(made)))) - low, F.lit(1))
+    by_value = F.greatest(F.least(F.floor((F.col("doc_id") - low) / width * parts), parts - 1), F.lit(0))
+    by_salt = lambda n: F.floor(F.col("salt") * n / SALTS).cast("long")
+    null = -1 - by_salt(F.lit(max(1, (found["all"] - found["n"]) // rows)))
+    return F.when(F.col("doc_id").isNull(), null).otherwise(before + F.when(salted, parts - 1 - by_salt(parts)).otherwise(by_value))
 
 
 def compare(docs: DataFrame, k: int = 5, window: int = 8, unit: int = 16, rows: int = 64) -> DataFrame:
@@ -107,11 +137,13 @@ def compare(docs: DataFrame, k: int = 5, window: int = 8, unit: int = 16, rows:
     """
     text = F.coalesce("text", F.lit(""))
     source = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text"))
-    dealt = source.withColumn("block", block(docs.select("doc_id"), rows)).repartition("block")
-    order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.col("rid").asc())
+    source = source.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
+    source = source.withColumn("block", block(docs.select("doc_id"), rows))
+    dealt = source.repartition("block")
+    order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), "salt", "rid")
     hashes = lambda c: F.array_distinct(F.transform(c, lambda m: m["hash"]))
 
-    blocks = cut(source.withColumn("block", block(docs.select("doc_id"), rows)).select(F.col("block").alias("doc_id")).distinct().select(F.col("doc_id").alias("rid"), "doc_id", F.lit(0).alias("n_chars")))
+    blocks = cut(source.select(F.col("block").alias("doc_id")).distinct().select(F.col("doc_id").alias("rid"), "doc_id", F.lit(0).alias("n_chars")))
     links = neighbours(blocks).select(F.col("rid").alias("block_first"), F.col("before.rid").alias("block"))
     first = dealt.withColumn("at", F.row_number().over(order)).filter("at = 1").select(F.col("block").alias("block_first"), F.col("text").alias("first_text"))
     first = first.join(links, "block_first").select("block", "first_text", hashes(winnowed(F.col("first_text"), k, window, unit)).alias("first_hashes"))
