@@ -6,16 +6,17 @@ of its documents is taken floor(rate) times, plus once more if a hash of the see
 fraction.
 
 Defined results: null is a source of its own, after all others. A source without tokens has target 0 and rate 1. A
-null text has size 0. Equal rows get equal numbers of copies, and a rerun gives the same.
+null or empty text has size 0. Equal rows get equal numbers of copies, and a rerun gives the same. Sources that need equal
+shares of their caps are capped in their order by name. A very long text is taken as whole copies. An empty table gives no rows. Columns besides doc_id, text and source
+pass through whatever their names; those named like a column that ``copies`` adds are replaced, ``mix`` adds none.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WORD, broadcast_few, cut
+from .common import WORD, boxed, broadcast_few, cut, running, unboxed
 
 
 def uniform(seed: int, *of: Column) -> Column:
@@ -25,38 +26,42 @@ def uniform(seed: int, *of: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): one row a source.
+    """(source, source_size, target) from (source, source_size): one row a source, however many there are.
 
     In the order of cap / weight, the capped sources come first; a source is capped if its part of what the ones before
-    it have left is not below its cap.
+    it have left is not below its cap. Sums of caps and weights are exact in doubles, so the order of adding them is free.
     """
-    named = Window.orderBy(F.col("source").asc_nulls_last())
-    ordered = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before, every = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = sizes.withColumn("rank", F.row_number().over(named)).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int")).cast("double"))
-    out = out.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    out = out.withColumn("left", F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    out = out.withColumn("rest", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    total = float(sizes.agg(F.sum("source_size")).first()[0] or 0) * share
+    named = running(sizes, [F.col("source").asc_nulls_last()], rank=F.lit(1))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int")).cast("double")
+    named = named.withColumns({"weight": weight, "cap": F.col("source_size") * F.lit(float(most))})
+    out = running(named, [F.col("cap") / F.col("weight"), F.col("rank")], caps=F.col("cap"), weights=F.col("weight"))
+    weigh = float(out.agg(F.sum("weight")).first()[0] or 0)
+    out = out.withColumns({"left": F.lit(total) - F.col("caps"), "rest": F.lit(weigh) - F.col("weights")})
     out = out.withColumn("capped", F.col("cap") * F.col("rest") <= F.col("weight") * F.col("left"))
-    level = F.max(F.when(~F.col("capped"), F.col("left") / F.col("rest"))).over(every)  # largest at the first that isn't capped
-    out = out.withColumn("level", level)
-    return out.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.col("level")).alias("target"))
+    level = out.agg(F.max(F.when(~F.col("capped"), F.col("left") / F.col("rest")))).first()[0]  # largest at the first that isn't capped
+    return out.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.lit(level).cast("double")).alias("target"))
+
+
+def copied(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int) -> DataFrame:
+    """row, a struct of each row of ``docs``; size, source_size, target and copies. The table of sources is broadcast if it has few rows; else Spark splits a hot source's join."""
+    of = F.col("row").getField
+    text = F.coalesce(of("text"), F.lit(""))
+    sized = boxed(docs).withColumns({"size": F.regexp_count(text, F.lit(WORD)).cast("long"), "draw": uniform(seed, of("doc_id"), F.md5(F.encode(text, "UTF-8")))})
+    sums = cut(targets(sized.groupBy(of("source").alias("source")).agg(F.sum("size").alias("source_size")), weights, share, most))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
+    taken = F.floor(rate) + F.when(F.col("draw") < rate - F.floor(rate), 1).otherwise(0)
+    return sized.join(broadcast_few(sums), of("source").eqNullSafe(F.col("source")), "left").select("row", "size", "source_size", "target", taken.cast("int").alias("copies"))
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """docs with __size, __source_size, __target and __copies. The table of sources is broadcast if it has few rows; else Spark splits a hot source's join."""
-    text = F.coalesce("text", F.lit(""))
-    sized = docs.withColumns({"__size": F.regexp_count(text, F.lit(WORD)).cast("long"), "__draw": uniform(seed, F.col("doc_id"), F.md5(F.encode(text, "UTF-8")))})
-    sums = cut(targets(sized.groupBy("source").agg(F.sum("__size").alias("source_size")), weights, share, most))
-    named = sums.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(1.0))
-    taken = F.floor(rate) + F.when(F.col("__draw") < rate - F.floor(rate), 1).otherwise(0)
-    return sized.join(broadcast_few(named), F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("__copies", taken.cast("int")).drop("__draw", "__source")
+    """``docs`` with __size, __source_size, __target and __copies."""
+    return unboxed(copied(docs, weights, share, most, seed), **{f"__{c}": c for c in ("size", "source_size", "target", "copies")})
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """Every document as often as it is taken, with the columns of ``docs``."""
-    return copies(docs, **how).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
+    return unboxed(copied(docs, weights, share, most, seed).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))))
 
 
 SQL = r"""

@@ -46,7 +46,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.copies(table(spark, sf_dir, "documents"))
+    mixed = mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     taken = (F.col("__size") * F.col("__copies")).alias("taken")
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken)
 
