@@ -8,7 +8,8 @@ mean - z * deviation, is above ``limit``. Hand-written rules, host suffix and pa
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule, and shares the
 reputation of the empty host. A host without labelled pages has the posterior of its domain, suffix or all pages.
 Repeated pages are judged one by one; a page labelled several times counts each time. Rules of equal length: the longer
-host wins, then block.
+host wins, then block. A very long url is read whole. An empty table gives no rows, and without labels all are allowed but for rules. Columns of
+``pages`` pass through whatever their names; those named like a column that ``judge`` adds are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, boxed, cut, unboxed
 
 #: Second-level labels under which a country's suffix has two labels.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -108,8 +109,8 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[Rule], limit: float
     Distinct hosts are judged once, each by the nearest level that has labels; then pages join the table of hosts,
     which Spark broadcasts only below its size threshold.
     """
-    host, path = host_path(F.col("url"))
-    parsed = pages.select("*", host.alias("host"), path.alias("path"))
+    host, path = host_path(F.col("row").getField("url"))
+    parsed = boxed(pages).select("row", host.alias("host"), path.alias("path"))
     known, (a, b) = posteriors(labelled)
     hosts = parsed.select("host").distinct().withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
     for c, df in known.items():
@@ -120,7 +121,8 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[Rule], limit: float
     hosts = hosts.select("host", "bad_rate", bound.alias("bad_bound"))
     found = parsed.join(hosts, "host", "left").withColumn("r", ruled(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("bad_bound") > limit, "block").otherwise("allow"))
-    return found.withColumns({"rule": F.col("r.rule"), "verdict": verdict}).drop("r")
+    found = found.withColumns({"rule": F.col("r.rule"), "verdict": verdict})
+    return unboxed(found, **{c: c for c in ("host", "path", "bad_rate", "bad_bound", "rule", "verdict")})
 
 
 SQL = r"""
