@@ -4,8 +4,12 @@ Records are hashed into ``slots`` slots, a number that never changes. Which shar
 versioned map (version, slot, shard). Rebalancing adds up bytes by slot and edits the map: shards above their share
 give up slots, shards below take them, and all other slots stay. One more shard is such an edit too.
 
-Defined results: a null text has no bytes, so size 1. A null doc_id hashes as such. Equal rows share a slot. Rows of a
-slot are in the order of doc_id, nulls first, then crc32 and size; an empty table gives no rows.
+Slots are hashed from doc_id and text, so a group of equal texts is spread over all shards: the law is ``bytes``, and a group
+that holds a third of all bytes could not stay together under it. Equal rows share a slot.
+
+Defined results: a null text has no bytes, so size 1. A null doc_id hashes as such. Rows of a
+slot are in the order of doc_id, nulls first, then crc32 and size; an empty table gives no rows. A very long text is one record of its size.
+Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -62,8 +66,8 @@ class SlotMap:
         return SlotMap(at, n, self.version + 1, [*self.history, self.shard])
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """(version, slot, shard) of every version, as it is stored."""
-        return spark.createDataFrame([(v, slot, s) for v, own in enumerate([*self.history, self.shard], 1) for slot, s in enumerate(own)], "version int, slot int, shard int")
+        """(version, slot, shard, shards) of every version, as it is stored."""
+        return spark.createDataFrame([(v, slot, s, self.shards) for v, own in enumerate([*self.history, self.shard], 1) for slot, s in enumerate(own)], "version int, slot int, shard int, shards int")
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.frame(spark).write.mode("overwrite").parquet(path)
@@ -71,10 +75,12 @@ class SlotMap:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SlotMap:
         versions: dict[int, dict[int, int]] = {}
+        shards = 0
         for r in spark.read.parquet(path).collect():  # slots x versions rows
             versions.setdefault(r["version"], {})[r["slot"]] = r["shard"]
+            shards = r["shards"]
         own = [[versions[v][s] for s in sorted(versions[v])] for v in sorted(versions)]
-        return cls(own[-1], max(own[-1]) + 1, len(own), own[:-1])
+        return cls(own[-1], shards, len(own), own[:-1])
 
 
 def hashed(docs: DataFrame, slots: int) -> DataFrame:
