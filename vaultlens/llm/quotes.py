@@ -6,12 +6,13 @@ a whole, as a paragraph or as a line. A message answers the latest message that
 before it. Conversations come out in an order in which each message follows the one it answers, with quotes and the
 lines that introduce them (``... wrote:``) taken out.
 
-Links go to earlier turns only, so the order of turns is an order of replies. Of several messages that say the same, the
+Links go to earlier turns only, so the order of turns is an order of replies: each message comes after the one it answers. Of several messages that say the same, the
 first counts as the original. Messages are ranked in ranges of (conversation, turn), so that a conversation of any
 length is spread over tasks, and come out as rows.
 
 Defined results: a null text counts as empty. A null turn comes first, and null conv_id is a conversation. Repeated rows
-are messages of their own. Quotes without an original are taken out as well and counted.
+are messages of their own; equal turns come in the order of the table. Quotes without an original are taken out as well and counted. Only whole passages are linked, not parts of
+them. A very long message is taken apart line by line, as rows. An empty table gives no rows. Columns besides conv_id, turn, role and text are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql.window import Window
 
 from .common import cut
 
-QUOTED = r"(?m)^[ \t]*>[^\n]*(?:\n|\z)"
-INTRODUCED = r"(?m)^[^\n]*\bwrote:[ \t]*\n(?=[ \t]*>)"
+QUOTED = r"(?md)^[ \t]*>[^\n]*(?:\n|\z)"
+INTRODUCED = r"(?md)^[^\n]*\bwrote:[ \t]*\n(?=[ \t]*>)"
 
 
 def normal(text: Column) -> Column:
@@ -37,7 +38,7 @@ def own(text: Column) -> Column:
 
 def passages(messages: DataFrame) -> DataFrame:
     """(rid, conv_id, turn, level, hash) of every quoted passage. Only messages with a quote are taken apart."""
-    some = messages.filter(F.col("text").rlike(r"(?m)^[ \t]*>"))
+    some = messages.filter(F.col("text").rlike(r"(?md)^[ \t]*>"))
     lines = some.select("rid", "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     mark = F.regexp_extract("line", r"^((?:[ \t]*>)*)", 1)
     lines = lines.withColumns({"level": F.length(F.regexp_replace(mark, "[^>]", "")), "said": F.expr("substring(line, length(regexp_extract(line, '^((?:[ \\\\t]*>)*)', 1)) + 1)")})
@@ -84,15 +85,16 @@ def link(conversations: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER () AS rid FROM conversations),
-o AS (SELECT *, trim(regexp_replace(regexp_replace(text, '(?m)^[ \t]*>[^\n]*(?:\n|\z)', '', 'g'), '^\x00$', '')) AS own FROM m),
-l AS (SELECT rid, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM m WHERE regexp_matches(text, '(?m)^[ \t]*>')),
+l AS (SELECT rid, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM m),
 v AS (SELECT *, regexp_extract(line, '^((?:[ \t]*>)*)', 1) AS mark FROM l),
-n AS (SELECT *, len(regexp_replace(mark, '[^>]', '', 'g')) AS level, substr(line, len(mark) + 1) AS said FROM v),
+n AS (SELECT *, len(regexp_replace(mark, '[^>]', '', 'g')) AS level, substr(line, len(mark) + 1) AS said, lead(mark) OVER w AS next_mark, lead(no) OVER w IS NULL AS final FROM v WINDOW w AS (PARTITION BY rid ORDER BY no)),
+o AS (SELECT m.*, trim(coalesce(own, '')) AS own FROM m LEFT JOIN (SELECT rid, string_agg(line || CASE WHEN final THEN '' ELSE chr(10) END, '' ORDER BY no) AS own FROM n
+      WHERE level = 0 AND NOT (regexp_matches(line, '\bwrote:[ \t]*$') AND coalesce(next_mark, '') LIKE '%>%') GROUP BY rid) k USING (rid)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY no) AS run FROM (SELECT *, CASE WHEN level IS NOT DISTINCT FROM lag(level) OVER (PARTITION BY rid ORDER BY no) THEN 0 ELSE 1 END AS new FROM n) q),
-q AS (SELECT rid, conv_id, turn, level, trim(regexp_replace(lower(string_agg(said, ' ' ORDER BY no)), '\s+', ' ', 'g')) AS p FROM r WHERE level > 0 GROUP BY rid, conv_id, turn, level, run),
+q AS (SELECT rid, conv_id, turn, level, trim(regexp_replace(lower(string_agg(said, ' ' ORDER BY no)), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS p FROM r WHERE level > 0 GROUP BY rid, conv_id, turn, level, run),
 s AS (SELECT conv_id, turn, unnest(list_distinct([own] || regexp_split_to_array(own, '\n[ \t]*\n') || string_split(own, chr(10)))) AS p FROM o),
-f AS (SELECT conv_id, trim(regexp_replace(lower(p), '\s+', ' ', 'g')) AS p, min(turn) AS said FROM s GROUP BY ALL),
+f AS (SELECT conv_id, trim(regexp_replace(lower(p), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS p, min(turn) AS said FROM s GROUP BY ALL),
 k AS (SELECT q.rid, count(*) AS n_quotes, count(f.said) AS n_linked, max(CASE WHEN level = 1 THEN f.said END) AS answered FROM q LEFT JOIN f ON f.p = q.p AND f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.said < q.turn WHERE q.p <> '' GROUP BY q.rid)
 SELECT conv_id, row_number() OVER w - 1 AS position, turn, role, coalesce(answered, lag(turn) OVER w) AS parent_turn, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, own AS text
-FROM o LEFT JOIN k USING (rid) WINDOW w AS (PARTITION BY conv_id ORDER BY turn, rid)
+FROM o LEFT JOIN k USING (rid) WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, rid)
 """
