@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vaultlens.llm import components, neardup
 
@@ -62,12 +63,31 @@ def test_pairs_are_found_in_buckets_of_strangers(spark, sketches):
     texts = [rng.sample([f"w{i}" for i in range(300)], 100) for _ in range(600)]
     texts += [[*t[:97], *(f"new{n}x{j}" for j in range(3))] for n, t in enumerate(texts[:40])]
     data = [(i, " ".join(t), *extra) for i, t in enumerate(texts)]
-    out = neardup.link(frame(spark, data), neardup.Settings(words=1, bands=32, rows=1, near=0.5, sketches=sketches)).collect()
+    out = neardup.link(frame(spark, data), neardup.Settings(words=1, bands=32, rows=1, likely=0.5, sketches=sketches)).collect()
     expected = brute(data, 1)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == expected
     assert sum(i != c for i, (_, c) in expected.items()) == 40
 
 
+def test_copies_inside_a_template_family_are_found(spark):
+    """Texts of one template are 0.6 to 0.75 alike; the planted pairs are at 0.80 to 0.85, and none of the others is linked."""
+    rng, extra = random.Random(5), rows()[0][2:]
+    template = [f"t{i}" for i in range(80)]
+    family = [[*template, *(f"w{rng.randrange(10**6)}" for _ in range(20))] for _ in range(1200)]
+    copies = [[*x[:-n], *(f"c{k}x{j}" for j in range(n))] for k, x in enumerate(family[:60]) for n in (rng.choice([8, 9, 10]),)]
+    data = [(i, " ".join(x), *extra) for i, x in enumerate(family + copies)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.link(frame(spark, data), neardup.Settings(words=1)).collect()}
+    assert got == {i: c for i, (_, c) in brute(data, 1).items()}
+    assert sum(i != c for i, c in got.items()) == 60
+
+
+def test_columns_of_any_name_pass_through(spark):
+    df = frame(spark).select("doc_id", "text", F.lit(1).alias("row"), F.lit(2).alias("__id"), F.lit(3).alias("n"), F.lit(4).alias("id"))
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    assert {tuple(r)[2:] for r in kept.collect()} == {(1, 2, 3, 4)}
+
+
 def test_one_row_of_each_group_stays(spark):
     data = rows()
     kept = neardup.keep_one(frame(spark, data)).collect()

@@ -26,13 +26,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; the component is its least node. ``edges``: (a, b), any order."""
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    seen = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
+    while not now.isEmpty():
+        fresh = cut(_star(_star(now, True), False))
+        same = fresh.count() == now.count() and fresh.join(now, ["a", "b"], "left_anti").isEmpty()
+        now = fresh
         tidy(edges.sparkSession)
-        now = cut(_star(_star(now, True), False))
+        if same:
+            break
     tied = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return tied.union(tied.select("component", "component").distinct())

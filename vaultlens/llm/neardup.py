@@ -7,16 +7,18 @@ and so the similarity, most precisely when it is high.
 
 Buckets are stars, not cliques: each member is paired with one leader of the bucket, drawn anew in each band. A member
 that is unlike the leader is held against all members of the bucket, by their sketches, in blocks that return links that
-span them. Pairs whose sketches are not far apart join classes to neighbourhoods, which hold every link. So two members
-of one bucket have both joined its leader or have met. Links are then confirmed on the
+span them. So each pair of a bucket has met, or both have met its leader and were like it. Pairs that the sketches put at ``likely`` or above, far enough below
+the bound that none above it is missed, join classes to neighbourhoods, which hold every link. Links are then confirmed on the
 full sets: first each member with its nearest leader; then what is not tied to its neighbourhood's centre is compared
 with everything in the neighbourhood, block by block, in matrix products of the sets' incidence. A block returns
-links that span it, never all its pairs.
+links that span it, never all its pairs; it is bounded in shingles and in rows, and large neighbourhoods are cut into several.
 
 At similarity 0.8 a pair misses all 32 bands of 5 with probability 3e-6.
 
 Defined results: null and empty texts, and those without words, have no shingles and are linked with nothing. With
-fewer words than a shingle takes, all words are one. Repeated rows are copies. A null doc_id is its own component.
+fewer words than a shingle takes, all words are one. Repeated rows are copies; a doc_id names one text, and rows that share it are that text's. A null doc_id is its own component.
+A very long text is hashed and compared whole. Equal estimates and sizes are settled by the lesser doc_id. An empty table gives no rows. ``link`` reads doc_id and text alone;
+other columns pass through ``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_strings, broadcast_few, cut, slices, small_batches, tidy, words_of
+from .common import as_strings, boxed, broadcast_few, cut, slices, small_batches, tidy, unboxed, words_of
 from .components import components
 
 
@@ -44,10 +46,11 @@ class Settings:
     bands: int = 32
     rows: int = 5
     bits: int = 512
-    near: float = 0.3  #: estimate from which classes are of one neighbourhood
-    likely: float = 0.6  #: estimate from which a member is held against its leader first, and from which members unlike their leader are of one neighbourhood
-    block: int = 150_000  #: shingles in a block, at most
+    likely: float = 0.6  #: estimate from which classes are of one neighbourhood; the estimate of a pair at 0.8 has a deviation of 0.035
+    block: int = 150_000  #: shingles in a block, at most, and ``a_row`` more for each row
+    a_row: int = 60
     sketches: int = 4096  #: sketches in a block, at most
+    cuts: int = 8  #: blocks of a neighbourhood, unless they would be below 1 / cuts of the limits
     seed: int = 3
 
 
@@ -161,7 +164,7 @@ def leftovers(classes: DataFrame, met: DataFrame, s: Settings) -> DataFrame:
     ``met``: all pairs of ``stars``. A key shared by a pair that is far apart counts as its bucket, whichever led it.
     """
     kind = classes.schema["rep"].dataType.simpleString()
-    far = met.filter(F.col("likeness") < s.near).select("a", "b")
+    far = met.filter(F.col("likeness") < s.likely).select("a", "b")
     nodes = cut(far.select(F.col("a").alias("rep")).union(far.select("b")).distinct())
     some = cut(classes.select("rep", "keys").join(broadcast_few(nodes), "rep", "left_semi"))
     own = lambda c: some.select(F.col("rep").alias(c), F.col("keys").alias(f"k{c}"))
@@ -177,7 +180,7 @@ def leftovers(classes: DataFrame, met: DataFrame, s: Settings) -> DataFrame:
         take = lambda n: ids.take(pa.array([x[n] for x in found], pa.int64()))
         return pa.table({"a": take(1), "b": take(0), "likeness": pa.array([x[2] for x in found], pa.float64())})
 
-    return in_blocks(members, "sketch", F.lit(1), s.sketches, s.seed).groupBy("hood", "x", "y").applyInArrow(task, f"a {kind}, b {kind}, likeness double")
+    return in_blocks(members, "sketch", F.lit(1), s.sketches, s).groupBy("hood", "x", "y").applyInArrow(task, f"a {kind}, b {kind}, likeness double")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
@@ -234,17 +237,19 @@ def spanning(sets: list[np.ndarray], rows: np.ndarray, percent: int) -> list[tup
     return out
 
 
-def in_blocks(members: DataFrame, value: str, size: Column, block: int, seed: int) -> DataFrame:
+def in_blocks(members: DataFrame, value: str, size: Column, most: int, s: Settings) -> DataFrame:
     """rep, central, ``value``, hood, x, y: ``members`` dealt so that what is not ``central`` meets all members of its hood.
 
-    A hood is cut at random into blocks of up to about ``block`` in ``size``; a task (hood, x, y) holds two blocks, or one with itself.
+    A hood is cut at random into blocks of up to about ``most`` in ``size``, and into ``s.cuts`` of them as soon as it is large
+    enough; a task (hood, x, y) holds two blocks, or one with itself.
     """
+    block = F.greatest(F.lit(most / s.cuts), F.least(F.lit(most), F.col("w") / s.cuts))
     sums = members.groupBy("hood").agg(F.coalesce(F.sum(size), F.lit(0)).alias("w"), F.coalesce(F.sum(F.when(F.col("central"), size)), F.lit(0)).alias("c"), F.count_if(~F.col("central")).alias("apart")).filter("apart > 0")
     sums = sums.select("hood", F.ceil((F.col("w") - F.col("c")) / block).alias("nu"), F.ceil(F.col("c") / block).alias("nc"))
     # a large neighbourhood's rows meet its sums in several tasks
     salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt")
     salted = sums.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    rows = members.select("*", salt).join(salted, ["hood", "salt"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(seed)), F.when(F.col("central"), F.col("nc")).otherwise(F.col("nu"))))
+    rows = members.select("*", salt).join(salted, ["hood", "salt"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(s.seed)), F.when(F.col("central"), F.col("nc")).otherwise(F.col("nu"))))
     # blocks of what is apart are 0..nu-1, those of what is central nu..nu+nc-1; a task is (x, y) with x < nu and x <= y
     outer = F.sequence(F.lit(0).cast("long"), F.col("nu") - 1)
     tasks = F.when(F.col("central"), F.transform(outer, lambda x: F.struct(x.alias("x"), (F.col("nu") + F.col("own")).alias("y")))).otherwise(
@@ -256,9 +261,9 @@ def in_blocks(members: DataFrame, value: str, size: Column, block: int, seed: in
 def block_links(members: DataFrame, s: Settings) -> DataFrame:
     """(a, b): links that span each neighbourhood, between what is not ``central`` and all members.
 
-    ``members``: rep, hood, central, set; blocks of up to about s.block shingles.
+    ``members``: rep, hood, central, set; blocks of up to about s.block shingles, and rows in proportion.
     """
-    dealt = in_blocks(members, "set", F.size("set"), s.block, s.seed)
+    dealt = in_blocks(members, "set", F.size("set") + s.a_row, s.block, s)
     kind = members.schema["rep"].dataType.simpleString()
 
     def task(group: pa.Table) -> pa.Table:
@@ -279,13 +284,13 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     classes = cut(classes)
     met = cut(stars(classes, s))
     tidy(spark)
-    near = cut(met.filter(F.col("likeness") >= s.near).union(leftovers(classes, met, s)))
+    near = cut(met.filter(F.col("likeness") >= s.likely).union(leftovers(classes, met, s)))
     tidy(spark)
     hoods = cut(components(near).select(F.col("node").alias("rep"), F.col("component").alias("hood")))
     sets = cut(full_sets(docs, hoods, s).join(hoods, "rep"))
 
     tidy(spark)
-    best = near.filter(F.col("likeness") >= s.likely).groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a"))
+    best = near.groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a"))
     own = lambda c, *more: sets.select(F.col("rep").alias(c), F.col("set").alias(f"s{c}"), *more)
     sure = cut(best.join(own("b", "hood"), "b").join(own("a"), "a").filter(linked(F.col("sa"), F.col("sb"), s)).select("a", "b", "hood"))
 
@@ -305,9 +310,8 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row of ``docs`` of each component, with the columns of ``docs``."""
     decided = cut(link(docs, s))
-    keep = decided.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed("doc_id", "__id")
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")))
+    keep = decided.filter("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    kept = boxed(docs).join(keep, F.col("row").getField("doc_id").eqNullSafe(F.col("id")))
     # rows of one id are copies of one document, unless the id is null; only they are dealt by id
-    repeated = (F.col("__n") > 1) & F.col("__id").isNotNull()
-    single, many = kept.filter(~repeated), kept.filter(repeated)
-    return single.select(*docs.columns).unionByName(many.dropDuplicates(["doc_id"]).select(*docs.columns))
+    repeated = (F.col("n") > 1) & F.col("id").isNotNull()
+    return unboxed(kept.filter(~repeated).select("row").unionByName(kept.filter(repeated).dropDuplicates(["id"]).select("row")))
