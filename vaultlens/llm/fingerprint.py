@@ -15,6 +15,7 @@ doc_id and text are not read.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -118,15 +119,20 @@ def block(docs: DataFrame, rows: int) -> Column:
     """A number that grows with doc_id and falls with the salt of equal ones, and has about ``rows`` rows of its own each: cells of equal depth, cut evenly by value."""
     found = docs.agg(F.percentile_approx("doc_id", [i / CELLS for i in range(CELLS + 1)], 100 * CELLS).alias("q"), F.count("doc_id").alias("n"), F.count(F.lit(1)).alias("all")).first()
     made = cells(list(found["q"] or [0]), found["n"] / (rows * CELLS))
-    column = lambda i, kind: F.expr(f"array({', '.join(str(c[i]).lower() for c in made)})").cast(f"array<{kind}>")
-    first = column(0, "long")
-    cell = F.greatest(F.size(F.filter(first, lambda b: b <= F.col("doc_id"))), F.lit(1))
-    low, before, parts, salted = F.element_at(first, cell), F.element_at(column(1, "long"), cell), F.element_at(column(2, "long"), cell), F.element_at(column(3, "boolean"), cell)
-    width = F.greatest(F.element_at(first, F.least(cell + 1, F.lit(len(made)))) - low, F.lit(1))
-    by_value = F.greatest(F.least(F.floor((F.col("doc_id") - low) / width * parts), parts - 1), F.lit(0))
+    full = [dict(zip(("first", "before", "parts", "salted", "next"), (*c, after[0]), strict=True)) for c, after in zip(made, [*made[1:], made[-1]], strict=True)]
+    # looked up in two steps: the group of cells, then the cell
+    groups = F.from_json(F.lit(json.dumps([full[i : i + 32] for i in range(0, len(full), 32)])), "array<array<struct<first:long,before:long,parts:long,salted:boolean,next:long>>>")
+    heads = F.from_json(F.lit(json.dumps([c["first"] for c in full[::32]])), "array<long>")
+    group = F.element_at(groups, F.greatest(F.size(F.filter(heads, lambda h: h <= F.col("doc_id"))), F.lit(1)))
+    cell = F.coalesce(F.try_element_at(F.filter(group, lambda c: c["first"] <= F.col("doc_id")), F.lit(-1)), F.element_at(F.element_at(groups, 1), 1))
     by_salt = lambda n: F.floor(F.col("salt") * n / SALTS).cast("long")
+
+    def place(c: Column) -> Column:
+        by_value = F.floor((F.col("doc_id") - c["first"]) / F.greatest(c["next"] - c["first"], F.lit(1)) * c["parts"])
+        return c["before"] + F.when(c["salted"], c["parts"] - 1 - by_salt(c["parts"])).otherwise(F.greatest(F.least(by_value, c["parts"] - 1), F.lit(0)))
+
     null = -1 - by_salt(F.lit(max(1, (found["all"] - found["n"]) // rows)))
-    return F.when(F.col("doc_id").isNull(), null).otherwise(before + F.when(salted, parts - 1 - by_salt(parts)).otherwise(by_value))
+    return F.when(F.col("doc_id").isNull(), null).otherwise(let(cell, place))
 
 
 def compare(docs: DataFrame, k: int = 5, window: int = 8, unit: int = 16, rows: int = 64) -> DataFrame:
