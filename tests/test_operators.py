@@ -288,3 +288,39 @@ def test_lineage_goes_on_until_nothing_is_new(spark):
     got = {(r["fact_id"], r["ancestor_id"]): r["depth"] for r in derive.lineage(links).collect()}
     chain = {(i, j): i - j for i in range(35) for j in range(i)}
     assert got == chain | {(101, 100): 1, (100, 101): 1, (100, 100): 2, (101, 101): 2}
+
+
+def test_an_index_answers_as_the_chunks_do(spark, tmp_path):
+    texts = ["the Cash cash flow", "cash", "", None, "Revenue of the year", "the the the", "flow of revenue and cash", "nothing here"]
+    chunks = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts)], "chunk_id long, text string, lang string")
+    index = search.build_index(chunks, str(tmp_path / "index"), ["lang"])
+    full = chunks.withColumn("text", F.coalesce("text", F.lit("")))
+    for asked in ("cash flow cash", "the", "absent", "", "!!"):
+        for keep in (None, F.col("lang") == "en"):
+            rows = lambda df: [tuple(r) for r in df.collect()]
+            assert rows(search.ask_bm25(index, asked, keep)) == rows(search.bm25(full, asked, keep)), asked
+            assert rows(search.ask(index, asked, 5, keep)) == rows(search.hybrid(full, asked, 5, keep)), asked
+    plan = search.ask_bm25(index, "cash")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term)" in plan
+
+
+def test_pairs_of_names_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    stems = ["northern", "green", "river", "valley", "holding", "data", "logistics", "ion", "of", "the", "acme"]
+    names = [" ".join(rng.sample(stems, rng.randint(1, 4))) for _ in range(120)]
+    names += ["".join(c for j, c in enumerate(n) if j != rng.randrange(len(n))) for n in names[:60]] + [n[: len(n) // 2] + "x" + n[len(n) // 2 :] for n in names[:40]] + ["database systems group", "data base systems group"]
+    df = spark.createDataFrame([(1, "customer", i, n) for i, n in enumerate(names)], "deal_id int, type string, entity_id int, name string")
+    got = {(r["a"], r["b"]) for r in graph.resolution_pairs(df).collect()}
+    norm = {r["entity_id"]: r["n"] for r in df.select("entity_id", graph.comparison_name(F.col("name")).alias("n")).collect()}
+    first = {}
+    for i in sorted(norm):
+        if norm[i]:
+            first.setdefault(norm[i], i)
+    expected = {(first[n], i) for i, n in norm.items() if n and first[n] != i}
+    for n, a in first.items():
+        for m, b in first.items():
+            if a < b and graph.token_set_ratio(n, m) >= graph.ALIKE:
+                expected.add((a, b))
+    assert got == expected

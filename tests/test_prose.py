@@ -21,6 +21,31 @@ def test_rules_over_sentences(spark):
     assert all(r["quote"] in text for r in prose.facts(df).collect())
 
 
+def test_numbers_may_stand_between_a_name_and_its_amount(spark):
+    cases = {
+        "Revenue in FY2025 was $12.0M.": ("revenue", 12_000_000, "fiscal_year", D(2025, 12, 31)), "ARR for 2025 was $9M.": ("arr", 9_000_000, "fiscal_year", D(2025, 12, 31)),
+        "Net burn over the last 3 months averaged $300k.": ("net_burn", 300_000, "fiscal_year", D(2024, 12, 31)), "$4M of annual recurring revenue": ("recurring_revenue", 4_000_000, "fiscal_year", D(2024, 12, 31)),
+        "Fees of $90,000 for a term of two (2) years commencing 1 March 2025.": ("contract_value", 90_000, "custom", D(2027, 2, 28)), "Cash was $5M": ("cash_balance", 5_000_000, "point", D(2025, 6, 30)), "Revenue was strong; costs of $5M": None,
+    }
+    df = spark.createDataFrame([(i, i, t + ("\nAll as of 30 June 2025." if "Cash" in t else ""), D(2025, 1, 31), 2024, 12) for i, t in enumerate(cases)], "document_id int, chunk_id int, text string, doc_date date, reference_year int, fye int")
+    got = {r["chunk_id"]: (r["metric"], int(r["value"]), r["period_type"], r["period_end"]) for r in prose.facts(df).collect()}
+    assert got == {i: v for i, v in enumerate(cases.values()) if v}
+
+
+def test_facts_name_the_other_party(spark):
+    df = spark.createDataFrame([(1, 1, "This agreement is between Acme Inc and Globex LLC. The total contract value is $250,000. ARR is $1M.", None, 2024, 12, "msa.pdf", "Acme")], "document_id int, chunk_id int, text string, doc_date date, reference_year int, fye int, filename string, company string")
+    assert {r["metric"]: r["subject_hint"] for r in prose.facts(df).collect()} == {"contract_value": "Globex LLC", "arr": None}
+    told = spark.createDataFrame([(1, "fiscal_year", D(2025, 6, 30)), (1, "month", D(2026, 1, 31)), (2, "point", D(2025, 1, 1))], "deal_id int, period_type string, period_end date")
+    years = prose.reference_years(told, spark.createDataFrame([(1, 6), (2, 12)], "deal_id int, fye int"))
+    assert [tuple(r) for r in years.collect()] == [(1, 2025)]
+
+
+def test_names_of_any_length_are_subjects(spark):
+    names = spark.createDataFrame([(1, "a", "Bank of the Northern Green River Valley", 1)], "deal_id int, entity_id string, name string, seq int")
+    texts = spark.createDataFrame([(1, 1, "we owe the bank of the northern green river valley, as ever")], "deal_id int, text_id int, text string")
+    assert [r["entity_id"] for r in prose.subjects(texts, names).collect()] == ["a"]
+
+
 def test_the_longest_name_is_the_subject(spark):
     names = spark.createDataFrame([(1, "a", "Acme", 1), (1, "b", "Acme West Inc", 2), (1, "c", "Acme East", 3), (2, "d", "Acme", 1)], "deal_id int, entity_id string, name string, seq int")
     texts = spark.createDataFrame([(1, 1, "a deal with ACME West, Inc. today"), (1, 2, "acme only"), (1, 3, "acmes"), (1, 4, "acme east or acme west")], "deal_id int, text_id int, text string")

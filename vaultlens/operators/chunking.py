@@ -28,7 +28,8 @@ def sentences(text: Column) -> Column:
 
 def sentence_spans(texts: DataFrame) -> DataFrame:
     """(.., position, char_start, char_end): offsets are a running sum within the row's own array."""
-    ends = lambda s: F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: F.aggregate(F.slice(s, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)))
+    none = F.array().cast("array<int>")
+    ends = lambda s: F.aggregate(s, none, lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(x))))
     both = once(sentences(F.col("text")), lambda s: F.when(F.size(s) > 0, F.arrays_zip(s.alias("s"), ends(s).alias("e"))))
     many = texts.select(*(c for c in texts.columns if c != "text"), F.posexplode(both).alias("position", "v"))
     return many.select("*", (F.col("v.e") - F.length("v.s")).alias("char_start"), F.col("v.e").alias("char_end")).drop("v")

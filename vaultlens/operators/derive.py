@@ -14,6 +14,7 @@ from ..functions.columns import once
 from ..functions.numbers import money, percentage, ratio
 from ..functions.text import contains_quote, squeeze
 
+FEW = 2000  #: keys that are looked up in place
 PERIOD = ["period_type", "period_start", "period_end", "as_of"]
 
 
@@ -137,8 +138,12 @@ def located_quotes(quotes: DataFrame, texts: DataFrame, words: int = 4) -> DataF
     keyed = q.select("quote_id", "quote", F.xxhash64("n", "run").alias("key"))
     t = texts.select("document_id", squeeze(F.col("text")).alias("text"))
     runs = None
+    wanted = keyed.select("key").distinct().limit(FEW + 1).collect()
+    known = F.array(*(F.lit(r["key"]) for r in wanted)) if len(wanted) <= FEW else None
     for n in sizes:
-        some = t.select("document_id", F.explode(once(F.split("text", " " if n > 0 else ""), lambda w: _runs(w, n))).alias("key"))
+        mine = once(F.split("text", " " if n > 0 else ""), lambda w: _runs(w, n))
+        # a few keys are looked up in the text's own runs, so that only what is wanted leaves the row
+        some = t.select("document_id", F.explode(mine if known is None else F.array_intersect(mine, known)).alias("key"))
         runs = some if runs is None else runs.unionByName(some)
     if runs is None:
         return quotes.select("quote_id").join(texts.select("document_id").limit(0), F.lit(False), "inner")
@@ -214,9 +219,19 @@ def severity(spread: Column) -> Column:
     return F.when(spread > 50, "critical").when(spread > 15, "high").when(spread > 5, "medium").otherwise("low")
 
 
-def recall(expected: DataFrame, facts: DataFrame) -> DataFrame:
-    """Each expected fact (fact_no, metric, value, tolerance_pct, period_start, period_end) with the first fact that meets it."""
-    f = facts.select("metric", F.col("value").alias("got"), "seq", F.coalesce("period_start", "as_of").alias("got_start"), F.coalesce("period_end", "as_of").alias("got_end"))
-    met = expected.join(f, "metric").filter("abs(got - value) <= tolerance_pct / 100 * abs(value) + 1e-9 and got_start <= period_end and got_end >= period_start")
+def recall(expected: DataFrame, facts: DataFrame, step: float = 0.05) -> DataFrame:
+    """Each expected fact (fact_no, metric, value, tolerance_pct, period_start, period_end) with the first fact that meets it.
+
+    Facts meet by metric, sign and a step of the value's logarithm, of which an expected fact's tolerance touches a few; only
+    what may be near zero meets by metric alone.
+    """
+    size = lambda c: F.floor(F.log(F.abs(c).cast("double")) / step).cast("long")
+    f = facts.select("metric", F.col("value").alias("got"), "seq", F.coalesce("period_start", "as_of").alias("got_start"), F.coalesce("period_end", "as_of").alias("got_end")).filter("got is not null")
+    off = F.col("tolerance_pct") / 100 * F.abs(F.col("value").cast("double")) + 1e-9
+    e = expected.withColumns({"low": F.abs(F.col("value").cast("double")) - off, "high": F.abs(F.col("value").cast("double")) + off})
+    fits = "abs(got - value) <= tolerance_pct / 100 * abs(value) + 1e-9 and got_start <= period_end and got_end >= period_start"
+    far = e.filter("low > 1e-6").withColumns({"sign": F.signum("value"), "size": F.explode(F.sequence(size(F.col("low")) - 1, size(F.col("high")) + 1))})
+    met = far.join(f.withColumns({"sign": F.signum("got"), "size": size(F.col("got"))}), ["metric", "sign", "size"]).filter(fits).select("fact_no", "seq")
+    met = met.unionByName(e.filter("low <= 1e-6").join(f, "metric").filter(fits).select("fact_no", "seq"))
     first = met.groupBy("fact_no").agg(F.min("seq").alias("seq"))
     return expected.join(first, "fact_no", "left").select("fact_no", "metric", "seq", F.col("seq").isNotNull().alias("found"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
@@ -18,11 +18,20 @@ from ..functions.text import comparison_name, counterparty, mailboxes, title
 ALIKE = 92
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for data all executors can read. Only a local master may do without: it gets a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp())
+    return context.getCheckpointDir()
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Cut the lineage of a step of an iteration, in the folder that the cluster names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -88,18 +97,36 @@ def alike(a: pd.Series, b: pd.Series) -> pd.Series:
 def resolution_pairs(entities: DataFrame, threshold: float = ALIKE, aliases: DataFrame | None = None) -> DataFrame:
     """(deal_id, type, a, b) of entities of a type that are alike, or of which one bears the other's alias.
 
-    Equal names meet once, in a group. Other pairs at ``threshold`` share a word, or else enough of their
-    letters that they share a 3-gram; both are blocking keys, so that pairs come from equal keys and not from all
-    pairs of a type. The UDF sees distinct names only.
+    Equal names meet once, in a group. A name that is part of another holds no word that the other lacks, so its rarest word
+    meets the words of the others. Names that are alike otherwise differ by few insertions and deletions, each of which touches three
+    3-grams at most; so they share one among the rarest grams of either, of which there are as many as may be lost and one
+    more. Common words and grams thus bring nobody together. The UDF sees distinct names only.
     """
     named = entities.select("deal_id", "type", "entity_id", comparison_name(F.col("name")).alias("norm")).filter("norm <> ''")
     names = named.groupBy("deal_id", "type", "norm").agg(F.min("entity_id").alias("rep"))
     same = named.join(names, ["deal_id", "type", "norm"]).filter("entity_id <> rep").select("deal_id", "type", F.col("rep").alias("a"), F.col("entity_id").alias("b"))
-    letters = F.regexp_replace("norm", " ", "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(letters) - 2, F.lit(1))), lambda i: F.concat(F.lit("#"), F.substring(letters, i, F.lit(3))))
-    keyed = names.withColumn("key", F.explode(F.array_distinct(F.concat(F.split("norm", " "), grams))))
-    x, y = keyed.select("deal_id", "type", "key", F.col("rep").alias("a"), F.col("norm").alias("na")), keyed.select("deal_id", "type", "key", F.col("rep").alias("b"), F.col("norm").alias("nb"))
-    met = x.join(y, ["deal_id", "type", "key"]).filter("na < nb").select("deal_id", "type", "a", "b", "na", "nb").distinct()
+    group = ["deal_id", "type"]
+
+    def ranked(parts: Column) -> DataFrame:
+        """Names with their parts, the rarest of the group first."""
+        each = names.select(*group, "norm", F.explode(parts).alias("part"))
+        often = each.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("n"))
+        order = F.array_sort(F.collect_list(F.struct("n", "part")))  # a name's own parts
+        return each.join(often, [*group, "part"]).groupBy(*group, "norm").agg(F.transform(order, lambda x: x["part"]).alias("parts"))
+
+    words = ranked(F.array_distinct(F.split("norm", " ")))
+    of_word = lambda w: F.when(F.length(w) < 3, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3))))
+    grams = ranked(F.array_distinct(F.flatten(F.transform(F.split("norm", " "), of_word))))
+    slack = (100 - threshold) / 100  # insertions and deletions are at most this part of both lengths, the longer of which is bounded by the shorter
+    lost = 3 * F.floor(F.length("norm") * (slack + slack * (1 + slack) / (1 - slack))).cast("int")
+    first = grams.select(*group, "norm", F.explode(F.slice("parts", F.lit(1), F.least(F.size("parts"), lost + 1))).alias("key"))
+    side = lambda df, c: df.withColumnRenamed("norm", c)
+    pairs = side(first, "na").join(side(first, "nb"), [*group, "key"]).select(*group, "na", "nb")
+    held = words.select(*group, F.col("norm").alias("na"), F.col("parts")[0].alias("key"))
+    pairs = pairs.unionByName(held.join(words.select(*group, F.col("norm").alias("nb"), F.explode("parts").alias("key")), [*group, "key"]).select(*group, "na", "nb"))
+    pairs = pairs.filter("na <> nb").select(*group, F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb")).distinct()
+    rep = lambda n, c: names.select(*group, F.col("norm").alias(n), F.col("rep").alias(c))
+    met = pairs.join(rep("na", "a"), [*group, "na"]).join(rep("nb", "b"), [*group, "nb"])
     inside = (F.size(F.array_except(F.split("na", " "), F.split("nb", " "))) == 0) | (F.size(F.array_except(F.split("nb", " "), F.split("na", " "))) == 0)
     ratio = F.when(inside, 100.0).otherwise(alike(F.col("na"), F.col("nb")))
     out = same.unionByName(met.filter(ratio >= threshold).select("deal_id", "type", "a", "b"))

@@ -9,31 +9,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import periods
-from ..functions.text import comparison_name
+from ..functions.text import comparison_name, counterparty, title
 from .chunking import sentences
 
-_GAP = r"[^.;\n$\d]{0,40}?"
-_SCALE = r"(?:[kKmMbB]|thousand|million|billion)\b"
-_MONEY = rf"(\$\s?\d[\d,]*(?:\.\d+)?(?:\s?{_SCALE})?|\d[\d,]*(?:\.\d+)?\s?{_SCALE})"
-_PLAIN = r"(\d[\d,]*(?:\.\d+)?)"
-
-#: Metric, unit, the period a fact has when its sentence names none, and the words before its number.
-BEFORE = [
-    ("arr", "currency", "reference", r"\bARR\b"), ("tam", "currency", "reference", r"\bTAM\b"), ("sam", "currency", "reference", r"\bSAM\b"), ("som", "currency", "reference", r"\bSOM\b"),
-    ("recurring_revenue", "currency", "reference", r"\brecurring revenue\b"), ("net_burn", "currency", "reference", r"\bnet burn\b"), ("cash_balance", "currency", "point", r"\bcash\b"),
-    ("contract_value", "currency", "none", r"\b(?:total\s+)?contract\s+value\b|\bTCV\b|\bfees?\b|\border value\b"), ("litigation_exposure", "currency", "reference", r"\blitigation\b"),
-    ("revenue", "currency", "reference", r"(?<!recurring )\brevenue\b"), ("cogs", "currency", "reference", r"\bCOGS\b|\bcost of (?:goods|revenue)\b"), ("gross_profit", "currency", "reference", r"\bgross profit\b"),
-    ("ebitda", "currency", "reference", r"\bEBITDA\b"), ("net_revenue_retention", "percent", "reference", r"\bNRR\b|\bnet revenue retention\b"), ("gross_revenue_retention", "percent", "reference", r"\bGRR\b"),
-    ("gross_margin", "percent", "reference", r"\bgross margin\b"), ("headcount", "count", "reference", r"\bheadcount\b"), ("logo_churn", "count", "reference", r"\blogo churn\b"), ("runway_months", "months", "point", r"\brunway\b"),
-]
-#: The same with the words after the number.
-AFTER = [
-    ("recurring_revenue", "currency", "reference", rf"{_GAP}\brecurring revenue\b"), ("runway_months", "months", "point", r"\s*months\s+of\s+runway\b"),
-    ("headcount", "count", "reference", r"\s*employees\b"), ("customers_count", "count", "reference", r"\s*(?:customers|logos)\b"),
-]
-_VALUE = {"currency": _MONEY, "percent": _PLAIN + r"\s*%", "count": _PLAIN, "months": _PLAIN + r"\s*months\b"}
-RULES = [(m, u, p, f"(?i)(?:{words}){_GAP}{_VALUE[u]}") for m, u, p, words in BEFORE] + [(m, u, p, f"(?i){_VALUE[u].removesuffix('\\s*months\\b')}{words}") for m, u, p, words in AFTER]
-POINT = ("cash_balance", "runway_months")
+#: Of each metric its unit, the period of a fact whose text names none, and the words that name it before its number.
+NAMED = {
+    "arr": ("currency", "reference", ("ARR",)), "tam": ("currency", "reference", ("TAM",)), "sam": ("currency", "reference", ("SAM",)), "som": ("currency", "reference", ("SOM",)),
+    "recurring_revenue": ("currency", "reference", ("recurring revenue",)), "revenue": ("currency", "reference", ("revenue",)),
+    "net_burn": ("currency", "reference", ("net burn",)), "cash_balance": ("currency", "point", ("cash",)), "runway_months": ("months", "point", ("runway",)),
+    "net_revenue_retention": ("percent", "reference", ("NRR", "net revenue retention")), "gross_revenue_retention": ("percent", "reference", ("GRR",)), "gross_margin": ("percent", "reference", ("gross margin",)),
+    "headcount": ("count", "reference", ("headcount",)), "logo_churn": ("count", "reference", ("logo churn",)), "customers_count": ("count", "reference", ()),
+    "contract_value": ("currency", "none", ("contract value", "TCV", "fee", "fees", "order value")), "litigation_exposure": ("currency", "reference", ("litigation",)),
+    "cogs": ("currency", "reference", ("COGS", "cost of goods", "cost of revenue")), "gross_profit": ("currency", "reference", ("gross profit",)), "ebitda": ("currency", "reference", ("EBITDA",)),
+}
+#: Words that name a metric after its number, and whether other words of the sentence may stand between.
+FOLLOWED = {"recurring_revenue": (("recurring revenue",), True), "runway_months": (("months of runway",), False), "headcount": (("employees",), False), "customers_count": (("customers", "logos"), False)}
+#: Words before which a name is another metric's.
+UNLESS = {"revenue": "recurring"}
+#: Metrics whose fact is about the document's other party.
+PARTY = ("contract_value", "litigation_exposure")
+REACH = 80  #: characters of the sentence between a name and its number, at most
+
+_NUMBER = r"\d[\d,]*(?:\.\d+)?"
+_SCALED = rf"{_NUMBER}\s*(?:[kmb]|thousand|million|billion)(?!\w)"
+#: What a number of each unit looks like; an amount has a currency sign or a scale.
+AMOUNT = {"currency": rf"(\$\s*{_SCALED}|\$\s*{_NUMBER}|{_SCALED})", "percent": rf"({_NUMBER})\s*%", "count": rf"({_NUMBER})", "months": rf"({_NUMBER})\s*months(?!\w)"}
+
+
+def _phrase(words: tuple[str, ...]) -> str:
+    return r"(?<!\w)(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + r")(?!\w)"
+
+
+def patterns() -> list[tuple[str, str, str, str]]:
+    """(metric, unit, policy, pattern) of each way to say a metric, made from the tables."""
+    between, out = rf"[^.;\n]{{0,{REACH}}}?", []
+    for metric, (unit, policy, words) in NAMED.items():
+        if words:
+            but = rf"(?<!{UNLESS[metric]}\s)" if metric in UNLESS else ""
+            out.append((metric, unit, policy, f"(?i){but}{_phrase(words)}{between}{AMOUNT[unit]}"))
+        if metric in FOLLOWED:
+            after, far = FOLLOWED[metric]
+            number = AMOUNT["count" if unit == "months" else unit]
+            out.append((metric, unit, policy, f"(?i){number}{between if far else chr(92) + 's*'}{_phrase(after)}"))
+    return out
 
 
 def amount(said: Column) -> Column:
@@ -43,28 +61,40 @@ def amount(said: Column) -> Column:
 
 
 def facts(chunks: DataFrame) -> DataFrame:
-    """Candidate facts of chunks (document_id, chunk_id, text, doc_date, reference_year, fye).
+    """Candidate facts of chunks (document_id, chunk_id, text, doc_date, reference_year, fye; filename and company, if they are known).
 
-    All rules are tried on each sentence that has a digit; the sentence is the quote. The same metric, value and quote counts once.
+    All patterns are tried on each sentence that has a digit; the sentence is the quote. The period is the sentence's contract term, else
+    its label, else for facts of a day what the chunk is as of, or the document's date, and for others the reference year. The
+    same metric, value and quote counts once. Facts about the other party carry its name in ``subject_hint``.
     """
-    some = chunks.select("document_id", "chunk_id", "doc_date", "reference_year", "fye", F.posexplode(sentences(F.col("text"))).alias("place", "sentence")).filter(F.col("sentence").rlike(r"\d"))
-    found = [F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit"), F.lit(p).alias("policy"), F.regexp_extract_all("sentence", F.lit(pattern), 1).alias("said")) for m, u, p, pattern in RULES]
+    known = {"filename", "company"} <= set(chunks.columns)
+    hint = counterparty(F.col("text"), title(F.col("filename")), F.col("company")) if known else F.lit(None).cast("string")
+    told = chunks.select("document_id", "chunk_id", "doc_date", "reference_year", "fye", hint.alias("hint"), periods.as_of(F.col("text")).alias("day"), F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
+    some = told.filter(F.col("sentence").rlike(r"\d"))
+    found = [F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit"), F.lit(p).alias("policy"), F.regexp_extract_all("sentence", F.lit(pattern), 1).alias("said")) for m, u, p, pattern in patterns()]
     hits = some.withColumn("h", F.explode(F.filter(F.array(*found), lambda h: F.size(h["said"]) > 0))).select("*", "h.metric", "h.unit", "h.policy", F.explode("h.said").alias("said"))
-    told = periods.parse(F.col("sentence"), F.col("fye"))
-    point = periods.period("point", F.col("doc_date"), F.col("doc_date"), F.col("doc_date"))
+    point = lambda d: F.when((F.col("policy") == "point") & d.isNotNull(), periods.period("point", d, d, d))
     year = periods.period("fiscal_year", periods.fiscal_year_start(F.col("reference_year"), F.col("fye")), periods.fiscal_year_end(F.col("reference_year"), F.col("fye")))
-    kind = F.coalesce(told, F.when((F.col("policy") == "point") & F.col("doc_date").isNotNull(), point), F.when((F.col("policy") == "reference") & F.col("reference_year").isNotNull(), year))
-    out = hits.select("document_id", "chunk_id", "metric", "unit", amount(F.col("said")).alias("value"), F.trim("sentence").alias("quote"), kind.alias("p")).filter("value is not null")
-    out = out.select("document_id", "chunk_id", "metric", "unit", "value", "quote", F.col("p.type").alias("period_type"), F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"), F.col("p.as_of").alias("as_of"), F.lit(0.9).alias("confidence"))
+    kind = F.coalesce(periods.term(F.col("sentence")), periods.parse(F.col("sentence"), F.col("fye")), point(F.col("day")), point(F.col("doc_date")), F.when((F.col("policy") == "reference") & F.col("reference_year").isNotNull(), year))
+    # an array of one, so that the period is made once and not for each of its parts
+    out = hits.select("document_id", "chunk_id", "metric", "unit", amount(F.col("said")).alias("value"), F.trim("sentence").alias("quote"), F.explode(F.array(kind)).alias("p"), F.when(F.col("metric").isin(*PARTY), F.col("hint")).alias("subject_hint")).filter("value is not null")
+    out = out.select("document_id", "chunk_id", "metric", "unit", "value", "quote", F.col("p.type").alias("period_type"), F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"), F.col("p.as_of").alias("as_of"), F.lit(0.9).alias("confidence"), "subject_hint")
     return out.dropDuplicates(["document_id", "chunk_id", "metric", "value", "quote"])
 
 
-def subjects(texts: DataFrame, names: DataFrame, longest: int = 6) -> DataFrame:
+def reference_years(facts: DataFrame, deals: DataFrame) -> DataFrame:
+    """(deal_id, reference_year): the fiscal year in which each deal's latest fact of a fiscal year ends."""
+    last = facts.filter("period_type = 'fiscal_year'").groupBy("deal_id").agg(F.max("period_end").alias("end"))
+    return last.join(deals.select("deal_id", "fye"), "deal_id").select("deal_id", periods.fiscal_year(F.col("end"), F.col("fye")).alias("reference_year"))
+
+
+def subjects(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(text_id, entity_id) of the longest name (deal_id, entity_id, name, seq) that stands in each text (deal_id, text_id, text).
 
-    Runs of up to ``longest`` words meet the names by equality, so no text is compared with every name. Equal lengths: the first by seq.
+    Runs of as many words as the longest name has, and fewer, meet the names by equality, so no text is compared with every name. Equal lengths: the first by seq.
     """
     keyed = names.select("deal_id", "entity_id", "seq", comparison_name(F.col("name"), True).alias("run")).filter("run <> ''")
+    longest = keyed.agg(F.max(F.size(F.split("run", " ")))).first()[0] or 1
     words = texts.select("deal_id", "text_id", F.split(comparison_name(F.col("text"), True), " ").alias("w"))
     starts = F.sequence(F.lit(1), F.size("w"))
     runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 from pyspark.sql.window import Window
@@ -145,6 +147,102 @@ def index_status(documents: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, F.when(F.col("open") > 0, "indexing").when(F.col("chunks") == 0, "empty").when(F.col("late"), "stale").otherwise("ready").alias("status"), "chunks")
 
 
+# a stored index
+
+BUCKETS = 64  #: of terms; a question reads those of its own words
+
+
+@dataclass(frozen=True)
+class Index:
+    """Tables under ``path``: postings (bucket, term, chunk_id, tf, size, df and the filter columns), vectors (chunk_id, parts and the filter columns), and stats, one row."""
+
+    spark: SparkSession
+    path: str
+    opened: dict = field(default_factory=dict, compare=False)  #: tables whose files are listed already, and the row of stats
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self.opened:
+            self.opened[name] = self.spark.read.parquet(f"{self.path}/{name}")
+        return self.opened[name]
+
+    def stats(self) -> Row:
+        if "stats" not in self.opened:
+            self.opened["stats"] = self.spark.read.parquet(f"{self.path}/stats").first()
+        return self.opened["stats"]
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(BUCKETS)).cast("int")
+
+
+def build_index(chunks: DataFrame, path: str, filters: list[str] | None = None) -> Index:
+    """Write what every question needs, once: the chunks are tokenised here and never again.
+
+    A null text counts as empty. Postings are dealt by term and sorted, so that a question reads the few row groups of its words; a common term's
+    postings are split over files by chunk. A vector keeps its parts that are not zero, of length 1.
+    """
+    carried = ["chunk_id", *(filters or [])]
+    spark = chunks.sparkSession
+    tokens = chunks.select(*carried, tokenize(F.coalesce("text", F.lit(""))).alias("t")).select(*carried, F.size("t").alias("size"), F.explode_outer("t").alias("term"))
+    counted = tokens.groupBy(*carried, "size", "term").agg(F.count("term").alias("tf"))
+    counted.write.mode("overwrite").parquet(f"{path}/counts")
+    counted = spark.read.parquet(f"{path}/counts")
+    known = counted.filter("term is not null")
+    known.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    terms = spark.read.parquet(f"{path}/terms")
+    dealt = known.join(terms, "term").withColumns({"bucket": _bucket(F.col("term")), "split": F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("df") / 1_000_000))})
+    dealt.repartition("bucket", "split").sortWithinPartitions("bucket", "term").drop("split").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    digest = F.sha2("term", 256)
+    bins = terms.select("term", (F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % DIM).alias("bin"), F.when(F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1).alias("sign"))
+    parts = counted.join(bins, "term", "left").groupBy(*carried, "bin").agg(F.sum(F.col("sign") * F.col("tf")).cast("double").alias("x"))
+    held = F.map_from_entries(F.filter(F.collect_list(F.struct("bin", "x")), lambda p: p["bin"].isNotNull() & (p["x"] != 0)))
+    vectors = parts.groupBy(*carried).agg(held.alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    vectors.select(*carried, F.transform_values("m", lambda k, v: v / F.col("norm")).alias("parts")).write.mode("overwrite").parquet(f"{path}/vectors")
+    size = counted.groupBy("chunk_id").agg(F.first("size").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_length"))
+    short = terms.groupBy("df").agg(F.count(F.lit(1)).alias("terms"))
+    mean = short.join(F.broadcast(size.select("n"))).agg((F.sum(_idf(F.col("n"), F.col("df")) * F.col("terms")) / F.sum("terms")).alias("mean_idf"))
+    size.join(F.broadcast(mean)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    return Index(spark, path)
+
+
+def ask_bm25(index: Index, query: str, keep: Column | None = None, top: int = TOP) -> DataFrame:
+    """``bm25`` on a stored index: of the postings, those of the query's words are read."""
+    asked: dict[str, int] = {}
+    for w in words(query):
+        asked[w] = asked.get(w, 0) + 1
+    found = index.table("postings").filter(F.col("bucket").isin(sorted({zlib.crc32(w.encode()) % BUCKETS for w in asked})) & F.col("term").isin(*asked))
+    if keep is not None:
+        found = found.filter(keep)
+    n = index.stats()
+    raw = _idf(F.lit(n["n"]), F.col("df"))
+    idf = F.when(raw < 0, FLOOR * n["mean_idf"]).otherwise(raw) if n["mean_idf"] is not None else raw
+    times = F.lit(0)
+    for w, t in asked.items():
+        times = F.when(F.col("term") == w, t).otherwise(times)
+    part = times * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / (n["mean_length"] or 1.0)))
+    out = found.groupBy("chunk_id").agg(F.round(F.sum(part), 6).alias("bm25_score")).filter("bm25_score > 0").orderBy(F.desc("bm25_score"), "chunk_id").limit(top)
+    return out.withColumn("bm25_rank", F.row_number().over(Window.orderBy(F.desc("bm25_score"), "chunk_id")))
+
+
+def ask_dense(index: Index, query: str, keep: Column | None = None, top: int = TOP) -> DataFrame:
+    """``dense`` on a stored index: a product over the few parts that the query's vector has."""
+    some = index.table("vectors") if keep is None else index.table("vectors").filter(keep)
+    score = F.lit(0.0)
+    for i, y in enumerate(embed([query])[0]):
+        if y:
+            score = score + F.coalesce(F.try_element_at("parts", F.lit(i)), F.lit(0.0)) * float(y)
+    out = some.select("chunk_id", F.round(score, 6).alias("dense_score")).orderBy(F.desc("dense_score"), "chunk_id").limit(top)
+    return out.withColumn("dense_rank", F.row_number().over(Window.orderBy(F.desc("dense_score"), "chunk_id")))
+
+
+def ask(index: Index, query: str, k: int = 10, keep: Column | None = None) -> DataFrame:
+    """``hybrid`` on a stored index."""
+    lexical = ask_bm25(index, query, keep)
+    if not words(query):
+        return fused(lexical, lexical.select("chunk_id", F.lit(0).alias("dense_rank")).limit(0), k)
+    return fused(lexical, ask_dense(index, query, keep), k)
+
+
 @F.pandas_udf(BinaryType())
 def packed(vectors: pd.Series) -> pd.Series:
     """Vectors as little-endian 32-bit floats, for export."""

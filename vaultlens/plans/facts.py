@@ -129,11 +129,11 @@ def nrr_adjacent(s: S, d: str) -> DataFrame:
     return derive.net_retention(yearly(s, d)).drop("deal_id")
 
 
-@query("""WITH RECURSIVE l AS (SELECT o_orderkey AS fact_id, CAST(floor(o_orderkey / 3) AS BIGINT) AS parent_id FROM orders WHERE o_orderkey < 3000 AND o_orderkey > 2),
+@query("""WITH RECURSIVE l AS (SELECT o_orderkey AS fact_id, CAST(floor(o_orderkey / 3) AS BIGINT) AS parent_id FROM orders WHERE o_orderkey > 2),
 c AS (SELECT fact_id, parent_id AS ancestor_id, 1 AS depth FROM l UNION SELECT c.fact_id, l.parent_id, c.depth + 1 FROM c JOIN l ON l.fact_id = c.ancestor_id)
 SELECT fact_id, ancestor_id, min(depth) AS depth FROM c GROUP BY ALL""")
 def derived_lineage_closure(s: S, d: str) -> DataFrame:
-    links = read(s, d, "orders").filter("o_orderkey < 3000 and o_orderkey > 2").select(F.col("o_orderkey").alias("fact_id"), F.floor(F.col("o_orderkey") / 3).alias("parent_id"))
+    links = read(s, d, "orders").filter("o_orderkey > 2").select(F.col("o_orderkey").alias("fact_id"), F.floor(F.col("o_orderkey") / 3).alias("parent_id"))
     return derive.lineage(links)
 
 
@@ -277,29 +277,31 @@ def contradiction_r7_inflows(s: S, d: str) -> DataFrame:
     return derive.sum_mismatch(fy, stated, ["deal_id", "fiscal_year"], 0.15)
 
 
-@query(f"""WITH {YEARLY}, e AS (SELECT row_number() OVER (ORDER BY seq) AS fact_no, metric, CAST(value * 1.01 AS DECIMAL(24,6)) AS value, period_start, period_end FROM yearly WHERE subject <= 5),
+@query(f"""WITH {YEARLY}, e AS (SELECT seq AS fact_no, metric, CAST(value * 1.01 AS DECIMAL(24,6)) AS value, period_start, period_end FROM yearly),
 m AS (SELECT fact_no, min(f.seq) AS seq FROM e JOIN yearly f ON f.metric = e.metric AND CAST(abs(f.value - e.value) AS DOUBLE) <= 0.02 * CAST(abs(e.value) AS DOUBLE) + 1e-9 AND f.period_start <= e.period_end AND f.period_end >= e.period_start GROUP BY fact_no)
 SELECT fact_no, metric, seq, seq IS NOT NULL AS found FROM e LEFT JOIN m USING (fact_no)""")
 def eval_recall(s: S, d: str) -> DataFrame:
     facts = yearly(s, d)
-    some = facts.filter("subject <= 5").select(F.row_number().over(Window.orderBy("seq")).alias("fact_no"), "metric", (F.col("value") * F.lit(1.01).cast("decimal(3,2)")).cast("decimal(24,6)").alias("value"), "period_start", "period_end", F.lit(2.0).alias("tolerance_pct"))
+    some = facts.select(F.col("seq").alias("fact_no"), "metric", (F.col("value") * F.lit(1.01).cast("decimal(3,2)")).cast("decimal(24,6)").alias("value"), "period_start", "period_end", F.lit(2.0).alias("tolerance_pct"))
     return derive.recall(some, facts)
 
 
 @query("""WITH o AS (SELECT o_orderkey AS chunk_id, o_orderkey % 90 + 10 AS a, o_custkey % 400 + 1 AS h, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders)
 SELECT chunk_id, 'arr' AS metric, 'currency' AS unit, CAST(a * 100000 AS DECIMAL(24,6)) AS value, make_date(y, 1, 1) AS period_start, make_date(y, 12, 31) AS period_end FROM o
 UNION ALL SELECT chunk_id, 'headcount', 'count', CAST(h AS DECIMAL(24,6)), make_date(2000, 1, 1), make_date(2000, 12, 31) FROM o
+UNION ALL SELECT chunk_id, 'revenue', 'currency', CAST(a * 1000 AS DECIMAL(24,6)), make_date(y, 1, 1), make_date(y, 12, 31) FROM o
+UNION ALL SELECT chunk_id, 'net_burn', 'currency', CAST(h * 1000 AS DECIMAL(24,6)), make_date(2000, 1, 1), make_date(2000, 12, 31) FROM o
 UNION ALL SELECT chunk_id, 'gross_margin', 'percent', CAST(a + 0.5 AS DECIMAL(24,6)), make_date(2000, 1, 1), make_date(2000, 12, 31) FROM o""")
 def prose_rule_facts(s: S, d: str) -> DataFrame:
     o = read(s, d, "orders").withColumns({"a": F.col("o_orderkey") % 90 + 10, "h": F.col("o_custkey") % 400 + 1})
-    said = F.concat(F.lit("Our ARR reached $"), (F.col("a") / 10).cast("decimal(10,1)").cast("string"), F.lit("M in FY"), F.year("o_orderdate").cast("string"), F.lit(". Headcount is "), F.col("h").cast("string"), F.lit(".\nGross margin of "), F.col("a").cast("string"), F.lit(".5 % was steady."))
+    said = F.concat(F.lit("Our ARR reached $"), (F.col("a") / 10).cast("decimal(10,1)").cast("string"), F.lit("M in FY"), F.year("o_orderdate").cast("string"), F.lit(". Headcount is "), F.col("h").cast("string"), F.lit(".\nGross margin of "), F.col("a").cast("string"), F.lit(".5 % was steady. Revenue in FY"), F.year("o_orderdate").cast("string"), F.lit(" was $"), F.col("a").cast("string"), F.lit(",000. Net burn over the last 3 months averaged $"), F.col("h").cast("string"), F.lit("k."))
     chunks = o.select(F.lit(1).alias("document_id"), F.col("o_orderkey").alias("chunk_id"), said.alias("text"), F.lit(None).cast("date").alias("doc_date"), F.lit(2000).alias("reference_year"), F.lit(12).alias("fye"))
     return prose.facts(chunks).select("chunk_id", "metric", "unit", "value", "period_start", "period_end")
 
 
-@query("SELECT o_orderkey AS text_id, o_custkey AS entity_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 5 = 0")
+@query("SELECT o_orderkey AS text_id, o_custkey AS entity_id FROM orders JOIN customer ON c_custkey = o_custkey")
 def prose_subjects(s: S, d: str) -> DataFrame:
     customers = read(s, d, "customer").select(F.lit(1).alias("deal_id"), F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("seq"))
-    orders = read(s, d, "orders").filter("o_orderkey % 5 = 0").join(customers.select(F.col("entity_id").alias("o_custkey"), "name"), "o_custkey")
+    orders = read(s, d, "orders").join(customers.select(F.col("entity_id").alias("o_custkey"), "name"), "o_custkey")
     texts = orders.select(F.lit(1).alias("deal_id"), F.col("o_orderkey").alias("text_id"), F.concat(F.lit("A note on "), F.upper("name"), F.lit(", Inc. and its order")).alias("text"))
     return prose.subjects(texts, customers)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +26,17 @@ def query(sql: str | None = None):
     return add
 
 
+INDEXES: dict[tuple[str, str], search.Index] = {}
+
+
+def index(s: S, d: str) -> search.Index:
+    """The index of the documents of a folder, built on the first question of a session and kept in the shared folder."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in INDEXES:
+        INDEXES[key] = search.build_index(chunks(s, d), f"{graph.shared_folder(s)}/index-{uuid.uuid4().hex}", ["lang"])
+    return INDEXES[key]
+
+
 TOKENS = "toks AS (SELECT doc_id AS chunk_id, lang, source, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)"
 STATS = f"""{TOKENS}, n AS (SELECT count(*) AS n, avg(len(t)) AS ml FROM toks), df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest(t) AS term FROM toks) GROUP BY term),
 mi AS (SELECT avg(ln(n - df + 0.5) - ln(df + 0.5)) AS mean_idf FROM df, n)"""
@@ -46,12 +59,12 @@ def bm25_corpus_stats(s: S, d: str) -> DataFrame:
 
 @query(f"WITH {BM25} {TOP} ORDER BY bm25_rank LIMIT 50")
 def bm25_topk(s: S, d: str) -> DataFrame:
-    return search.bm25(chunks(s, d), ASKED)
+    return search.ask_bm25(index(s, d), ASKED)
 
 
 @query(f"WITH {BM25} {TOP} AND lang = 'en' ORDER BY bm25_rank LIMIT 50")
 def bm25_topk_filtered(s: S, d: str) -> DataFrame:
-    return search.bm25(chunks(s, d), ASKED, F.col("lang") == "en")
+    return search.ask_bm25(index(s, d), ASKED, F.col("lang") == "en")
 
 
 def _bins(of: str) -> str:
@@ -75,7 +88,7 @@ def hash_embedding_bins(s: S, d: str) -> DataFrame:
 
 @query(f"WITH {TOKENS}, {DENSE} SELECT * FROM dt ORDER BY dense_rank LIMIT 50")
 def dense_topk_hash(s: S, d: str) -> DataFrame:
-    return search.dense(chunks(s, d), search.embed([ASKED])[0].tolist(), search.embedding(F.col("text")))
+    return search.ask_dense(index(s, d), ASKED)
 
 
 @query("""WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 7), v AS (SELECT vec_id AS chunk_id, round(list_dot_product(embedding::DOUBLE[], e) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(e, e)), 6) AS dense_score FROM embeddings, q)
@@ -92,13 +105,13 @@ HYBRID = f"""{BM25}, {DENSE}, l AS (SELECT chunk_id, bm25_rank FROM ({TOP}) x WH
 
 @query(f"WITH {HYBRID} SELECT chunk_id, score, bm25_rank, dense_rank FROM h ORDER BY score DESC, chunk_id LIMIT 10")
 def search_hybrid(s: S, d: str) -> DataFrame:
-    return search.hybrid(chunks(s, d), ASKED)
+    return search.ask(index(s, d), ASKED)
 
 
 @query(f"""WITH {HYBRID}, k AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM h ORDER BY rank LIMIT 10)
 SELECT chunk_id, CASE rank WHEN 6 THEN 1 WHEN 3 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 6 ELSE rank END AS rank FROM k""")
 def rerank_permutation(s: S, d: str) -> DataFrame:
-    hits = search.hybrid(chunks(s, d), ASKED)
+    hits = search.ask(index(s, d), ASKED)
     ranked = hits.select("chunk_id", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).alias("rank"))
     return search.reranked(ranked, [5, 2, 2, -1, 0])
 
@@ -149,12 +162,12 @@ def entity_normalize(s: S, d: str) -> DataFrame:
 
 
 def named_parts(s: S, d: str) -> DataFrame:
-    part = read(s, d, "part").filter("p_partkey <= 400")
+    part = read(s, d, "part")
     name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", "p_name", "p_brand"))
     return part.select(F.lit(1).alias("deal_id"), F.col("p_type").alias("type"), F.col("p_partkey").alias("entity_id"), name.alias("name"), F.col("p_partkey").alias("seq"))
 
 
-NAMED = r"""e AS (SELECT p_partkey AS id, p_type AS type, regexp_replace(lower(CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || ' ' || p_brand END), '[^\w\s]', ' ', 'g') AS norm FROM part WHERE p_partkey <= 400),
+NAMED = r"""e AS (SELECT p_partkey AS id, p_type AS type, regexp_replace(lower(CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || ' ' || p_brand END), '[^\w\s]', ' ', 'g') AS norm FROM part),
 w AS (SELECT *, list_distinct(list_filter(string_split(norm, ' '), lambda x: x <> '')) AS t FROM e),
 pairs AS (SELECT a.type, a.id AS a, b.id AS b FROM w a JOIN w b ON a.type = b.type AND a.id < b.id WHERE a.norm = b.norm OR list_has_all(a.t, b.t) OR list_has_all(b.t, a.t))"""
 
