@@ -18,7 +18,7 @@ def parse_number(value: Column, text: Column) -> Column:
     A minus before a currency sign, NaN and infinities are no numbers.
     """
     t = F.trim(text)
-    shape = r"^\(?\s*[$€£]?\s*-?\s*\d[\d,]*(?:\.\d+)?\s*(?:[kKmMbB]|%)?\s*\)?$"
+    shape = r"^\(?\s*[$€£]?\s*-?\s*(?:\d[\d,]*(?:\.\d+)?|\.\d+)\s*(?:[kKmMbB]|%)?\s*\)?$"
     plain = F.regexp_replace(t, r"[$€£,%()\skKmMbB]", "")
     scale = F.when(t.rlike(r"[kK]\s*\)?$"), 1_000).when(t.rlike(r"[mM]\s*\)?$"), 1_000_000).when(t.rlike(r"[bB]\s*\)?$"), 1_000_000_000).otherwise(1)
     sign = F.when(t.rlike(r"^\(.*\)$"), -1).otherwise(1)

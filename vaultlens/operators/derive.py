@@ -30,12 +30,12 @@ def gross_profit(facts: DataFrame) -> DataFrame:
     The three metrics are picked out in one aggregate over (subject, period), which a null-safe key costs nothing.
     """
     keys = ["deal_id", "subject", *PERIOD]
-    of = lambda m: F.max_by(F.when(F.col("metric") == m, F.struct("value", "confidence")), F.when(F.col("metric") == m, F.col("seq"))).alias(m)
+    of = lambda m: F.max_by(F.when(F.col("metric") == m, F.struct("value", "confidence", "seq")), F.when(F.col("metric") == m, F.col("seq"))).alias(m)
     one = facts.filter(F.col("metric").isin("revenue", "cogs", "gross_profit") & F.col("value").isNotNull()).groupBy(*keys).agg(of("revenue"), of("cogs"), of("gross_profit"))
     profit = F.coalesce(F.col("gross_profit.value"), F.col("revenue.value") - F.col("cogs.value"))
     sure = F.when(F.col("gross_profit").isNotNull(), F.least("gross_profit.confidence", "revenue.confidence")).otherwise(F.least("revenue.confidence", "cogs.confidence"))
     out = one.filter("revenue is not null").withColumns({"profit": money(profit), "stated": F.col("gross_profit").isNotNull(), "sure": sure}).filter("profit is not null")
-    return out.select(*keys, F.col("profit").alias("gross_profit"), percentage(F.col("profit"), F.col("revenue.value")).alias("gross_margin"), "stated", F.col("sure").alias("confidence"))
+    return out.select(*keys, F.col("profit").alias("gross_profit"), percentage(F.col("profit"), F.col("revenue.value")).alias("gross_margin"), "stated", F.col("sure").alias("confidence"), F.col("revenue.seq").alias("revenue_seq"), F.col("cogs.seq").alias("cogs_seq"), F.col("gross_profit.seq").alias("profit_seq"))
 
 
 def runway(facts: DataFrame) -> DataFrame:
@@ -54,9 +54,14 @@ def runway(facts: DataFrame) -> DataFrame:
     return best.select("deal_id", "subject", F.col("at").alias("as_of"), "cash_seq", "burn_seq", ratio(F.col("cash"), F.col("burn")).alias("runway_months"))
 
 
+def first_contracts(facts: DataFrame) -> DataFrame:
+    """(deal_id, document_id, subject, f): the first contract of each customer of a list."""
+    return facts.filter("metric = 'contract_value' and value is not null").groupBy("deal_id", "document_id", "subject").agg(F.min_by(F.struct("value", "period_end", "seq"), "seq").alias("f"))
+
+
 def concentration(facts: DataFrame, deals: DataFrame) -> DataFrame:
     """The largest contract's share of each customer list: the first fact of each customer, at least two of them."""
-    first = facts.filter("metric = 'contract_value' and value is not null").groupBy("deal_id", "document_id", "subject").agg(F.min_by(F.struct("value", "period_end"), "seq").alias("f"))
+    first = first_contracts(facts)
     sums = first.groupBy("deal_id", "document_id").agg(F.sum("f.value").alias("total"), F.max("f.value").alias("top"), F.count(F.lit(1)).alias("n"), F.max("f.period_end").alias("latest")).filter("n >= 2 and total > 0")
     named = sums.join(deals.select("deal_id", "fye"), "deal_id")
     return named.select("deal_id", "document_id", percentage(F.col("top"), F.col("total")).alias("top_customer_concentration"), F.col("n").alias("customers"), periods.fiscal_year(F.col("latest"), F.col("fye")).alias("fiscal_year"))
@@ -72,6 +77,60 @@ def net_retention(facts: DataFrame, gap_days: int = 45) -> DataFrame:
     return out.select("deal_id", "subject", "period_start", "period_end", "seq", "earlier_seq", F.col("nrr").alias("net_revenue_retention"))
 
 
+def derived(facts: DataFrame, deals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, links) of profit, margin, runway, concentration and retention that don't exist yet.
+
+    New facts: fact_id, deal_id, subject, metric, value, unit, the period, confidence (the least of the parents'). Links: fact_id,
+    parent_id, role (addend, subtrahend, numerator, denominator); the parent is a given fact's seq as text, or a new fact's id. Facts
+    superseded or without a value count for nothing; earlier derived facts (method 'derived') are parents like others, and what
+    equals one of them isn't written again. A customer list's largest contract is its numerator only.
+    """
+    live = facts.filter("value is not null")
+    if "superseded_by" in facts.columns:
+        live = live.filter("superseded_by is null")
+    live = live.withColumn("subject", F.col("subject").cast("string"))
+    columns = ["fact_id", "deal_id", "subject", "metric", "value", "unit", *PERIOD, "confidence"]
+
+    def key(metric: str, value: Column) -> Column:
+        return F.sha2(F.to_json(F.array(F.lit(metric), *(F.col(c).cast("string") for c in ("deal_id", "subject", *PERIOD)), money(value).cast("string"))), 256)
+
+    def made(rows: DataFrame, metric: str, value: Column, unit: str, *parents: tuple[Column, str]) -> DataFrame:
+        links = F.array(*(F.struct(p.cast("string").alias("parent_id"), F.lit(role).alias("role")) for p, role in parents))
+        out = rows.withColumns({"fact_id": key(metric, value), "metric": F.lit(metric), "value": money(value), "unit": F.lit(unit), "links": links})
+        return out.filter("value is not null").select(*columns, "links")
+
+    profit = gross_profit(live)
+    new_profit = profit.filter("not stated")
+    own = F.when(F.col("stated"), F.col("profit_seq").cast("string")).otherwise(key("gross_profit", F.col("gross_profit")))
+    out = made(new_profit, "gross_profit", F.col("gross_profit"), "currency", (F.col("revenue_seq"), "addend"), (F.col("cogs_seq"), "subtrahend"))
+    out = out.unionByName(made(profit, "gross_margin", F.col("gross_margin"), "percent", (own, "numerator"), (F.col("revenue_seq"), "denominator")))
+    sure = lambda c: live.select(F.col("seq").alias(c), F.col("confidence").alias(f"{c}_sure"))
+    months = runway(live).join(sure("cash_seq"), "cash_seq").join(sure("burn_seq"), "burn_seq")
+    months = months.withColumns({"period_type": F.lit("point"), "period_start": F.col("as_of"), "period_end": F.col("as_of"), "confidence": F.least("cash_seq_sure", "burn_seq_sure")})
+    out = out.unionByName(made(months, "runway_months", F.col("runway_months"), "months", (F.col("cash_seq"), "numerator"), (F.col("burn_seq"), "denominator")))
+    later = live.select("seq", "period_type", "as_of", F.col("confidence").alias("own_sure"))
+    kept = net_retention(live).join(later, "seq").join(sure("earlier_seq"), "earlier_seq").withColumn("confidence", F.least("own_sure", "earlier_seq_sure"))
+    out = out.unionByName(made(kept, "net_revenue_retention", F.col("net_revenue_retention"), "percent", (F.col("seq"), "numerator"), (F.col("earlier_seq"), "denominator")))
+    if "document_id" in live.columns:
+        first = first_contracts(live)
+        sure_of = first.join(live.select("seq", "confidence"), F.col("f.seq") == F.col("seq"))
+        lists = sure_of.groupBy("deal_id", "document_id").agg(F.max_by("seq", F.struct("f.value", -F.col("seq"))).alias("top_seq"), F.min("confidence").alias("confidence"))
+        year, fye = F.col("fiscal_year"), F.col("fye")
+        share = concentration(live, deals).join(lists, ["deal_id", "document_id"]).join(deals.select("deal_id", "fye", F.col("company").alias("subject")), "deal_id")
+        share = share.withColumns({"period_type": F.when(year.isNull(), "custom").otherwise("fiscal_year"), "period_start": F.when(year.isNotNull(), periods.fiscal_year_start(year, fye)), "period_end": F.when(year.isNotNull(), periods.fiscal_year_end(year, fye)), "as_of": F.lit(None).cast("date")})
+        value = F.col("top_customer_concentration")
+        others = first.join(share.select("deal_id", "document_id", "top_seq", key("top_customer_concentration", value).alias("fact_id")), ["deal_id", "document_id"]).filter("f.seq <> top_seq")
+        others = others.select("fact_id", F.col("f.seq").cast("string").alias("parent_id"), F.lit("denominator").alias("role"))
+        out = out.unionByName(made(share, "top_customer_concentration", value, "percent", (F.col("top_seq"), "numerator")))
+    if "method" in live.columns:
+        out = not_yet(out, live.filter("method = 'derived'"))
+    links = out.select("fact_id", F.explode("links").alias("l")).select("fact_id", "l.parent_id", "l.role")
+    if "document_id" in live.columns:
+        links = links.unionByName(others.join(out.select("fact_id").distinct(), "fact_id", "left_semi"))
+    new = out.select(*columns)
+    return new.dropDuplicates(["fact_id"]), links.dropDuplicates(["fact_id", "parent_id"])
+
+
 def lineage(links: DataFrame) -> DataFrame:
     """(fact_id, ancestor_id, depth): the closure of (fact_id, parent_id), shortest way, by joins along the links until nothing is new."""
     from .graph import keep

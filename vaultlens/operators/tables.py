@@ -14,7 +14,7 @@ from ..functions.numbers import money, parse_number, percentage
 
 #: Header words of each role, the first role that fits a header cell wins.
 ROLES = {
-    "bank": {"date": ("date", "posted"), "description": ("description", "memo", "details"), "debit": ("debit", "withdrawal"), "credit": ("credit", "deposit"), "balance": ("balance",)},
+    "bank": {"date": ("date", "posted"), "description": ("description", "memo", "details", "narrative", "payee"), "debit": ("debit", "withdrawal", "paid out"), "credit": ("credit", "deposit", "paid in"), "balance": ("balance",)},
     "customers": {"name": ("customer", "client", "account name"), "arr": ("arr", "annual recurring revenue", "annual_recurring_revenue", "contract value"), "start": ("start",), "end": ("end", "renewal"), "segment": ("segment",), "region": ("region",)},
     "cap_table": {"name": ("shareholder", "holder", "investor"), "class": ("class", "security"), "shares": ("shares",), "pct": ("fully_diluted", "fully diluted", "%", "pct", "ownership")},
 }
@@ -35,6 +35,10 @@ LABELS = [
 #: Units other than currency.
 UNITS = {"headcount": "count", "customers_count": "count", "net_revenue_retention": "percent", "gross_revenue_retention": "percent", "gross_margin": "percent", "runway_months": "months"}
 
+#: Forms of a date in a cell, the day first in 01/02/2025, and header words of columns of money.
+DAYS = ("yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-MMM-yyyy", "yyyy/M/d")
+MONEY_WORDS = ("revenue", "amount", "price", "arr", "mrr", "balance", "cost", "total", "salary", "value")
+
 
 def label_metric(label: Column) -> Column:
     out = None
@@ -69,9 +73,9 @@ def headers(cells: DataFrame, kind: str) -> DataFrame:
 
 
 def records(cells: DataFrame, kind: str, *roles: str) -> DataFrame:
-    """A row for each data row of each fitting table, with a struct (text, value_num, value_date) for each role."""
+    """A row for each data row of each fitting table, with a struct (text, value_num, value_date, col) for each role."""
     data = cells.join(headers(cells, kind), ["table_id", "col"]).filter("row > header_row")
-    value = F.struct("text", "value_num", "value_date")
+    value = F.struct("text", "value_num", "value_date", "col")
     return data.groupBy("deal_id", "document_id", "table_id", "row").agg(*(F.first(F.when(F.col("role") == r, value), ignorenulls=True).alias(r) for r in roles))
 
 
@@ -150,7 +154,7 @@ def pnl_facts(cells: DataFrame, deals: DataFrame) -> DataFrame:
     labels = labels.withColumn("metric", F.explode(F.when(recurring, F.array("metric", F.lit("recurring_revenue"))).otherwise(F.array("metric"))))
     values = cells.filter("col > 0").withColumn("value", parse_number(F.col("value_num"), F.col("text"))).filter("value is not null")
     out = values.join(heads, ["table_id", "col"]).filter("row > header_row").join(labels, ["table_id", "row"])
-    return out.select("deal_id", "document_id", "metric", "value", metric_unit(F.col("metric")).alias("unit"), F.col("period.type").alias("period_type"), F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"), F.col("period.as_of").alias("as_of"), F.lit(0.95).alias("confidence"), "row", "col")
+    return out.select("deal_id", "document_id", "metric", "value", metric_unit(F.col("metric")).alias("unit"), F.col("period.type").alias("period_type"), F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"), F.col("period.as_of").alias("as_of"), F.lit(0.95).alias("confidence"), "row", "col", "table_id", "text", "label")
 
 
 def column_types(values: DataFrame, group: list[str]) -> DataFrame:
@@ -158,24 +162,30 @@ def column_types(values: DataFrame, group: list[str]) -> DataFrame:
     v, name = F.trim("value"), F.lower(F.coalesce("header", F.lit("")))
     plain = F.regexp_replace(v, r"[$€£,\s]", "")
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
-    iso = F.try_to_timestamp(v, F.lit("yyyy-MM-dd")).isNotNull() & v.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    day = F.coalesce(*(F.try_to_timestamp(v, F.lit(f)) for f in DAYS)).isNotNull()
     sums = values.filter(v != "").groupBy(*group).agg(
-        share(v.rlike(r"^-?[\d,.]+\s*%$")).alias("percent"), share(iso).alias("date"), share(plain.rlike(r"^-?\d+(\.\d+)?$")).alias("numeric"),
-        share(v.rlike("[$€£]")).alias("signs"), F.max(name.rlike("amount|price|balance|revenue|cost|arr")).alias("money"),
+        share(v.rlike(r"^-?[\d,.]+\s*%$")).alias("percent"), share(day).alias("date"), share(plain.rlike(r"^-?\d+(\.\d+)?$")).alias("numeric"),
+        share(v.rlike("[$€£]")).alias("signs"), F.max(name.rlike("|".join(MONEY_WORDS))).alias("money"),
     )
     kind = F.when(F.col("percent") >= 0.8, "percent").when(F.col("date") >= 0.8, "date").when((F.col("numeric") >= 0.8) & ((F.col("signs") >= 0.5) | F.col("money")), "currency").when(F.col("numeric") >= 0.8, "numeric").otherwise("text")
     return sums.select(*group, kind.alias("type"))
 
 
-def match_score(cells: DataFrame, documents: DataFrame) -> DataFrame:
-    """(table_id, extractor, score) of every extractor that reads a table, best first in ``rank``: 0.8, and 0.2 more for the right document type."""
+def match_score(cells: DataFrame, documents: DataFrame, deals: DataFrame | None = None) -> DataFrame:
+    """(table_id, extractor, score) of every extractor that reads a table, best first in ``rank``: 0.8, and 0.2 more for the right document type.
+
+    With ``deals`` P&L sheets count too: 0.4, 0.15 more for each row that is read and 0.2 for the document type, 1 at most.
+    """
     kinds = {"bank": "bank_statement", "customers": "customer_list", "cap_table": "cap_table"}
     out = None
     for place, (kind, doc_type) in enumerate(kinds.items()):
-        some = headers(cells, kind).select("table_id").distinct().withColumns({"extractor": F.lit(kind), "doc_type_of": F.lit(doc_type), "place": F.lit(place)})
+        some = headers(cells, kind).select("table_id").distinct().withColumns({"extractor": F.lit(kind), "doc_type_of": F.lit(doc_type), "place": F.lit(place), "base": F.lit(0.8)})
         out = some if out is None else out.unionByName(some)
+    if deals is not None:
+        sheets = pnl_facts(cells, deals).groupBy("table_id").agg(F.count_distinct("row").alias("n"))
+        out = out.unionByName(sheets.select("table_id", F.lit("pnl").alias("extractor"), F.lit("financial_statement").alias("doc_type_of"), F.lit(len(kinds)).alias("place"), (0.4 + 0.15 * F.col("n")).alias("base")))
     tables = cells.select("table_id", "document_id").distinct().join(documents.select("document_id", "doc_type"), "document_id")
-    scored = out.join(tables, "table_id").withColumn("score", 0.8 + F.when(F.col("doc_type") == F.col("doc_type_of"), 0.2).otherwise(0.0))
+    scored = out.join(tables, "table_id").withColumn("score", F.least(F.lit(1.0), F.col("base") + F.when(F.col("doc_type") == F.col("doc_type_of"), 0.2).otherwise(0.0)))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("table_id").orderBy(F.desc("score"), "place"))).select("table_id", "extractor", "score", "rank")
 
 

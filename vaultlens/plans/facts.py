@@ -87,6 +87,34 @@ def pnl_unpivot(s: S, d: str) -> DataFrame:
     return yearly(s, d).select("subject", "metric", "value", "period_start", "period_end")
 
 
+@query(f"""WITH {YEARLY} SELECT subject AS document_id, metric, value, period_start, period_end FROM yearly
+UNION ALL SELECT subject, 'revenue', value, period_start, period_end FROM yearly WHERE metric = 'recurring_revenue'""")
+def pnl_sheet_facts(s: S, d: str) -> DataFrame:
+    """A P&L sheet for each supplier: years across, three labelled rows, read back by the extractor. Subscriptions are revenue too."""
+    told = yearly(s, d).select(F.col("subject").alias("document_id"), "value", F.year("period_start").alias("y"), F.array_position(F.array(F.lit("revenue"), F.lit("cogs"), F.lit("recurring_revenue")), F.col("metric")).cast("int").alias("row"))
+    label = F.element_at(F.array(F.lit("Net sales"), F.lit("Cost of goods sold"), F.lit("Subscription revenue")), F.col("row"))
+    none = F.lit(None).cast("decimal(24,6)")
+    cell = lambda df, row, col, text, value: df.select(F.lit(0).alias("deal_id"), "document_id", F.col("document_id").alias("table_id"), row.alias("row"), col.alias("col"), text.alias("text"), value.alias("value_num"), F.lit(None).cast("date").alias("value_date"))
+    year = F.col("y") - 1990
+    cells = cell(told, F.col("row"), year, F.col("value").cast("string"), F.col("value"))
+    cells = cells.unionByName(cell(told.select("document_id", "row").distinct(), F.col("row"), F.lit(0), label, none))
+    cells = cells.unionByName(cell(told.select("document_id", "y").distinct(), F.lit(0), year, F.concat(F.lit("FY"), F.col("y").cast("string")), none))
+    one = s.range(1).select(F.lit(0).alias("deal_id"), F.lit(12).alias("fye"))
+    return tables.pnl_facts(cells, one).select("document_id", "metric", "value", "period_start", "period_end")
+
+
+@query(f"""WITH {YEARLY}, w AS (SELECT subject, period_start, period_end, max(CASE WHEN metric = 'revenue' THEN value END) AS r, max(CASE WHEN metric = 'cogs' THEN value END) AS c FROM yearly GROUP BY ALL),
+p AS (SELECT *, CAST(r - c AS DECIMAL(24,6)) AS profit FROM w WHERE r IS NOT NULL AND c IS NOT NULL),
+n AS (SELECT *, lag(value) OVER o AS earlier, lag(period_end) OVER o AS earlier_end FROM yearly WHERE metric = 'recurring_revenue' WINDOW o AS (PARTITION BY subject ORDER BY period_start, seq))
+SELECT CAST(subject AS VARCHAR) AS subject, 'gross_profit' AS metric, profit AS value, period_start, period_end, CAST(2 AS BIGINT) AS parents FROM p
+UNION ALL SELECT CAST(subject AS VARCHAR), 'gross_margin', CAST(round_even(CAST(profit AS DOUBLE) / CAST(r AS DOUBLE) * 100, 2) AS DECIMAL(24,6)), period_start, period_end, 2 FROM p WHERE r <> 0
+UNION ALL SELECT CAST(subject AS VARCHAR), 'net_revenue_retention', CAST(round_even(CAST(value AS DOUBLE) / CAST(earlier AS DOUBLE) * 100, 2) AS DECIMAL(24,6)), period_start, period_end, 2 FROM n WHERE date_diff('day', earlier_end, period_start) BETWEEN 1 AND 45 AND earlier <> 0""")
+def derived_facts(s: S, d: str) -> DataFrame:
+    """All derivations in one run, each with the number of its parents."""
+    new, links = derive.derived(yearly(s, d), deals(s, d))
+    return new.join(links.groupBy("fact_id").agg(F.count(F.lit(1)).alias("parents")), "fact_id").select("subject", "metric", "value", "period_start", "period_end", "parents")
+
+
 @query("""WITH l(label) AS (SELECT DISTINCT CASE l_returnflag WHEN 'R' THEN 'Net sales' WHEN 'A' THEN 'SaaS revenue' ELSE 'Cost of goods sold' END || ' ' || l_linestatus FROM lineitem)
 SELECT label, CASE WHEN label LIKE 'Cost of goods%' THEN 'cogs' ELSE 'revenue' END AS metric, 'currency' AS unit FROM l""")
 def pnl_label_metrics(s: S, d: str) -> DataFrame:

@@ -67,7 +67,7 @@ def detect(filename: str, raw: bytes) -> str | None:
     return ext if ext in MIME else None
 
 
-DATES = ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d.%m.%Y", "%d %b %Y")  #: Fixed values, in this order: the day comes first in 01/02/2025.
+DATES = ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d-%b-%Y", "%Y/%m/%d")  #: Fixed values, in this order: the day comes first in 01/02/2025.
 
 
 def number_of(text: str) -> str | None:
