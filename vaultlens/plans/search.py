@@ -208,6 +208,17 @@ def graph_edges(s: S, d: str) -> DataFrame:
     return relations(s, d).select("type", "source_id", "target_id")
 
 
+@query("""WITH c AS (SELECT c_custkey AS document_id, n_name AS company, c_name AS party, 'MSA ' || c_name AS contract FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT document_id, 'has_contract' AS type, company AS source, contract AS target FROM c UNION ALL SELECT document_id, 'has_customer', company, party FROM c UNION ALL SELECT document_id, 'has_contract', party, contract FROM c""")
+def contract_graph_edges(s: S, d: str) -> DataFrame:
+    """A contract between each customer and its nation's company, whose parties are read out of its text."""
+    of = deals(s, d).select("deal_id", "company")
+    customers = read(s, d, "customer").select(F.col("c_nationkey").alias("deal_id"), F.col("c_custkey").alias("document_id"), "c_name")
+    said = F.concat(F.lit("This agreement is made between "), F.col("company"), F.lit(" and "), F.col("c_name"), F.lit(". It is governed by law."))
+    papers = customers.join(of, "deal_id").select("deal_id", "document_id", F.concat(F.lit("MSA_"), F.col("c_name"), F.lit(".pdf")).alias("filename"), said.alias("text"), "company")
+    return graph.contract_graph(papers)[1].select("document_id", "type", "source", "target")
+
+
 @query(f"WITH {EDGES}, {NODES}, k AS (SELECT entity_id FROM nodes WHERE seq % 10 <> 9 ORDER BY seq, entity_id LIMIT 500) SELECT type, source_id, target_id FROM edges WHERE source_id IN (FROM k) AND target_id IN (FROM k)")
 def graph_live_filter(s: S, d: str) -> DataFrame:
     return graph.live_graph(nodes(s, d), relations(s, d))[1].select("type", "source_id", "target_id")
