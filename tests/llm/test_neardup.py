@@ -140,3 +140,10 @@ def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200)]
     out = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert out == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+
+
+def test_components_with_hubs_among_other_nodes(spark):
+    """Two hubs of 3000 edges each, one of them tied to 500 chains of three; only hubs have more than a thousandth of the edges."""
+    edges = [(0, i) for i in range(10, 3010)] + [(i, 9000) for i in range(5000, 8000)] + [(x, y) for i in range(500) for x, y in ((20000 + 3 * i, 20001 + 3 * i), (20001 + 3 * i, 20002 + 3 * i), (20002 + 3 * i, 9000))]
+    out = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {i: 0 for i in (0, *range(10, 3010))} | {i: 5000 for i in (9000, *range(5000, 8000), *range(20000, 21500))}

@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 from .common import cut, tidy
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: A hub has over one in so many of the edges, so there are at most so many hubs; its edges are dealt over ``SALTS`` tasks.
+HUBS, SALTS = 1000, 32
+
+
+def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
     """Tie each node's neighbours, the larger or the smaller ones, to the least node among it and all of those.
 
-    A node's least neighbour is a partial aggregate and then one row to join, so that a hub's edges are never gathered.
+    A node's least neighbour is a partial aggregate and then one row to join; that row is repeated for hubs, those with more
+    than ``most`` edges, so that a hub's edges are never gathered.
     """
     both = edges if not large else edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    out = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), (F.count(F.lit(1)) > most).alias("hub"))
+    hubs = F.broadcast(least.filter("hub").select("a", "hub"))
+    dealt = both.join(hubs, "a", "left").select("a", "b", F.when(F.col("hub"), F.pmod(F.hash("b"), F.lit(SALTS))).otherwise(0).alias("salt"))
+    copies = F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    out = dealt.join(least.select("a", "m", F.explode(copies).alias("salt")), ["a", "salt"])
     if large:
         out = out.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -26,10 +34,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; the component is its least node. ``edges``: (a, b), any order."""
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    while not now.isEmpty():
-        fresh = cut(_star(_star(now, True), False))
-        same = fresh.count() == now.count() and fresh.join(now, ["a", "b"], "left_anti").isEmpty()
-        now = fresh
+    n = now.count()
+    while n:
+        # a star has at most twice the edges it is given, so neither step has more than HUBS hubs
+        most = 2 * n // HUBS + 1
+        fresh = cut(_star(_star(now, True, most), False, most))
+        m = fresh.count()
+        same = m == n and fresh.join(now, ["a", "b"], "left_anti").isEmpty()
+        now, n = fresh, m
         tidy(edges.sparkSession)
         if same:
             break
