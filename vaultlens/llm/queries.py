@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, hmm, language, mixing, neardup, packing, quality, quotes, reputation, sharding
+from . import fingerprint, hmm, language, merkle, mixing, neardup, packing, quality, quotes, reputation, sharding, simhash, whitening
 from .common import table
 
 
@@ -59,9 +59,21 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))[0]
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link(table(spark, sf_dir, "documents")).select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"), **merkle.lowered_fifth())
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_reputation": reputation.SQL, "op6_mix": mixing.SQL, "op9_quote_links": quotes.SQL}
+    return {"op4_url_reputation": reputation.SQL, "op6_mix": mixing.SQL, "op9_quote_links": quotes.SQL, "op13_merkle": merkle.SQL}
