@@ -12,7 +12,7 @@ nothing is compared that the bound rules out in both halves.
 
 Equal fingerprints are one class before anything is joined, whatever their number. Cells are counted first: those in which
 nobody meets go before rows are shuffled by cell, and a cell of many is cut into blocks of bounded rows, of which each two
-meet in a task of their own. A large block returns links that span it, never all its pairs.
+meet in a task of their own. What is compared at once returns links that span it, never all its pairs.
 
 With segments of two bits two strangers meet with a probability of about 2**-17, so a billion distinct fingerprints need
 ``width`` 1, where it is 2**-26.
@@ -135,6 +135,23 @@ def close_rows(fp: np.ndarray, home: np.ndarray, bits: int) -> list[tuple[int, i
     return out
 
 
+def forest(left: np.ndarray, right: np.ndarray, nodes: int) -> np.ndarray:
+    """Places of the pairs (left, right) that tie what those before them don't."""
+    root, kept = list(range(nodes)), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for at, (i, j) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            kept.append(at)
+    return np.array(kept, np.int64)
+
+
 def links(classes: DataFrame, s: Settings) -> DataFrame:
     """(a, b): classes that differ in few bits, as many of them as span all that do."""
     rows = cells(classes, s)
@@ -165,8 +182,11 @@ def links(classes: DataFrame, s: Settings) -> DataFrame:
             found = np.array(close_rows(fp[lo:hi], home[lo:hi], s.bits), np.int64).reshape(-1, 2) + lo
             left.append(found[:, 0])
             right.append(found[:, 1])
-        take = lambda at: rep.take(pa.array(np.concatenate(at)))
-        return pa.RecordBatch.from_arrays([take(left), take(right)], ["a", "b"])
+        node = np.unique(fp, return_inverse=True)[1]
+        i, j = np.concatenate(left), np.concatenate(right)
+        kept = forest(node[i], node[j], len(fp))
+        take = lambda at: rep.take(pa.array(at[kept]))
+        return pa.RecordBatch.from_arrays([take(i), take(j)], ["a", "b"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # ends in the group that the next batch may go on with
