@@ -61,13 +61,22 @@ def sentence_at(text: Column, position: Column) -> Column:
     return F.trim(F.concat(head, tail))
 
 
+#: What ends the second party's name, words of it after a blank; and the words before a dash in the heading of a contract.
+PARTY_ENDS, PARTY_END_WORDS = "(,.\u2014", ("under", "dated")
+CONTRACT_HEADS = ("order form", "statement of work", "sow", "master services agreement", "msa", "agreement")
+PARTY_LENGTH = "{2,80}"  #: Fixed value.
+
+
 def counterparty(text: Column, file_title: Column, company: Column) -> Column:
-    """Of "between X and Y" the second party, or the first if that is the company, else what follows a dash in the title."""
-    said = r"(?i)\bbetween\s+([^\n]+?)\s+and\s+([^\n.;(]+?)\s*(?:[.;(\n]|$)"
-    named = lambda c: F.nullif(F.regexp_replace(F.trim(c), r"[,\s]+$", ""), F.lit(""))
-    other = lambda c: F.when(comparison_name(c, True) != comparison_name(company, True), c)
-    second, first, dashed = named(F.regexp_extract(text, said, 2)), named(F.regexp_extract(text, said, 1)), named(F.regexp_extract(file_title, r"[—–]\s*(.+)$", 1))
-    return F.coalesce(other(second), other(first), other(dashed))
+    """Of "between X and Y" the second party, or the first if that is the company; else what follows a contract's heading and a dash, in the text or in the file's title."""
+    ends = rf"(?:[{PARTY_ENDS}]|\s(?:{'|'.join(PARTY_END_WORDS)})\s|$)"
+    said = rf"(?i)between\s+(.{PARTY_LENGTH}?)\s+and\s+(.{PARTY_LENGTH}?)\s*{ends}"
+    headed = rf"(?i)(?:{'|'.join(CONTRACT_HEADS)})\s*[\u2014\u2013-]\s*([^\n]{PARTY_LENGTH})"
+    line = squeeze(text)
+    own = comparison_name(company)
+    other = lambda c: F.when((c != "") & (comparison_name(c) != own), c)
+    after = lambda c: F.regexp_replace(F.trim(F.regexp_extract(c, headed, 1)), r"\.+$", "")
+    return F.coalesce(other(F.regexp_extract(line, said, 2)), other(F.regexp_extract(line, said, 1)), other(after(text)), other(after(file_title)))
 
 
 MAILBOX = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"

@@ -16,9 +16,10 @@ from ..functions import periods
 from ..functions.numbers import money
 from ..functions.text import comparison_name, squeeze
 from . import tables
-from .graph import keep
+from .steps import keep
 
 ACCOUNT = r"(?i)\b(?:acct|account|a/c)\b|\d{6,}"  #: Fixed value: a cell above a statement's header that names its account.
+FITS = 0.5  #: Fixed value: least score of an extractor that reads a table.
 NAME = 120  #: Fixed value: characters of an account's name.
 PERIOD = ["period_type", "period_start", "period_end", "as_of"]
 FACT = ["deal_id", "document_id", "table_id", "part", "subject_type", "subject", "metric", "unit", *PERIOD]
@@ -142,31 +143,32 @@ READERS = {"bank": _bank, "customers": _customers, "cap_table": _cap_table, "pnl
 
 
 def extracted(cells: DataFrame, documents: DataFrame, deals: DataFrame) -> Extracted:
-    """Facts, entities, aliases, relations and evidence of all tables, each read by the extractor that fits it best.
+    """Facts, entities, aliases, relations and evidence of all tables, each read by all extractors that fit it, the best first.
 
     ``documents`` are (document_id, doc_type), ``deals`` (deal_id, company, fye). A fact that a document has said before (an earlier
     table or row, with the same subject, metric, value and period) isn't said again. The company is an entity with the first
     cell of its first table as evidence. Tables that no extractor reads say nothing; of no tables all results are empty.
     """
-    best = keep(tables.match_score(cells, documents, deals).filter("rank = 1").select("table_id", "extractor"))
-    parts = [reader(cells.join(best.filter(F.col("extractor") == kind).select("table_id"), "table_id", "left_semi"), deals) for kind, reader in READERS.items()]
+    fits = keep(tables.match_score(cells, documents, deals).filter(F.col("score") >= FITS).select("table_id", "extractor", "rank"))
+    parts = [[p if p is None else p.withColumn("extractor", F.lit(kind)) for p in reader(cells.join(fits.filter(F.col("extractor") == kind).select("table_id"), "table_id", "left_semi"), deals)] for kind, reader in READERS.items()]
     union = lambda i: _all([p[i] for p in parts if p[i] is not None])
+    own = [*FACT, "extractor"]
     said, entities, aliases, relations = union(0), union(1), union(2), union(3)
     value = F.when(F.col("how") == "share", money(money(F.col("most")) / F.nullif(money(F.col("total")), money(F.lit(0))) * 100)).otherwise(money(F.col("total")))
-    facts = said.groupBy(*FACT, "how").agg(F.sum("amount").alias("total"), F.max("amount").alias("most")).withColumn("value", value)
-    facts = facts.filter("value is not null and (how <> 'not zero' or value <> 0)").withColumn("fact_id", key(*map(F.col, FACT)))
+    facts = said.groupBy(*own, "how").agg(F.sum("amount").alias("total"), F.max("amount").alias("most")).withColumn("value", value)
+    facts = facts.filter("value is not null and (how <> 'not zero' or value <> 0)").withColumn("fact_id", key(*map(F.col, own))).join(fits, ["table_id", "extractor"])
     same = ["deal_id", "document_id", "subject_type", "subject", "metric", "unit", "value", *PERIOD]
-    facts = facts.groupBy(*same).agg(F.min_by(F.struct("fact_id", "table_id"), F.struct("table_id", "part")).alias("f")).select("f.fact_id", "f.table_id", *same, F.lit(0.95).alias("confidence"))
+    facts = facts.groupBy(*same).agg(F.min_by(F.struct("fact_id", "table_id"), F.struct("table_id", "rank", "part")).alias("f")).select("f.fact_id", "f.table_id", *same, F.lit(0.95).alias("confidence"))
     known = F.struct("document_id", "table_id", "row", "col", F.col("text").alias("quote"))
-    owner = cells.filter(F.trim("text") != "").join(best.select("table_id"), "table_id", "left_semi").groupBy("deal_id").agg(F.min_by(known, F.struct("document_id", "table_id", "row", "col")).alias("cell")).join(deals.select("deal_id", "company"), "deal_id")
-    entities = entities.unionByName(_entity(owner, "company", "company", F.col("cell")))
-    cited = said.select(F.lit("fact").alias("kind"), key(*map(F.col, FACT)).alias("target_id"), F.explode("cells").alias("c")).join(facts.select(F.col("fact_id").alias("target_id")), "target_id", "left_semi")
+    owner = cells.filter(F.trim("text") != "").join(fits.select("table_id"), "table_id", "left_semi").groupBy("deal_id").agg(F.min_by(known, F.struct("document_id", "table_id", "row", "col")).alias("cell")).join(deals.select("deal_id", "company"), "deal_id")
+    entities = entities.drop("extractor").unionByName(_entity(owner, "company", "company", F.col("cell")))
+    cited = said.select(F.lit("fact").alias("kind"), key(*map(F.col, own)).alias("target_id"), F.explode("cells").alias("c")).join(facts.select(F.col("fact_id").alias("target_id")), "target_id", "left_semi")
     cited = cited.unionByName(entities.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("target_id"), F.col("cell").alias("c")))
     cited = cited.unionByName(relations.select(F.lit("relation").alias("kind"), F.col("relation_id").alias("target_id"), F.explode("cells").alias("c")))
     where = F.struct(*(F.col(f"{c}") for c in ("cell.document_id", "cell.table_id", "cell.row", "cell.col")))
     first = entities.groupBy("deal_id", "entity_id", "type", "name").agg(F.min_by("attrs", where).alias("attrs"))
     tied = relations.groupBy("deal_id", "relation_id", "type", "source_id", "target_id").agg(F.min_by("attrs", F.struct(F.col("cells")[0]["document_id"], F.col("cells")[0]["table_id"], F.col("cells")[0]["row"])).alias("attrs"))
-    return Extracted(facts, first, aliases.distinct(), tied, cited.select("kind", "target_id", "c.*").distinct())
+    return Extracted(facts, first, aliases.drop("extractor").distinct(), tied, cited.select("kind", "target_id", "c.*").distinct())
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:

@@ -5,135 +5,56 @@ Entities: deal_id, entity_id, type, name, seq. Relations: deal_id, type, source_
 
 from __future__ import annotations
 
-import tempfile
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from ..functions.text import comparison_name, counterparty, mailboxes, title
-
-ALIKE = 92
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for data all executors can read. Only a local master may do without: it gets a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp())
-    return context.getCheckpointDir()
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a step of an iteration, in the folder that the cluster names."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
+from ..functions.text import comparison_name, counterparty, mailboxes, sentence_at, squeeze, title
+from .names import ALIKE as ALIKE
+from .names import alike as alike
+from .names import resolution_pairs as resolution_pairs
+from .names import token_set_ratio as token_set_ratio
+from .steps import keep
+from .steps import shared_folder as shared_folder
 
 def entity_id(*of: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(c.cast("string") for c in of)), 256)
 
 
+def quoted(text: Column, needle: Column) -> Column:
+    """The line or sentence of a text that has ``needle``, in any case and white space."""
+    at = F.instr(F.lower(text), F.lower(needle))
+    plain = squeeze(text)
+    there = F.instr(F.lower(plain), F.lower(squeeze(needle)))
+    return F.when(at > 0, sentence_at(text, at)).when(there > 0, F.trim(F.substr(plain, there, F.length(needle))))
+
+
 def contract_graph(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities and relations of contracts (deal_id, document_id, filename, text, company): the contract, its other party, and how they hang together."""
+    """Entities and relations of contracts (deal_id, document_id, filename, text, company): the contract, its other party, and how they hang together.
+
+    All are quoted from the line that names the party, else from the first line; ``seq`` orders them by document.
+    """
     named = documents.withColumns({"contract": title(F.col("filename")), "party": counterparty(F.col("text"), title(F.col("filename")), F.col("company"))})
-    entity = lambda df, kind, name: df.select("deal_id", F.lit(kind).alias("type"), F.col(name).alias("name"), "document_id").filter("name is not null")
+    named = named.withColumns({"quote": F.coalesce(quoted(F.col("text"), F.col("party")), F.trim(F.split("text", "\n")[0])), "seq": F.col("document_id").cast("string")})
+    told = ["document_id", "quote", "seq"]
+    entity = lambda df, kind, name: df.select("deal_id", F.lit(kind).alias("type"), F.col(name).alias("name"), *told).filter("name is not null")
     entities = entity(named, "contract", "contract").unionByName(entity(named, "customer", "party")).unionByName(entity(named, "company", "company"))
-    edge = lambda df, kind, a, b: df.select("deal_id", F.lit(kind).alias("type"), F.col(a).alias("source"), F.col(b).alias("target"), "document_id").filter("source is not null and target is not null")
+    kinds = {"company": "company", "contract": "contract", "party": "customer"}
+    edge = lambda df, kind, a, b: df.select("deal_id", F.lit(kind).alias("type"), F.lit(kinds[a]).alias("source_type"), F.col(a).alias("source"), F.lit(kinds[b]).alias("target_type"), F.col(b).alias("target"), *told).filter("source is not null and target is not null")
     edges = edge(named, "has_contract", "company", "contract").unionByName(edge(named, "has_customer", "company", "party")).unionByName(edge(named, "has_contract", "party", "contract"))
     return entities, edges
 
 
 def email_graph(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """People of messages (deal_id, document_id, text, company); the company employs those whose domain holds its first word."""
-    one = messages.select("deal_id", "document_id", "company", F.explode(mailboxes(F.col("text"))).alias("m")).select("deal_id", "document_id", "company", "m.address", "m.name").dropDuplicates(["deal_id", "document_id", "address"])
-    people = one.select("deal_id", F.lit("person").alias("type"), "name", "document_id")
-    first = F.split(comparison_name(F.col("company"), True), " ")[0]
+    """People of messages (deal_id, document_id, text, company), quoted from their header lines; the company employs those whose domain holds its first word."""
+    lines = F.regexp_extract_all(F.col("text"), F.lit(r"(?im)^(?:from|to|cc):[^\n]*$"), 0)
+    each = messages.select("deal_id", "document_id", "company", F.explode(F.transform(lines, lambda x: F.struct(x.alias("line"), mailboxes(x).alias("boxes")))).alias("l"))
+    one = each.select("deal_id", "document_id", "company", F.trim("l.line").alias("quote"), F.explode("l.boxes").alias("m")).select("deal_id", "document_id", "company", "quote", "m.address", "m.name")
+    one = one.distinct().withColumn("seq", F.col("document_id").cast("string"))
+    people = one.select("deal_id", F.lit("person").alias("type"), "name", "document_id", "quote", "seq")
+    first = F.split(comparison_name(F.col("company")), " ")[0]
     works = one.filter((first != "") & F.contains(F.substring_index("address", "@", -1), first))
-    return people, works.select("deal_id", F.lit("employs").alias("type"), F.col("company").alias("source"), F.col("name").alias("target"), "document_id")
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    """Similarity of two sets of words, 0 to 100: 100 if one holds the other, else the best of three comparisons of sorted words."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both, left, right = sorted(x & y), sorted(x - y), sorted(y - x)
-    if both and (not left or not right):
-        return 100.0
-    base = " ".join(both)
-    whole = [" ".join(filter(None, [base, " ".join(s)])) for s in (left, right)]
-    ratios = [_indel(*whole)]
-    if both:
-        ratios += [_indel(base, whole[0]), _indel(base, whole[1])]
-    return max(ratios)
-
-
-def _indel(a: str, b: str) -> float:
-    """100 * 2 * common subsequence / both lengths, by bit-parallel rows."""
-    if not a and not b:
-        return 100.0
-    place: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        place[ch] = place.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        u = row & place.get(ch, 0)
-        row = (row + u | row - u) & full
-    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
-
-
-@F.pandas_udf(DoubleType())
-def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b, strict=True)])
-
-
-def resolution_pairs(entities: DataFrame, threshold: float = ALIKE, aliases: DataFrame | None = None) -> DataFrame:
-    """(deal_id, type, a, b) of entities of a type that are alike, or of which one bears the other's alias.
-
-    Equal names meet once, in a group. A name that is part of another holds no word that the other lacks, so its rarest word
-    meets the words of the others. Names that are alike otherwise differ by few insertions and deletions, each of which touches three
-    3-grams at most; so they share one among the rarest grams of either, of which there are as many as may be lost and one
-    more. Common words and grams thus bring nobody together. The UDF sees distinct names only.
-    """
-    named = entities.select("deal_id", "type", "entity_id", comparison_name(F.col("name")).alias("norm")).filter("norm <> ''")
-    names = named.groupBy("deal_id", "type", "norm").agg(F.min("entity_id").alias("rep"))
-    same = named.join(names, ["deal_id", "type", "norm"]).filter("entity_id <> rep").select("deal_id", "type", F.col("rep").alias("a"), F.col("entity_id").alias("b"))
-    group = ["deal_id", "type"]
-
-    def ranked(parts: Column) -> DataFrame:
-        """Names with their parts, the rarest of the group first."""
-        each = names.select(*group, "norm", F.explode(parts).alias("part"))
-        often = each.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("n"))
-        order = F.array_sort(F.collect_list(F.struct("n", "part")))  # a name's own parts
-        return each.join(often, [*group, "part"]).groupBy(*group, "norm").agg(F.transform(order, lambda x: x["part"]).alias("parts"))
-
-    words = ranked(F.array_distinct(F.split("norm", " ")))
-    of_word = lambda w: F.when(F.length(w) < 3, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3))))
-    grams = ranked(F.array_distinct(F.flatten(F.transform(F.split("norm", " "), of_word))))
-    slack = (100 - threshold) / 100  # insertions and deletions are at most this part of both lengths, the longer of which is bounded by the shorter
-    lost = 3 * F.floor(F.length("norm") * (slack + slack * (1 + slack) / (1 - slack))).cast("int")
-    first = grams.select(*group, "norm", F.explode(F.slice("parts", F.lit(1), F.least(F.size("parts"), lost + 1))).alias("key"))
-    side = lambda df, c: df.withColumnRenamed("norm", c)
-    pairs = side(first, "na").join(side(first, "nb"), [*group, "key"]).select(*group, "na", "nb")
-    held = words.select(*group, F.col("norm").alias("na"), F.col("parts")[0].alias("key"))
-    pairs = pairs.unionByName(held.join(words.select(*group, F.col("norm").alias("nb"), F.explode("parts").alias("key")), [*group, "key"]).select(*group, "na", "nb"))
-    pairs = pairs.filter("na <> nb").select(*group, F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb")).distinct()
-    rep = lambda n, c: names.select(*group, F.col("norm").alias(n), F.col("rep").alias(c))
-    met = pairs.join(rep("na", "a"), [*group, "na"]).join(rep("nb", "b"), [*group, "nb"])
-    inside = (F.size(F.array_except(F.split("na", " "), F.split("nb", " "))) == 0) | (F.size(F.array_except(F.split("nb", " "), F.split("na", " "))) == 0)
-    ratio = F.when(inside, 100.0).otherwise(alike(F.col("na"), F.col("nb")))
-    out = same.unionByName(met.filter(ratio >= threshold).select("deal_id", "type", "a", "b"))
-    if aliases is not None:
-        borne = aliases.select("deal_id", F.col("entity_id").alias("a"), comparison_name(F.col("alias")).alias("norm"))
-        out = out.unionByName(borne.join(named, ["deal_id", "norm"]).filter("a <> entity_id").select("deal_id", "type", "a", F.col("entity_id").alias("b")))
-    return out.select("deal_id", "type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return people, works.select("deal_id", F.lit("employs").alias("type"), F.lit("company").alias("source_type"), F.col("company").alias("source"), F.lit("person").alias("target_type"), F.col("name").alias("target"), "document_id", "quote", "seq")
 
 
 def groups(pairs: DataFrame) -> DataFrame:

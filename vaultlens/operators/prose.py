@@ -93,9 +93,9 @@ def subjects(texts: DataFrame, names: DataFrame) -> DataFrame:
 
     Runs of as many words as the longest name has, and fewer, meet the names by equality, so no text is compared with every name. Equal lengths: the first by seq.
     """
-    keyed = names.select("deal_id", "entity_id", "seq", comparison_name(F.col("name"), True).alias("run")).filter("run <> ''")
+    keyed = names.select("deal_id", "entity_id", "seq", comparison_name(F.col("name")).alias("run")).filter("run <> ''")
     longest = keyed.agg(F.max(F.size(F.split("run", " ")))).first()[0] or 1
-    words = texts.select("deal_id", "text_id", F.split(comparison_name(F.col("text"), True), " ").alias("w"))
+    words = texts.select("deal_id", "text_id", F.split(comparison_name(F.col("text")), " ").alias("w"))
     starts = F.sequence(F.lit(1), F.size("w"))
     runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))
     met = words.select("deal_id", "text_id", F.explode(F.array_distinct(runs)).alias("run")).join(keyed, ["deal_id", "run"])
@@ -105,7 +105,7 @@ def subjects(texts: DataFrame, names: DataFrame) -> DataFrame:
 def company_evidence(chunks: DataFrame, deals: DataFrame) -> DataFrame:
     """(deal_id, chunk_id, quote): the best place that names the company: its name as written, else its comparison name, else the head of the first chunk."""
     both = chunks.join(deals.select("deal_id", "company"), "deal_id")
-    written, plain = F.contains(F.lower("text"), F.lower("company")), F.contains(comparison_name(F.col("text"), True), comparison_name(F.col("company"), True))
+    written, plain = F.contains(F.lower("text"), F.lower("company")), F.contains(comparison_name(F.col("text")), comparison_name(F.col("company")))
     grade = F.when(written, 0).when(plain, 1).otherwise(2)
     quote = F.when(written, F.substr("text", F.instr(F.lower("text"), F.lower("company")), F.length("company")))
     best = both.groupBy("deal_id").agg(F.min_by(F.struct("chunk_id", F.coalesce(quote, F.substring("text", 1, 200)).alias("quote")), F.struct(grade, F.col("chunk_id"))).alias("b"))
@@ -114,7 +114,7 @@ def company_evidence(chunks: DataFrame, deals: DataFrame) -> DataFrame:
 
 def upserted(mentions: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities and aliases after mentions (deal_id, type, name, attrs, confidence, seq): known ones keep what they have, new ones take the first mention's."""
-    keyed = mentions.withColumn("normalized_name", comparison_name(F.col("name"), True))
+    keyed = mentions.withColumn("normalized_name", comparison_name(F.col("name")))
     key = ["deal_id", "type", "normalized_name"]
     first = keyed.groupBy(*key).agg(F.min_by(F.struct("name", "attrs", "confidence"), "seq").alias("f")).select(*key, "f.*")
     new = first.join(existing.select(*key), key, "left_anti")

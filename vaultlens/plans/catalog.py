@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import facts, search, streams
+from . import facts, graphs, search, streams
 
-_ALL = facts.QUERIES | search.QUERIES | streams.QUERIES
+_ALL = facts.QUERIES | graphs.QUERIES | search.QUERIES | streams.QUERIES
 
 
 def queries() -> dict:
