@@ -3,7 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from vaultlens.sources import files
+from vaultlens.sources import archives, files
 
 
 def office(members):
@@ -62,3 +62,43 @@ def test_documents_are_replaced_by_partition(spark, tmp_path):
     files.replace_documents(make([("a", "1"), ("b", "2")]), path)
     files.replace_documents(make([("a", "3")]), path)
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("document_id", "text").collect()) == [("a", "3"), ("b", "2")]
+
+
+def test_archives_are_read_by_entry_in_many_tasks(spark, tmp_path):
+    room = tmp_path / "room"
+    room.mkdir()
+    many = {f"in/{i}.txt": f"text {i} " * 200 for i in range(40)} | {"../evil.txt": "x", "__MACOSX/y": "z", "deep/a.csv": "a,b\n1,2\n"}
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in many.items():
+            z.writestr(name, text)
+        z.writestr("stored.txt", "as it is", zipfile.ZIP_STORED)
+        z.writestr("odd.txt", "by another method", zipfile.ZIP_BZIP2)
+    (room / "big.zip").write_bytes(raw.getvalue())
+    (room / "d.docx").write_bytes(DOCX)
+    (room / "n.txt").write_bytes(b"plain")
+    (room / "broken.zip").write_bytes(b"PK\x03\x04 not really")
+    spoiled = bytearray(office({"x.txt": "some text that is long enough"}))
+    spoiled[40:44] = b"\x00\x01\x02\x03"
+    (room / "spoiled.zip").write_bytes(bytes(spoiled))
+    listed = archives.directory(spark, str(room))
+    got = archives.inflated(listed, 200)
+    tasks = got.filter("content is not null and path like '%big.zip!%'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 5
+    rows = {r["path"].split("room/")[1]: (r["content"], r["reason"]) for r in got.collect()}
+    old = {r["path"].split("room/")[1]: (r["content"], r["reason"]) for r in files.unpacked(files.load(spark, str(room)).filter("path not like '%spoiled%'")).collect()}
+    differ = {k for k in old if old[k] != rows.get(k)}
+    assert differ == {"big.zip!/odd.txt"} and rows["big.zip!/odd.txt"] == (None, "unknown compression")
+    assert set(rows) - set(old) == {"spoiled.zip!/x.txt"} and rows["spoiled.zip!/x.txt"] == (None, "damaged")
+    archives.register(spark)
+    read = spark.read.format("room").option("partitionBytes", 300).load(str(room))
+    assert read.rdd.getNumPartitions() > 5
+    by_source = {r["path"].split("room/")[1]: r.asDict(True) for r in read.collect()}
+    by_plan = {r["path"].split("room/")[1]: r.asDict(True) for r in files.parsed(got).collect()}
+    assert set(by_source) == set(rows)
+    for name, row in by_plan.items():
+        assert {k: v for k, v in by_source[name].items() if k != "path"} == {k: v for k, v in row.items() if k != "path"}
+    assert {r["error"] for n, r in by_source.items() if n not in by_plan} == {"outside the archive", "junk", "unknown compression", "damaged"}
+    nothing = tmp_path / "empty"
+    nothing.mkdir()
+    assert spark.read.format("room").load(str(nothing)).count() == 0

@@ -7,13 +7,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import once
-
 TARGET, CAP, OVERLAP, TABLE_ROWS = 400, 800, 60, 25
+NEAR = 16  #: tokens from a limit within which a span is counted itself
 
 
 def pieces_of_words(text: str) -> list[tuple[int, int]]:
@@ -27,62 +27,161 @@ def sentences(text: Column) -> Column:
 
 
 def sentence_spans(texts: DataFrame) -> DataFrame:
-    """(.., position, char_start, char_end): offsets are a running sum within the row's own array."""
-    none = F.array().cast("array<int>")
-    ends = lambda s: F.aggregate(s, none, lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(x))))
-    both = once(sentences(F.col("text")), lambda s: F.when(F.size(s) > 0, F.arrays_zip(s.alias("s"), ends(s).alias("e"))))
-    many = texts.select(*(c for c in texts.columns if c != "text"), F.posexplode(both).alias("position", "v"))
-    return many.select("*", (F.col("v.e") - F.length("v.s")).alias("char_start"), F.col("v.e").alias("char_end")).drop("v")
+    """(.., position, char_start, char_end): offsets in one pass over each text."""
+    kept = [c for c in texts.columns if c != "text"]
+    rows = texts.select(F.struct(*kept).alias("row"), "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, at, first, last = [], [], [], []
+            for i, text in enumerate(batch.column("text")):
+                ends = [0, *_sentence_ends(text.as_py() or "")]
+                own += [i] * (len(ends) - 1)
+                at += range(len(ends) - 1)
+                first += ends[:-1]
+                last += ends[1:]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(own, pa.int64())), pa.array(at, pa.int32()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["row", "position", "char_start", "char_end"])
+
+    out = rows.mapInArrow(cut, f"row {rows.schema['row'].dataType.simpleString()}, position int, char_start int, char_end int")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in kept), "position", "char_start", "char_end")
+
+
+def _sentence_ends(text: str) -> list[int]:
+    """Where each sentence ends: after ". " and after a line's end, and at the end."""
+    ends = [m.end() for m in re.finditer(r"\.[ \t\n\x0b\f\r]|\n", text)]
+    return ends if not text or ends and ends[-1] == len(text) else [*ends, len(text)]
+
+
+class Spans:
+    """Token counts of spans of one text: differences of running counts, or exact by counting the span itself."""
+
+    def __init__(self, text: str, tokens: Callable[[str], list[tuple[int, int]]]):
+        self.text, self.tokens = text, tokens
+        self.begins = [b for b, _ in tokens(text)]
+
+    def about(self, start: int, end: int) -> int:
+        return bisect.bisect_left(self.begins, end) - bisect.bisect_left(self.begins, start)
+
+    def exact(self, start: int, end: int) -> int:
+        return len(self.tokens(self.text[start:end]))
+
+    def count(self, start: int, end: int) -> int:
+        """Exact wherever a limit is near: a span's own tokens differ from those it has within the text about its ends only."""
+        n = self.about(start, end)
+        return self.exact(start, end) if min(abs(n - TARGET), abs(n - CAP)) <= NEAR else n
+
+    def pieces(self) -> list[int]:
+        """Cuts of the text into sentences; a sentence above the cap is cut between tokens into parts of the cap."""
+        cuts = [0]
+        for end in [m.end() for m in re.finditer(r"\.\s|\n", self.text) if m.end() < len(self.text)] + [len(self.text)]:
+            start = cuts[-1]
+            if self.about(start, end) > CAP - NEAR and self.exact(start, end) > CAP:
+                own, at = [b for b, _ in self.tokens(self.text[start:end])], 0
+                while len(own) - at > CAP or len(own) - at > CAP - NEAR and self.exact(cuts[-1], end) > CAP:
+                    at = min(at + CAP, len(own) - 1)
+                    while self.exact(cuts[-1], start + own[at]) > CAP:
+                        at -= 1
+                    cuts.append(start + own[at])
+            if end > cuts[-1]:
+                cuts.append(end)
+        return cuts
 
 
 def spans(text: str, tokens: Callable[[str], list[tuple[int, int]]] = pieces_of_words) -> list[tuple[int, int]]:
     """Chunk spans of a page: whole sentences up to the target, never above the cap, the next one beginning some way back.
 
-    Token counts of a span are differences of running counts, so each sentence is counted once.
+    ``tokens`` gives the spans of a text's tokens, so target, cap and overlap are tokens of whatever counts them.
     """
     if not text.strip():
         return []
-    at, cuts = tokens(text), [0]
-    begins = [b for b, _ in at]
-    ends = [m.end() for m in re.finditer(r"\.\s|\n", text)]
-    i = 0
-    for end in [*(e for e in ends if e < len(text)), len(text)]:
-        n = i
-        while n < len(begins) and begins[n] < end:
-            n += 1
-        cuts += [at[x][0] for x in range(i + CAP, n, CAP)]  # a sentence above the cap is cut between tokens
-        cuts.append(end)
-        i = n
-    cuts = sorted(set(cuts))
-    upto = [bisect.bisect_left(begins, c) for c in cuts]
-    out, first, last = [], 0, len(cuts) - 1
+    of = Spans(text, tokens)
+    cuts, out, first = of.pieces(), [], 0
+    last = len(cuts) - 1
     while first < last:
         to = first + 1
-        while to < last and upto[to] - upto[first] < TARGET and upto[to + 1] - upto[first] <= CAP:
+        while to < last and of.count(cuts[first], cuts[to]) < TARGET and of.count(cuts[first], cuts[to + 1]) <= CAP:
             to += 1
+        while to > first + 1 and of.exact(cuts[first], cuts[to]) > CAP:
+            to -= 1
         out.append((cuts[first], cuts[to]))
         if to == last:
             break
-        back = to
-        while back - 1 > first and upto[to] - upto[back] < OVERLAP:
+        back, held = to, 0
+        while back - 1 > first and held < OVERLAP:
+            held += of.about(cuts[back - 1], cuts[back])
             back -= 1
         first = max(back, first + 1)
     return out
 
 
-def prose(pages: DataFrame) -> DataFrame:
-    """(document_id, page_no, chunk_no, char_start, char_end, token_count, text, text_hash) of pages (document_id, page_no, text)."""
+def vocabulary(path: str) -> Callable[[str], list[tuple[int, int]]]:
+    """Token spans by a vocabulary file of ``tokenizers``: the characters that each token covers, the parts of one character all that character."""
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(path)
+    return lambda text: encoder.encode(text, add_special_tokens=False).offsets
+
+
+CHUNK = "chunk_no int, char_start int, char_end int, token_count int, text string"
+
+
+def prose(pages: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
+    """(document_id, page_no, chunk_no, char_start, char_end, token_count, text, text_hash) of pages (document_id, page_no, text); words are counted, or the tokens of a vocabulary."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = vocabulary(vocabulary_path) if vocabulary_path else pieces_of_words
         for b in batches:
-            rows = [(d, p, i, s, e, len(pieces_of_words(t[s:e])), t[s:e]) for d, p, t in zip(b.document_id, b.page_no, b.text, strict=True) if t for i, (s, e) in enumerate(spans(t))]
+            rows = [(d, p, i, s, e, len(tokens(t[s:e])), t[s:e]) for d, p, t in zip(b.document_id, b.page_no, b.text, strict=True) if t for i, (s, e) in enumerate(spans(t, tokens))]
             yield pd.DataFrame(rows, columns=["document_id", "page_no", "chunk_no", "char_start", "char_end", "token_count", "text"])
 
     kind = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    out = pages.select("document_id", "page_no", "text").mapInPandas(cut, f"document_id {kind['document_id']}, page_no {kind['page_no']}, chunk_no int, char_start int, char_end int, token_count int, text string")
+    out = pages.select("document_id", "page_no", "text").mapInPandas(cut, f"document_id {kind['document_id']}, page_no {kind['page_no']}, {CHUNK}")
     return out.withColumn("text_hash", F.sha2("text", 256))
 
 
+def document_chunks(documents: DataFrame, blocks: DataFrame, table_rows: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
+    """All chunks of documents (document_id, ext): document_id, page_no, kind, chunk_no, char_start, char_end, token_count, text, text_hash, block_ids, table_id, row_start, row_end.
+
+    ``blocks``: document_id, page_no, order, block_id, kind, text. Those of a page that are no tables and not blank are one text, a line each, and a chunk names the blocks that it
+    touches. ``table_rows``: document_id, page_no, block_id, table_id, row, text, is_header. A table's offsets are those of its rows, a line each.
+    """
+    prose_kind = documents.select("document_id", kind_of(F.col("ext")).alias("chunk_kind"))
+    shown = blocks.filter((F.col("kind") != "table") & (F.trim("text") != ""))
+    page = shown.groupBy("document_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("order", "block_id", "text"))).alias("b"))
+    page = page.select("document_id", "page_no", F.array_join(F.transform("b", lambda x: x["text"]), "\n").alias("text"), F.transform("b", lambda x: F.struct(x["block_id"].alias("id"), F.length(x["text"]).alias("n"))).alias("b"))
+    said = prose(page.select("document_id", "page_no", "text"), vocabulary_path).join(page.select("document_id", "page_no", "b"), ["document_id", "page_no"])
+    begins = lambda i: F.aggregate(F.slice("b", F.lit(1), i), F.lit(0), lambda n, x: n + x["n"] + 1)
+    placed = F.transform("b", lambda x, i: F.struct(x["id"].alias("id"), begins(i).alias("char_start"), (begins(i) + x["n"]).alias("char_end")))
+    none = lambda kind: F.lit(None).cast(kind)
+    out = said.withColumn("b", placed).join(prose_kind, "document_id").select(
+        "document_id", "page_no", F.col("chunk_kind").alias("kind"), "chunk_no", "char_start", "char_end", "token_count", "text", "text_hash", block_ids(F.col("b"), F.col("char_start"), F.col("char_end")).alias("block_ids"),
+        none("string").alias("table_id"), none("int").alias("row_start"), none("int").alias("row_end"),
+    )
+    lines = table_rows.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row", F.length("text").alias("n")))).alias("lines"), F.first("document_id").alias("document_id"), F.first("page_no").alias("page_no"), F.first("block_id").alias("block_id"))
+    grouped = table_chunks(table_rows).join(lines, "table_id")
+    to = lambda r: F.aggregate(F.filter("lines", lambda x: x["row"] < r), F.lit(0), lambda n, x: n + x["n"] + 1)
+    own = F.element_at(F.filter("lines", lambda x: x["row"] == F.col("row_end")), 1)["n"]
+    grouped = grouped.withColumns({"char_start": to(F.col("row_start")), "char_end": to(F.col("row_end")) + own})
+    counted = counts(grouped, vocabulary_path)
+    tables = counted.select(
+        "document_id", "page_no", F.lit("table_rows").alias("kind"), F.col("group_no").alias("chunk_no"), "char_start", "char_end", "token_count", "text", F.sha2("text", 256).alias("text_hash"),
+        F.when(F.col("block_id").isNull(), F.array().cast("array<string>")).otherwise(F.array("block_id")).alias("block_ids"), "table_id", "row_start", "row_end",
+    )
+    return out.unionByName(tables)
+
+
+def counts(texts: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
+    """``texts`` with token_count."""
+
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokens = vocabulary(vocabulary_path) if vocabulary_path else pieces_of_words
+        for b in batches:
+            yield b.map(lambda t: len(tokens(t)))
+
+    return texts.withColumn("token_count", count("text"))
+
+
 def block_ids(blocks: Column, start: Column, end: Column) -> Column:
     """Ids of the blocks (id, char_start, char_end) that a span touches."""
     return F.transform(F.filter(blocks, lambda b: (b["char_start"] < end) & (b["char_end"] > start)), lambda b: b["id"])

@@ -36,7 +36,7 @@ def admitted(rows: DataFrame, chunks: DataFrame, cells: DataFrame) -> tuple[Data
     cell = cells.select(F.col("deal_id").alias("cell_deal"), *CELL, F.coalesce("text", F.lit("")).alias("cell_text"))
     both = rows.join(chunk, "chunk_id", "left").join(cell, CELL, "left")
     in_chunk, in_cell = F.col("chunk_id").isNotNull(), F.col("table_id").isNotNull()
-    text = F.when(in_chunk, F.col("chunk_text")).otherwise(F.col("cell_text"))
+    text = F.coalesce(F.when(in_chunk, F.col("chunk_text")).otherwise(F.col("cell_text")), F.lit(""))
     why = reasons(
         no_place=~in_chunk & ~in_cell, chunk_not_found=in_chunk & ~F.col("chunk_deal").eqNullSafe(F.col("deal_id")), cell_not_found=in_cell & F.col("cell_deal").isNull(),
         empty_quote=squeeze(F.coalesce("quote", F.lit(""))) == "", quote_not_in_text=~F.contains(squeeze(text), squeeze(F.col("quote"))),
@@ -79,7 +79,7 @@ def audit(facts: DataFrame, entities: DataFrame, relations: DataFrame, evidence:
     made = kind(facts.filter("method = 'derived'"), "fact", "fact_id")
     out = out.unionByName(flag(made.join(kind(links, "fact", "fact_id").select("id").distinct(), "id", "left_anti"), "no parent"))
     out = out.unionByName(flag(kind(links, "fact", "parent_id").distinct().join(everything, ["kind", "id"], "left_anti"), "parent is missing"))
-    ends = relations.select("relation_id", F.explode(F.array("source_id", "target_id")).cast("string").alias("end"))
+    ends = relations.select("relation_id", F.explode(F.array(F.col("source_id").cast("string"), F.col("target_id").cast("string"))).alias("end"))
     lost = ends.join(entities.select(F.col("entity_id").cast("string").alias("end")), "end", "left_anti")
     out = out.unionByName(flag(kind(lost, "relation", "relation_id").distinct(), "end is missing"))
     row = evidence.select(F.lit("evidence").alias("what"), F.col("evidence_id").cast("string").alias("row_id"), "kind", F.col("target_id").cast("string").alias("id"), F.coalesce(F.col("chunk_id").cast("string"), F.col("table_id").cast("string")).alias("place"))

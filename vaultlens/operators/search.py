@@ -8,10 +8,13 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType
@@ -141,6 +144,40 @@ def reranked(hits: DataFrame, order: list[int]) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(key)))
 
 
+POOL, SNIPPET = 25, 600  #: Fixed values: candidates that a ranker sees, and characters of each.
+
+
+def by_words(query: str, candidates: list[str]) -> list[int]:
+    """A ranker without a model: candidates (from 1) with the most of the question's words first."""
+    asked = set(re.findall("[a-z0-9]+", query.lower()))
+    had = [len(asked & set(re.findall("[a-z0-9]+", c.lower()))) for c in candidates]
+    return sorted(range(1, len(candidates) + 1), key=lambda i: -had[i - 1])
+
+
+def repaired(order: list[int], n: int) -> list[int]:
+    """0-based places of n candidates from a ranker's 1-based ones: what is out of range or said before is dropped, what is missing follows in its old order."""
+    said = [p - 1 for p in dict.fromkeys(order) if 0 < p <= n]
+    return said + [i for i in range(n) if i not in set(said)]
+
+
+def listwise(hits: DataFrame, ranker: Callable[[str, list[str]], list[int]] = by_words, k: int = 10) -> DataFrame:
+    """Hits (question_id, query, rank from 1, text, ..) of many questions, each question's first max(k, 25) in the ranker's order; the others keep their ranks.
+
+    The ranker gets the question and the candidates' snippets, best first, and says their positions from 1; it is called once a question.
+    """
+    pool = max(k, POOL)
+
+    def place(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rank", kind="stable")
+        order = repaired(list(ranker(str(group["query"].iloc[0]), [str(t or "")[:SNIPPET] for t in group["text"]])), len(group))
+        out = group.iloc[order].copy()
+        out["rank"] = group["rank"].to_numpy()
+        return out
+
+    shown = hits.filter(F.col("rank") <= pool).groupBy("question_id").applyInPandas(place, hits.schema)
+    return shown.unionByName(hits.filter(F.col("rank") > pool))
+
+
 def index_status(documents: DataFrame, by: list[str]) -> DataFrame:
     """indexing > empty > stale > ready, from one pass over (.., status, chunks, changed_at, indexed_at)."""
     sums = documents.groupBy(*by).agg(F.count_if(F.col("status").isin("queued", "parsing")).alias("open"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.max(F.col("changed_at") > F.coalesce("indexed_at", F.to_timestamp(F.lit("1970-01-01")))), F.lit(False)).alias("late"))
@@ -149,7 +186,7 @@ def index_status(documents: DataFrame, by: list[str]) -> DataFrame:
 
 # a stored index
 
-BUCKETS = 64  #: of terms; a question reads those of its own words
+BUCKETS, MOST_BUCKETS, A_BUCKET = 64, 20_000, 1_000_000  #: of terms, a question reading those of its own words: at least, at most, and postings of one
 
 
 @dataclass(frozen=True)
@@ -171,37 +208,57 @@ class Index:
         return self.opened["stats"]
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(BUCKETS)).cast("int")
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(buckets)).cast("int")
+
+
+_known_place = lru_cache(maxsize=1 << 18)(token_place)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of chunks (row, t: tokens) their size, distinct terms with counts, and the parts of their vectors that aren't zero."""
+    for batch in batches:
+        t = batch.column("t")
+        flat, n = t.flatten().dictionary_encode(), len(batch)
+        sizes = t.value_lengths().to_numpy(zero_copy_only=False)
+        each = np.repeat(np.arange(n), sizes)
+        many = max(1, len(flat.dictionary))
+        pairs, tf = np.unique(each * many + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        row, word = pairs // many, pairs % many
+        edges = lambda of: pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32())
+        terms = pa.ListArray.from_arrays(edges(row), pa.StructArray.from_arrays([flat.dictionary.take(pa.array(word)), pa.array(tf)], ["term", "tf"]))
+        bins = np.array([_known_place(w) for w in flat.dictionary.to_pylist()], np.int64).reshape(-1, 2)
+        places, at = np.unique(row * DIM + bins[word, 0], return_inverse=True)
+        x = np.bincount(at, bins[word, 1] * tf, len(places))
+        places, x = places[x != 0], x[x != 0]
+        norm = np.sqrt(np.bincount(places // DIM, x * x, n))
+        parts = pa.MapArray.from_arrays(edges(places // DIM), pa.array(places % DIM, pa.int32()), pa.array(x / norm[places // DIM]))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int32()), terms, parts], ["row", "size", "terms", "parts"])
 
 
 def build_index(chunks: DataFrame, path: str, filters: list[str] | None = None) -> Index:
-    """Write what every question needs, once: the chunks are tokenised here and never again.
+    """Write what every question needs, once: the chunks are read, tokenised and counted in one pass, which has the vectors too, and never again.
 
-    A null text counts as empty. Postings are dealt by term and sorted, so that a question reads the few row groups of its words; a common term's
-    postings are split over files by chunk. A vector keeps its parts that are not zero, of length 1.
+    A null text counts as empty. Only postings are shuffled. They are dealt by term and sorted, so that a question reads the few row groups of its words; the number of buckets
+    grows with the postings, and a common term's are split over files by chunk. A vector keeps its parts that are not zero, of length 1.
     """
     carried = ["chunk_id", *(filters or [])]
     spark = chunks.sparkSession
-    tokens = chunks.select(*carried, tokenize(F.coalesce("text", F.lit(""))).alias("t")).select(*carried, F.size("t").alias("size"), F.explode_outer("t").alias("term"))
-    counted = tokens.groupBy(*carried, "size", "term").agg(F.count("term").alias("tf"))
-    counted.write.mode("overwrite").parquet(f"{path}/counts")
-    counted = spark.read.parquet(f"{path}/counts")
-    known = counted.filter("term is not null")
+    tokens = chunks.select(F.struct(*carried).alias("row"), tokenize(F.coalesce("text", F.lit(""))).alias("t"))
+    made = tokens.mapInArrow(_counted, f"row {tokens.schema['row'].dataType.simpleString()}, size int, terms array<struct<term:string,tf:long>>, parts map<int,double>")
+    made.select("row.*", "size", "terms", "parts").write.mode("overwrite").parquet(f"{path}/vectors")
+    counted = spark.read.parquet(f"{path}/vectors")
+    known = counted.select(*carried, "size", F.explode("terms").alias("x")).select(*carried, "size", "x.term", "x.tf")
     known.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
     terms = spark.read.parquet(f"{path}/terms")
-    dealt = known.join(terms, "term").withColumns({"bucket": _bucket(F.col("term")), "split": F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("df") / 1_000_000))})
-    dealt.repartition("bucket", "split").sortWithinPartitions("bucket", "term").drop("split").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    digest = F.sha2("term", 256)
-    bins = terms.select("term", (F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % DIM).alias("bin"), F.when(F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1).alias("sign"))
-    parts = counted.join(bins, "term", "left").groupBy(*carried, "bin").agg(F.sum(F.col("sign") * F.col("tf")).cast("double").alias("x"))
-    held = F.map_from_entries(F.filter(F.collect_list(F.struct("bin", "x")), lambda p: p["bin"].isNotNull() & (p["x"] != 0)))
-    vectors = parts.groupBy(*carried).agg(held.alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    vectors.select(*carried, F.transform_values("m", lambda k, v: v / F.col("norm")).alias("parts")).write.mode("overwrite").parquet(f"{path}/vectors")
-    size = counted.groupBy("chunk_id").agg(F.first("size").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_length"))
+    size = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_length")).first()
     short = terms.groupBy("df").agg(F.count(F.lit(1)).alias("terms"))
-    mean = short.join(F.broadcast(size.select("n"))).agg((F.sum(_idf(F.col("n"), F.col("df")) * F.col("terms")) / F.sum("terms")).alias("mean_idf"))
-    size.join(F.broadcast(mean)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    told = short.agg((F.sum(_idf(F.lit(size["n"]), F.col("df")) * F.col("terms")) / F.sum("terms")).alias("mean_idf"), F.sum(F.col("df") * F.col("terms")).alias("postings")).first()
+    buckets = max(BUCKETS, min(MOST_BUCKETS, (told["postings"] or 0) // A_BUCKET))
+    dealt = known.join(terms, "term").withColumns({"bucket": _bucket(F.col("term"), buckets), "split": F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("df") / A_BUCKET))})
+    dealt.repartition("bucket", "split").sortWithinPartitions("bucket", "term").drop("split").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    stats = spark.createDataFrame([(size["n"], size["mean_length"], told["mean_idf"], buckets)], "n long, mean_length double, mean_idf double, buckets int")
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     return Index(spark, path)
 
 
@@ -210,7 +267,7 @@ def ask_bm25(index: Index, query: str, keep: Column | None = None, top: int = TO
     asked: dict[str, int] = {}
     for w in words(query):
         asked[w] = asked.get(w, 0) + 1
-    found = index.table("postings").filter(F.col("bucket").isin(sorted({zlib.crc32(w.encode()) % BUCKETS for w in asked})) & F.col("term").isin(*asked))
+    found = index.table("postings").filter(F.col("bucket").isin(sorted({zlib.crc32(w.encode()) % index.stats()["buckets"] for w in asked})) & F.col("term").isin(*asked))
     if keep is not None:
         found = found.filter(keep)
     n = index.stats()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import facts, graphs, search, streams
+from . import evidence, facts, graphs, search, streams
 
-_ALL = facts.QUERIES | graphs.QUERIES | search.QUERIES | streams.QUERIES
+_ALL = evidence.QUERIES | facts.QUERIES | graphs.QUERIES | search.QUERIES | streams.QUERIES
 
 
 def queries() -> dict:

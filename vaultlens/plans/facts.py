@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import numbers, periods
 from ..operators import derive, listing, prose, tables
+from ..operators import told as told_facts
 from .adapters import CONTRACTS, CREDITS, YEARLY, contracts, credits, deals, read, yearly
 
 S = SparkSession
@@ -333,3 +334,34 @@ def prose_subjects(s: S, d: str) -> DataFrame:
     orders = read(s, d, "orders").join(customers.select(F.col("entity_id").alias("o_custkey"), "name"), "o_custkey")
     texts = orders.select(F.lit(1).alias("deal_id"), F.col("o_orderkey").alias("text_id"), F.concat(F.lit("A note on "), F.upper("name"), F.lit(", Inc. and its order")).alias("text"))
     return prose.subjects(texts, customers)
+
+
+@query("""WITH c AS (SELECT c_custkey AS chunk_id, c_custkey % 100 AS document_id, c_custkey % 8 AS k, c_nationkey, c_name, CAST(CAST(c_acctbal AS DECIMAL(24,2)) AS DECIMAL(24,6)) AS v FROM customer),
+t AS (SELECT *, p.p, CASE WHEN k = 1 THEN 'unknown metric' WHEN k = 2 THEN 'unknown unit' WHEN k = 3 THEN 'quote not in chunk' WHEN k = 5 THEN 'no value' WHEN p.p = 1 OR chunk_id % 16 = 8 THEN 'known' END AS reason FROM c JOIN (VALUES (0), (1)) p(p) ON p.p = 0 OR k = 6)
+SELECT chunk_id, p AS place, reason, CASE WHEN reason IS NULL THEN CASE WHEN k IN (0, 4, 6) THEN 'c' || chunk_id ELSE 'n' || c_nationkey END END AS subject, CASE WHEN reason IS NULL THEN v END AS value, CASE WHEN reason IS NULL THEN CASE WHEN k = 7 THEN 'custom' ELSE 'fiscal_year' END END AS period_type,
+  CASE WHEN reason IS NULL AND k <> 7 THEN last_day(make_date(2024, CAST(c_nationkey % 12 + 1 AS INTEGER), 1)) END AS period_end, CASE WHEN reason IS NULL THEN CASE WHEN k = 7 THEN 'The books' ELSE 'revenue of  the year' END END AS quote FROM t""")
+def prose_stored_facts(s: S, d: str) -> DataFrame:
+    """Told facts of a chunk for each customer, of eight kinds: by hint, by mention and the company's own, of unknown words, wrong quotes, no value, told twice and stored before."""
+    k, c = F.col("k"), F.col
+    customer = read(s, d, "customer").select(c("c_custkey").alias("chunk_id"), (c("c_custkey") % 100).alias("document_id"), (c("c_custkey") % 8).alias("k"), c("c_nationkey").alias("deal_id"), "c_name", c("c_acctbal").cast("decimal(24,2)").cast("decimal(24,6)").alias("value"))
+    said = F.when(k == 7, "The books\nare in order.").otherwise(F.concat(F.lit("Of "), F.when(k == 4, F.concat(F.upper("c_name"), F.lit(", Inc."))).otherwise(F.lit("it")), F.lit(" the revenue\n of the year is told.")))
+    chunks = customer.select("deal_id", "document_id", "chunk_id", said.alias("text"))
+    of = customer.withColumn("place", F.explode(F.when(k == 6, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    told = of.select(
+        "chunk_id", "place", F.when(k == 1, "happiness").otherwise("revenue").alias("metric"), F.when(k == 2, "parsecs").otherwise("currency").alias("unit"), F.when(k != 5, c("value")).alias("value"), F.lit(" ").alias("value_text"),
+        F.when(k != 7, "FY2024").otherwise("some day").alias("period_label"), F.when(k.isin(0, 6), F.concat("c_name", F.lit(", Ltd."))).alias("subject_hint"), F.when(k == 7, "The books").when(k == 3, "the year was not told").otherwise("revenue of  the year").alias("quote"), F.lit(0.8).alias("confidence"),
+    )
+    none = F.lit(None).cast("string")
+    people = customer.select("deal_id", F.concat(F.lit("c"), c("chunk_id").cast("string")).alias("entity_id"), c("c_name").alias("name"), c("chunk_id").cast("long").alias("seq"), none.alias("merged_into"))
+    own = deals(s, d)
+    company = F.concat(F.lit("n"), c("deal_id").cast("string"))
+    entities = people.unionByName(own.select("deal_id", company.alias("entity_id"), c("company").alias("name"), F.lit(-1).cast("long").alias("seq"), none.alias("merged_into")))
+    aliases = people.select("deal_id", "entity_id", F.concat("name", F.lit(" Incorporated")).alias("alias"))
+    year = periods.period("fiscal_year", periods.fiscal_year_start(F.lit(2024), c("fye")), periods.fiscal_year_end(F.lit(2024), c("fye")))
+    before = customer.filter("chunk_id % 16 = 8").join(own.select("deal_id", "fye"), "deal_id").withColumn("p", year)
+    existing = before.select("deal_id", "document_id", F.concat(F.lit("c"), c("chunk_id").cast("string")).alias("subject"), F.lit("revenue").alias("metric"), "value", c("p.type").alias("period_type"), c("p.start").alias("period_start"), c("p.end").alias("period_end"), c("p.as_of").alias("as_of"))
+    facts, evidence, rejected = told_facts.stored(told, chunks, entities, aliases, own.select("deal_id", company.alias("company_id"), "fye", F.lit("USD").alias("currency")), existing)
+    cited = evidence.select(c("target_id").alias("fact_id"), "chunk_id", "quote")
+    empty = lambda kind: F.lit(None).cast(kind)
+    out = facts.join(cited, "fact_id").select("chunk_id", F.lit(0).alias("place"), empty("string").alias("reason"), "subject", "value", "period_type", "period_end", "quote")
+    return out.unionByName(rejected.select("chunk_id", "place", "reason", empty("string").alias("subject"), empty("decimal(24,6)").alias("value"), empty("string").alias("period_type"), empty("date").alias("period_end"), empty("string").alias("quote")))

@@ -26,12 +26,14 @@ def query(sql: str | None = None):
     return add
 
 
-INDEXES: dict[tuple[str, str], search.Index] = {}
+INDEXES: dict[tuple[str, str, int], search.Index] = {}
 
 
 def index(s: S, d: str) -> search.Index:
-    """The index of the documents of a folder, built on the first question of a session and kept in the shared folder."""
-    key = (s.sparkContext.applicationId, d)
+    """The index of the documents of a folder, built on the first question of a session and kept in the shared folder; when the folder's files have changed, it is built anew."""
+    files = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{d}/documents.parquet").select("path", "length", "modificationTime")
+    state = files.agg(F.coalesce(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()["h"]
+    key = (s.sparkContext.applicationId, d, int(state))
     if key not in INDEXES:
         INDEXES[key] = search.build_index(chunks(s, d), f"{graph.shared_folder(s)}/index-{uuid.uuid4().hex}", ["lang"])
     return INDEXES[key]
@@ -299,3 +301,13 @@ SELECT x.table_id, x.row, string_agg(coalesce(text, '-'), '|' ORDER BY x.col) AS
 def dense_matrix(s: S, d: str) -> DataFrame:
     cells = read(s, d, "orders").groupBy(F.col("o_custkey").alias("table_id"), (F.col("o_orderkey") % 7).cast("int").alias("row"), (F.col("o_orderkey") % 5).cast("int").alias("col")).agg(F.min("o_orderpriority").alias("text"))
     return listing.matrix(cells).select("table_id", "row", F.array_join("cells", "|", "-").alias("cells"))
+
+
+@query("""WITH h AS (SELECT source AS question_id, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents),
+s AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(substr(text, 1, 600)), '[a-z0-9]+')), ['the', 'de', 'und', 'of', 'la'])) AS had FROM h)
+SELECT question_id, doc_id, CASE WHEN rank <= 30 THEN row_number() OVER (PARTITION BY question_id, rank <= 30 ORDER BY had DESC, rank) ELSE rank END AS rank FROM s""")
+def rerank_pools(s: S, d: str) -> DataFrame:
+    """A question to each source, whose documents by number are the hits: the first 30 by the question's words, the rest as they were."""
+    docs = read(s, d, "documents").select(F.col("source").alias("question_id"), F.lit("the DE und, of la").alias("query"), "doc_id", "text")
+    hits = docs.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("doc_id")).cast("long"))
+    return search.listwise(hits, k=30).select("question_id", "doc_id", "rank")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import feeds
+from ..operators.steps import shared_folder
+from ..streaming import feeds, stateful
 from .adapters import read
 
 S = SparkSession
@@ -64,8 +65,7 @@ def streamed(s: S, d: str, plan, mode: str = "append") -> DataFrame:
     """What a stream over the event files writes until it has caught up."""
     schema = read(s, d, "events").schema
     stream = s.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    base = s.sparkContext.getCheckpointDir() or s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    at = f"{base.rstrip('/')}/stream-{s.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    at = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     plan(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{at}/out")
 
@@ -82,3 +82,37 @@ def stream_inflow_tumbling(s: S, d: str) -> DataFrame:
 def stream_status_feed(s: S, d: str) -> DataFrame:
     out = streamed(s, d, lambda e: feeds.status_feed(e.select(F.col("user_id").alias("key"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("at"))))
     return out.agg(F.count(F.lit(1)).alias("changes"))
+
+
+def deal_log(events: DataFrame) -> DataFrame:
+    """Events as a log of documents (users) of deals: (deal, document, status, at)."""
+    return events.select((F.col("user_id") % 50).alias("deal"), F.col("user_id").alias("document"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("at"))
+
+
+def run_once(s: S, d: str, plan) -> DataFrame:
+    """What a stream with state over the event files writes until it has caught up, each batch once."""
+    own = stateful.session(s)
+    stream = own.readStream.schema(read(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+    at = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    plan(stream).writeStream.foreachBatch(stateful.exactly_once(at)).option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stateful.written(s, at).drop("batch")
+
+
+LOG = "l AS (SELECT user_id % 50 AS deal, user_id AS document, event_type AS status, ts, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM events)"
+
+
+@query(f"""WITH {LOG}, ch AS (SELECT * FROM l WHERE was IS DISTINCT FROM status AND epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) - 3600000 FROM events)),
+i AS (SELECT *, sum(CASE WHEN was IS NULL THEN 1 ELSE 0 END) OVER w AS documents, sum(CASE WHEN status = 'purchase' THEN 1 WHEN was = 'purchase' THEN -1 ELSE 0 END) OVER w AS done FROM ch WINDOW w AS (PARTITION BY deal ORDER BY ts, document))
+SELECT deal, 'document' AS kind, document, status, epoch_us(ts) AS at_us, NULL::BIGINT AS documents, NULL::BIGINT AS done FROM ch
+UNION ALL SELECT deal, 'index', NULL, NULL, epoch_us(ts), CAST(documents AS BIGINT), CAST(done AS BIGINT) FROM i WHERE was IS NULL OR status = 'purchase' OR was = 'purchase'""")
+def stream_deal_feed(s: S, d: str) -> DataFrame:
+    """Status changes of documents and of their deal's index, all rows that the watermark has passed, by a stream with timers."""
+    return run_once(s, d, lambda e: stateful.status_feed(deal_log(e), "purchase"))
+
+
+@query(f"""WITH {LOG}, x AS (SELECT deal, document, ts, status IN ('purchase', 'error') AS ended, sum(CASE WHEN was IS NULL THEN 1 ELSE 0 END) OVER w AS documents,
+  sum(CASE WHEN status NOT IN ('purchase', 'error') THEN 1 ELSE 0 END - CASE WHEN was IS NOT NULL AND was NOT IN ('purchase', 'error') THEN 1 ELSE 0 END) OVER w AS waiting FROM l WINDOW w AS (PARTITION BY deal ORDER BY ts, document))
+SELECT DISTINCT deal, CAST(documents AS BIGINT) AS documents, 'index:' || deal || ':' || CAST(documents AS BIGINT) AS idempotency_key FROM x WHERE ended AND waiting = 0""")
+def stream_barrier(s: S, d: str) -> DataFrame:
+    """When all documents of a deal have come to an end, once for each number of documents, by a stream with state."""
+    return run_once(s, d, lambda e: stateful.barrier(deal_log(e), ("purchase", "error")))

@@ -265,14 +265,19 @@ def read_pdf(raw: bytes) -> list[dict]:
 JUNK = re.compile(r"(^|/)(__MACOSX/|\.DS_Store$|Thumbs\.db$|\.)")
 
 
-def members(raw: bytes, most: int = 5000, total: int = 2 * 2**30, cap: int = 100 * 2**20) -> Iterator[tuple[str, bytes | None, str | None]]:
+def judged(infos: list[zipfile.ZipInfo], most: int = 5000, total: int = 2 * 2**30, cap: int = 100 * 2**20) -> Iterator[tuple[zipfile.ZipInfo, str, str | None]]:
+    """(entry, path, reason to skip it) of an archive's files."""
+    held = 0
+    for n, m in enumerate(x for x in infos if not x.is_dir()):
+        held += m.file_size
+        path = posixpath.normpath(m.filename.replace("\\", "/"))
+        yield m, path, "too many files" if n >= most else "too large in all" if held > total else "outside the archive" if path.startswith(("/", "../")) or ":" in path else "junk" if JUNK.search(path) else "too large" if m.file_size > cap else None
+
+
+def members(raw: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
     """(path, content, reason) of an archive's files; what is skipped has a reason and no content."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        held = 0
-        for n, m in enumerate(x for x in z.infolist() if not x.is_dir()):
-            held += m.file_size
-            path = posixpath.normpath(m.filename.replace("\\", "/"))
-            reason = "too many files" if n >= most else "too large in all" if held > total else "outside the archive" if path.startswith(("/", "../")) or ":" in path else "junk" if JUNK.search(path) else "too large" if m.file_size > cap else None
+        for m, path, reason in judged(z.infolist()):
             yield path, None if reason else z.read(m), reason
 
 
@@ -296,14 +301,20 @@ def unpacked(files: DataFrame) -> DataFrame:
     return files.mapInPandas(open_, "path string, content binary, reason string")
 
 
+def described(path: str, raw: bytes) -> dict:
+    """A row of ``PARSED`` for one file."""
+    name = posixpath.basename(path)
+    one = read(name, raw)
+    return {"path": path, "filename": name, "ext": one["ext"], "mime": MIME.get(one["ext"], "application/octet-stream"), "sha256": hashlib.sha256(raw).hexdigest(), "size": len(raw)} | {k: one[k] for k in ("pages", "meta", "attachments", "error")}
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """A nested row for each file of (path, content)."""
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, raw in zip(b.path, b.content, strict=True):
-                name = posixpath.basename(path)
-                one = read(name, raw)
-                yield pd.DataFrame([{"path": path, "filename": name, "ext": one["ext"], "mime": MIME.get(one["ext"], "application/octet-stream"), "sha256": hashlib.sha256(raw).hexdigest(), "size": len(raw)} | {k: one[k] for k in ("pages", "meta", "attachments", "error")}])
+                yield pd.DataFrame([described(path, raw)])
 
     return files.filter("content is not null").mapInPandas(parse, PARSED)
 
