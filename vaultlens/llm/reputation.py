@@ -111,7 +111,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[Rule], limit: float
     """
     host, path = host_path(F.col("row").getField("url"))
     parsed = boxed(pages).select("row", host.alias("host"), path.alias("path"))
-    known, (a, b) = posteriors(labelled)
+    known, (a, b) = posteriors(labelled.filter("bad is not null"))
     hosts = parsed.select("host").distinct().withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
     for c, df in known.items():
         hosts = hosts.join(df, c, "left")
@@ -135,7 +135,7 @@ y AS (SELECT *, CASE WHEN regexp_matches(name, '^[\d.]+$') THEN name
         ELSE split_part(name, '.', -1) END AS suffix FROM x),
 w AS (SELECT *, CASE WHEN name = suffix THEN name ELSE array_to_string(list_slice(string_split(name, '.'), -(len(string_split(suffix, '.')) + 1), NULL), '.') END AS domain FROM y),
 l AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM w
-      JOIN (SELECT doc_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad FROM labels) b ON b.doc_id = w.page_id GROUP BY host),
+      JOIN (SELECT doc_id, CAST(quality = 0 OR toxic = 1 AS INTEGER) AS bad FROM labels) b ON b.doc_id = w.page_id WHERE bad IS NOT NULL GROUP BY host),
 ld AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM l GROUP BY ALL),
 ls AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM ld GROUP BY ALL),
 t AS (SELECT sum(bad) + 0.5 AS a, sum(n) - sum(bad) + 0.5 AS b FROM ls HAVING count(*) > 0),
