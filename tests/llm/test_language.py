@@ -116,3 +116,34 @@ def test_nothing_to_learn_from(spark):
     no_language = [(*r[:2], None, *r[3:]) for r in rows()]
     assert {r["lang_pred"] for r in language.identify(frame(spark, no_language)).collect()} == {"und"}
     assert language.identify(frame(spark, [])).collect() == []
+
+
+def test_languages_of_long_texts_alone_are_learned(spark):
+    """40 rows of 27 kB in each of two languages: both are told; a row of a language above the bound doesn't push out its short ones."""
+    rng = random.Random(3)
+    stems = {"de": ["der", "und", "Straße", "über", "Haus", "nicht"], "en": ["the", "of", "thing", "other", "wood", "with"]}
+    text = lambda lang, n: " ".join(rng.choice(stems[lang]) + rng.choice(stems[lang]) for _ in range(n))
+    data = [(i, text("de" if i % 2 else "en", 3000), "de" if i % 2 else "en", "s", 0, *rows()[0][5:]) for i in range(80)]
+    assert min(len(r[1].encode()) for r in data) > language.Settings().train_bytes
+    out = language.identify(frame(spark, data)).collect()
+    assert all(r["lang_pred"] == ("de" if r["doc_id"] % 2 else "en") for r in out)
+    short = [(100 + i, text("de", 50), "de", "s", 0, *rows()[0][5:]) for i in range(20)]
+    both = language.fit(frame(spark, data + short))
+    assert both.languages == ["de", "en"] and all(np.isfinite(both.usual))
+    tiny = language.fit(frame(spark, data), language.Settings(total_bytes=100))
+    assert tiny.languages == ["de", "en"]
+
+
+def test_a_language_of_few_samples_is_no_refuge(spark):
+    rng = random.Random(4)
+    data = [r for r in rows(160) if r[0] is not None]
+    japanese = ["これは日本語の文章です。今日はとても良い天気なので、散歩に行きました。" * 4, "昨日は友達と映画を見ました。とても面白かったです。また行きたいと思います。" * 4]
+    data += [(2000 + i, t, "ja", "s0", 0, *rows()[0][5:]) for i, t in enumerate(japanese)]
+    rare = "".join(chr(0x9000 + rng.randrange(2000)) for _ in range(480))
+    df = frame(spark, [*data, (3000, rare, None, "s0", 0, *rows()[0][5:])])
+    model = language.fit(df)
+    assert "ja" in model.languages and all(np.isfinite(model.usual))
+    kept = {r["doc_id"] for r in language.keep(df, model).collect()}
+    assert 3000 not in kept and {2000, 2001} <= kept
+    lone = language.fit(frame(spark, data[-2:-1]))
+    assert lone.languages == ["ja"] and np.isfinite(lone.usual[0])

@@ -10,9 +10,12 @@ The trees are sorted arrays of the contexts and of the (context, byte) pairs tha
 sample and not with the number of possible bytes; every byte value has a symbol of its own. A context's bytes are among those of the
 next shorter one, so the sum over bytes not yet refused is one number for each context.
 
-Training takes labelled rows, whole, of at most ``train_bytes`` each, those of least hash: at most ``train_docs`` of a
-language and ``total_bytes`` over all of them, shared alike, though each language has a row at least. That is the bound of the classifier's sample. Prediction
-covers every byte of every text and every language that has a labelled row.
+Training takes labelled rows, whole: those of at most ``train_bytes`` each and of least hash first, then longer ones, the shortest first, in languages that have fewer
+than ``few`` of them. Of a language at most ``train_docs`` are taken, and ``total_bytes`` over all, shared alike, though each language has a row at least.
+That is the bound of the classifier's sample. Prediction covers every byte of every text and every language that has a labelled row.
+
+What is usual for a language, in bits a byte, is the median of its sample's texts, each coded by those of the other half; with fewer than ``few`` texts by their quarters, and then
+at most what is usual for any language with enough texts, so that no language is a refuge for what is strange to all.
 
 Defined results: ``und`` with score 0 for a null or empty text, one without a letter, or if no language could be learned.
 Equal code lengths: the first language by name. Repeated rows are predicted one by one. Very long texts are coded whole. An empty table gives no
@@ -32,12 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import boxed, broadcast_few, crc_text, row_slices, small_batches, unboxed
+from .common import boxed, broadcast_few, crc_text, cut, row_slices, small_batches, unboxed
 
 #: Digits count as one byte and A-Z as a-z: numbers and capitals tell no language.
 FOLD = np.arange(256)
 FOLD[ord("0") : ord("9") + 1] = ord("0")
 FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
+LONG_STEPS = 1000  #: quantiles of the lengths of long rows
 OTHER = 0  #: symbol of the bytes that no training text has, and of what is before a text
 
 
@@ -47,6 +51,7 @@ class Settings:
     train_docs: int = 150
     train_bytes: int = 20_000
     total_bytes: int = 32_000_000  #: of all training rows together
+    few: int = 4
 
 
 @dataclass
@@ -150,18 +155,20 @@ def learn(samples: dict[str, list[bytes]], s: Settings) -> Model:
         sizes = [len(t) for t in texts]
         return context_tree(symbol[np.frombuffer(b"".join(texts), np.uint8)], np.repeat(np.cumsum([0, *sizes])[:-1], sizes), size, s.order)
 
-    trees, usual = [], []
+    trees, usual, many = [], [], []
     for name in names:
         texts = [t for t in samples[name] if t]
         trees.append(tree(texts))
-        halves = [texts[0::2], texts[1::2]]
+        many.append(len(texts) >= s.few)
+        parts = texts if many[-1] else [q for t in texts for k in range(4) if (q := t[len(t) * k // 4 : len(t) * (k + 1) // 4])]
+        halves = [parts[0::2], parts[1::2]]
         coded = []
-        if len(texts) >= 4:
-            for fitted, held in (halves, halves[::-1]):
-                one = Model([name], symbol, size, s.order, [tree(fitted)], np.zeros(1))
-                coded += [code_lengths(one, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0, 0] / len(t) for t in held]
-        usual.append(float(np.median(coded)) if coded else np.inf)
-    return Model(names, symbol, size, s.order, trees, np.array(usual))
+        for fitted, held in (halves, halves[::-1]):
+            one = Model([name], symbol, size, s.order, [tree(fitted)], np.zeros(1))
+            coded += [code_lengths(one, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0, 0] / len(t) for t in held]
+        usual.append(float(np.median(coded)))
+    most = max((u for u, enough in zip(usual, many, strict=True) if enough), default=np.inf)
+    return Model(names, symbol, size, s.order, trees, np.minimum(usual, most))
 
 
 def code_lengths(m: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -191,12 +198,19 @@ def has_letter(text: str) -> bool:
 
 def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
     """``docs`` has doc_id, text and lang; rows without a language don't count. Samples of at most ``total_bytes``, or one row a language, reach the driver."""
-    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (F.octet_length("text") <= s.train_bytes) & F.col("text").rlike(r"\p{L}"))
-    n = rows.groupBy("lang").count()
+    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("long", F.octet_length("text") > s.train_bytes)
+    n = cut(rows.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("longer")))
     share = s.total_bytes // max(1, n.count())
     draw = F.crc32(F.encode(F.concat_ws("/", F.lit("ppm"), F.col("doc_id").cast("string")), "UTF-8"))
-    # all but a few times what is wanted of a frequent language goes before anything is sorted
-    few = rows.join(broadcast_few(n), "lang").filter(draw <= F.lit(2.0**32) * 4 * s.train_docs / F.col("count"))
+    # all but a few times what is wanted of a frequent language goes before anything is sorted; of long rows, all but the shortest
+    few = rows.filter("not long").join(broadcast_few(n), "lang").filter(draw <= F.lit(2.0**32) * 4 * s.train_docs / F.col("short")).select("doc_id", "text", "lang", draw.alias("draw"))
+    lacking = cut(n.filter(F.col("short") < s.few).filter("longer > 0"))
+    if not lacking.isEmpty():
+        longer = rows.filter("long").join(broadcast_few(lacking), "lang").withColumn("bytes", F.octet_length("text"))
+        bound = longer.groupBy("lang").agg(F.percentile_approx("bytes", [k / LONG_STEPS for k in range(LONG_STEPS + 1)], 100 * LONG_STEPS).alias("q"), F.max("longer").alias("n"))
+        bound = bound.select("lang", F.get("q", F.least(F.lit(LONG_STEPS), F.ceil(LONG_STEPS * 4.0 * s.few / F.col("n"))).cast("int")).alias("most"))
+        few = few.unionByName(longer.join(broadcast_few(cut(bound)), "lang").filter("bytes <= most").select("doc_id", "text", "lang", (F.col("bytes") + 2**32).alias("draw")))
+    draw = F.col("draw")
     order = Window.partitionBy("lang").orderBy(draw, "doc_id", "text")
     best = few.withColumns({"at": F.row_number().over(order), "upto": F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
     samples: dict[str, list[bytes]] = {}
