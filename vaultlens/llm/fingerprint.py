@@ -20,9 +20,10 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, running
 
 #: A prime below 2**31 and the base of the polynomial.
 PRIME, BASE = 2147483629, 1000003
@@ -115,24 +116,25 @@ def cells(quantiles: list[int], step: float) -> list[tuple[int, int, int, bool]]
     return out
 
 
-def block(docs: DataFrame, rows: int) -> Column:
+def block(docs: DataFrame, rows: int, of: Column | None = None) -> Column:
     """A number that grows with doc_id and falls with the salt of equal ones, and has about ``rows`` rows of its own each: cells of equal depth, cut evenly by value."""
+    of = F.col("doc_id") if of is None else of
     found = docs.agg(F.percentile_approx("doc_id", [i / CELLS for i in range(CELLS + 1)], 100 * CELLS).alias("q"), F.count("doc_id").alias("n"), F.count(F.lit(1)).alias("all")).first()
     made = cells(list(found["q"] or [0]), found["n"] / (rows * CELLS))
     full = [dict(zip(("first", "before", "parts", "salted", "next"), (*c, after[0]), strict=True)) for c, after in zip(made, [*made[1:], made[-1]], strict=True)]
     # looked up in two steps: the group of cells, then the cell
     groups = F.from_json(F.lit(json.dumps([full[i : i + 32] for i in range(0, len(full), 32)])), "array<array<struct<first:long,before:long,parts:long,salted:boolean,next:long>>>")
     heads = F.from_json(F.lit(json.dumps([c["first"] for c in full[::32]])), "array<long>")
-    group = F.element_at(groups, F.greatest(F.size(F.filter(heads, lambda h: h <= F.col("doc_id"))), F.lit(1)))
-    cell = F.coalesce(F.try_element_at(F.filter(group, lambda c: c["first"] <= F.col("doc_id")), F.lit(-1)), F.element_at(F.element_at(groups, 1), 1))
+    group = F.element_at(groups, F.greatest(F.size(F.filter(heads, lambda h: h <= of)), F.lit(1)))
+    cell = F.coalesce(F.try_element_at(F.filter(group, lambda c: c["first"] <= of), F.lit(-1)), F.element_at(F.element_at(groups, 1), 1))
     by_salt = lambda n: F.floor(F.col("salt") * n / SALTS).cast("long")
 
     def place(c: Column) -> Column:
-        by_value = F.floor((F.col("doc_id") - c["first"]) / F.greatest(c["next"] - c["first"], F.lit(1)) * c["parts"])
+        by_value = F.floor((of - c["first"]) / F.greatest(c["next"] - c["first"], F.lit(1)) * c["parts"])
         return c["before"] + F.when(c["salted"], c["parts"] - 1 - by_salt(c["parts"])).otherwise(F.greatest(F.least(by_value, c["parts"] - 1), F.lit(0)))
 
     null = -1 - by_salt(F.lit(max(1, (found["all"] - found["n"]) // rows)))
-    return F.when(F.col("doc_id").isNull(), null).otherwise(let(cell, place))
+    return F.when(of.isNull(), null).otherwise(let(cell, place))
 
 
 def compare(docs: DataFrame, k: int = 5, window: int = 8, unit: int = 16, rows: int = 64) -> DataFrame:
@@ -142,11 +144,14 @@ def compare(docs: DataFrame, k: int = 5, window: int = 8, unit: int = 16, rows:
     of each block, one in ``rows``, is sent to the block before it.
     """
     text = F.coalesce("text", F.lit(""))
-    source = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text"))
+    placed = docs.select("doc_id", text.alias("text"), F.col("doc_id").alias("at"))
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):  # ids that are no numbers count by their places in order
+        placed = running(placed.drop("at"), [F.col("doc_id").asc_nulls_first()], at=F.lit(1).cast("long"))
+    source = placed.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "at")
     source = source.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
-    source = source.withColumn("block", block(docs.select("doc_id"), rows))
+    source = source.withColumn("block", block(placed.select(F.col("at").alias("doc_id")), rows, F.col("at")))
     dealt = source.repartition("block")
-    order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), "salt", "rid")
+    order = Window.partitionBy("block").orderBy(F.col("at").desc_nulls_last(), "salt", "rid")
     hashes = lambda c: F.array_distinct(F.transform(c, lambda m: m["hash"]))
 
     blocks = cut(source.select(F.col("block").alias("doc_id")).distinct().select(F.col("doc_id").alias("rid"), "doc_id", F.lit(0).alias("n_chars")))
