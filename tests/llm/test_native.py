@@ -1,13 +1,16 @@
 """Reputation, mixing, fingerprints, quotes and shards."""
 
 import hashlib
+import pathlib
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vaultlens.llm import fingerprint, mixing, quotes, reputation, sharding
+from vaultlens.llm import fingerprint, mixing, queries, quotes, reputation, sharding
+from vaultlens.llm.common import shared_folder
 
 from .helpers import WORD, documents, frame, rows
 
@@ -252,11 +255,13 @@ def test_query_and_sql_agree_on_a_table_of_quotes(spark, tmp_path):
             for _ in range(rng.randint(0, 3)):
                 level = rng.randint(1, 3)
                 old = rng.choice(said) if said and rng.random() < 0.8 else "nobody said this"
-                part = rng.choice([old, *old.split("\n\n"), *old.split("\n")])
+                all_ = old.split("\n")
+                cut = rng.randint(0, len(all_) - 1)
+                part = rng.choice([old, *old.split("\n\n"), *all_, "\n".join(all_[cut : cut + rng.randint(1, 3)])])
                 if rng.random() < 0.5:
                     lines.append(rng.choice(["Ann wrote:", "On Monday, Bob wrote: ", "he never wrote: this"]))
                 lines += [rng.choice([">" * level, "> " * level, " > " * level]) + rng.choice([x, x.upper(), x.replace(" ", "  ")]) for x in part.split("\n")]
-            mine = rng.choice(["", "one two\nthree", f"word {rng.randint(0, 5)}\n\nmore {rng.randint(0, 9)}\n", "5 > 3 wrote:\n", "x " * rng.choice([1, 3000])])
+            mine = rng.choice(["", "one two\nthree", f"word {rng.randint(0, 5)}\n\nmore {rng.randint(0, 9)}\n", "5 > 3 wrote:\n", "x " * rng.choice([1, 3000]), "\n".join(rng.choice(["yes", "no", "so it is", "", f"line {rng.randint(0, 9)}"]) for _ in range(rng.randint(2, 7)))])
             said.append(mine)
             data.append((c, turn, rng.choice(["user", None]), None if rng.random() < 0.05 else "\n".join([*lines, mine] if rng.random() < 0.7 else [mine, *lines])))
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
@@ -321,3 +326,60 @@ def test_shards_of_many_rows_are_even_by_bytes_and_whole(spark):
         load[r["shard"]] += r["size"]
     assert set(load) == set(range(8))
     assert max(load.values()) - min(load.values()) < 0.005 * sum(load.values()) / 8 + 400
+
+
+def test_pages_without_an_outcome_count_for_nothing(spark, tmp_path):
+    """A host with a null label asks its parents, in the query as in its SQL."""
+    urls = [f"http://h{i % 3}.bad.net/{i}" for i in range(60)] + ["http://new.bad.net/x", "http://good.com/1", "http://good.com/2"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit(""))
+    labels = spark.createDataFrame([(i, 0, 1) for i in range(60)] + [(60, None, 0), (61, 1, None), (62, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {tuple(r) for r in queries.op4_url_reputation(spark, str(tmp_path)).collect()}
+    assert ("block" in {r[4] for r in got if r[0] == 60}) and {r[4] for r in got if r[0] > 60} == {"allow"}
+    duck = duckdb.connect()
+    for t in ("pages", "labels"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == set(duck.execute(f"SELECT page_id, host, path, rule, verdict FROM ({reputation.SQL})").fetchall())
+
+
+def test_fingerprints_of_text_ids_equal_those_of_numbers(spark):
+    data = [r for r in rows() if r[0] is not None and r[0] != 17]
+    number = frame(spark, data)
+    text = number.withColumn("doc_id", F.format_string("doc-%05d", "doc_id"))
+    told = lambda df: {(int(str(r["doc_id"]).removeprefix("doc-")), *tuple(r)[1:]) for r in df.collect()}
+    assert told(fingerprint.compare(text, rows=8)) == told(fingerprint.compare(number, rows=8))
+    assert dict(fingerprint.compare(text).dtypes)["doc_id"] == "string"
+
+
+def test_parts_of_messages_are_linked(spark):
+    """Any run of neighbouring lines, by its rarest line; lines that don't follow each other, or not in that order, are no quote of the message."""
+    rows_ = [
+        (1, 0, "a", "one\ntwo\n\nthree\nfour"), (1, 1, "b", "yes\nyes\nno\nyes"), (1, 2, "a", "> two\n> three\nRight."), (1, 3, "b", "> THREE\n> two\nWrong."), (1, 4, "a", "> one\n> three\nNo."),
+        (1, 5, "b", "> yes\n> no\nWell."), (1, 6, "a", ">> two\n>> three\n> Right.\nNested."), (1, 7, "b", "> later one\n> later two\nToo early."), (1, 8, "a", "later one\nlater two\nlater three"),
+        (1, 9, "b", "> later two\n>\n> later three\nNow."), (2, 0, "a", "> two\n> three\nAnother room."),
+    ]
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["n_linked"]) for r in quotes.link(spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 2] == (0, 1) and got[1, 3] == (2, 0) and got[1, 4] == (3, 0) and got[1, 5] == (1, 1) and got[1, 6] == (2, 2) and got[1, 7] == (6, 0) and got[1, 9] == (8, 1) and got[2, 0] == (None, 0)
+
+
+def test_a_torn_version_of_a_slot_map_is_not_read(spark, tmp_path):
+    path, weight = str(tmp_path / "map"), [(i * 7919) % 101 for i in range(64)]
+    one = sharding.SlotMap.even(64, 4).rebalanced(weight)
+    one.save(spark, path)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "map").rglob("*.parquet")}
+    two = one.rebalanced(weight[::-1])
+    torn = two.frame(spark).filter("version = 3 and slot < 40").withColumn("slots", F.lit(64))
+    torn.write.mode("append").partitionBy("version").parquet(path)  # a writer that was lost
+    assert sharding.SlotMap.load(spark, path) == one
+    two.save(spark, path)
+    assert sharding.SlotMap.load(spark, path) == two and {p: p.stat().st_mtime_ns for p in files} == files
+    assert spark.read.parquet(path).count() == 3 * 64
+
+
+def test_the_query_stores_its_map(spark, tmp_path):
+    documents(spark, tmp_path)
+    got = queries.op10_shard(spark, str(tmp_path)).collect()
+    stored = max(pathlib.Path(shared_folder(spark).removeprefix("file:")).glob("slots-*"), key=lambda p: p.stat().st_mtime)
+    newest = sharding.SlotMap.load(spark, str(stored))
+    assert {r["map_version"] for r in got} == {newest.version} and all(r["shard"] == newest.shard[r["virtual_slot"]] for r in got)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprint, hmm, language, merkle, mixing, neardup, packing, quality, quotes, reputation, sharding, simhash, whitening
-from .common import table
+from .common import shared_folder, table
 
 
 #: Fixed values of the contract.
@@ -56,7 +58,7 @@ def op9_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))[0]
+    return sharding.shard(table(spark, sf_dir, "documents"), path=f"{shared_folder(spark)}/slots-{uuid.uuid4().hex}")[0]
 
 
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Records are hashed into ``slots`` slots, a number that never changes. Which shard holds a slot is said by a small
 versioned map (version, slot, shard). Rebalancing adds up bytes by slot and edits the map: shards above their share
-give up slots, shards below take them, and all other slots stay. One more shard is such an edit too.
+give up slots, shards below take them, and all other slots stay. One more shard is such an edit too. The map is stored by version, each a partition
+that is added and never changed; readers take the newest one that has all its slots.
 
 Slots are hashed from doc_id and text, so a group of equal texts is spread over all shards: the law is ``bytes``, and a group
 that holds a third of all bytes could not stay together under it. Equal rows share a slot.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,17 +72,28 @@ class SlotMap:
         return spark.createDataFrame([(v, slot, s, self.shards) for v, own in enumerate([*self.history, self.shard], 1) for slot, s in enumerate(own)], "version int, slot int, shard int, shards int")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.frame(spark).write.mode("overwrite").parquet(path)
+        """Add the versions that aren't stored whole yet, each as a partition of its own; what is stored is never touched, so a crash loses no version."""
+        try:
+            known = _whole(spark, path)
+        except AnalysisException:  # nothing there yet
+            known = {}
+        rows = self.frame(spark).filter(~F.col("version").isin(*known)) if known else self.frame(spark)
+        rows.withColumn("slots", F.lit(len(self.shard))).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SlotMap:
-        versions: dict[int, dict[int, int]] = {}
-        shards = 0
-        for r in spark.read.parquet(path).collect():  # slots x versions rows
-            versions.setdefault(r["version"], {})[r["slot"]] = r["shard"]
-            shards = r["shards"]
-        own = [[versions[v][s] for s in sorted(versions[v])] for v in sorted(versions)]
-        return cls(own[-1], shards, len(own), own[:-1])
+        """The newest version that is whole, and the whole ones before it."""
+        own = _whole(spark, path)
+        newest = max(own)
+        return cls(own[newest][0], own[newest][1], newest, [own[v][0] for v in sorted(own) if v < newest])
+
+
+def _whole(spark: SparkSession, path: str) -> dict[int, tuple[list[int], int]]:
+    """(shard of each slot, shards) by version, of versions of which every slot is stored; slots x versions rows."""
+    rows: dict[int, dict[int, tuple[int, int, int]]] = {}
+    for r in spark.read.parquet(path).collect():
+        rows.setdefault(r["version"], {})[r["slot"]] = (r["shard"], r["shards"], r["slots"])
+    return {v: ([of[s][0] for s in sorted(of)], of[0][1]) for v, of in rows.items() if 0 in of and len(of) == of[0][2]}
 
 
 def hashed(docs: DataFrame, slots: int) -> DataFrame:
@@ -88,8 +101,8 @@ def hashed(docs: DataFrame, slots: int) -> DataFrame:
     return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), crc_text(F.col("text")).alias("text_crc32"), F.pmod(F.xxhash64("doc_id", text), F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
-def shard(docs: DataFrame, shards: int = 8, slots: int = 4096, start: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
-    """Each record's shard and its place in it, and the map after rebalancing by bytes.
+def shard(docs: DataFrame, shards: int = 8, slots: int = 4096, start: SlotMap | None = None, path: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """Each record's shard and its place in it, and the map after rebalancing by bytes, which is stored under ``path`` and read from there.
 
     Only (slot, bytes, rows) of the fixed number of slots reach the driver. A record's place is that of its slot in
     the shard, from the slots' row counts, plus its place in the slot.
@@ -98,6 +111,9 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = 4096, start: SlotMap |
     found = {r["virtual_slot"]: r for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
     weight = [found[s]["size"] if s in found else 0 for s in range(slots)]
     newest = (start or SlotMap.even(slots, shards)).rebalanced(weight, shards)
+    if path is not None:
+        newest.save(rows.sparkSession, path)
+        newest = SlotMap.load(rows.sparkSession, path)
     place, taken = [], [0] * shards
     for slot, s in enumerate(newest.shard):
         place.append((slot, s, taken[s], newest.version))
