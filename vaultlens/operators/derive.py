@@ -13,6 +13,7 @@ from ..functions import periods
 from ..functions.columns import once
 from ..functions.numbers import money, percentage, ratio
 from ..functions.text import contains_quote, squeeze
+from .steps import keep
 
 FEW = 2000  #: keys that are looked up in place
 PERIOD = ["period_type", "period_start", "period_end", "as_of"]
@@ -41,17 +42,22 @@ def gross_profit(facts: DataFrame) -> DataFrame:
 def runway(facts: DataFrame) -> DataFrame:
     """Cash by net burn: the burn whose period holds the cash's date, else the latest that ended by then.
 
-    The join is equal on the subject with the dates as a residue, and one burn is kept by rank. A burn of zero or
-    less gives no runway, and no other burn takes its place.
+    Earlier burns are found in one order of the subject's dates, in which each cash row takes the last one before it, so no cash row is ranked with
+    every earlier burn. Burns whose periods hold the date go first; that join is equal on the subject with the dates as a residue, and few rows come out of it.
+    A burn of zero or less gives no runway, and no other burn takes its place.
     """
     live = facts.filter("value is not null")
-    cash = live.filter("metric = 'cash_balance'").select("deal_id", "subject", F.coalesce("as_of", "period_end").alias("at"), F.col("value").alias("cash"), F.col("seq").alias("cash_seq")).filter("at is not null")
-    burn = live.filter("metric = 'net_burn'").select("deal_id", "subject", "period_start", "period_end", F.col("value").alias("burn"), F.col("seq").alias("burn_seq"))
-    pairs = cash.join(burn, ["deal_id", "subject"]).filter("period_end <= at or (period_start <= at and at <= period_end)")
-    inside = F.coalesce((F.col("period_start") <= F.col("at")) & (F.col("at") <= F.col("period_end")), F.lit(False))
-    order = Window.partitionBy("deal_id", "subject", "cash_seq").orderBy(inside.desc(), F.when(inside, F.col("burn_seq")).asc_nulls_last(), F.col("period_end").desc(), "burn_seq")
-    best = pairs.withColumn("place", F.row_number().over(order)).filter("place = 1 and burn > 0")
-    return best.select("deal_id", "subject", F.col("at").alias("as_of"), "cash_seq", "burn_seq", ratio(F.col("cash"), F.col("burn")).alias("runway_months"))
+    key = ["deal_id", "subject"]
+    cash = live.filter("metric = 'cash_balance'").select(*key, F.coalesce("as_of", "period_end").alias("at"), F.col("value").alias("cash"), F.col("seq").alias("cash_seq")).filter("at is not null")
+    burn = live.filter("metric = 'net_burn'").select(*key, "period_start", "period_end", F.struct(F.col("value").alias("burn"), F.col("seq").alias("burn_seq")).alias("b"))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    events = burn.filter("period_end is not null").select(*key, F.col("period_end").alias("at"), none(cash, "cash"), none(cash, "cash_seq"), "b").unionByName(cash.select("*", none(burn, "b")))
+    order = Window.partitionBy(*key).orderBy("at", F.col("b").isNull(), F.col("b.burn_seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ended = events.withColumn("ended", F.last("b", ignorenulls=True).over(order)).filter("b is null").select(*key, "at", "cash", "cash_seq", "ended")
+    spans = burn.filter("period_start <= period_end").select(*key, "period_start", "period_end", "b")
+    within = cash.select(*key, "at", "cash_seq").join(spans, key).filter("period_start <= at and at <= period_end").groupBy(*key, "cash_seq").agg(F.min_by("b", "b.burn_seq").alias("held"))
+    best = ended.join(within, [*key, "cash_seq"], "left").withColumn("b", F.coalesce("held", "ended")).filter("b.burn > 0")
+    return best.select(*key, F.col("at").alias("as_of"), "cash_seq", F.col("b.burn_seq").alias("burn_seq"), ratio(F.col("cash"), F.col("b.burn")).alias("runway_months"))
 
 
 def first_contracts(facts: DataFrame) -> DataFrame:
@@ -124,6 +130,7 @@ def derived(facts: DataFrame, deals: DataFrame) -> tuple[DataFrame, DataFrame]:
         out = out.unionByName(made(share, "top_customer_concentration", value, "percent", (F.col("top_seq"), "numerator")))
     if "method" in live.columns:
         out = not_yet(out, live.filter("method = 'derived'"))
+    out = keep(out)
     links = out.select("fact_id", F.explode("links").alias("l")).select("fact_id", "l.parent_id", "l.role")
     if "document_id" in live.columns:
         links = links.unionByName(others.join(out.select("fact_id").distinct(), "fact_id", "left_semi"))
@@ -133,8 +140,6 @@ def derived(facts: DataFrame, deals: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def lineage(links: DataFrame) -> DataFrame:
     """(fact_id, ancestor_id, depth): the closure of (fact_id, parent_id), shortest way, by joins along the links until nothing is new."""
-    from .graph import keep
-
     reached = keep(links.select("fact_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")).distinct())
     edge = links.select(F.col("fact_id").alias("ancestor_id"), F.col("parent_id").alias("next")).distinct()
     fresh, d = reached, 1

@@ -69,7 +69,7 @@ cited AS (
   UNION ALL SELECT deal_id, doc, 'bank_inflows', company, CAST(date_trunc('month', day) AS DATE), last_day(day), row_, 2, CAST(paid AS VARCHAR), paid FROM bank WHERE paid > 0
   UNION ALL SELECT deal_id, doc, 'bank_inflows', company, CAST(date_trunc('month', last_day(make_date(CAST(y AS INTEGER), fye, 1))) - INTERVAL 11 MONTH AS DATE), last_day(make_date(CAST(y AS INTEGER), fye, 1)), row_, 2, CAST(paid AS VARCHAR), paid FROM fy WHERE paid > 0
   UNION ALL SELECT deal_id, doc, 'shares_outstanding', company, NULL, NULL, row_, 2, CAST(shares AS VARCHAR), shares FROM cap),
-facts AS (SELECT deal_id, doc, metric, subject, ps, pe, CAST(round(CASE metric WHEN 'top_customer_concentration' THEN CAST(max(amount) AS DOUBLE) / nullif(CAST(sum(amount) AS DOUBLE), 0) * 100 ELSE CAST(sum(amount) AS DOUBLE) END, 2) AS DECIMAL(24,2)) AS value FROM cited GROUP BY ALL HAVING metric <> 'top_customer_concentration' OR sum(amount) <> 0),
+facts AS (SELECT deal_id, doc, metric, subject, ps, pe, CAST(round(CASE metric WHEN 'top_customer_concentration' THEN CAST(max(amount) AS DOUBLE) / nullif(CAST(sum(amount) AS DOUBLE), 0) * 100 ELSE CAST(sum(amount) AS DOUBLE) END, 2) AS DECIMAL(24,2)) AS value FROM cited GROUP BY deal_id, doc, metric, subject, ps, pe HAVING metric <> 'top_customer_concentration' OR sum(amount) <> 0),
 owners AS (SELECT deal_id, company, 'bank-' || deal_id AS doc, 0 AS row_, 0 AS col, 'Account ' || deal_id || '000000' AS quote FROM deals),
 ents AS (SELECT deal_id, 'customer' AS type, c_name AS name, doc, row_, 0 AS col, c_name AS quote FROM book UNION ALL SELECT deal_id, 'shareholder', s_name, doc, row_, 0, s_name FROM cap UNION ALL SELECT deal_id, 'security_class', class, doc, row_, 1, class FROM cap
   UNION ALL SELECT deal_id, 'bank_account', quote, doc, 0, 0, quote FROM owners UNION ALL SELECT deal_id, 'company', company, doc, row_, col, quote FROM owners),

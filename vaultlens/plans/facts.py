@@ -344,7 +344,7 @@ def prose_stored_facts(s: S, d: str) -> DataFrame:
     """Told facts of a chunk for each customer, of eight kinds: by hint, by mention and the company's own, of unknown words, wrong quotes, no value, told twice and stored before."""
     k, c = F.col("k"), F.col
     customer = read(s, d, "customer").select(c("c_custkey").alias("chunk_id"), (c("c_custkey") % 100).alias("document_id"), (c("c_custkey") % 8).alias("k"), c("c_nationkey").alias("deal_id"), "c_name", c("c_acctbal").cast("decimal(24,2)").cast("decimal(24,6)").alias("value"))
-    said = F.when(k == 7, "The books\nare in order.").otherwise(F.concat(F.lit("Of "), F.when(k == 4, F.concat(F.upper("c_name"), F.lit(", Inc."))).otherwise(F.lit("it")), F.lit(" the revenue\n of the year is told.")))
+    said = F.when(k == 7, "The books\nare in order.").otherwise(F.concat(F.lit("Of "), F.when(k == 4, F.concat(F.upper(F.replace("c_name", F.lit("#"), F.lit("  "))), F.lit(", Inc."))).otherwise(F.lit("it")), F.lit(" the revenue\n of the year is told.")))
     chunks = customer.select("deal_id", "document_id", "chunk_id", said.alias("text"))
     of = customer.withColumn("place", F.explode(F.when(k == 6, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     told = of.select(

@@ -311,3 +311,15 @@ def rerank_pools(s: S, d: str) -> DataFrame:
     docs = read(s, d, "documents").select(F.col("source").alias("question_id"), F.lit("the DE und, of la").alias("query"), "doc_id", "text")
     hits = docs.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("doc_id")).cast("long"))
     return search.listwise(hits, k=30).select("question_id", "doc_id", "rank")
+
+
+@query()
+def document_chunks(s: S, d: str) -> DataFrame:
+    """All chunks of documents: their lines as blocks of a page, and the suppliers of nations as tables of the documents of the same numbers."""
+    docs = read(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text", F.when(F.col("doc_id") % 3 == 0, "pptx").when(F.col("doc_id") % 3 == 1, "eml").otherwise("txt").alias("ext"))
+    lines = docs.select("document_id", F.lit(1).alias("page_no"), F.posexplode(F.split("text", "\n")).alias("order", "text"))
+    blocks = lines.select("document_id", "page_no", "order", F.concat_ws("/", F.col("document_id").cast("string"), F.col("order").cast("string")).alias("block_id"), F.lit("paragraph").alias("kind"), "text")
+    supplier = read(s, d, "supplier").select(F.col("s_nationkey").cast("long").alias("document_id"), (F.col("s_suppkey") + 1).cast("int").alias("row"), F.concat_ws(", ", "s_name", F.col("s_acctbal").cast("string")).alias("text"), F.lit(False).alias("is_header"))
+    heads = supplier.select("document_id").distinct().select("document_id", F.lit(0).alias("row"), F.lit("Supplier, Balance").alias("text"), F.lit(True).alias("is_header"))
+    rows = supplier.unionByName(heads).select("document_id", F.lit(1).alias("page_no"), F.lit(None).cast("string").alias("block_id"), F.concat(F.lit("t"), F.col("document_id").cast("string")).alias("table_id"), "row", "text", "is_header")
+    return chunking.document_chunks(docs.select("document_id", "ext"), blocks, rows).select("document_id", "page_no", "kind", "chunk_no", "char_start", "char_end", "token_count", "text_hash", F.size("block_ids").alias("blocks"), "table_id", "row_start", "row_end")
