@@ -50,9 +50,9 @@ def test_queries_have_the_contracts_columns(spark, folder):
     named = {
         "op2_pack": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op3_odd_sketch": "doc_id n_shingles component_id kept", "op5_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
         "op6_mix": "doc_id size source_size target taken", "op7_language": "doc_id held_out lang_pred score", "op8_winnow": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op10_shard": "doc_id size text_crc32 law shard slot grown_shard",
-        "op1_hmm_score": "doc_id held_out n_tokens n_known train_tokens base_score score",
+        "op1_hmm_score": "doc_id held_out n_tokens n_known train_tokens base_score score", "op11_simhash": "doc_id fingerprint component_id", "op13_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
     }
     every = queries.queries()
-    assert len(every) == 10
+    assert len(every) == 13
     for name, columns in named.items():
         assert set(columns.split()) <= set(every[name](spark, folder).columns), name
