@@ -144,14 +144,14 @@ def compare(docs: DataFrame, k: int = 5, window: int = 8, unit: int = 16, rows:
     of each block, one in ``rows``, is sent to the block before it.
     """
     text = F.coalesce("text", F.lit(""))
-    placed = docs.select("doc_id", text.alias("text"), F.col("doc_id").alias("at"))
+    placed, at = docs.select("doc_id", text.alias("text")), "doc_id"
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):  # ids that are no numbers count by their places in order
-        placed = running(placed.drop("at"), [F.col("doc_id").asc_nulls_first()], at=F.lit(1).cast("long"))
-    source = placed.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "at")
+        placed, at = running(placed, [F.col("doc_id").asc_nulls_first()], at=F.lit(1).cast("long")), "at"
+    source = placed.select(F.monotonically_increasing_id().alias("rid"), *placed.columns)
     source = source.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
-    source = source.withColumn("block", block(placed.select(F.col("at").alias("doc_id")), rows, F.col("at")))
+    source = source.withColumn("block", block(placed.select(F.col(at).alias("doc_id")), rows, F.col(at)))
     dealt = source.repartition("block")
-    order = Window.partitionBy("block").orderBy(F.col("at").desc_nulls_last(), "salt", "rid")
+    order = Window.partitionBy("block").orderBy(F.col(at).desc_nulls_last(), "salt", "rid")
     hashes = lambda c: F.array_distinct(F.transform(c, lambda m: m["hash"]))
 
     blocks = cut(source.select(F.col("block").alias("doc_id")).distinct().select(F.col("doc_id").alias("rid"), "doc_id", F.lit(0).alias("n_chars")))
