@@ -31,9 +31,12 @@ INDEXES: dict[tuple[str, str, int], search.Index] = {}
 
 def index(s: S, d: str) -> search.Index:
     """The index of the documents of a folder, built on the first question of a session and kept in the shared folder; when the folder's files have changed, it is built anew."""
-    files = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{d}/documents.parquet").select("path", "length", "modificationTime")
-    state = files.agg(F.coalesce(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()["h"]
-    key = (s.sparkContext.applicationId, d, int(state))
+    folder = s._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    listed, state = folder.getFileSystem(s._jsc.hadoopConfiguration()).listFiles(folder, True), set()
+    while listed.hasNext():
+        f = listed.next()
+        state.add((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    key = (s.sparkContext.applicationId, d, hash(frozenset(state)))
     if key not in INDEXES:
         INDEXES[key] = search.build_index(chunks(s, d), f"{graph.shared_folder(s)}/index-{uuid.uuid4().hex}", ["lang"])
     return INDEXES[key]
