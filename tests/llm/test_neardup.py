@@ -147,3 +147,13 @@ def test_components_with_hubs_among_other_nodes(spark):
     edges = [(0, i) for i in range(10, 3010)] + [(i, 9000) for i in range(5000, 8000)] + [(x, y) for i in range(500) for x, y in ((20000 + 3 * i, 20001 + 3 * i), (20001 + 3 * i, 20002 + 3 * i), (20002 + 3 * i, 9000))]
     out = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {i: 0 for i in (0, *range(10, 3010))} | {i: 5000 for i in (9000, *range(5000, 8000), *range(20000, 21500))}
+
+
+def test_edges_of_a_dense_family_are_gone_before_the_rounds(spark, monkeypatch):
+    """3,000 nodes with 30 of 300 leaders each: the rounds get what joins the leaders alone."""
+    rng, given = random.Random(7), []
+    edges = {(rng.randrange(300), i) for i in range(300, 3300) for _ in range(30)}
+    monkeypatch.setattr(components, "_star", lambda df, large, own=components._star: given.append(df.count()) or own(df, large))
+    out = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(list(edges), "a long, b long")).collect()}
+    assert out == dict.fromkeys(range(3300), 0)
+    assert given[0] < len(edges) / 4 and sum(given) < len(edges)
