@@ -86,3 +86,18 @@ def test_told_facts_are_stored_or_rejected(spark):
     assert facts.count() == 5  # text alone is never known
     assert {tuple(r) for r in rejected.collect()} == {("c1", 1, "known"), ("c2", 1, "unknown metric"), ("c2", 2, "unknown unit"), ("c2", 3, "quote not in chunk"), ("c3", 2, "no value"), ("c3", 3, "known"), ("c9", 0, "no such chunk"), ("c1", 3, "unknown metric")}
     assert {r["target_id"] for r in cited.collect()} == {r["fact_id"] for r in facts.collect()} and cited.filter(F.col("kind") == "fact").count() == 5
+
+
+def test_customers_of_one_name_and_balance_are_told_apart_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    from vaultlens.plans import facts
+
+    rows = [(800 * n + k, "Customer#1", 3, 12.5, "X") for n in range(4) for k in range(16)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    query, sql = facts.QUERIES["prose_stored_facts"]
+    got = query(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, c.execute(f"SELECT {', '.join(got.columns)} FROM ({sql}) q").fetchall()))
