@@ -324,3 +324,25 @@ def test_pairs_of_names_equal_brute_force(spark):
             if a < b and graph.token_set_ratio(n, m) >= graph.ALIKE:
                 expected.add((a, b))
     assert got == expected
+
+
+def test_expected_facts_meet_the_first_of_many_without_pairs(spark):
+    """Against brute force, with edges of the tolerance, both signs, zeros and other periods; a task gives a row for what surely meets, and few more."""
+    import random
+    from decimal import Decimal
+
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    years = [(D(y, 1, 1), D(y, 12, 31)) for y in (2023, 2024, 2025)]
+    known = [(rng.choice("ab"), Decimal(rng.choice([rng.randrange(95_000, 105_000), rng.randrange(-105_000, -95_000), 0, 98_000, 102_000, 100_000])) / 1000, *rng.choice(years), i) for i in range(1500)]
+    asked = [(i, rng.choice("ab"), Decimal(rng.choice([100_000, -100_000, 0, rng.randrange(95_000, 105_000), 2_000_000])) / 1000, rng.choice([2.0, 0.0, 150.0]), *rng.choice(years)) for i in range(300)]
+    f = spark.createDataFrame([("x", m, v, "fiscal_year", a, b, None, s) for m, v, a, b, s in known], "subject string, metric string, value decimal(24,6), period_type string, period_start date, period_end date, as_of date, seq int")
+    e = spark.createDataFrame(asked, "fact_no int, metric string, value decimal(24,6), tolerance_pct double, period_start date, period_end date")
+    want = {i: min((s for m2, v2, a2, b2, s in known if m2 == m and float(abs(v2 - v)) <= t / 100 * float(abs(v)) + 1e-9 and a2 <= b and b2 >= a), default=None) for i, m, v, t, a, b in asked}
+    assert {r["fact_no"]: r["seq"] for r in derive.recall(e, f).collect()} == want
+    n, day = 3000, pa.array([D(2024, 1, 1)] * 3000)
+    table = {"fact_no": range(n), "value": [100.0] * n, "tolerance_pct": [2.0] * n, "v": [100.0] * n, "off": [2.0] * n, "period_start": day, "period_end": day}
+    near = {"got": [100 + i / n for i in range(n)], "g": [100 + i / n for i in range(n)], "got_start": day, "got_end": day, "seq": range(n)}
+    met = derive._nearest(pa.table({k: pa.array(v) for k, v in table.items()}), pa.table({k: pa.array(v) for k, v in near.items()}))
+    assert met.num_rows == n and set(met.column("seq").to_pylist()) == {0}
