@@ -346,3 +346,14 @@ def test_expected_facts_meet_the_first_of_many_without_pairs(spark):
     near = {"got": [100 + i / n for i in range(n)], "g": [100 + i / n for i in range(n)], "got_start": day, "got_end": day, "seq": range(n)}
     met = derive._nearest(pa.table({k: pa.array(v) for k, v in table.items()}), pa.table({k: pa.array(v) for k, v in near.items()}))
     assert met.num_rows == n and set(met.column("seq").to_pylist()) == {0}
+
+
+def test_an_index_counts_a_few_texts_at_once():
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(1000)] * 100
+    batch = pa.RecordBatch.from_arrays([pa.array([{"chunk_id": i} for i in range(9)]), pa.array([words] * 9)], ["row", "t"])
+    out = list(search._counted(iter([batch])))
+    assert max(sum(b.column("size").to_pylist()) for b in out) <= search.PIECE
+    assert [r["chunk_id"] for b in out for r in b.column("row").to_pylist()] == list(range(9))
+    assert all(len(x) == 1000 and {y["tf"] for y in x} == {100} for b in out for x in b.column("terms").to_pylist())

@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 from pyspark.sql.window import Window
 
 from ..functions.text import tokenize
+from .steps import small_batches
 
 K1, B, FLOOR, RRF, TOP, DIM = 1.5, 0.75, 0.25, 60, 50, 256
 
@@ -212,12 +213,26 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(buckets)).cast("int")
 
 
-_known_place = lru_cache(maxsize=1 << 18)(token_place)
+_known_place = lru_cache(maxsize=1 << 16)(token_place)
+
+PIECE = 200_000  #: tokens that are counted at once, about; a longer text is counted whole
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``PIECE`` tokens."""
+    sizes, start, total = batch.column("t").value_lengths().to_numpy(zero_copy_only=False), 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > PIECE:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += int(n)
+    if len(batch) > start:
+        yield batch.slice(start)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of chunks (row, t: tokens) their size, distinct terms with counts, and the parts of their vectors that aren't zero."""
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in _pieces(whole)):
         t = batch.column("t")
         flat, n = t.flatten().dictionary_encode(), len(batch)
         sizes = t.value_lengths().to_numpy(zero_copy_only=False)
@@ -245,7 +260,7 @@ def build_index(chunks: DataFrame, path: str, filters: list[str] | None = None)
     carried = ["chunk_id", *(filters or [])]
     spark = chunks.sparkSession
     tokens = chunks.select(F.struct(*carried).alias("row"), tokenize(F.coalesce("text", F.lit(""))).alias("t"))
-    made = tokens.mapInArrow(_counted, f"row {tokens.schema['row'].dataType.simpleString()}, size int, terms array<struct<term:string,tf:long>>, parts map<int,double>")
+    made = small_batches(tokens).mapInArrow(_counted, f"row {tokens.schema['row'].dataType.simpleString()}, size int, terms array<struct<term:string,tf:long>>, parts map<int,double>")
     made.select("row.*", "size", "terms", "parts").write.mode("overwrite").parquet(f"{path}/vectors")
     counted = spark.read.parquet(f"{path}/vectors")
     known = counted.select(*carried, "size", F.explode("terms").alias("x")).select(*carried, "size", "x.term", "x.tf")
