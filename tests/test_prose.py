@@ -76,3 +76,10 @@ def test_each_prompt_is_asked_once(spark):
 @pytest.mark.parametrize(("said", "value"), [("$1.5M", 1500000), ("2 billion", 2000000000), ("3k", 3000), ("1,234", 1234)])
 def test_amounts(spark, said, value):
     assert spark.range(1).select(prose.amount(F.lit(said)).alias("v")).first()["v"] == value
+
+
+def test_patterns_fit_only_where_their_words_are():
+    """A sentence is searched for a metric only if it has one of the pattern's words, so each alternative of the pattern must be one of them."""
+    for _, _, _, pattern, words in prose.patterns():
+        assert words and all(w.replace(" ", r"\s+") in pattern for w in words)
+        assert "|".join(w.replace(" ", r"\s+") for w in words) in pattern

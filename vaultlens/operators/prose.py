@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,17 +42,17 @@ def _phrase(words: tuple[str, ...]) -> str:
     return r"(?<!\w)(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + r")(?!\w)"
 
 
-def patterns() -> list[tuple[str, str, str, str]]:
-    """(metric, unit, policy, pattern) of each way to say a metric, made from the tables."""
+def patterns() -> list[tuple[str, str, str, str, tuple[str, ...]]]:
+    """(metric, unit, policy, pattern, words) of each way to say a metric, made from the tables; what fits has one of ``words`` whole, but for its blanks."""
     between, out = rf"[^.;\n]{{0,{REACH}}}?", []
     for metric, (unit, policy, words) in NAMED.items():
         if words:
             but = rf"(?<!{UNLESS[metric]}\s)" if metric in UNLESS else ""
-            out.append((metric, unit, policy, f"(?i){but}{_phrase(words)}{between}{AMOUNT[unit]}"))
+            out.append((metric, unit, policy, f"(?i){but}{_phrase(words)}{between}{AMOUNT[unit]}", words))
         if metric in FOLLOWED:
             after, far = FOLLOWED[metric]
             number = AMOUNT["count" if unit == "months" else unit]
-            out.append((metric, unit, policy, f"(?i){number}{between if far else chr(92) + 's*'}{_phrase(after)}"))
+            out.append((metric, unit, policy, f"(?i){number}{between if far else chr(92) + 's*'}{_phrase(after)}", after))
     return out
 
 
@@ -70,8 +72,11 @@ def facts(chunks: DataFrame) -> DataFrame:
     known = {"filename", "company"} <= set(chunks.columns)
     hint = counterparty(F.col("text"), title(F.col("filename")), F.col("company")) if known else F.lit(None).cast("string")
     told = chunks.select("document_id", "chunk_id", "doc_date", "reference_year", "fye", hint.alias("hint"), periods.as_of(F.col("text")).alias("day"), F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
-    some = told.filter(F.col("sentence").rlike(r"\d"))
-    found = [F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit"), F.lit(p).alias("policy"), F.regexp_extract_all("sentence", F.lit(pattern), 1).alias("said")) for m, u, p, pattern in patterns()]
+    some = told.filter(F.col("sentence").rlike(r"\d")).withColumn("low", F.lower("sentence"))
+    # a pattern is tried where its words are: most sentences have those of one or two
+    has = lambda words: reduce(or_, (reduce(and_, (F.contains("low", F.lit(x.lower())) for x in w.split(" "))) for w in words))
+    none = F.array().cast("array<string>")
+    found = [F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit"), F.lit(p).alias("policy"), F.when(has(words), F.regexp_extract_all("sentence", F.lit(pattern), 1)).otherwise(none).alias("said")) for m, u, p, pattern, words in patterns()]
     hits = some.withColumn("h", F.explode(F.filter(F.array(*found), lambda h: F.size(h["said"]) > 0))).select("*", "h.metric", "h.unit", "h.policy", F.explode("h.said").alias("said"))
     point = lambda d: F.when((F.col("policy") == "point") & d.isNotNull(), periods.period("point", d, d, d))
     year = periods.period("fiscal_year", periods.fiscal_year_start(F.col("reference_year"), F.col("fye")), periods.fiscal_year_end(F.col("reference_year"), F.col("fye")))
