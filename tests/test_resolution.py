@@ -56,6 +56,18 @@ def test_no_pair_is_lost(spark, threshold, seed):
     assert (rows.index("alpha bravo charlie x"), rows.index("alpha bravo charlie international manufacturing telecommunications partnership")) in got or threshold > 95
 
 
+@pytest.mark.parametrize(("rare", "block"), [(0, 3), (2, 7), (200, 8192)])
+def test_names_of_rare_pieces_and_blocks_of_others_lose_no_pair(spark, monkeypatch, rare, block):
+    monkeypatch.setattr(names, "RARE", rare)
+    monkeypatch.setattr(names, "BLOCK", block)
+    rng = random.Random(block)
+    keys = ["".join(rng.choices("0123456789abcdef", k=32)) for _ in range(12)]
+    rows = [*hard_names(8, 30), *keys, *(k[:7] + k[8:] for k in keys), *(k[:20] + "zz" + k[21:] for k in keys)]
+    df = spark.createDataFrame([(1, "customer", i, n) for i, n in enumerate(rows)] + [(1, None, -1, rows[0]), (1, None, -2, rows[1])], "deal_id int, type string, entity_id int, name string")
+    got = [(r["a"], r["b"]) for r in names.resolution_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_pairs(spark, rows, 92)
+
+
 def test_types_deals_and_aliases_keep_names_apart(spark):
     df = spark.createDataFrame([(1, "customer", 1, "Acme"), (1, "person", 2, "Acme"), (2, "customer", 3, "Acme"), (1, "customer", 4, "Other Name"), (1, "person", 5, "Sam Old"), (1, "customer", 6, "Sam Old")], "deal_id int, type string, entity_id int, name string")
     assert names.resolution_pairs(df).count() == 0

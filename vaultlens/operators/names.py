@@ -6,16 +6,20 @@ The ratio of two names is the best of three comparisons, and each has a candidat
   ones. So of a name's words, ordered by how rare they are, the first ones that are together too long to be left out hold a word
   that the other has, whatever else that one has. These few meet all words of the other. Whether the comparison reaches the threshold then follows from
   lengths alone. Containment is the case in which nothing is left out.
-- *Whole against whole.* Insertions and deletions are few beside both lengths, and each touches few grams; the names share one among the
-  rarest grams of either, of which there are as many as may be lost and one more. What meets is filtered inside the join by both lengths and by
-  the counts of letters, which cannot differ in more places than there are edits. Only what is left reaches the ratio itself.
-
-Grams are of three characters as long as not all of a name's grams can be lost (a threshold of 92 and more), else of two (88), else single letters by occurrence.
+- *Whole against whole.* Insertions and deletions are few beside both lengths, and each breaks one piece of a name at most; of one piece more than there may be
+  edits, one is whole in the other name. Names whose pieces are rare meet by them. The pieces of common words and those of a few letters would bring
+  all together, so the other names meet each other in blocks, by lengths, by counts of letters, which cannot differ in more places than there are
+  edits, and by twos of letters, which can differ in thrice as many. Only what is left reaches the ratio itself.
 """
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -26,6 +30,9 @@ from .steps import keep
 ALIKE = 92
 GROUP = ["deal_id", "type"]
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SIZES = (8, 7, 6, 5)  #: of pieces that may be rare
+RARE = 200  #: names that hold a piece that is looked up, at most
+BLOCK = 8192  #: names of a length that a task compares at once
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -44,6 +51,16 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(ratios)
 
 
+def whole_ratio(a: set[str], b: set[str], lengths: int, least: float = 0.0) -> float:
+    """The ratio of whole against whole of two sets of words, neither in the other, with both names' lengths: what they share stands first in both. May be 0 below ``least``."""
+    left, right = " ".join(sorted(a - b)), " ".join(sorted(b - a))
+    shared = lengths - len(left) - len(right)
+    if 100.0 * (shared + 2 * min(len(left), len(right))) / lengths < least:
+        return 0.0
+    own = len(left) + len(right)
+    return 200.0 * (shared // 2 + round(_indel(left, right) * own / 200)) / lengths if own else 100.0
+
+
 def _indel(a: str, b: str) -> float:
     """100 * 2 * common subsequence / both lengths, by bit-parallel rows."""
     if not a and not b:
@@ -82,15 +99,23 @@ def word_bits(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(63)).cast("int"))))
 
 
-def grams(words: Column, text: Column, size: int) -> Column:
-    """Distinct grams of a name; words shorter than a gram are one."""
-    if size == 1:
-        kinds = [*LETTERS, *"0123456789"]
-        others = F.length(F.regexp_replace(text, "[a-z0-9 ]", ""))
-        each = [(ch, _count(text, ch)) for ch in kinds] + [("?", others)]
-        return F.flatten(F.array(*(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda k, ch=ch: F.concat(F.lit(ch), k.cast("string"))) for ch, n in each)))
-    of = lambda w: F.when(F.length(w) < size, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - size + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(size))))
-    return F.array_distinct(F.flatten(F.transform(words, of)))
+def pair_bits(words: Column) -> list[Column]:
+    """Two longs whose bits are flipped by each two letters side by side in a word: an edit takes one away and brings two, or the reverse, so that it changes three bits at most."""
+    twos = F.transform(F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= 2), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2))))), lambda g: F.pmod(F.xxhash64(g), F.lit(128)).cast("int"))
+    half = lambda k: F.aggregate(F.filter(twos, lambda i: F.floor(i / 64) == k), F.lit(0).cast("long"), lambda bits, i: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)))
+    return [half(0), half(1)]
+
+
+def grams(words: Column, size: Column) -> Column:
+    """Distinct grams of a name within its words."""
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - size + 1), lambda i: F.substr(w, i, size))
+    return F.array_distinct(F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= size), of)))
+
+
+def pieces(words: Column, size: Column) -> Column:
+    """Pieces of a size that lie beside each other within words, repeats included."""
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.floor(F.length(w) / size).cast("int")), lambda i: F.substr(w, (i - 1) * size + 1, size))
+    return F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= size), of))
 
 
 def rarest_first(names: DataFrame, parts: Column) -> DataFrame:
@@ -123,17 +148,71 @@ def base_pairs(names: DataFrame, threshold: float) -> DataFrame:
 
 
 def whole_pairs(names: DataFrame, threshold: float) -> DataFrame:
-    """(group, x, y) with x < y: names whose lengths and letters leave room for few enough edits, and that share a rare gram; the ratio is not taken yet."""
+    """(group, x, y) with x < y: names that are alike as wholes.
+
+    A name that can be cut into one piece more than it may have edits leaves one of them whole in whatever is alike. If these pieces are rare, they are looked up
+    among the grams of all names. Names without such pieces are compared by their letters with each other, in blocks.
+    """
     gap = 100 - threshold
-    size = 3 if threshold >= 92 else 2 if threshold >= 88 else 1
-    edits = F.floor(2 * F.col("length") * gap / threshold).cast("int")  # at most, the other being longer
-    ranked = rarest_first(names, grams(F.col("words"), F.array_join("words", " "), size)).join(names.select(*GROUP, "key", "length", "letters", "more_letters"), [*GROUP, "key"])
-    one = ranked.select(*GROUP, "key", "length", "letters", "more_letters", F.explode(F.slice("parts", F.lit(1), F.least(F.size("parts"), size * edits + 1))).alias("gram"))
-    met = _sided(one, "x").join(_sided(one, "y").withColumnRenamed("y_gram", "x_gram"), [*GROUP, "x_gram"])
+    need = F.floor(2 * F.col("length") * gap / threshold).cast("int") + 1  # edits at most, the other being longer, and one
+    count = lambda size: F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.floor(F.length(w) / size))
+    cut = names.withColumn("need", need).withColumn("size", F.coalesce(*(F.when(count(k) >= F.col("need"), F.lit(k)) for k in SIZES))).filter("size is not null")
+    part = cut.select(*GROUP, "key", "need", F.explode(pieces(F.col("words"), F.col("size"))).alias("part"))
+    sizes = cut.select(*GROUP, "size").distinct()
+    held = names.join(sizes, GROUP).select(*GROUP, "key", "length", "letters", "more_letters", F.explode(grams(F.col("words"), F.col("size"))).alias("part"))
+    often = held.join(part.select(*GROUP, "part").distinct(), [*GROUP, "part"], "left_semi").groupBy(*GROUP, "part").agg(F.count(F.lit(1)).alias("n"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct("n", "part"))), F.lit(1), F.first("need"))  # a name's own pieces
+    rare = keep(part.join(often, [*GROUP, "part"]).groupBy(*GROUP, "key").agg(first.alias("first")).filter(F.element_at("first", -1)["n"] <= RARE))
+    asked = rare.join(names, [*GROUP, "key"]).select(*GROUP, "key", "length", "letters", "more_letters", F.explode(F.array_distinct(F.col("first.part"))).alias("part"))
+    met = _sided(asked, "x").join(_sided(held, "y").withColumnRenamed("y_part", "x_part"), [*GROUP, "x_part"])
     room = gap * (F.col("x_length") + F.col("y_length"))
     apart = F.bit_count(F.col("x_letters").bitwiseXOR(F.col("y_letters"))) + F.bit_count(F.col("x_more_letters").bitwiseXOR(F.col("y_more_letters")))
     few = (F.abs(F.col("x_length") - F.col("y_length")) * 100 <= room) & (apart * 100 <= room)
-    return met.filter((F.col("x_key") < F.col("y_key")) & few).select(*GROUP, F.col("x_key").alias("x"), F.col("y_key").alias("y"))
+    met = met.filter((F.col("x_key") != F.col("y_key")) & few).select(*GROUP, F.least("x_key", "y_key").alias("x"), F.greatest("x_key", "y_key").alias("y"))
+    met = met.distinct().filter(alike(F.col("x"), F.col("y")) >= threshold)
+    rest = names.filter(" and ".join(f"{c} is not null" for c in GROUP)).join(rare.select(*GROUP, "key"), [*GROUP, "key"], "left_anti")
+    met = met.unionByName(blocked_pairs(rest, threshold))
+    return met.select(*GROUP, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def blocked_pairs(names: DataFrame, threshold: float) -> DataFrame:
+    """(group, x, y): names that are alike as wholes, each block of a length against blocks of that and greater ones, never more than two at a time."""
+    gap = 100 - threshold
+    twos = pair_bits(F.col("words"))
+    data = ["key", "length", "letters", "more_letters", "twos", "more_twos"]
+    names = keep(names.withColumns({"twos": twos[0], "more_twos": twos[1]}).select(*GROUP, *data))
+    n = names.groupBy(*GROUP, "length").agg(F.count(F.lit(1)).alias("n"))
+    other = n.select(*GROUP, F.col("length").alias("other"), F.col("n").alias("others"))
+    near = n.join(other, GROUP).filter((F.col("other") >= F.col("length")) & ((F.col("other") - F.col("length")) * 100 <= gap * (F.col("other") + F.col("length"))))
+    cells = near.groupBy(*GROUP, F.col("length").alias("cell")).agg(F.ceil(F.first("n") / BLOCK).alias("parts"), F.ceil(F.sum("others") / (BLOCK * 4)).alias("chunks"))
+    mine, all_of = F.xxhash64("key"), lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    x = names.join(cells.withColumn("length", F.col("cell")), [*GROUP, "length"]).withColumn("part", F.pmod(mine, "parts")).select(*GROUP, "cell", "part", all_of("chunks").alias("chunk"), *data)
+    to = near.select(*GROUP, F.col("length").alias("cell"), F.col("other").alias("length")).join(cells, [*GROUP, "cell"])
+    y = names.join(to, [*GROUP, "length"]).withColumn("chunk", F.pmod(mine, "chunks")).select(*GROUP, "cell", all_of("parts").alias("part"), "chunk", *data)
+    own = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns)).groupBy(*GROUP, "cell", "part", "chunk")
+    out = ", ".join(f"{c} {names.schema[c].dataType.simpleString()}" for c in GROUP)
+
+    def alike_letters(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, c = ({n: t.column(n).to_numpy().view(np.uint64) for n in data[2:]} for t in (left, right))
+        size, sizes = left.column("length").to_numpy(), right.column("length").to_numpy()
+        most = np.floor(gap * (size[:1].sum() + sizes) / 100 + 1e-6).clip(0, 200)  # edits; all of the left are of a length
+        keys = [t.column("key").to_pylist() for t in (left, right)]
+        place = {key: i for i, key in enumerate(sorted({*keys[0], *keys[1]}))}
+        order = [np.array([place[key] for key in of], np.int64) for of in keys]
+        word = functools.cache(lambda side, i: frozenset(keys[side][i].split()))
+        few, at, step = most.astype(np.uint8), [], max(1, 2**20 // max(1, len(sizes)))
+        apart = lambda name, x, y: np.bitwise_count(a[name][x] ^ c[name][y])
+        for i in range(0, len(size), step):
+            rows = np.arange(i, min(i + step, len(size)))
+            x, y = np.nonzero(apart("letters", rows[:, None], slice(None)) + apart("more_letters", rows[:, None], slice(None)) <= few)
+            near = apart("twos", x + i, y).astype(int) + apart("more_twos", x + i, y) <= 3 * most[y]
+            x, y = x[near] + i, y[near]
+            once = (sizes[y] > size[x]) | (order[0][x] < order[1][y])
+            at += [(i, k) for i, k in zip(x[once].tolist(), y[once].tolist(), strict=True) if whole_ratio(word(0, i), word(1, k), size[i] + sizes[k], threshold) >= threshold]
+        x, y = (pa.array([p[k] for p in at], pa.int64()) for k in (0, 1))
+        return left.select(GROUP).take(x).append_column("x", left.column("key").take(x)).append_column("y", right.column("key").take(y))
+
+    return own(x).cogroup(own(y)).applyInArrow(alike_letters, f"{out}, x string, y string")
 
 
 def resolution_pairs(entities: DataFrame, threshold: float = ALIKE, aliases: DataFrame | None = None) -> DataFrame:
@@ -151,8 +230,7 @@ def resolution_pairs(entities: DataFrame, threshold: float = ALIKE, aliases: Dat
     ordered = lambda df: df.select(*GROUP, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = ordered(base_pairs(names, threshold)).distinct()
     if threshold < 100:
-        whole = whole_pairs(names, threshold).distinct().join(pairs, [*GROUP, "x", "y"], "left_anti")
-        pairs = pairs.unionByName(whole.filter(alike(F.col("x"), F.col("y")) >= threshold))
+        pairs = pairs.unionByName(whole_pairs(names, threshold)).distinct()
     rep = lambda n, c: names.select(*GROUP, F.col("key").alias(n), F.col("rep").alias(c))
     met = pairs.join(rep("x", "a"), [*GROUP, "x"]).join(rep("y", "b"), [*GROUP, "y"]).select(*GROUP, "a", "b")
     same = named.join(names.select(*GROUP, "key", "rep"), [*GROUP, "key"]).filter("entity_id <> rep").select(*GROUP, F.col("rep").alias("a"), F.col("entity_id").alias("b"))
