@@ -283,6 +283,19 @@ def test_quotes_of_one_or_two_words_are_located(spark):
     assert {(r["quote_id"], r["document_id"]) for r in derive.located_quotes(q, t).collect()} == expected
 
 
+def test_lineage_takes_few_rounds_and_the_shortest_way(spark, monkeypatch):
+    rounds, kept = [], derive.keep
+    monkeypatch.setattr(derive, "keep", lambda df: rounds.append(1) or kept(df))
+    edges = [(i, i - 1) for i in range(1, 21)] + [(20, 13), (9, 2), (30, 31), (31, 30), (31, 5)]
+    got = {(r["fact_id"], r["ancestor_id"]): r["depth"] for r in derive.lineage(spark.createDataFrame(edges, "fact_id int, parent_id int")).collect()}
+    best, now, d = {}, set(edges), 0
+    while now - set(best):
+        d += 1
+        best |= {p: d for p in now - set(best)}
+        now = {(a, y) for a, b in now for x, y in edges if x == b}
+    assert got == best and len(rounds) <= 6
+
+
 def test_lineage_goes_on_until_nothing_is_new(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(34)] + [(101, 100), (100, 101)], "fact_id long, parent_id long").coalesce(1)
     got = {(r["fact_id"], r["ancestor_id"]): r["depth"] for r in derive.lineage(links).collect()}
