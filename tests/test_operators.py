@@ -370,3 +370,10 @@ def test_an_index_counts_a_few_texts_at_once():
     assert max(sum(b.column("size").to_pylist()) for b in out) <= search.PIECE
     assert [r["chunk_id"] for b in out for r in b.column("row").to_pylist()] == list(range(9))
     assert all(len(x) == 1000 and {y["tf"] for y in x} == {100} for b in out for x in b.column("terms").to_pylist())
+
+
+def test_contracts_are_read_once_for_all_that_they_tell(spark):
+    rows = [(1, i, f"MSA_{i}.pdf", f"This agreement is made between Acme and Party {i}. It is governed by law.", "Acme") for i in range(4)]
+    edges = graph.contract_graph(spark.createDataFrame(rows, "deal_id int, document_id int, filename string, text string, company string"))[1]
+    assert edges.count() == 12
+    assert "regexp" not in edges._jdf.queryExecution().optimizedPlan().toString().lower()
