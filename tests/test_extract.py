@@ -6,7 +6,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from vaultlens.operators import derive, extract
+from vaultlens.functions import periods
+from vaultlens.operators import derive, extract, tables
 
 from .test_operators import FY, facts, grid
 
@@ -73,6 +74,36 @@ def test_no_tables(rooms):
     assert [df.count() for df in extract.extracted(cells.limit(0), docs, deals)] == [0, 0, 0, 0, 0]
 
 
+def planned(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_evidence_is_not_shuffled_and_small_tables_are_broadcast(got, rooms):
+    # one table of the four has evidence that is made distinct; all joins of evidence are with small tables
+    plan = planned(got.evidence)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") > 0
+    assert plan.count("HashAggregate") + plan.count("SortAggregate") <= 2
+    assert got.evidence.count() == got.evidence.distinct().count()
+    records = planned(tables.records(rooms[0], "bank", "date"))
+    assert "SortMergeJoin" not in records
+
+
+def test_a_label_of_two_columns_of_one_period_is_cited_once(spark):
+    cells = grid(spark, [["P&L", "FY2024", "FY 2024"], ["Revenue", "8", "9"]], "pnl")
+    docs = spark.createDataFrame([("pnl", "financial_statement")], "document_id string, doc_type string")
+    e = extract.extracted(cells, docs, spark.createDataFrame([(1, "Acme", 6)], "deal_id int, company string, fye int"))
+    assert sorted((r["col"], r["quote"]) for r in e.evidence.filter("kind = 'fact'").collect()) == [(0, "Revenue"), (1, "8"), (2, "9")]
+
+
+def test_fiscal_years_by_months_are_those_by_dates(spark):
+    days = spark.sql("SELECT explode(sequence(date'2023-12-30', date'2025-01-02', interval 1 day)) AS d").crossJoin(spark.range(1, 13).select(F.col("id").cast("int").alias("f")))
+    year = periods.fiscal_year(F.col("d"), F.col("f"))
+    plain = periods.period("fiscal_year", periods.fiscal_year_start(year, F.col("f")), periods.fiscal_year_end(year, F.col("f")))
+    assert days.filter(~periods.fiscal_year_of(F.col("d"), F.col("f")).eqNullSafe(plain)).count() == 0
+    none = spark.sql("SELECT CAST(NULL AS date) AS d, 3 AS f").select(periods.fiscal_year_of(F.col("d"), F.col("f")).alias("p")).first()["p"]
+    assert tuple(none) == ("custom", None, None, None)
+
+
 def test_derivations_in_one_run(spark):
     at = ("point", D(2025, 12, 31), D(2025, 12, 31), D(2025, 12, 31))
     f = facts(spark, ("a", "revenue", "10", *FY), ("a", "cogs", "4", *FY), ("a", "cash_balance", "600", *at), ("a", "net_burn", "100", *FY), ("x", "contract_value", "80", *FY), ("y", "contract_value", "20", *FY), ("b", "revenue", "10", *FY), ("b", "gross_profit", "5", *FY)).withColumn("method", F.lit("table"))

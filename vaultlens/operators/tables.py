@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import periods
 from ..functions.numbers import money, parse_number, percentage
+from .steps import stored
 
 #: Header words of each role, the first role that fits a header cell wins.
 ROLES = {
@@ -74,7 +75,7 @@ def headers(cells: DataFrame, kind: str) -> DataFrame:
 
 def records(cells: DataFrame, kind: str, *roles: str) -> DataFrame:
     """A row for each data row of each fitting table, with a struct (text, value_num, value_date, col) for each role."""
-    data = cells.join(headers(cells, kind), ["table_id", "col"]).filter("row > header_row")
+    data = cells.join(stored(headers(cells, kind)), ["table_id", "col"]).filter("row > header_row")
     value = F.struct("text", "value_num", "value_date", "col")
     return data.groupBy("deal_id", "document_id", "table_id", "row").agg(*(F.first(F.when(F.col("role") == r, value), ignorenulls=True).alias(r) for r in roles))
 
@@ -148,7 +149,8 @@ def pnl_facts(cells: DataFrame, deals: DataFrame) -> DataFrame:
     period = F.coalesce(F.when(F.col("value_date").isNotNull(), periods.period("point", F.col("value_date"), F.col("value_date"), F.col("value_date"))), periods.parse(F.col("text"), F.col("fye")))
     heads = named.filter("row < 5 and col > 0").withColumn("period", period).filter("period is not null")
     best = heads.groupBy("table_id", "row").count().groupBy("table_id").agg(F.max_by("row", F.struct("count", -F.col("row"))).alias("header_row"))
-    heads = heads.join(best, "table_id").filter("row = header_row").select("table_id", "col", "period", "header_row")
+    heads = stored(heads.join(best, "table_id").filter("row = header_row").select("table_id", "col", "period", "header_row"))
+    cells = cells.join(heads.select("table_id").distinct(), "table_id", "left_semi")  # only these are read for labels and numbers
     labels = cells.filter("col = 0").select("table_id", "row", F.col("text").alias("label"), label_metric(F.col("text")).alias("metric")).filter("metric is not null")
     recurring = (F.col("metric") == "revenue") & F.lower("label").rlike("recurring|saas|subscription")
     labels = labels.withColumn("metric", F.explode(F.when(recurring, F.array("metric", F.lit("recurring_revenue"))).otherwise(F.array("metric"))))
