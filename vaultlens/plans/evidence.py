@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence, extract
+from ..operators.steps import stored
 from .adapters import deals, read
 
 S = SparkSession
@@ -133,7 +134,7 @@ def evidence_audit(s: S, d: str) -> DataFrame:
     derived = own.select(F.concat(F.lit("d"), n).alias("fact_id"), "deal_id", F.lit("derived").alias("metric"), c("company").alias("subject"), F.lit("derived").alias("method"))
     facts = e.facts.select("fact_id", "deal_id", "metric", "subject", F.lit("table").alias("method")).unionByName(derived)
     links = own.filter("deal_id % 2 = 1").select(F.concat(F.lit("d"), n).alias("fact_id"), F.concat(F.lit("absent-"), n).alias("parent_id"))
-    found = evidence.audit(facts, entities, e.relations, told.unionByName(stubs), links)
+    found = stored(evidence.audit(facts, entities, e.relations, told.unionByName(stubs), links))
     name = e.entities.select(c("entity_id").alias("k"), c("name").alias("label"))
     tied = e.relations.join(name.select(c("k").alias("source_id"), c("label").alias("s")), "source_id").join(name.select(c("k").alias("target_id"), c("label").alias("t")), "target_id")
     named = facts.select(F.lit("fact").alias("kind"), c("fact_id").alias("id"), "deal_id", F.concat_ws("|", "metric", "subject").alias("label"))
