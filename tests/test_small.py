@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vaultlens.functions import periods
-from vaultlens.operators import listing, search
+from vaultlens.operators import listing, search, tables
 from vaultlens.sources import files
 
 D = datetime.date
@@ -31,3 +31,12 @@ def test_scanned_pages_patches_reports_and_vectors(spark):
     assert {r["metric"]: r["recall"] for r in listing.recall_report(found).collect()} == {"arr": 0.5, "tam": 1.0}
     v = spark.createDataFrame([([1.0, -0.5],), (None,)], "v array<double>")
     assert [r["w"] for r in v.select(search.unpacked(search.packed("v")).alias("w")).collect()] == [[1.0, -0.5], None]
+
+
+def test_only_what_is_like_a_date_is_parsed_as_one(spark):
+    values = {"a": ["2024-1-02", "03/04/2024", "5-Jan-2024", "2024/01/02", " 2024-01-02 "], "b": ["1-2", "2024-13-45", "a/b/c", "--", "2024-01-02"], "c": ["12.5", "7", "-3", "1,000", "4"]}
+    rows = spark.createDataFrame([(h, v) for h, vs in values.items() for v in vs], "header string, value string")
+    got = tables.column_types(rows, ["header"])
+    assert {r["header"]: r["type"] for r in got.collect()} == {"a": "date", "b": "text", "c": "numeric"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LIKE") + plan.count("StartsWith") + plan.count("Contains") + plan.count(" like ") >= len(tables.DAYS)

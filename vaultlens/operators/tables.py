@@ -159,12 +159,17 @@ def pnl_facts(cells: DataFrame, deals: DataFrame) -> DataFrame:
     return out.select("deal_id", "document_id", "metric", "value", metric_unit(F.col("metric")).alias("unit"), F.col("period.type").alias("period_type"), F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"), F.col("period.as_of").alias("as_of"), F.lit(0.95).alias("confidence"), "row", "col", "table_id", "text", "label")
 
 
+def _signs(form: str) -> str:
+    """What a text of a form of dates is like: its signs in their order. Parsing what isn't costs an exception each."""
+    return "%" + "".join(f"{x}%" for x in form if not x.isalpha())
+
+
 def column_types(values: DataFrame, group: list[str]) -> DataFrame:
     """(group.., type) of columns of text by the share of their non-empty values: percent, date, numeric or currency, text."""
     v, name = F.trim("value"), F.lower(F.coalesce("header", F.lit("")))
     plain = F.regexp_replace(v, r"[$€£,\s]", "")
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
-    day = F.coalesce(*(F.try_to_timestamp(v, F.lit(f)) for f in DAYS)).isNotNull()
+    day = F.coalesce(*(F.when(v.like(_signs(f)), F.try_to_timestamp(v, F.lit(f))) for f in DAYS)).isNotNull()
     sums = values.filter(v != "").groupBy(*group).agg(
         share(v.rlike(r"^-?[\d,.]+\s*%$")).alias("percent"), share(day).alias("date"), share(plain.rlike(r"^-?\d+(\.\d+)?$")).alias("numeric"),
         share(v.rlike("[$€£]")).alias("signs"), F.max(name.rlike("|".join(MONEY_WORDS))).alias("money"),
