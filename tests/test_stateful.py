@@ -100,6 +100,30 @@ def test_rows_wait_for_the_watermark(room):
     assert sorted(map(repr, room.got())) == told(rows[:3], "parsed", 8000 - 3600)
 
 
+def test_rows_wait_by_the_block_and_large_numbers_stay_whole():
+    import pyarrow as pa
+
+    class State(list):
+        exists, get = list.__len__, list.__iter__
+        appendValue = list.append
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+            self.listTimers, self.registerTimer, self.deleteTimer = lambda: iter(self.timers), self.timers.add, self.timers.discard
+
+    feed = stateful.StatusFeed("b")
+    feed.handle, feed.waiting = Handle(), State()
+    rows = pa.table({"at_us": [i * 1000 for i in range(25_000)], "document": [2**60 + 1] * 25_000, "status": ["a"] * 25_000})
+    feed._await(feed._add(rows), [])
+    assert len(feed.waiting) == 3 and feed.handle.timers == {0}  # 25,000 values before
+    due = feed._due(14_999)
+    assert due.num_rows == 15_000 and due["at_us"].to_pylist() == rows["at_us"].to_pylist()[:15_000]
+    assert len(feed.waiting) == 2 and feed.handle.timers == {15_000}
+    assert feed._due(24_999).num_rows == 10_000 and not feed.waiting and not feed.handle.timers
+    assert stateful._frame([(1, "document", 2**60 + 1, "a", 0, None, None), (1, "index", None, None, 0, 1, 0)], stateful.StatusFeed.OUT)["document"][0] == 2**60 + 1
+
+
 def awaited(query, room, enough, seconds=40):
     """The rows once they are enough, while the query runs."""
     deadline = time.time() + seconds

@@ -1,7 +1,7 @@
 """Feeds, retries and barriers as streams with state and timers, and a sink that writes each batch once.
 
 State is kept by key in RocksDB, as values, lists and maps; it is read and written by the rows that arrive, never as a whole, but for the rows
-that wait for their turn. A query that is killed goes on from its checkpoint: what was written before isn't written again.
+that wait for their turn, which are kept by the block. A query that is killed goes on from its checkpoint: what was written before isn't written again.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .feeds import BACKOFF
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BLOCK = 10_000  #: Fixed value: rows of a block that waits, and of a frame that is told.
 HEARTBEAT = 15.0  #: Fixed value: seconds without a word after which a feed says that it is there.
 
 
@@ -27,13 +30,27 @@ def session(spark: SparkSession) -> SparkSession:
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in schema.split(",")])
+    kinds = [c.strip().split(" ") for c in schema.split(",")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pd.DataFrame({name: pd.array(list(v), dtype="Int64") if kind == "long" else pd.Series(v, dtype=object) for (name, kind), v in zip(kinds, columns, strict=True)})
+
+
+def _packed(rows: pa.Table) -> bytes:
+    """A block of rows as bytes, since state is written and read by the value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
 
 
 class StatusFeed(StatefulProcessor):
     """Changes of documents' status and of their deal's index, in the order of time whatever the order of arrival.
 
-    Rows wait in a list until the watermark has passed them; one timer stands for the earliest. A map has each document's last status, a value the
+    Rows wait in a list of blocks, each with its earliest time, until the watermark has passed them; one timer stands for the earliest. A map has each document's last status, a value the
     number of documents and of those that are done, which is the index status; it is told when it differs.
     """
 
@@ -44,58 +61,84 @@ class StatusFeed(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at_us long, document long, status string")
+        self.waiting = handle.getListState("waiting", "least long, block binary")
         self.last = handle.getMapState("last", "document long", "status string")
         self.index = handle.getValueState("index", "documents long, done long")
 
-    def _await(self, rows: list[tuple]) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if rows:
-            self.handle.registerTimer(min(r[0] for r in rows) // 1000)
-
-    def _due(self, watermark: int) -> list[tuple]:
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due, rest = [r for r in rows if r[0] // 1000 <= watermark], [r for r in rows if r[0] // 1000 > watermark]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        self._await(rest)
-        return sorted(due)
-
-    def _told(self, deal: int, due: list[tuple]) -> list[tuple]:
-        out, seen = [], {}
+    def _add(self, rows: pa.Table) -> list[int]:
+        """Blocks of rows put to those that wait, and the earliest time of each."""
+        out = []
+        for at in range(0, rows.num_rows, BLOCK):
+            block = rows.slice(at, BLOCK)
+            out.append(pc.min(block["at_us"]).as_py())
+            self.waiting.appendValue((out[-1], _packed(block)))
+        return out
+
+    def _await(self, times: list[int], others: list[int]) -> None:
+        """One timer, for the earliest of microseconds and of the timers that stand and are still wanted."""
+        old = list(self.handle.listTimers())
+        first = min([t // 1000 for t in times] + others, default=None)
+        for timer in old:
+            if timer != first:
+                self.handle.deleteTimer(timer)
+        if first is not None and first not in old:
+            self.handle.registerTimer(first)
+
+    def _due(self, watermark: int) -> pa.Table | None:
+        """Rows up to the watermark in the order of time; the rest goes on waiting."""
+        blocks = list(self.waiting.get()) if self.waiting.exists() else []
+        later = [b for b in blocks if b[0] // 1000 > watermark]
+        opened = [_unpacked(bytes(b[1])) for b in blocks if b[0] // 1000 <= watermark]
+        self.waiting.clear()
+        for b in later:
+            self.waiting.appendValue((b[0], bytes(b[1])))
+        times, due = [b[0] for b in later], None
+        if opened:
+            rows = pa.concat_tables(opened).combine_chunks()
+            passed = pc.less(rows["at_us"], (watermark + 1) * 1000)
+            times += self._add(rows.filter(pc.invert(passed)))
+            due = rows.filter(passed).sort_by([("at_us", "ascending"), ("document", "ascending"), ("status", "ascending")])
+        self._await(times, [])
+        return due
+
+    def _told(self, deal: int, due: pa.Table) -> Iterator[list[tuple]]:
+        seen, changed = {}, False
         documents, done = self.index.get() if self.index.exists() else (0, 0)
-        for at, document, status in due:
-            if document not in seen:
-                was = self.last.getValue((document,)) if self.last.containsKey((document,)) else None
-                seen[document] = was[0] if was else None
-            before = seen[document]
-            if before == status:
-                continue
-            seen[document] = status
-            out.append((deal, "document", document, status, at, None, None))
-            now = (documents + (before is None), done + (status == self.of_done) - (before == self.of_done))
-            if now != (documents, done):
-                documents, done = now
-                out.append((deal, "index", None, None, at, documents, done))
+        for first in range(0, due.num_rows, BLOCK):
+            out, block = [], due.slice(first, BLOCK)
+            for at, document, status in zip(*(block[c].to_pylist() for c in ("at_us", "document", "status")), strict=True):
+                if document not in seen:
+                    was = self.last.getValue((document,))
+                    seen[document] = was[0] if was else None
+                before = seen[document]
+                if before == status:
+                    continue
+                seen[document] = status
+                out.append((deal, "document", document, status, at, None, None))
+                now = (documents + (before is None), done + (status == self.of_done) - (before == self.of_done))
+                if now != (documents, done):
+                    documents, done = now
+                    out.append((deal, "index", None, None, at, documents, done))
+            changed = changed or bool(out)
+            yield out
         for document, status in seen.items():
             self.last.updateValue((document,), (status,))
-        if out:
+        if changed:
             self.index.update((documents, done))
-        return out
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(a), int(d), s) for b in rows for a, d, s in zip(b["at_us"], b["document"], b["status"], strict=True)]
-        self.waiting.appendList(new)
-        self._await(list(self.waiting.get()))
+        kinds = pa.schema([("at_us", pa.int64()), ("document", pa.int64()), ("status", pa.string())])
+        times = []
+        for b in rows:
+            times += self._add(pa.Table.from_pandas(b[kinds.names], schema=kinds, preserve_index=False).replace_schema_metadata())
+        self._await(times, list(self.handle.listTimers()))
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._told(int(key[0]), self._due(timerValues.getCurrentWatermarkInMs()))
-        if out:
-            yield _frame(out, self.OUT)
+        due = self._due(timerValues.getCurrentWatermarkInMs())
+        for out in self._told(int(key[0]), due) if due is not None else ():
+            if out:
+                yield _frame(out, self.OUT)
 
 
 def status_feed(log: DataFrame, done: str, late: str = "1 hour") -> DataFrame:
