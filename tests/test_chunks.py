@@ -77,6 +77,41 @@ def test_whole_documents(spark, path, words):
             assert lines[r["char_start"] : r["char_end"]] == r["text"].split("\n", 1)[1]
 
 
+def test_words_of_spans_are_counted_in_one_pass():
+    for seed in range(3):
+        for text in texts(seed):
+            for start, end, n in chunking.counted_spans(text):
+                assert n == len(chunking.pieces_of_words(text[start:end])) <= chunking.CAP
+
+
+def test_blocks_of_a_span_are_those_that_it_touches():
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.randint(1, 6) for _ in range(rng.randint(1, 9))]
+        begins, ends = chunking.placed(sizes)
+        assert ends[-1] + 1 == sum(sizes) + len(sizes)
+        start = rng.randrange(ends[-1])
+        end = rng.randint(start + 1, ends[-1])
+        first, n = chunking.touched(begins, ends, start, end)
+        plain = [i for i, (b, e) in enumerate(zip(begins, ends, strict=True)) if b < end and e > start]
+        assert list(range(first, first + n)) == plain or n == 0 and not plain
+
+
+def test_large_pages_and_tables_take_no_step_for_each_pair(spark):
+    docs = spark.createDataFrame([("d", "txt")], "document_id string, ext string")
+    b = spark.range(20_000).select(F.lit("d").alias("document_id"), F.lit(1).alias("page_no"), F.col("id").cast("int").alias("order"), F.concat(F.lit("b"), "id").alias("block_id"), F.lit("paragraph").alias("kind"), F.lit("ten words of text are a line of this page").alias("text"))
+    t = spark.range(20_000).select(F.lit("d").alias("document_id"), F.lit(1).alias("page_no"), F.lit(None).cast("string").alias("block_id"), F.lit("t").alias("table_id"), F.col("id").cast("int").alias("row"), F.concat(F.lit("r"), "id").alias("text"), (F.col("id") == 0).alias("is_header"))
+    made = chunking.document_chunks(docs, b, t)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "filter(lines" not in plan  # offsets were sums over the blocks and rows before each one
+    got = made.collect()
+    page = sorted((r for r in got if r["kind"] == "prose"), key=lambda r: r["chunk_no"])
+    assert page[-1]["block_ids"][-1] == "b19999" and all(r["block_ids"] == [f"b{i}" for i in range(r["char_start"] // 42, (r["char_end"] - 1) // 42 + 1)] for r in page[:5] + page[-5:])
+    table = [r for r in got if r["kind"] == "table_rows"]
+    lines = "\n".join(f"r{i}" for i in range(20_000))
+    assert len(table) == 800 and all(lines[r["char_start"] : r["char_end"]] == r["text"].split("\n", 1)[1] for r in table)
+
+
 def test_permutations_are_repaired(spark):
     rng = random.Random(6)
     for _ in range(300):

@@ -63,7 +63,8 @@ class Spans:
         return bisect.bisect_left(self.begins, end) - bisect.bisect_left(self.begins, start)
 
     def exact(self, start: int, end: int) -> int:
-        return len(self.tokens(self.text[start:end]))
+        """Words and signs are the same within a span as within the text, as no cut lies inside one; tokens of a vocabulary may not be."""
+        return self.about(start, end) if self.tokens is pieces_of_words else len(self.tokens(self.text[start:end]))
 
     def count(self, start: int, end: int) -> int:
         """Exact wherever a limit is near: a span's own tokens differ from those it has within the text about its ends only."""
@@ -92,6 +93,11 @@ def spans(text: str, tokens: Callable[[str], list[tuple[int, int]]] = pieces_of_
 
     ``tokens`` gives the spans of a text's tokens, so target, cap and overlap are tokens of whatever counts them.
     """
+    return [(start, end) for start, end, _ in counted_spans(text, tokens)]
+
+
+def counted_spans(text: str, tokens: Callable[[str], list[tuple[int, int]]] = pieces_of_words) -> list[tuple[int, int, int]]:
+    """``spans`` with the number of tokens of each."""
     if not text.strip():
         return []
     of = Spans(text, tokens)
@@ -101,9 +107,9 @@ def spans(text: str, tokens: Callable[[str], list[tuple[int, int]]] = pieces_of_
         to = first + 1
         while to < last and of.count(cuts[first], cuts[to]) < TARGET and of.count(cuts[first], cuts[to + 1]) <= CAP:
             to += 1
-        while to > first + 1 and of.exact(cuts[first], cuts[to]) > CAP:
+        while (n := of.exact(cuts[first], cuts[to])) > CAP and to > first + 1:
             to -= 1
-        out.append((cuts[first], cuts[to]))
+        out.append((cuts[first], cuts[to], n))
         if to == last:
             break
         back, held = to, 0
@@ -131,7 +137,7 @@ def prose(pages: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = vocabulary(vocabulary_path) if vocabulary_path else pieces_of_words
         for b in batches:
-            rows = [(d, p, i, s, e, len(tokens(t[s:e])), t[s:e]) for d, p, t in zip(b.document_id, b.page_no, b.text, strict=True) if t for i, (s, e) in enumerate(spans(t, tokens))]
+            rows = [(d, p, i, s, e, n, t[s:e]) for d, p, t in zip(b.document_id, b.page_no, b.text, strict=True) if t for i, (s, e, n) in enumerate(counted_spans(t, tokens))]
             yield pd.DataFrame(rows, columns=["document_id", "page_no", "chunk_no", "char_start", "char_end", "token_count", "text"])
 
     kind = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
@@ -146,22 +152,24 @@ def document_chunks(documents: DataFrame, blocks: DataFrame, table_rows: DataFra
     touches. ``table_rows``: document_id, page_no, block_id, table_id, row, text, is_header. A table's offsets are those of its rows, a line each.
     """
     prose_kind = documents.select("document_id", kind_of(F.col("ext")).alias("chunk_kind"))
-    shown = blocks.filter((F.col("kind") != "table") & (F.trim("text") != ""))
-    page = shown.groupBy("document_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("order", "block_id", "text"))).alias("b"))
-    page = page.select("document_id", "page_no", F.array_join(F.transform("b", lambda x: x["text"]), "\n").alias("text"), F.transform("b", lambda x: F.struct(x["block_id"].alias("id"), F.length(x["text"]).alias("n"))).alias("b"))
-    said = prose(page.select("document_id", "page_no", "text"), vocabulary_path).join(page.select("document_id", "page_no", "b"), ["document_id", "page_no"])
-    begins = lambda i: F.aggregate(F.slice("b", F.lit(1), i), F.lit(0), lambda n, x: n + x["n"] + 1)
-    placed = F.transform("b", lambda x, i: F.struct(x["id"].alias("id"), begins(i).alias("char_start"), (begins(i) + x["n"]).alias("char_end")))
+    shown = blocks.filter((F.col("kind") != "table") & (F.trim("text") != "")).repartition("document_id")  # for both steps below, so that texts are shuffled once
+    page = shown.groupBy("document_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("order", "block_id", "text"))).alias("b")).join(prose_kind, "document_id")
+    page = page.select("document_id", "page_no", "chunk_kind", F.array_join(F.transform("b", lambda x: x["text"]), "\n").alias("text"), F.transform("b", lambda x: x["block_id"]).alias("ids"), F.transform("b", lambda x: F.length(x["text"])).alias("sizes"))
     none = lambda kind: F.lit(None).cast(kind)
-    out = said.withColumn("b", placed).join(prose_kind, "document_id").select(
-        "document_id", "page_no", F.col("chunk_kind").alias("kind"), "chunk_no", "char_start", "char_end", "token_count", "text", "text_hash", block_ids(F.col("b"), F.col("char_start"), F.col("char_end")).alias("block_ids"),
+    own = lambda x: F.struct(*(x[n].alias(n) for n in ("chunk_no", "char_start", "char_end", "token_count", "text")), F.slice("ids", x["from"] + 1, x["n"]).alias("block_ids"))
+    said = page.withColumn("c", chunks_of_pages(vocabulary_path)("text", "sizes")).select("document_id", "page_no", F.col("chunk_kind").alias("kind"), F.explode(F.transform("c", own)).alias("c"))
+    out = said.select(
+        "document_id", "page_no", "kind", "c.chunk_no", "c.char_start", "c.char_end", "c.token_count", "c.text", F.sha2("c.text", 256).alias("text_hash"), "c.block_ids",
         none("string").alias("table_id"), none("int").alias("row_start"), none("int").alias("row_end"),
     )
-    lines = table_rows.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row", F.length("text").alias("n")))).alias("lines"), F.first("document_id").alias("document_id"), F.first("page_no").alias("page_no"), F.first("block_id").alias("block_id"))
-    grouped = table_chunks(table_rows).join(lines, "table_id")
-    to = lambda r: F.aggregate(F.filter("lines", lambda x: x["row"] < r), F.lit(0), lambda n, x: n + x["n"] + 1)
-    own = F.element_at(F.filter("lines", lambda x: x["row"] == F.col("row_end")), 1)["n"]
-    grouped = grouped.withColumns({"char_start": to(F.col("row_start")), "char_end": to(F.col("row_end")) + own})
+    size = F.coalesce(F.length("text"), F.lit(0))
+    before = Window.partitionBy("table_id").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    lines = table_rows.groupBy("table_id", "row").agg(F.sum(size + 1).alias("taken"), F.min(size).alias("n"))
+    lines = lines.select("table_id", "row", "n", F.coalesce(F.sum("taken").over(before), F.lit(0)).cast("int").alias("at"))
+    first = lines.select("table_id", F.col("row").alias("row_start"), F.col("at").alias("char_start"))
+    last = lines.select("table_id", F.col("row").alias("row_end"), (F.col("at") + F.col("n")).alias("char_end"))
+    where = table_rows.groupBy("table_id").agg(F.first("document_id").alias("document_id"), F.first("page_no").alias("page_no"), F.first("block_id").alias("block_id"))
+    grouped = table_chunks(table_rows).join(where, "table_id").join(first, ["table_id", "row_start"], "left").join(last, ["table_id", "row_end"], "left")
     counted = counts(grouped, vocabulary_path)
     tables = counted.select(
         "document_id", "page_no", F.lit("table_rows").alias("kind"), F.col("group_no").alias("chunk_no"), "char_start", "char_end", "token_count", "text", F.sha2("text", 256).alias("text_hash"),
@@ -170,6 +178,34 @@ def document_chunks(documents: DataFrame, blocks: DataFrame, table_rows: DataFra
     return out.unionByName(tables)
 
 
+def chunks_of_pages(vocabulary_path: str | None = None):
+    """A function of a page's text and the sizes of its blocks, a line each: its chunks in order, with the first block that each touches, from 0, and their number."""
+
+    @F.pandas_udf(f"array<struct<{CHUNK.replace(' ', ':').replace(',:', ',')},from:int,n:int>>")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tokens = vocabulary(vocabulary_path) if vocabulary_path else pieces_of_words
+        for texts, sizes in batches:
+            yield pd.Series([[(i, s, e, n, t[s:e], *touched(begins, ends, s, e)) for i, (s, e, n) in enumerate(counted_spans(t, tokens))] for t, of in zip(texts, sizes, strict=True) for begins, ends in [placed(of)]], dtype=object)
+
+    return cut
+
+
+def placed(sizes) -> tuple[list[int], list[int]]:
+    """Where blocks of these sizes begin and end in their text, a line each."""
+    begins, ends, at = [], [], 0
+    for n in sizes:
+        begins.append(at)
+        ends.append(at + int(n))
+        at += int(n) + 1
+    return begins, ends
+
+
+def touched(begins: list[int], ends: list[int], start: int, end: int) -> tuple[int, int]:
+    """The first of the blocks that a span touches, and their number."""
+    first = bisect.bisect_right(ends, start)
+    return first, max(0, bisect.bisect_left(begins, end) - first)
+
+
 def counts(texts: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """``texts`` with token_count."""
 
@@ -182,11 +218,6 @@ def counts(texts: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     return texts.withColumn("token_count", count("text"))
 
 
-def block_ids(blocks: Column, start: Column, end: Column) -> Column:
-    """Ids of the blocks (id, char_start, char_end) that a span touches."""
-    return F.transform(F.filter(blocks, lambda b: (b["char_start"] < end) & (b["char_end"] > start)), lambda b: b["id"])
-
-
 def kind_of(ext: Column) -> Column:
     return F.when(ext == "pptx", "slide").when(ext == "eml", "email").otherwise("prose")
 
