@@ -68,6 +68,28 @@ def test_names_of_rare_pieces_and_blocks_of_others_lose_no_pair(spark, monkeypat
     assert len(got) == len(set(got)) and set(got) == plain_pairs(spark, rows, 92)
 
 
+def test_few_pairs_of_long_names_of_common_words_reach_the_ratio(spark):
+    """What the bits of letters and twos leave of pairs of long names is near what is alike, and holds all of that."""
+    rng = random.Random(3)
+    parts = "the of and er en on re th ing tion ly an in st sh ou le".split()
+    stems = ["".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(300)]
+    rows = {" ".join(sorted({rng.choice(stems) for _ in range(12)})) for _ in range(600)}
+    rows = sorted(rows | {" ".join(sorted(set(n.replace("tion", "ton", 1).split()))) for n in list(rows)[:60]})
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, key string")
+    bits = [names.letter_bits(F.col("key")), names.pair_bits(F.split("key", " "))]
+    got = df.select("i", *(F.array(*b).alias(f"b{k}") for k, b in enumerate(bits))).orderBy("i").collect()
+    apart = lambda x, y: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x, y, strict=True))
+    left, alike, every = 0, 0, 0
+    for i, a in enumerate(rows):
+        for k, b in enumerate(rows[:i]):
+            every, most = every + 1, 8 * (len(a) + len(b)) // 100
+            near = apart(got[i]["b0"], got[k]["b0"]) <= most and apart(got[i]["b1"], got[k]["b1"]) <= 3 * most
+            alike_both = abs(len(a) - len(b)) <= most and names.whole_ratio(set(a.split()), set(b.split()), len(a) + len(b), 92) >= 92
+            assert near or not alike_both
+            left, alike = left + near, alike + alike_both
+    assert alike > 10 and left < every / 200
+
+
 def test_types_deals_and_aliases_keep_names_apart(spark):
     df = spark.createDataFrame([(1, "customer", 1, "Acme"), (1, "person", 2, "Acme"), (2, "customer", 3, "Acme"), (1, "customer", 4, "Other Name"), (1, "person", 5, "Sam Old"), (1, "customer", 6, "Sam Old")], "deal_id int, type string, entity_id int, name string")
     assert names.resolution_pairs(df).count() == 0

@@ -9,12 +9,14 @@ The ratio of two names is the best of three comparisons, and each has a candidat
 - *Whole against whole.* Insertions and deletions are few beside both lengths, and each breaks one piece of a name at most; of one piece more than there may be
   edits, one is whole in the other name. Names whose pieces are rare meet by them. The pieces of common words and those of a few letters would bring
   all together, so the other names meet each other in blocks, by lengths, by counts of letters, which cannot differ in more places than there are
-  edits, and by twos of letters, which can differ in thrice as many. Only what is left reaches the ratio itself.
+  edits, and by twos of letters, which can differ in thrice as many. Only what is left, about as many as are alike, reaches the ratio itself.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -22,17 +24,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.text import comparison_name
 from .steps import keep
 
 ALIKE = 92
 GROUP = ["deal_id", "type"]
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LETTERS = "etaoinshrdlucmfpgwybvkxjqz"  #: the most used first: their counts part names the soonest
 SIZES = (8, 7, 6, 5)  #: of pieces that may be rare
 RARE = 200  #: names that hold a piece that is looked up, at most
 BLOCK = 8192  #: names of a length that a task compares at once
+CELLS = 2**17  #: pairs whose letters are compared in one step, small enough for a core's cache
+COUNTS = ["letters", "letters2", "letters3", "letters4"]
+TWOS = ["twos", "twos2", "twos3", "twos4"]
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -86,12 +91,12 @@ def _count(text: Column, ch: str) -> Column:
 
 
 def letter_bits(text: Column) -> list[Column]:
-    """Two longs in which each letter has as many ones as it occurs, up to four, and each digit one: no edit changes more than a bit."""
+    """Four longs in which each letter has as many ones as it occurs, up to nine, and each digit one: no edit changes more than a bit."""
     ones = lambda n, most: F.call_function("shiftleft", F.lit(1), F.least(n, F.lit(most))) - 1
-    placed = lambda letters: [F.shiftleft(ones(_count(text, ch), 4).cast("long"), 4 * i) for i, ch in enumerate(letters)]
-    digits = [F.shiftleft(ones(_count(text, str(k)), 1).cast("long"), 52 + k) for k in range(10)]
-    both = [placed(LETTERS[:13]) + digits, placed(LETTERS[13:])]
-    return [sum(bits[1:], bits[0]) for bits in both]
+    placed = lambda letters: [F.shiftleft(ones(_count(text, ch), 9).cast("long"), 9 * i) for i, ch in enumerate(letters)]
+    digits = [F.shiftleft(ones(_count(text, str(k)), 1).cast("long"), 45 + k) for k in range(10)]
+    each = [placed(LETTERS[i : i + 7]) for i in range(0, len(LETTERS), 7)]
+    return [sum(bits[1:], bits[0]) for bits in (*each[:3], each[3] + digits)]
 
 
 def word_bits(words: Column) -> Column:
@@ -99,11 +104,22 @@ def word_bits(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(63)).cast("int"))))
 
 
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in TWOS]))
+def _twos(texts: pd.Series) -> pd.DataFrame:
+    said = "".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass")
+    code = np.frombuffer(said, np.uint32).astype(np.uint64)
+    first = np.cumsum([0, *(len(t) + 2 for t in texts)])
+    mixed = ((code[:-1] << np.uint64(32)) | code[1:]) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)
+    bit = np.uint64(1) << (mixed & np.uint64(63))
+    bit[first[1:-1] - 1] = 0  # from one name to the next
+    return pd.DataFrame({c: np.bitwise_xor.reduceat(np.where(mixed >> np.uint64(6) == k, bit, np.uint64(0)), first[:-1]).view(np.int64) for k, c in enumerate(TWOS)})
+
+
 def pair_bits(words: Column) -> list[Column]:
-    """Two longs whose bits are flipped by each two letters side by side in a word: an edit takes one away and brings two, or the reverse, so that it changes three bits at most."""
-    twos = F.transform(F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= 2), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2))))), lambda g: F.pmod(F.xxhash64(g), F.lit(128)).cast("int"))
-    half = lambda k: F.aggregate(F.filter(twos, lambda i: F.floor(i / 64) == k), F.lit(0).cast("long"), lambda bits, i: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)))
-    return [half(0), half(1)]
+    """Four longs whose bits are flipped by each two letters side by side, blanks around words among them: an edit takes one away and brings two, or the reverse, so that it changes three bits at most."""
+    bits = _twos(F.array_join(words, " "))
+    return [bits[c] for c in TWOS]
 
 
 def grams(words: Column, size: Column) -> Column:
@@ -131,24 +147,24 @@ def _sided(df: DataFrame, side: str) -> DataFrame:
 
 
 def base_pairs(names: DataFrame, threshold: float) -> DataFrame:
-    """(group, x, y): names x of which the shared words are nearly all, whatever else y has."""
+    """(group, a, b): names of which the shared words are nearly all, and others, whatever else these have."""
     gap = 100 - threshold
-    ranked = rarest_first(names, F.col("words")).join(names.select(*GROUP, "key", "words", "length", "bits"), [*GROUP, "key"])
+    ranked = rarest_first(names, F.col("words")).join(names.select(*GROUP, "key", "rep", "words", "length", "bits"), [*GROUP, "key"])
     # own words that may be missing, joined by blanks, have at most this length
     spare = F.greatest(F.floor(2 * F.col("length") * gap / (100 + gap)) - 1, F.lit(0)).cast("int")
     first = F.filter("parts", lambda w, i: (i == 0) | (F.length(F.array_join(F.slice("parts", F.lit(1), i), " ")) <= F.col("spare")))
-    x = ranked.withColumn("spare", spare).select(*GROUP, "key", "words", "bits", F.floor((F.col("spare") + 1) / 2).alias("may_miss"), F.explode(first).alias("word"))
-    y = names.select(*GROUP, "key", "words", "bits", F.explode("words").alias("word"))
+    x = ranked.withColumn("spare", spare).select(*GROUP, "key", "rep", "words", "bits", F.floor((F.col("spare") + 1) / 2).alias("may_miss"), F.explode(first).alias("word"))
+    y = names.select(*GROUP, "key", "rep", "words", "bits", F.explode("words").alias("word"))
     missing, shared = F.array_except("x_words", "y_words"), F.array_intersect("x_words", "y_words")
     own, base = F.length(F.array_join(missing, " ")), F.length(F.array_join(shared, " "))
     near = (F.size(missing) == 0) | ((own + 1) * 100 <= gap * (2 * base + own + 1))
     might = F.bit_count(F.col("x_bits").bitwiseAND(F.bitwise_not("y_bits"))) <= F.col("x_may_miss")
     met = _sided(x, "x").join(_sided(y, "y").withColumnRenamed("y_word", "x_word"), [*GROUP, "x_word"])
-    return met.filter((F.col("x_key") != F.col("y_key")) & might & near).select(*GROUP, F.col("x_key").alias("x"), F.col("y_key").alias("y"))
+    return met.filter((F.col("x_key") != F.col("y_key")) & might & near).select(*GROUP, F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
 
 
 def whole_pairs(names: DataFrame, threshold: float) -> DataFrame:
-    """(group, x, y) with x < y: names that are alike as wholes.
+    """(group, a, b): names that are alike as wholes.
 
     A name that can be cut into one piece more than it may have edits leaves one of them whole in whatever is alike. If these pieces are rare, they are looked up
     among the grams of all names. Names without such pieces are compared by their letters with each other, in blocks.
@@ -159,28 +175,26 @@ def whole_pairs(names: DataFrame, threshold: float) -> DataFrame:
     cut = names.withColumn("need", need).withColumn("size", F.coalesce(*(F.when(count(k) >= F.col("need"), F.lit(k)) for k in SIZES))).filter("size is not null")
     part = cut.select(*GROUP, "key", "need", F.explode(pieces(F.col("words"), F.col("size"))).alias("part"))
     sizes = cut.select(*GROUP, "size").distinct()
-    held = names.join(sizes, GROUP).select(*GROUP, "key", "length", "letters", "more_letters", F.explode(grams(F.col("words"), F.col("size"))).alias("part"))
+    held = names.join(sizes, GROUP).select(*GROUP, "key", "rep", "length", *COUNTS, F.explode(grams(F.col("words"), F.col("size"))).alias("part"))
     often = held.join(part.select(*GROUP, "part").distinct(), [*GROUP, "part"], "left_semi").groupBy(*GROUP, "part").agg(F.count(F.lit(1)).alias("n"))
     first = F.slice(F.array_sort(F.collect_list(F.struct("n", "part"))), F.lit(1), F.first("need"))  # a name's own pieces
     rare = keep(part.join(often, [*GROUP, "part"]).groupBy(*GROUP, "key").agg(first.alias("first")).filter(F.element_at("first", -1)["n"] <= RARE))
-    asked = rare.join(names, [*GROUP, "key"]).select(*GROUP, "key", "length", "letters", "more_letters", F.explode(F.array_distinct(F.col("first.part"))).alias("part"))
+    asked = rare.join(names, [*GROUP, "key"]).select(*GROUP, "key", "rep", "length", *COUNTS, F.explode(F.array_distinct(F.col("first.part"))).alias("part"))
     met = _sided(asked, "x").join(_sided(held, "y").withColumnRenamed("y_part", "x_part"), [*GROUP, "x_part"])
     room = gap * (F.col("x_length") + F.col("y_length"))
-    apart = F.bit_count(F.col("x_letters").bitwiseXOR(F.col("y_letters"))) + F.bit_count(F.col("x_more_letters").bitwiseXOR(F.col("y_more_letters")))
+    apart = functools.reduce(add, (F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in COUNTS))
     few = (F.abs(F.col("x_length") - F.col("y_length")) * 100 <= room) & (apart * 100 <= room)
-    met = met.filter((F.col("x_key") != F.col("y_key")) & few).select(*GROUP, F.least("x_key", "y_key").alias("x"), F.greatest("x_key", "y_key").alias("y"))
-    met = met.distinct().filter(alike(F.col("x"), F.col("y")) >= threshold)
+    met = met.filter((F.col("x_key") != F.col("y_key")) & few).select(*GROUP, "x_key", "y_key", F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+    met = met.distinct().filter(alike(F.col("x_key"), F.col("y_key")) >= threshold).select(*GROUP, "a", "b")
     rest = names.filter(" and ".join(f"{c} is not null" for c in GROUP)).join(rare.select(*GROUP, "key"), [*GROUP, "key"], "left_anti")
-    met = met.unionByName(blocked_pairs(rest, threshold))
-    return met.select(*GROUP, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return met.unionByName(blocked_pairs(rest, threshold))
 
 
 def blocked_pairs(names: DataFrame, threshold: float) -> DataFrame:
-    """(group, x, y): names that are alike as wholes, each block of a length against blocks of that and greater ones, never more than two at a time."""
+    """(group, a, b): names that are alike as wholes, each block of a length against blocks of that and greater ones, never more than two at a time."""
     gap = 100 - threshold
-    twos = pair_bits(F.col("words"))
-    data = ["key", "length", "letters", "more_letters", "twos", "more_twos"]
-    names = keep(names.withColumns({"twos": twos[0], "more_twos": twos[1]}).select(*GROUP, *data))
+    data = ["key", "rep", "length", *COUNTS, *TWOS]
+    names = keep(names.withColumns(dict(zip(TWOS, pair_bits(F.col("words")), strict=True))).select(*GROUP, *data))
     n = names.groupBy(*GROUP, "length").agg(F.count(F.lit(1)).alias("n"))
     other = n.select(*GROUP, F.col("length").alias("other"), F.col("n").alias("others"))
     near = n.join(other, GROUP).filter((F.col("other") >= F.col("length")) & ((F.col("other") - F.col("length")) * 100 <= gap * (F.col("other") + F.col("length"))))
@@ -189,30 +203,46 @@ def blocked_pairs(names: DataFrame, threshold: float) -> DataFrame:
     x = names.join(cells.withColumn("length", F.col("cell")), [*GROUP, "length"]).withColumn("part", F.pmod(mine, "parts")).select(*GROUP, "cell", "part", all_of("chunks").alias("chunk"), *data)
     to = near.select(*GROUP, F.col("length").alias("cell"), F.col("other").alias("length")).join(cells, [*GROUP, "cell"])
     y = names.join(to, [*GROUP, "length"]).withColumn("chunk", F.pmod(mine, "chunks")).select(*GROUP, "cell", all_of("parts").alias("part"), "chunk", *data)
-    own = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns)).groupBy(*GROUP, "cell", "part", "chunk")
+    block = [*GROUP, "cell", "part", "chunk"]
+    spread = 8 * names.sparkSession.sparkContext.defaultParallelism  # blocks are few bytes and much work, which Spark would put into few tasks
+    own = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns)).repartition(spread, *block).groupBy(*block)
+    kind = names.schema["rep"].dataType.simpleString()
     out = ", ".join(f"{c} {names.schema[c].dataType.simpleString()}" for c in GROUP)
 
     def alike_letters(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, c = ({n: t.column(n).to_numpy().view(np.uint64) for n in data[2:]} for t in (left, right))
         size, sizes = left.column("length").to_numpy(), right.column("length").to_numpy()
-        most = np.floor(gap * (size[:1].sum() + sizes) / 100 + 1e-6).clip(0, 200)  # edits; all of the left are of a length
+        most = np.floor(gap * (size[:1].sum() + sizes) / 100 + 1e-6).astype(int)  # edits; all of the left are of a length
+        bits = [[t.column(c).to_numpy().view(np.uint64) for c in (*COUNTS, *TWOS)] for t in (left, right)]
         keys = [t.column("key").to_pylist() for t in (left, right)]
-        place = {key: i for i, key in enumerate(sorted({*keys[0], *keys[1]}))}
-        order = [np.array([place[key] for key in of], np.int64) for of in keys]
         word = functools.cache(lambda side, i: frozenset(keys[side][i].split()))
-        few, at, step = most.astype(np.uint8), [], max(1, 2**20 // max(1, len(sizes)))
-        apart = lambda name, x, y: np.bitwise_count(a[name][x] ^ c[name][y])
-        for i in range(0, len(size), step):
-            rows = np.arange(i, min(i + step, len(size)))
-            x, y = np.nonzero(apart("letters", rows[:, None], slice(None)) + apart("more_letters", rows[:, None], slice(None)) <= few)
-            near = apart("twos", x + i, y).astype(int) + apart("more_twos", x + i, y) <= 3 * most[y]
-            x, y = x[near] + i, y[near]
-            once = (sizes[y] > size[x]) | (order[0][x] < order[1][y])
-            at += [(i, k) for i, k in zip(x[once].tolist(), y[once].tolist(), strict=True) if whole_ratio(word(0, i), word(1, k), size[i] + sizes[k], threshold) >= threshold]
+        at = []
+        for x, y in near_bits(*bits, most):
+            for i, k in zip(x.tolist(), y.tolist(), strict=True):
+                once = sizes[k] > size[i] or keys[0][i] < keys[1][k]
+                if once and whole_ratio(word(0, i), word(1, k), size[i] + sizes[k], threshold) >= threshold:
+                    at.append((i, k))
         x, y = (pa.array([p[k] for p in at], pa.int64()) for k in (0, 1))
-        return left.select(GROUP).take(x).append_column("x", left.column("key").take(x)).append_column("y", right.column("key").take(y))
+        return left.select(GROUP).take(x).append_column("a", left.column("rep").take(x)).append_column("b", right.column("rep").take(y))
+
+    return own(x).cogroup(own(y)).applyInArrow(alike_letters, f"{out}, a {kind}, b {kind}")
+
 
-    return own(x).cogroup(own(y)).applyInArrow(alike_letters, f"{out}, x string, y string")
+def near_bits(left: list[np.ndarray], right: list[np.ndarray], most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (left, right), in runs, whose bits of letters and twos differ no more than by ``most`` edits, which are given for each on the right."""
+    few, size = most.clip(0, 255).astype(np.uint8), max(1, CELLS // max(1, len(most)))
+    apart = lambda k, x, y: np.bitwise_count(left[k][x] ^ right[k][y])
+    for i in range(0, len(left[0]), size):
+        rows = np.arange(i, min(i + size, len(left[0])))[:, None]
+        x, y = np.nonzero(apart(0, rows, slice(None)) + apart(1, rows, slice(None)) <= few)
+        x += i
+        bound, sofar = most[y], apart(0, x, y).astype(int) + apart(1, x, y)
+        for k in range(2, len(left)):
+            if k == len(COUNTS):
+                bound, sofar = 3 * most[y], 0
+            sofar = sofar + apart(k, x, y).astype(int)
+            near = sofar <= bound
+            x, y, bound, sofar = x[near], y[near], bound[near], sofar[near]
+        yield x, y
 
 
 def resolution_pairs(entities: DataFrame, threshold: float = ALIKE, aliases: DataFrame | None = None) -> DataFrame:
@@ -225,14 +255,10 @@ def resolution_pairs(entities: DataFrame, threshold: float = ALIKE, aliases: Dat
     named = keep(entities.select(*GROUP, "entity_id", comparison_name(F.col("name")).alias("key")).filter("key <> ''"))
     names = named.groupBy(*GROUP, "key").agg(F.min("entity_id").alias("rep")).withColumn("words", F.array_sort(F.array_distinct(F.split("key", " "))))
     text = F.array_join("words", " ")
-    letters = letter_bits(text)
-    names = keep(names.withColumns({"length": F.length(text), "bits": word_bits(F.col("words")), "letters": letters[0], "more_letters": letters[1]}))
-    ordered = lambda df: df.select(*GROUP, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    pairs = ordered(base_pairs(names, threshold)).distinct()
+    names = keep(names.withColumns({"length": F.length(text), "bits": word_bits(F.col("words")), **dict(zip(COUNTS, letter_bits(text), strict=True))}))
+    met = base_pairs(names, threshold)
     if threshold < 100:
-        pairs = pairs.unionByName(whole_pairs(names, threshold)).distinct()
-    rep = lambda n, c: names.select(*GROUP, F.col("key").alias(n), F.col("rep").alias(c))
-    met = pairs.join(rep("x", "a"), [*GROUP, "x"]).join(rep("y", "b"), [*GROUP, "y"]).select(*GROUP, "a", "b")
+        met = met.unionByName(whole_pairs(names, threshold))
     same = named.join(names.select(*GROUP, "key", "rep"), [*GROUP, "key"]).filter("entity_id <> rep").select(*GROUP, F.col("rep").alias("a"), F.col("entity_id").alias("b"))
     out = same.unionByName(met)
     if aliases is not None:

@@ -42,7 +42,8 @@ alike AS (SELECT g, a, b FROM rr WHERE near OR (may AND (nl + nr - 2 * (nl - apa
 
 def written_names(s: S, d: str) -> DataFrame:
     """Three names of each document's ASCII words: four words; the same with a tail of up to eight more; the same turned around and without a letter."""
-    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
+    head = F.regexp_extract(F.lower("text"), "^(?:[^a-z0-9]*[a-z0-9]+){0,12}", 0)  # no name has a word beyond the twelfth
+    w = F.regexp_extract_all(head, F.lit("[a-z0-9]+"), 0)
     docs = read(s, d, "documents").select("doc_id", "source", w.alias("w")).filter(F.size("w") >= 4)
     first = F.array_join(F.slice("w", 1, 4), " ")
     typo = F.concat_ws(" ", F.get("w", F.lit(3)), F.get("w", F.lit(2)), F.substring(F.get("w", F.lit(1)), 2, 100), F.get("w", F.lit(0)))
