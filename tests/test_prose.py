@@ -32,6 +32,21 @@ def test_numbers_may_stand_between_a_name_and_its_amount(spark):
     assert got == {i: v for i, v in enumerate(cases.values()) if v}
 
 
+def test_a_sentence_said_in_many_chunks_is_read_once(spark):
+    said = "Headcount is 40. Cash was $5M. Headcount is 40.\n Headcount is 40. Cash was $5M at 30 June 2025"
+    rows = [(1, i, said, D(2025, 1, 1 + i % 2), 2020 + i % 2, 12 if i % 3 else None) for i in range(50)] + [(1, 50, None, None, None, None), (1, 51, "", None, None, 12)]
+    schema = "document_id int, chunk_id int, text string, doc_date date, reference_year int, fye int"
+    facts = prose.facts(spark.createDataFrame(rows, schema))
+    plan = facts._jdf.queryExecution().toString().lower()
+    assert "headcount" not in plan and "exchange hashpartitioning" not in plan
+    year = lambda i: ("fiscal_year", D(2020 + i % 2, 12, 31) if i % 3 else None)
+    point = lambda day: ("point", day)
+    got = sorted((r["chunk_id"], r["metric"], r["quote"], r["period_type"], r["period_end"]) for r in facts.collect())
+    assert got == sorted(x for i in range(50) for x in ((i, "headcount", "Headcount is 40.", *year(i)), (i, "cash_balance", "Cash was $5M.", *point(D(2025, 1, 1 + i % 2))), (i, "cash_balance", "Cash was $5M at 30 June 2025", *point(D(2025, 6, 30))), (i, "headcount", "Headcount is 40.\n", *year(i))))
+    # rows of one chunk count once together
+    assert prose.facts(spark.createDataFrame([rows[0], rows[0], rows[1]], schema)).count() == 8
+
+
 def test_facts_name_the_other_party(spark):
     df = spark.createDataFrame([(1, 1, "This agreement is between Acme Inc and Globex LLC. The total contract value is $250,000. ARR is $1M.", None, 2024, 12, "msa.pdf", "Acme")], "document_id int, chunk_id int, text string, doc_date date, reference_year int, fye int, filename string, company string")
     assert {r["metric"]: r["subject_hint"] for r in prose.facts(df).collect()} == {"contract_value": "Globex LLC", "arr": None}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import periods
 from ..functions.text import comparison_name, counterparty, title
 from .chunking import sentences
+from .steps import stored
 
 #: Of each metric its unit, the period of a fact whose text names none, and the words that name it before its number.
 NAMED = {
@@ -65,26 +66,40 @@ def amount(said: Column) -> Column:
 def facts(chunks: DataFrame) -> DataFrame:
     """Candidate facts of chunks (document_id, chunk_id, text, doc_date, reference_year, fye; filename and company, if they are known).
 
-    All patterns are tried on each sentence that has a digit; the sentence is the quote. The period is the sentence's contract term, else
+    All patterns are tried on each sentence that has a digit; the sentence is the quote. A sentence that is said in many places is read once. The period is the sentence's contract term, else
     its label, else for facts of a day what the chunk is as of, or the document's date, and for others the reference year. The
     same metric, value and quote counts once. Facts about the other party carry its name in ``subject_hint``.
     """
     known = {"filename", "company"} <= set(chunks.columns)
     hint = counterparty(F.col("text"), title(F.col("filename")), F.col("company")) if known else F.lit(None).cast("string")
-    told = chunks.select("document_id", "chunk_id", "doc_date", "reference_year", "fye", hint.alias("hint"), periods.as_of(F.col("text")).alias("day"), F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
-    some = told.filter(F.col("sentence").rlike(r"\d")).withColumn("low", F.lower("sentence"))
+    year = periods.period("fiscal_year", periods.fiscal_year_start(F.col("reference_year"), F.col("fye")), periods.fiscal_year_end(F.col("reference_year"), F.col("fye")))
+    quotes = F.array_distinct(F.transform(sentences(F.col("text")), lambda x: F.trim(x)))
+    each = chunks.select("document_id", "chunk_id", "doc_date", "fye", hint.alias("hint"), periods.as_of(F.col("text")).alias("day"), F.when(F.col("reference_year").isNotNull(), year).alias("year"), quotes.alias("quotes"))
+    # outer, as Spark would otherwise cut each text thrice, to leave out those without a sentence first
+    told = each.select("*", F.explode_outer("quotes").alias("quote")).drop("quotes")
+    said = stored(readings(told.filter(F.col("quote").rlike(r"\d")).select("quote", "fye").distinct()))
+    met = told.join(said.withColumnsRenamed({"quote": "read", "fye": "of"}), (F.col("quote") == F.col("read")) & F.col("fye").eqNullSafe(F.col("of")))
+    point = lambda d: F.when((F.col("policy") == "point") & d.isNotNull(), periods.period("point", d, d, d))
+    kind = F.coalesce("p", point(F.col("day")), point(F.col("doc_date")), F.when(F.col("policy") == "reference", F.col("year")))
+    out = met.select("document_id", "chunk_id", "metric", "unit", "value", "quote", kind.alias("p"), F.when(F.col("metric").isin(*PARTY), F.col("hint")).alias("subject_hint"))
+    out = out.select("document_id", "chunk_id", "metric", "unit", "value", "quote", F.col("p.type").alias("period_type"), F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"), F.col("p.as_of").alias("as_of"), F.lit(0.9).alias("confidence"), "subject_hint")
+    # a chunk's quotes are distinct and so is what each says: only rows of one chunk could repeat it
+    twice = chunks.groupBy("document_id", "chunk_id").count().filter("count > 1")
+    return out if twice.isEmpty() else out.dropDuplicates(["document_id", "chunk_id", "metric", "value", "quote"])
+
+
+def readings(quotes: DataFrame) -> DataFrame:
+    """(quote, fye, metric, unit, policy, value, p) of sentences (quote, fye): what each says, with the period of its contract term, else its label, else null."""
+    some = quotes.withColumn("low", F.lower("quote"))
     # a pattern is tried where its words are: most sentences have those of one or two
     has = lambda words: reduce(or_, (reduce(and_, (F.contains("low", F.lit(x.lower())) for x in w.split(" "))) for w in words))
     none = F.array().cast("array<string>")
-    found = [F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit"), F.lit(p).alias("policy"), F.when(has(words), F.regexp_extract_all("sentence", F.lit(pattern), 1)).otherwise(none).alias("said")) for m, u, p, pattern, words in patterns()]
+    found = [F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit"), F.lit(p).alias("policy"), F.when(has(words), F.regexp_extract_all("quote", F.lit(pattern), 1)).otherwise(none).alias("said")) for m, u, p, pattern, words in patterns()]
     hits = some.withColumn("h", F.explode(F.filter(F.array(*found), lambda h: F.size(h["said"]) > 0))).select("*", "h.metric", "h.unit", "h.policy", F.explode("h.said").alias("said"))
-    point = lambda d: F.when((F.col("policy") == "point") & d.isNotNull(), periods.period("point", d, d, d))
-    year = periods.period("fiscal_year", periods.fiscal_year_start(F.col("reference_year"), F.col("fye")), periods.fiscal_year_end(F.col("reference_year"), F.col("fye")))
-    kind = F.coalesce(periods.term(F.col("sentence")), periods.parse(F.col("sentence"), F.col("fye")), point(F.col("day")), point(F.col("doc_date")), F.when((F.col("policy") == "reference") & F.col("reference_year").isNotNull(), year))
+    kind = F.coalesce(periods.term(F.col("quote")), periods.parse(F.col("quote"), F.col("fye")))
     # an array of one, so that the period is made once and not for each of its parts
-    out = hits.select("document_id", "chunk_id", "metric", "unit", amount(F.col("said")).alias("value"), F.trim("sentence").alias("quote"), F.explode(F.array(kind)).alias("p"), F.when(F.col("metric").isin(*PARTY), F.col("hint")).alias("subject_hint")).filter("value is not null")
-    out = out.select("document_id", "chunk_id", "metric", "unit", "value", "quote", F.col("p.type").alias("period_type"), F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"), F.col("p.as_of").alias("as_of"), F.lit(0.9).alias("confidence"), "subject_hint")
-    return out.dropDuplicates(["document_id", "chunk_id", "metric", "value", "quote"])
+    out = hits.select("quote", "fye", "metric", "unit", "policy", amount(F.col("said")).alias("value"), F.explode(F.array(kind)).alias("p"))
+    return out.filter("value is not null").dropDuplicates(["quote", "fye", "metric", "value"])
 
 
 def reference_years(facts: DataFrame, deals: DataFrame) -> DataFrame:
