@@ -135,11 +135,11 @@ def pieces(words: Column, size: Column) -> Column:
 
 
 def rarest_first(names: DataFrame, parts: Column) -> DataFrame:
-    """Names (group, key) with their parts, the rarest of the group first, in one order for all names."""
-    each = names.select(*GROUP, "key", F.explode(parts).alias("part"))
+    """Names (group, id) with their parts, the rarest of the group first, in one order for all names."""
+    each = names.select(*GROUP, "id", F.explode(parts).alias("part"))
     often = each.groupBy(*GROUP, "part").agg(F.count(F.lit(1)).alias("n"))
     order = F.array_sort(F.collect_list(F.struct("n", "part")))  # a name's own parts
-    return each.join(often, [*GROUP, "part"]).groupBy(*GROUP, "key").agg(F.transform(order, lambda x: x["part"]).alias("parts"))
+    return each.join(often, [*GROUP, "part"]).groupBy(*GROUP, "id").agg(F.transform(order, lambda x: x["part"]).alias("parts"))
 
 
 def _sided(df: DataFrame, side: str) -> DataFrame:
@@ -149,18 +149,18 @@ def _sided(df: DataFrame, side: str) -> DataFrame:
 def base_pairs(names: DataFrame, threshold: float) -> DataFrame:
     """(group, a, b): names of which the shared words are nearly all, and others, whatever else these have."""
     gap = 100 - threshold
-    ranked = rarest_first(names, F.col("words")).join(names.select(*GROUP, "key", "rep", "words", "length", "bits"), [*GROUP, "key"])
+    ranked = rarest_first(names, F.col("words")).join(names.select(*GROUP, "id", "rep", "words", "length", "bits"), [*GROUP, "id"])
     # own words that may be missing, joined by blanks, have at most this length
     spare = F.greatest(F.floor(2 * F.col("length") * gap / (100 + gap)) - 1, F.lit(0)).cast("int")
     first = F.filter("parts", lambda w, i: (i == 0) | (F.length(F.array_join(F.slice("parts", F.lit(1), i), " ")) <= F.col("spare")))
-    x = ranked.withColumn("spare", spare).select(*GROUP, "key", "rep", "words", "bits", F.floor((F.col("spare") + 1) / 2).alias("may_miss"), F.explode(first).alias("word"))
-    y = names.select(*GROUP, "key", "rep", "words", "bits", F.explode("words").alias("word"))
+    x = ranked.withColumn("spare", spare).select(*GROUP, "id", "rep", "words", "bits", F.floor((F.col("spare") + 1) / 2).alias("may_miss"), F.explode(first).alias("word"))
+    y = names.select(*GROUP, "id", "rep", "words", "bits", F.explode("words").alias("word"))
     missing, shared = F.array_except("x_words", "y_words"), F.array_intersect("x_words", "y_words")
     own, base = F.length(F.array_join(missing, " ")), F.length(F.array_join(shared, " "))
     near = (F.size(missing) == 0) | ((own + 1) * 100 <= gap * (2 * base + own + 1))
     might = F.bit_count(F.col("x_bits").bitwiseAND(F.bitwise_not("y_bits"))) <= F.col("x_may_miss")
     met = _sided(x, "x").join(_sided(y, "y").withColumnRenamed("y_word", "x_word"), [*GROUP, "x_word"])
-    return met.filter((F.col("x_key") != F.col("y_key")) & might & near).select(*GROUP, F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+    return met.filter((F.col("x_id") != F.col("y_id")) & might & near).select(*GROUP, F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
 
 
 def whole_pairs(names: DataFrame, threshold: float) -> DataFrame:
@@ -173,20 +173,21 @@ def whole_pairs(names: DataFrame, threshold: float) -> DataFrame:
     need = F.floor(2 * F.col("length") * gap / threshold).cast("int") + 1  # edits at most, the other being longer, and one
     count = lambda size: F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.floor(F.length(w) / size))
     cut = names.withColumn("need", need).withColumn("size", F.coalesce(*(F.when(count(k) >= F.col("need"), F.lit(k)) for k in SIZES))).filter("size is not null")
-    part = cut.select(*GROUP, "key", "need", F.explode(pieces(F.col("words"), F.col("size"))).alias("part"))
+    part = cut.select(*GROUP, "id", "need", F.explode(pieces(F.col("words"), F.col("size"))).alias("part"))
     sizes = cut.select(*GROUP, "size").distinct()
-    held = names.join(sizes, GROUP).select(*GROUP, "key", "rep", "length", *COUNTS, F.explode(grams(F.col("words"), F.col("size"))).alias("part"))
+    held = names.join(sizes, GROUP).select(*GROUP, "id", "length", *COUNTS, F.explode(grams(F.col("words"), F.col("size"))).alias("part"))
     often = held.join(part.select(*GROUP, "part").distinct(), [*GROUP, "part"], "left_semi").groupBy(*GROUP, "part").agg(F.count(F.lit(1)).alias("n"))
     first = F.slice(F.array_sort(F.collect_list(F.struct("n", "part"))), F.lit(1), F.first("need"))  # a name's own pieces
-    rare = keep(part.join(often, [*GROUP, "part"]).groupBy(*GROUP, "key").agg(first.alias("first")).filter(F.element_at("first", -1)["n"] <= RARE))
-    asked = rare.join(names, [*GROUP, "key"]).select(*GROUP, "key", "rep", "length", *COUNTS, F.explode(F.array_distinct(F.col("first.part"))).alias("part"))
+    rare = keep(part.join(often, [*GROUP, "part"]).groupBy(*GROUP, "id").agg(first.alias("first")).filter(F.element_at("first", -1)["n"] <= RARE))
+    asked = rare.join(names, [*GROUP, "id"]).select(*GROUP, "id", "length", *COUNTS, F.explode(F.array_distinct(F.col("first.part"))).alias("part"))
     met = _sided(asked, "x").join(_sided(held, "y").withColumnRenamed("y_part", "x_part"), [*GROUP, "x_part"])
     room = gap * (F.col("x_length") + F.col("y_length"))
     apart = functools.reduce(add, (F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in COUNTS))
     few = (F.abs(F.col("x_length") - F.col("y_length")) * 100 <= room) & (apart * 100 <= room)
-    met = met.filter((F.col("x_key") != F.col("y_key")) & few).select(*GROUP, "x_key", "y_key", F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
-    met = met.distinct().filter(alike(F.col("x_key"), F.col("y_key")) >= threshold).select(*GROUP, "a", "b")
-    rest = names.filter(" and ".join(f"{c} is not null" for c in GROUP)).join(rare.select(*GROUP, "key"), [*GROUP, "key"], "left_anti")
+    met = met.filter((F.col("x_id") != F.col("y_id")) & few).select(*GROUP, F.least("x_id", "y_id").alias("x"), F.greatest("x_id", "y_id").alias("y")).distinct()
+    of = lambda side, rep: names.select(F.col("id").alias(side), F.col("key").alias(f"{side}_key"), F.col("rep").alias(rep))
+    met = met.join(of("x", "a"), "x").join(of("y", "b"), "y").filter(alike(F.col("x_key"), F.col("y_key")) >= threshold).select(*GROUP, "a", "b")
+    rest = names.filter(" and ".join(f"{c} is not null" for c in GROUP)).join(rare.select(*GROUP, "id"), [*GROUP, "id"], "left_anti")
     return met.unionByName(blocked_pairs(rest, threshold))
 
 
@@ -255,7 +256,7 @@ def resolution_pairs(entities: DataFrame, threshold: float = ALIKE, aliases: Dat
     named = keep(entities.select(*GROUP, "entity_id", comparison_name(F.col("name")).alias("key")).filter("key <> ''"))
     names = named.groupBy(*GROUP, "key").agg(F.min("entity_id").alias("rep")).withColumn("words", F.array_sort(F.array_distinct(F.split("key", " "))))
     text = F.array_join("words", " ")
-    names = keep(names.withColumns({"length": F.length(text), "bits": word_bits(F.col("words")), **dict(zip(COUNTS, letter_bits(text), strict=True))}))
+    names = keep(names.withColumns({"id": F.monotonically_increasing_id(), "length": F.length(text), "bits": word_bits(F.col("words")), **dict(zip(COUNTS, letter_bits(text), strict=True))}))
     met = base_pairs(names, threshold)
     if threshold < 100:
         met = met.unionByName(whole_pairs(names, threshold))
