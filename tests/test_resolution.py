@@ -69,7 +69,7 @@ def test_names_of_rare_pieces_and_blocks_of_others_lose_no_pair(spark, monkeypat
 
 
 def test_few_pairs_of_long_names_of_common_words_reach_the_ratio(spark):
-    """What the bits of letters and twos leave of pairs of long names is near what is alike, and holds all of that."""
+    """What the bits of letters and twos leave of pairs of long names is few, and holds all that are alike."""
     rng = random.Random(3)
     parts = "the of and er en on re th ing tion ly an in st sh ou le".split()
     stems = ["".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(300)]

@@ -9,7 +9,7 @@ The ratio of two names is the best of three comparisons, and each has a candidat
 - *Whole against whole.* Insertions and deletions are few beside both lengths, and each breaks one piece of a name at most; of one piece more than there may be
   edits, one is whole in the other name. Names whose pieces are rare meet by them. The pieces of common words and those of a few letters would bring
   all together, so the other names meet each other in blocks, by lengths, by counts of letters, which cannot differ in more places than there are
-  edits, and by twos of letters, which can differ in thrice as many. Only what is left, about as many as are alike, reaches the ratio itself.
+  edits, and by twos of letters, which can differ in thrice as many. Only what is left reaches the ratio itself.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ LETTERS = "etaoinshrdlucmfpgwybvkxjqz"  #: the most used first: their counts par
 SIZES = (8, 7, 6, 5)  #: of pieces that may be rare
 RARE = 200  #: names that hold a piece that is looked up, at most
 BLOCK = 8192  #: names of a length that a task compares at once
-CELLS = 2**17  #: pairs whose letters are compared in one step, small enough for a core's cache
+CELLS = 2**17  #: pairs whose letters are compared in one step
 COUNTS = ["letters", "letters2", "letters3", "letters4"]
 TWOS = ["twos", "twos2", "twos3", "twos4"]
 
